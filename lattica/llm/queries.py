@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated_bytes
+
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("n_tokens").alias("n_bytes"),
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -70,7 +82,7 @@ FROM m
 
 
 def queries():
-    found = [op3_html_extraction, op4_exact_topk, op5_sentencepiece, op10_warc]
+    found = [op1_suffix_dedup, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op10_warc]
     return {f.__name__: f for f in found}
 
 
