@@ -48,6 +48,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debruijn_dedup import remove_repeated_words
+
+    return remove_repeated_words(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -82,7 +90,7 @@ FROM m
 
 
 def queries():
-    found = [op1_suffix_dedup, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op10_warc]
+    found = [op1_suffix_dedup, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op7_debruijn_dedup, op10_warc]
     return {f.__name__: f for f in found}
 
 

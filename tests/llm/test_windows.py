@@ -1,12 +1,14 @@
 """Repeated-window removal (bytes and words) against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from lattica.llm import anchors
+from lattica.llm.debruijn_dedup import remove_repeated_words, verified_paths
 from lattica.llm.suffix_dedup import radix_groups, remove_repeated_bytes
 
 
@@ -70,9 +72,30 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, length, gram, hot,
     check(spark, corpus(seed, "bytes"), lambda d: remove_repeated_bytes(d, length=length, gram=gram), *as_bytes, length)
 
 
+def ascii_words(text: str) -> list[bytes]:
+    return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
+@pytest.mark.parametrize(("seed", "length", "gram", "hot", "slab"), [(1, 8, 3, 256, 1 << 19), (5, 6, 6, 1, 1 << 19), (6, 9, 2, 4, 64)])
+def test_words_against_brute_force(spark, monkeypatch, seed, length, gram, hot, slab):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "SLAB", slab)
+    texts = [*corpus(seed, "words"), "a\u00a0b c\x1cd\u2003e " * 12, "\x0b\x0c\r\n\t "]
+    check(spark, texts, lambda d: remove_repeated_words(d, length=length, gram=gram), ascii_words, b" ".join, length)
+
+
+def test_verified_paths():
+    values = anchors.mix(np.array([ord(c) for c in "abcdefgh--abcdefgh--abcdXfgh"], np.uint64))
+    start = np.concatenate([np.arange(0, 5), np.arange(10, 15), np.arange(20, 25)])
+    bucket = np.tile(np.arange(5), 3)
+    got = verified_paths(values, start, bucket, np.ones(15, np.int64), 4)
+    assert got.tolist() == [True] * 10 + [True, False, False, False, False]
+
+
 def test_empty_and_clashing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_removed int")
     assert remove_repeated_bytes(docs).count() == 0
+    assert remove_repeated_words(docs).count() == 0
     docs = spark.createDataFrame([(None, "q" * 500), (7, None), (7, "q" * 400)], "doc_id long, text string")
     got = {(r.doc_id, r.n_tokens, r.n_removed) for r in remove_repeated_bytes(docs).collect()}
     assert got == {(None, 500, 500), (7, 0, 0), (7, 400, 400)}
