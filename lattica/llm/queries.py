@@ -56,6 +56,12 @@ def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -90,7 +96,7 @@ FROM m
 
 
 def queries():
-    found = [op1_suffix_dedup, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op7_debruijn_dedup, op10_warc]
+    found = [op1_suffix_dedup, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op7_debruijn_dedup, op8_hyperminhash, op10_warc]
     return {f.__name__: f for f in found}
 
 
