@@ -9,8 +9,9 @@ no repeated window and is dropped; of the others
 * runs with equal content are repeated in all their windows;
 * distinct runs that share an anchor go to one task per anchor, where a function given by the
   operator compares their windows;
-* anchors with more than ``HOT`` distinct runs are not gathered: their windows are counted as
-  hashed rows, summed before they are shuffled.
+* anchors with more distinct runs than ``gathered`` allows (a quarter of a task's mean share, within
+  ``HOT`` and ``MOST``) are not gathered: their windows are counted as hashed rows, summed before
+  they are shuffled.
 
 All windows are judged on the input. No run, window or text is dropped or capped.
 """
@@ -29,7 +30,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
 _INDEX = U64((1 << 28) - 1)
 SLAB = 1 << 19
-HOT = 256
+HOT, MOST = 256, 4096
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -242,6 +243,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def gathered(contents: DataFrame) -> int:
+    """Distinct runs of one anchor that may meet in one task: what neither tilts nor fills it."""
+    tasks = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(HOT, MOST), max(HOT, contents.count() // (4 * tasks)))
+
+
 def repeated_windows(docs: DataFrame, unit, compare, tag: str) -> DataFrame:
     """(u, v, s, n): stretches of window starts whose windows occur at least twice.
 
@@ -258,7 +265,7 @@ def repeated_windows(docs: DataFrame, unit, compare, tag: str) -> DataFrame:
     contents = written(contents, f"{tag}-contents")
     equal = shared.where("m = 1").join(contents.where("m > 1").select("k", "c"), ["k", "c"]).select("u", "v", "s", "n")
     several = contents.groupBy("k").agg(F.count("*").alias("d")).where("d > 1")
-    unsure = contents.join(several, "k").withColumn("hot", F.col("d") > HOT)
+    unsure = contents.join(several, "k").withColumn("hot", F.col("d") > gathered(contents))
     wanted = unsure.groupBy("u", "v").agg(F.collect_list(F.struct("k", "m", "s", "n", "o", "hot")).alias("w"))
     held = docs.join(wanted, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v")))
     pieces = held.mapInArrow(_cutter(unit), _PIECES)
