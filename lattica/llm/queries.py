@@ -20,6 +20,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -48,6 +54,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_decontam import pairs
+
+    return pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .debruijn_dedup import remove_repeated_words
 
@@ -82,6 +94,45 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
+SQL_OP6 = """
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents
+), iw AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark
+), ds AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) ELSE [array_to_string(ws, ' ')] END AS hs
+  FROM dw WHERE len(ws) > 0
+), it AS (
+  SELECT row_number() OVER () AS q, item_id,
+         CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) ELSE [array_to_string(ws, ' ')] END AS ih
+  FROM iw WHERE len(ws) > 0
+), dp AS (
+  SELECT r, doc_id, len(hs) AS n, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM ds
+), ip AS (
+  SELECT q, item_id, len(ih) AS m, unnest(ih) AS h FROM it
+), touched AS (
+  SELECT DISTINCT r, n, q, m FROM dp JOIN (SELECT DISTINCT q, m, h FROM ip) USING (h)
+), starts AS (
+  SELECT r, q, m, unnest(range(1, greatest(n - m, 0) + 2)) AS s FROM touched
+), wc AS (
+  SELECT starts.r, starts.q, starts.m, s, h, count(*) AS k
+  FROM starts JOIN dp ON dp.r = starts.r AND p >= s AND p < s + m GROUP BY ALL
+), ic AS (
+  SELECT q, item_id, h, count(*) AS k FROM ip GROUP BY ALL
+), size AS (
+  SELECT r, q, m, s, sum(k) AS n FROM wc GROUP BY ALL
+), both_ AS (
+  SELECT wc.r, wc.q, wc.s, sum(least(wc.k, ic.k)) AS c FROM wc JOIN ic ON ic.q = wc.q AND ic.h = wc.h GROUP BY ALL
+), scored AS (
+  SELECT ds.doc_id, it.item_id, c AS n_common, n + m - c AS n_union
+  FROM both_ JOIN size USING (r, q, s) JOIN ds USING (r) JOIN it USING (q) WHERE 100 * c >= 80 * (n + m - c)
+)
+SELECT doc_id, item_id, CAST(x[2] AS BIGINT) AS n_common, CAST(x[3] AS BIGINT) AS n_union FROM (
+  SELECT doc_id, item_id, max([CAST(n_common AS DOUBLE) / CAST(n_union AS DOUBLE), n_common, n_union]) AS x FROM scored GROUP BY ALL
+)
+"""
+
 SQL_OP10 = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -96,9 +147,9 @@ FROM m
 
 
 def queries():
-    found = [op1_suffix_dedup, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op7_debruijn_dedup, op8_hyperminhash, op10_warc]
+    found = [op1_suffix_dedup, op2_pu_quality, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op6_simhash_decontamination, op7_debruijn_dedup, op8_hyperminhash, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": SQL_OP4, "op10_warc": SQL_OP10}
+    return {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10}
