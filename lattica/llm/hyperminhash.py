@@ -11,10 +11,10 @@ steps, each confirmed on full sets:
 
 1. every class with the smallest pivot it meets in a band, then with the other pivots it is
    not yet joined to;
-2. what is left: bands of three or more classes that still lie in different components. Their
-   members are compared block by block (a band of any size is cut into blocks of about
-   ``BLOCK``), first by the collision-corrected estimate from the registers, then exactly; pairs
-   already joined are passed over;
+2. what is left: bands of three or more classes that still lie in different components. Members
+   outside the band's largest component are compared with all of the band, block by block (a
+   band of any size is cut into blocks of about ``BLOCK``), first by the collision-corrected
+   estimate from the registers, then exactly; pairs already joined are passed over;
 3. components of all links.
 
 So every two classes that share a band end in one component or are compared; no band is capped.
@@ -37,7 +37,7 @@ from .common import slabs, utf8_buffer, written
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
-BLOCK = 384
+BLOCK = 512
 MAX_BROADCAST_IDS = 1_000_000
 #: Estimates this far below the threshold (over five standard deviations of 128 registers) are passed over.
 SLACK = 0.2
@@ -219,11 +219,8 @@ def block_links(ids, comps, sizes, sketches, sets, left, right, percent: int):
 
     out = []
     for i in left:
-        other = right[right > i] if left is right else right
-        if not len(other):
-            continue
-        ratio = 100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])
-        other = other[ratio & (comps[other] != comps[i])]
+        ratio = 100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i])
+        other = right[ratio & (comps[right] != comps[i])]
         if len(other):
             other = other[estimate(sketches[i], sketches[other]) >= percent / 100 - SLACK]
         for j in other:
@@ -242,9 +239,7 @@ def _residual(rows: DataFrame, percent: int) -> DataFrame:
         ids, comps, sizes, side = (np.asarray(table.column(x)) for x in ("c", "comp", "n", "side"))
         sketches = _sketch_rows(table.column("sketch"))
         sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("hashes")]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = table.column("bi")[0] == table.column("bj")[0]
-        found = block_links(ids, comps, sizes, sketches, sets, left, left if same else right, percent)
+        found = block_links(ids, comps, sizes, sketches, sets, np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent)
         return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "bi", "bj").applyInArrow(group, "a long, b long")
@@ -284,15 +279,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = written(components(links, tag), f"{tag}-comps")
 
     placed = _label(members.where("k > 2").select("key", "c", "p", "k"), comps, "c", "comp")
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = placed.join(split, "key").where("c <> p")  # pivots have been compared with all
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("c"), blocks).cast("int")
-    open_rows = (
-        open_rows.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "c", "comp", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    )
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("k"), F.count("*").alias("parts"))
+    parts = parts.where("parts > 1").select("key", "most", F.ceil(F.col("k") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("k") - F.col("n_most")) / BLOCK).cast("int").alias("ni"))
+    open_rows = placed.drop("k", "p").join(parts, "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    # members outside the largest component meet every block; every member meets their few blocks
+    fewer = open_rows.where("comp <> most").select("key", "c", "comp", block("ni").alias("bi"), each("nj").alias("bj"), F.lit(0).alias("side"))
+    every = open_rows.select("key", "c", "comp", each("ni").alias("bi"), block("nj").alias("bj"), F.lit(1).alias("side"))
+    open_rows = fewer.unionAll(every)
     full = open_rows.join(classes.select("c", "n", "sketch"), "c").join(sets, "c")
     rest = written(_residual(full, percent), f"{tag}-links")
     if not rest.isEmpty():

@@ -56,7 +56,7 @@ def corpus(seed: int):
     return [" ".join(t) for t in texts] + ["", None, " \n", "THE", "the", "the of", "The\tOF ", "the of", "É", "é"]
 
 
-@pytest.mark.parametrize(("seed", "width", "block", "ids"), [(1, 2, 384, 10**6), (2, 5, 2, 0)])
+@pytest.mark.parametrize(("seed", "width", "block", "ids"), [(1, 2, 512, 10**6), (2, 5, 2, 0)])
 def test_groups_against_brute_force(spark, monkeypatch, seed, width, block, ids):
     monkeypatch.setattr(H, "BLOCK", block)
     monkeypatch.setattr(H, "MAX_BROADCAST_IDS", ids)
@@ -96,6 +96,7 @@ def test_residual_blocks_link_what_pivots_miss():
     sk = H.registers(np.concatenate(sets), at)
     left = np.arange(3)
     assert H.block_links(np.array([7, 8, 9]), left, np.diff(at), sk, sets, left, left, 80) == [(7, 8)]
+    assert H.block_links(np.array([7, 8, 9]), np.array([1, 1, 2]), np.diff(at), sk, sets, left, left, 80) == []
 
 
 def test_components(spark):
