@@ -74,6 +74,14 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op9_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii, joined
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS LONG) AS n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -147,7 +155,7 @@ FROM m
 
 
 def queries():
-    found = [op1_suffix_dedup, op2_pu_quality, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op6_simhash_decontamination, op7_debruijn_dedup, op8_hyperminhash, op10_warc]
+    found = [op1_suffix_dedup, op2_pu_quality, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op6_simhash_decontamination, op7_debruijn_dedup, op8_hyperminhash, op9_bootstrap_pii, op10_warc]
     return {f.__name__: f for f in found}
 
 
