@@ -138,9 +138,10 @@ def _signatures(source: DataFrame, kind: str, width: int) -> DataFrame:
                 e1, e2 = mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(U64)), again[at[1:]] - again[at[:-1]]
                 sketch = np.ascontiguousarray(registers(hashes, at))
                 binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), hi - lo, [None, pa.py_buffer(sketch)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array(sizes.astype(np.int64)), binary], names=["id", "e1", "e2", "n", "sketch"])
+                own = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array(sizes.astype(np.int64)), binary], names=["id", "u", "v", "e1", "e2", "n", "sketch"])
 
-    return source.mapInArrow(work, f"id {kind}, e1 long, e2 long, n long, sketch binary")
+    return source.mapInArrow(work, f"id {kind}, u long, v int, e1 long, e2 long, n long, sketch binary")
 
 
 def _sketch_rows(column) -> np.ndarray:
@@ -246,9 +247,10 @@ def _residual(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, tag: str = "near") -> DataFrame:
-    """Per row of ``docs``: id_col, n_shingles, component_id (smallest id of the group), kept."""
+    """Per row of ``docs``: id_col, n_shingles, component_id (smallest id of the group), kept, and u, v (hashes of id and text)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_lt_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).alias("_lt_id"), text.alias("_lt_text"), F.xxhash64(id_col, text).alias("u"), F.hash(id_col, text).alias("v"))
     signs = written(_signatures(source, kind, width), f"{tag}-signs")
     classes = (
         signs.where("n > 0 AND id IS NOT NULL")
@@ -298,17 +300,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("comp").agg(F.min("id").alias("component"))
     result = named.join(lowest, "comp").select(F.col("c").alias("e1"), "e2", "component")
     return (
-        signs.select("id", "e1", "e2", "n")
+        signs.select("id", "u", "v", "e1", "e2", "n")
         .join(written(result, f"{tag}-result"), ["e1", "e2"], "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"),
             F.when((F.col("n") == 0) | F.col("id").isNull(), True).otherwise(F.col("id") == F.col("component")).alias("kept"),
+            "u",
+            "v",
         )
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
+
+    Rows that repeat both id and text count as one row; of rows with the smallest id and different texts one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, **names)
+    alone = found.where("kept AND (component_id IS NULL OR n_shingles = 0)").select("u", "v")
+    chosen = found.where("kept AND component_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("u", "v")).alias("x"))
+    stay = written(alone.unionAll(chosen.select("x.u", "x.v")).distinct().select(F.col("u").alias("_lt_u"), F.col("v").alias("_lt_v")), "stay")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.withColumns({"_lt_u": F.xxhash64(id_col, text), "_lt_v": F.hash(id_col, text)})
+    return named.join(stay, ["_lt_u", "_lt_v"]).dropDuplicates(["_lt_u", "_lt_v"]).select(*docs.columns)
+
+
 def _label(rows: DataFrame, comps: DataFrame, on: str, name: str) -> DataFrame:
     """Adds the component of ``on``; a node without links is its own."""
     found = comps.select(F.col("node").alias(on), F.col("root").alias("_root"))

@@ -189,33 +189,58 @@ def fit(train: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE
     return mean, dev, best
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``keep`` columns (default: the id), held_out, score, predicted of every row."""
-    keep = [id_col] if keep is None else keep
-    held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
-    base = docs.select(F.struct(*keep).alias("k"), F.col(id_col).alias("_lt_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"))
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_lt_id")).agg(F.min("quality").alias("label"))
-    known = known.where(~F.coalesce(F.pmod(F.crc32(F.col("_lt_id").cast("string")), F.lit(4)) == 2, F.lit(False)))
+def is_held_out(id_column):
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.pmod(F.crc32(id_column.cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """(features table: id, held_out, x; the model: prior, and what ``fit`` returns)."""
+    base = docs.select(F.col(id_col).alias("id"), is_held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"))
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("label"))
+    known = known.where(~is_held_out(F.col("id")))
     rows = written(_featurise(base, "_lt_text"), "features")
     counts = known.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("one"), F.count("label").alias("all")).first()
     prior = ((counts.one or 0) + 1) / (counts.all + 2)
-    positives = known.where("label = 1").select("_lt_id", F.lit(True).alias("positive"))
-    train = rows.where(~F.col("held_out")).select("_lt_id", "x").join(positives, "_lt_id", "left")
+    positives = known.where("label = 1").select("id", F.lit(True).alias("positive"))
+    train = rows.where(~F.col("held_out")).select("id", "x").join(positives, "id", "left")
     train = written(train.select("x", F.coalesce("positive", F.lit(False)).alias("positive")), "train")
-    model = fit(train, prior)
+    return rows, (prior, fit(train, prior))
+
+
+def scores(x: np.ndarray, model) -> np.ndarray:
+    prior, fitted = model
+    if fitted is None:
+        return np.full(len(x), prior)
+    mean, dev, w = fitted
+    f = ((x - mean) / dev) @ w[:-1] + w[-1]
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
-    names = rows.select("k", "held_out").schema
-    schema = rows.select("k", "held_out").withColumn("score", F.lit(0.0)).schema
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The id, held_out, score and predicted of every row."""
+    rows, model = learn(docs, labels, id_col, text_col)
+    schema = rows.select("id", "held_out").withColumn("score", F.lit(0.0)).schema
 
     def work(batches):
         for batch in batches:
-            if model is None:
-                score = np.full(batch.num_rows, prior)
-            else:
-                mean, dev, w = model
-                f = ((_matrix(batch.column(2)).reshape(-1, len(mean)) - mean) / dev) @ w[:-1] + w[-1]
-                score = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=[*names.names, "score"])
-
-    scored = rows.select("k", "held_out", "x").mapInArrow(work, schema)
-    return scored.select(*[F.col("k")[c].alias(c) for c in keep], "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            score = scores(_matrix(batch.column(2)).reshape(-1, len(FEATURES)), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=schema.names)
+
+    scored = rows.select("id", "held_out", "x").mapInArrow(work, schema)
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, unchanged."""
+    _, model = learn(docs, labels, id_col, text_col)
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            raw, offsets = utf8_buffer(batch.column(at))
+            for lo, hi in slabs(offsets, 4 * SLAB):
+                good = scores(features(raw, offsets[lo : hi + 1]).astype(np.float64), model) >= threshold
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
 
 
@@ -71,7 +73,7 @@ def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hyperminhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("u", "v")
 
 
 def op9_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +158,9 @@ FROM m
 
 def queries():
     found = [op1_suffix_dedup, op2_pu_quality, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op6_simhash_decontamination, op7_debruijn_dedup, op8_hyperminhash, op9_bootstrap_pii, op10_warc]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10}

@@ -72,7 +72,7 @@ def test_edges(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert H.near_duplicates(docs).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (2, "A B c"), (2, "A B c"), (1, None), (1, " ")], "doc_id long, text string")
-    got = sorted((tuple(r) for r in H.near_duplicates(docs).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in H.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (3, 2, 2, False), (2, 2, 2, True), (2, 2, 2, True), (1, 0, 1, True), (1, 0, 1, True)], key=str)
 
 
