@@ -30,12 +30,22 @@ def sf():
     return SF
 
 
-@pytest.fixture(scope="session")
-def duck():
-    """DuckDB with the sf0.001 tables as views."""
+def tables_of(sf: str):
     import duckdb
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    """DuckDB with the sf0.001 tables as views."""
+    return tables_of(SF)
+
+
+@pytest.fixture(scope="session")
+def wide_duck():
+    """DuckDB with the sf0.01 tables as views."""
+    return tables_of("/root/testdata/sf0.01")
