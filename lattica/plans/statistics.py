@@ -1,0 +1,234 @@
+"""Null model, testing, ranking and agreement queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.scalar import axis_score, minimum_documents, wilson
+from ..operators import hypergraph as H
+from ..operators import statistics as S
+from .bindings import incidence, sql_incidence, table, with_
+from .graph import GRAPH, LABELS, Graph
+from .registry import query
+
+LDEG = "ldeg AS (SELECT d, count(*) AS n FROM (SELECT paper_id, count(*) AS d FROM linc GROUP BY ALL) GROUP BY ALL), ltot AS (SELECT CAST(sum(d * n) AS DOUBLE) AS links FROM ldeg), ldocs AS (SELECT term_id, count(*) AS docs FROM linc GROUP BY ALL)"
+QD = "qd AS (SELECT o.a, o.b, o.c, d, n, least(1.0, d * coalesce(x.docs, 0) / links) * least(1.0, d * coalesce(y.docs, 0) / links) * least(1.0, d * coalesce(z.docs, 0) / links) AS q FROM ot o LEFT JOIN ldocs x ON x.term_id = o.a LEFT JOIN ldocs y ON y.term_id = o.b LEFT JOIN ldocs z ON z.term_id = o.c, ldeg, ltot)"
+NULL = (*GRAPH, *LABELS, LDEG, QD, "nm AS (SELECT a, b, c, sum(n * q) AS expected, 1 - exp(sum(n * ln(1 - least(q, 1 - 1e-16)))) AS p_one FROM qd GROUP BY ALL)", "ob AS (SELECT nm.*, coalesce(ltc.cnt, 0) AS observed FROM nm LEFT JOIN ltc USING (a, b, c))")
+RANKED = (*GRAPH, *LABELS, "rk AS (SELECT o.a, o.b, o.c, weakest_pair_count AS score, (l.cnt IS NOT NULL)::INT AS y, row_number() OVER (ORDER BY weakest_pair_count DESC, o.a, o.b, o.c) AS r FROM ot o LEFT JOIN ltc l ON l.a = o.a AND l.b = o.b AND l.c = o.c)")
+ORDER = [F.desc, F.asc]
+
+
+class Null(Graph):
+    def __init__(self, spark, sf):
+        super().__init__(spark, sf)
+        self.label = incidence(spark, sf, window="label").select("paper_id", "term_id")
+        self.label_edges = H.hyperedges(self.label)
+
+    def rows(self):
+        docs = self.label.groupBy("term_id").agg(F.count("*").alias("docs"))
+        rows = S.null_model(self.open().select(*H.TRIAD), docs, H.degree_distribution(self.label_edges))
+        seen = H.triple_counts(self.label_edges).withColumnRenamed("cnt", "observed")
+        return rows.join(seen, H.TRIAD, "left").fillna(0, ["observed"])
+
+    def ranked(self):
+        """Open triangles with y = met in the label window, score, and their order."""
+        seen = H.triple_counts(self.label_edges).select(*H.TRIAD, F.lit(1).alias("y"))
+        return self.open().withColumnRenamed("weakest_pair_count", "score").join(seen, H.TRIAD, "left").fillna(0, ["y"])
+
+
+def by_rank():
+    return [F.desc("score"), *map(F.asc, H.TRIAD)]
+
+
+@query("x01_null_model", with_(*NULL) + "SELECT a, b, c, round(expected, 8) AS expected, observed FROM ob")
+def x01(spark, sf):
+    return Null(spark, sf).rows().select(*H.TRIAD, F.round("expected", 8).alias("expected"), "observed")
+
+
+@query("x02_upper_tail")
+def x02(spark, sf):
+    return S.tail_probability(Null(spark, sf).rows()).select(*H.TRIAD, "observed", F.round("p_value", 9).alias("p_value"))
+
+
+@query("x03_at_least_one", with_(*NULL) + "SELECT a, b, c, round(p_one, 8) AS p_one FROM ob")
+def x03(spark, sf):
+    return Null(spark, sf).rows().select(*H.TRIAD, F.round("p_one", 8).alias("p_one"))
+
+
+@query("x04_benjamini_hochberg", with_(*NULL, "rr AS (SELECT *, row_number() OVER (ORDER BY p_one) AS r, count(*) OVER () AS m FROM ob WHERE observed > 0)") + "SELECT a, b, c, round(least(1, min(p_one * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 7) AS q_value FROM rr")
+def x04(spark, sf):
+    return S.benjamini_hochberg(Null(spark, sf).rows().where("observed > 0"), "p_one").select(*H.TRIAD, F.round("q_value", 7).alias("q_value"))
+
+
+@query("x05_labels")
+def x05(spark, sf):
+    rows = S.benjamini_hochberg(S.tail_probability(Null(spark, sf).rows()))
+    return rows.select(*H.TRIAD, "observed", F.round("expected", 9).alias("expected"), F.round("p_value", 9).alias("p_value"), F.round("q_value", 7).alias("q_value"), (F.col("q_value") <= 0.05).alias("label"))
+
+
+@query("x06_new_triads", with_(sql_incidence(), "bt AS (SELECT DISTINCT x.term_id AS a, y.term_id AS b, z.term_id AS c FROM inc x JOIN inc y ON x.paper_id = y.paper_id AND x.term_id < y.term_id JOIN inc z ON x.paper_id = z.paper_id AND y.term_id < z.term_id)", *LABELS) + "SELECT a, b, c, cnt AS n_papers FROM ltc WHERE NOT EXISTS (SELECT 1 FROM bt WHERE bt.a = ltc.a AND bt.b = ltc.b AND bt.c = ltc.c) AND NOT (a LIKE 'T:%' AND b LIKE 'T:%' AND c LIKE 'T:%')")
+def x06(spark, sf):
+    g = Null(spark, sf)
+    return H.triple_counts(g.label_edges).join(g.closed, H.TRIAD, "left_anti").where(~H.all_tasks()).withColumnRenamed("cnt", "n_papers")
+
+
+@query("x07_wilson", "WITH g AS (SELECT o_orderpriority AS stratum, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT *, 1.959963984540054::DOUBLE AS z, k / n AS p FROM g) SELECT stratum, k, n, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS lower, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS upper FROM c")
+def x07(spark, sf):
+    g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
+    lo, hi = wilson(F.col("k"), F.col("n"))
+    return g.select("stratum", "k", "n", F.round(lo, 8).alias("lower"), F.round(hi, 8).alias("upper"))
+
+
+@query("x08_minimum_documents", "SELECT p_size, CAST(ceil(-ln(1 - 0.95::DOUBLE) / (p_size / 50.0::DOUBLE)) AS BIGINT) AS documents FROM (SELECT DISTINCT p_size FROM part WHERE p_size > 0)")
+def x08(spark, sf):
+    sizes = table(spark, sf, "part").select("p_size").where("p_size > 0").distinct()
+    return sizes.select("p_size", minimum_documents(F.col("p_size") / 50.0, 0.95).alias("documents"))
+
+
+@query("x09_generic_terms", with_(sql_incidence(), "dg AS (SELECT paper_id, count(*) AS degree FROM inc GROUP BY ALL), lim AS (SELECT (SELECT sum(degree) FROM dg) / degree AS l FROM (SELECT degree, row_number() OVER (ORDER BY degree, paper_id) - 1 AS i, count(*) OVER () AS n FROM dg) WHERE i = ceil(0.99 * (n - 1)))") + "SELECT term_id, count(*) AS docs FROM inc GROUP BY ALL HAVING count(*) > (SELECT l / 10 FROM lim)")
+def x09(spark, sf):
+    inc = incidence(spark, sf)
+    degrees = H.hyperedges(inc).select("paper_id", F.size("terms").alias("degree"))
+    return S.generic_terms(inc, degrees, 0.99, scale=10)
+
+
+@query("x10_percentile_rank", "SELECT c_custkey, round((rank() OVER (ORDER BY floor(c_acctbal / 100)) + (count(*) OVER (PARTITION BY floor(c_acctbal / 100)) - 1) / 2) / count(*) OVER (), 8) AS pct FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_acctbal < 0")
+def x10(spark, sf):
+    v = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100)).alias("v"))
+    return v.select("c_custkey", F.round(S.percentile_rank("v"), 8).alias("pct"))
+
+
+@query("x11_quantiles", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.025), 6) AS lo, round(quantile_cont(l_quantity, 0.5), 6) AS mid, round(quantile_cont(l_extendedprice, 0.975), 6) AS hi FROM lineitem GROUP BY ALL")
+def x11(spark, sf):
+    p = lambda c, q, n: F.round(F.percentile(c, F.lit(q)), 6).alias(n)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(p("l_quantity", 0.025, "lo"), p("l_quantity", 0.5, "mid"), p("l_extendedprice", 0.975, "hi"))
+
+
+@query("x12_weighted_precision", with_(*RANKED, "t AS (SELECT y, w, greatest(0, least(w, 100.0 - (sum(w) OVER (ORDER BY r) - w))) AS take FROM (SELECT *, 1.0::DOUBLE + r % 3 AS w FROM rk))") + "SELECT round(sum(take * y) / sum(take), 8) AS precision, round(sum(w * y) / sum(w), 8) AS base_rate, round((sum(take * y) / sum(take)) / (sum(w * y) / sum(w)), 6) AS lift FROM t")
+def x12(spark, sf):
+    r = Null(spark, sf).ranked().withColumn("r", F.row_number().over(Window.orderBy(*by_rank()))).withColumn("w", 1.0 + F.col("r") % 3)
+    out = S.weighted_precision(r, 100, [F.asc("r")])
+    return out.select(F.round("precision", 8).alias("precision"), F.round("base_rate", 8).alias("base_rate"), F.round("lift", 6).alias("lift"))
+
+
+@query("x14_average_precision", with_(*RANKED, "g AS (SELECT score, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM rk GROUP BY ALL), v AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS al FROM g)") + "SELECT round(sum(p * tp / al) / sum(p), 8) AS average_precision, round(sum((n - p) * (tp - p / 2)) / (sum(p) * sum(n - p)), 8) AS roc_auc FROM v")
+def x14(spark, sf):
+    out = S.average_precision(Null(spark, sf).ranked())
+    return out.select(*(F.round(c, 8).alias(c) for c in out.columns))
+
+
+@query("x15_candidate_bootstrap")
+def x15(spark, sf):
+    g = Null(spark, sf)
+    return S.interval(S.candidate_bootstrap(g.ranked(), 100, 100, 7, by_rank(), H.TRIAD), "lift")
+
+
+@query("x16_block_bootstrap")
+def x16(spark, sf):
+    g = Null(spark, sf)
+    return S.interval(S.block_bootstrap(g.ranked(), 100, 100, 7, by_rank()), "lift")
+
+
+@query("x18_verdict_sequence", "SELECT * FROM (VALUES ('S1', 'pass'), ('S2', 'fail'), ('S3', 'not tested')) v(step, verdict)")
+def x18(spark, sf):
+    return spark.createDataFrame(S.run_sequence([("S1", True), ("S2", False), ("S3", True)]), "step string, verdict string")
+
+
+@query("x20_sample_size")
+def x20(spark, sf):
+    return spark.createDataFrame([(p, S.sample_size(0.5, p, 0.05, 0.8)) for p in (0.6, 0.7, 0.8)], "p double, n int")
+
+
+@query("x21_concentration", with_(*RANKED, "s AS (SELECT unnest([a, b, c]) AS term_id FROM rk WHERE r <= 100)") + "SELECT term_id, count(*) AS slots, round(count(*) / (SELECT count(*) FROM s), 8) AS share FROM s GROUP BY ALL")
+def x21(spark, sf):
+    top = Null(spark, sf).ranked().orderBy(*by_rank()).limit(100)
+    return S.concentration(top).withColumn("share", F.round("share", 8))
+
+
+@query("x22_kappa", "WITH r AS (SELECT quality AS x, (d.n_chars > 600)::INT AS y FROM labels JOIN documents d USING (doc_id)), c AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n) FILTER (x = y) AS s FROM c), e AS (SELECT sum(a.n * b.n) AS e FROM (SELECT x, sum(n) AS n FROM c GROUP BY ALL) a JOIN (SELECT y, sum(n) AS n FROM c GROUP BY ALL) b ON a.x = b.y) SELECT round(s / t, 8) AS agreement, round(e / (t * t), 8) AS expected, CAST(t AS BIGINT) AS n, round((s / t - e / (t * t)) / (1 - e / (t * t)), 8) AS kappa FROM t, e")
+def x22(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select("quality", (F.col("n_chars") > 600).cast("int").alias("long"))
+    out = S.kappa(rows, "quality", "long")
+    return out.select(F.round("agreement", 8).alias("agreement"), F.round("expected", 8).alias("expected"), "n", F.round("kappa", 8).alias("kappa"))
+
+
+@query("x23_spearman", "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS y FROM part) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r")
+def x23(spark, sf):
+    return S.spearman(table(spark, sf, "part"), "p_size", "p_retailprice").withColumn("rho", F.round("rho", 6))
+
+
+@query("x24_reliability", "WITH b AS (SELECT c_acctbal, (c_mktsegment = 'BUILDING')::INT AS y, ntile(10) OVER (ORDER BY c_acctbal, c_custkey) AS bin FROM customer) SELECT CAST(bin AS INTEGER) AS bin, round(avg(c_acctbal), 6) AS mean_score, round(avg(y), 8) AS share, count(*) AS n FROM b GROUP BY ALL")
+def x24(spark, sf):
+    rows = table(spark, sf, "customer").withColumn("y", (F.col("c_mktsegment") == "BUILDING").cast("int"))
+    out = S.reliability(rows, "c_acctbal", "y", 10, ["c_custkey"])
+    return out.select("bin", F.round("mean_score", 6).alias("mean_score"), F.round("share", 8).alias("share"), "n")
+
+
+@query("x25_stratified_share", "WITH g AS (SELECT o_orderpriority AS s, count(*) AS size, count(*) FILTER (o_orderkey % 5 = 0) AS shown, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderstatus = 'F') AS tech FROM orders GROUP BY ALL) SELECT s AS stratum, size, shown, tech, 2 * size * tech >= size * shown AS at_least_half FROM g")
+def x25(spark, sf):
+    shown = F.col("o_orderkey") % 5 == 0
+    g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count("*").alias("size"), F.count_if(shown).alias("shown"), F.count_if(shown & (F.col("o_orderstatus") == "F")).alias("tech"))
+    return g.withColumn("at_least_half", 2 * F.col("size") * F.col("tech") >= F.col("size") * F.col("shown"))
+
+
+AXES_SQL = """WITH v AS (
+  SELECT c_custkey, count(o_orderkey) AS d, max(o_totalprice) AS f, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS b FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal
+), p AS (
+  SELECT c_custkey, (rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2) / count(*) OVER () AS pd,
+    CASE WHEN f IS NOT NULL THEN (rank() OVER (PARTITION BY f IS NULL ORDER BY f) + (count(*) OVER (PARTITION BY f IS NULL, f) - 1) / 2) / count(*) OVER (PARTITION BY f IS NULL) END AS pf,
+    CASE WHEN b IS NOT NULL THEN (rank() OVER (PARTITION BY b IS NULL ORDER BY b) + (count(*) OVER (PARTITION BY b IS NULL, b) - 1) / 2) / count(*) OVER (PARTITION BY b IS NULL) END AS pv FROM v
+), s AS (
+  SELECT c_custkey, CAST(least(5, greatest(1, ceil(5 * pd))) AS INTEGER) AS score_d, CAST(CASE WHEN pf IS NOT NULL THEN least(5, greatest(1, ceil(5 * pf))) END AS INTEGER) AS score_f, CAST(CASE WHEN pv IS NOT NULL THEN least(5, greatest(1, ceil(5 * pv))) END AS INTEGER) AS score_v, pd, pf, pv FROM p
+)
+SELECT c_custkey, score_d, score_f, score_v, CASE WHEN score_f IS NULL THEN 'F' WHEN score_v IS NULL THEN 'V'
+  WHEN (score_d, pd, 0) <= (score_f, pf, 1) AND (score_d, pd, 0) <= (score_v, pv, 2) THEN 'D' WHEN (score_f, pf, 1) <= (score_v, pv, 2) THEN 'F' ELSE 'V' END AS riskiest FROM s"""
+
+
+@query("x26_axis_scores", AXES_SQL)
+def x26(spark, sf):
+    """Three percentile axes, their 1-5 scores and the riskiest: the first missing, else the lowest."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    v = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_acctbal").agg(F.count("o_orderkey").alias("D"), F.max("o_totalprice").alias("F"))
+    v = v.withColumn("V", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    p = v.select("c_custkey", *(S.percentile_rank(x).alias(f"p{x}") for x in "DFV"))
+    s = p.select("*", *(F.when(F.col(f"p{x}").isNotNull(), axis_score(F.col(f"p{x}"))).alias(f"score_{x.lower()}") for x in "DFV"))
+    missing = F.coalesce(*(F.when(F.col(f"p{x}").isNull(), x) for x in "DFV"))
+    lowest = F.least(*(F.struct(F.col(f"score_{x.lower()}").alias("s"), F.col(f"p{x}").alias("p"), F.lit(i).alias("i"), F.lit(x).alias("axis")) for i, x in enumerate("DFV")))["axis"]
+    return s.select("c_custkey", "score_d", "score_f", "score_v", F.coalesce(missing, lowest).alias("riskiest"))
+
+
+@query("x28_unit_bootstrap")
+def x28(spark, sf):
+    """Interval of each segment's mean balance when customers get shared Poisson(1) weights."""
+    reps = spark.range(50).withColumnRenamed("id", "rep")
+    rows = table(spark, sf, "customer").crossJoin(F.broadcast(reps)).withColumn("w", S.poisson_weight(3, F.col("rep"), F.col("c_custkey")))
+    means = rows.groupBy("c_mktsegment", "rep").agg((F.sum(F.col("w") * F.col("c_acctbal")) / F.sum("w")).alias("m"))
+    return means.groupBy("c_mktsegment").agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
+
+
+@query("x30_latest_attempt", "SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY ALL")
+def x30(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+
+
+@query("x31_realisation_by_score", "SELECT coalesce(CAST(CASE WHEN p_size > 5 THEN p_size % 5 + 1 END AS VARCHAR), 'missing') AS score, count(*) AS n, count(*) FILTER (p_retailprice > 1400) AS realised FROM part GROUP BY ALL")
+def x31(spark, sf):
+    score = F.coalesce(F.when(F.col("p_size") > 5, F.col("p_size") % 5 + 1).cast("string"), F.lit("missing"))
+    return table(spark, sf, "part").groupBy(score.alias("score")).agg(F.count("*").alias("n"), F.count_if(F.col("p_retailprice") > 1400).alias("realised"))
+
+
+@query("x32_ranking_overlap", with_(*GRAPH, "r1 AS (SELECT a, b, c, row_number() OVER (ORDER BY weakest_pair_count DESC, a, b, c) AS r1 FROM ot QUALIFY r1 <= 200), r2 AS (SELECT a, b, c, row_number() OVER (ORDER BY weakest_pair_count DESC, c DESC, b DESC, a DESC) AS r2 FROM ot QUALIFY r2 <= 200)") + "SELECT a, b, c, CAST(r1 AS INTEGER) AS r1, CAST(r2 AS INTEGER) AS r2 FROM r1 JOIN r2 USING (a, b, c)")
+def x32(spark, sf):
+    rows = Graph(spark, sf).open()
+    one = rows.withColumn("r1", F.row_number().over(Window.orderBy(F.desc("weakest_pair_count"), *H.TRIAD))).where("r1 <= 200")
+    two = rows.withColumn("r2", F.row_number().over(Window.orderBy(F.desc("weakest_pair_count"), F.desc("c"), F.desc("b"), F.desc("a")))).where("r2 <= 200")
+    return one.select(*H.TRIAD, "r1").join(two.select(*H.TRIAD, "r2"), H.TRIAD)
+
+
+@query("o06_diversified_order")
+def o06(spark, sf):
+    """The greedy cap is sequential by nature; it runs on the bounded list of the best 500."""
+    rows = Null(spark, sf).ranked().orderBy(*by_rank()).limit(500).collect()
+    order = S.diversified(list(range(len(rows))), [(r.a, r.b, r.c) for r in rows], 20)
+    return spark.createDataFrame([(rank, rows[i].a, rows[i].b, rows[i].c) for rank, i in enumerate(order, 1)], "rank int, a string, b string, c string")
