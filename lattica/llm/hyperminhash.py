@@ -128,7 +128,7 @@ def _signatures(source: DataFrame, kind: str, width: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(1))
-            for lo, hi in slabs(offsets, 4 * SLAB):
+            for lo, hi in slabs(offsets, SLAB):
                 hashes, at = shingle_sets(raw, offsets[lo : hi + 1], width)
                 sizes = np.diff(at)
                 sums = np.zeros(len(hashes) + 1, U64)
@@ -165,7 +165,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(0))
-            for lo, hi in slabs(offsets, 4 * SLAB):
+            for lo, hi in slabs(offsets, SLAB):
                 hashes, at = shingle_sets(raw, offsets[lo : hi + 1], width)
                 sums = np.zeros(len(hashes) + 1, U64)
                 np.cumsum(mix(hashes), out=sums[1:])

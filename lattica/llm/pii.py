@@ -141,7 +141,7 @@ def base_table(named: DataFrame, kind: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(3))
-            for lo, hi in slabs(offsets, 4 * SLAB):
+            for lo, hi in slabs(offsets, SLAB):
                 rows = start = end = pattern = ok = None
                 spans, seeds = [], []
                 for i in range(lo, hi):
@@ -190,7 +190,7 @@ def introduced(named: DataFrame, patterns: DataFrame) -> DataFrame:
             known = held.value
             for batch in batches:
                 raw, offsets = utf8_buffer(batch.column(0))
-                for lo, hi in slabs(offsets, 4 * SLAB):
+                for lo, hi in slabs(offsets, SLAB):
                     _, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
                     at = np.minimum(np.searchsorted(known, pattern), len(known) - 1)
                     hits = np.flatnonzero(ok & (known[at] == pattern))
@@ -242,7 +242,7 @@ def contextual_spans(named: DataFrame, accepted: DataFrame) -> DataFrame:
             known, kinds = held.value
             for batch in batches:
                 raw, offsets = utf8_buffer(batch.column(2))
-                for lo, hi in slabs(offsets, 4 * SLAB):
+                for lo, hi in slabs(offsets, SLAB):
                     rows, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
                     at = np.minimum(np.searchsorted(known, pattern), len(known) - 1)
                     hits = np.flatnonzero(ok & (known[at] == pattern))

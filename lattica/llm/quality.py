@@ -109,7 +109,7 @@ def _featurise(df: DataFrame, text: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(batch.num_columns - 1))
-            for lo, hi in slabs(offsets, 4 * SLAB):
+            for lo, hi in slabs(offsets, SLAB):
                 x = features(raw, offsets[lo : hi + 1])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 arrays = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
@@ -239,7 +239,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(at))
-            for lo, hi in slabs(offsets, 4 * SLAB):
+            for lo, hi in slabs(offsets, SLAB):
                 good = scores(features(raw, offsets[lo : hi + 1]).astype(np.float64), model) >= threshold
                 yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
