@@ -33,7 +33,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset figcaption".split())
+BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 SKIP_TAGS = frozenset("head noscript template svg math iframe object select button canvas audio video datalist applet".split())
 RAW_TAGS = ("script", "style", "textarea", "title", "xmp", "noembed", "noframes")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -175,8 +175,10 @@ def stop_density(text: str) -> float:
 
 def first_pass(b: Block) -> str:
     """good, bad, near (long enough but without a clear density) or short."""
-    if b.bad or b.linked > MAX_LINKS * len(b.text) or not b.scope and "©" in b.text:
+    if b.bad or not b.scope and "©" in b.text:
         return "bad"
+    if b.linked > MAX_LINKS * len(b.text):
+        return "short" if b.scope else "bad"
     if len(b.text) < SHORT:
         return "short"
     density = stop_density(b.text)

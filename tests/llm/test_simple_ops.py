@@ -104,6 +104,7 @@ LONG = "It was the best of times and it was the worst of times for all of us in
         ("<article><p>x</p><section id='comments'><p>nice</p></section><form><input>send</form><div class='cookie-notice'>ok</div></article>", ["x"]),
         ("<main><div><div class=ad>no</div>yes</div></main>", ["yes"]),
         (f"<body><ul><li><a href=/>home</a></ul><p>{LONG}</p><p>Short one.</p><p>{LONG}</p><div>© 2020</div>", [LONG.strip(), "Short one.", LONG.strip()]),
+        ("<article><p>x<p>see <a href=y>a longer linked phrase</a></p><figure><figcaption>cap</figcaption></figure></article>", ["x", "see a longer linked phrase", "cap"]),
         ("<article><p>open text &am", ["open text &am"]),
         ("<!-- <article>no</article> --><article><!-- x --><p>&lt;b&gt; 1 < 2</article>", ["<b> 1 < 2"]),
     ],
