@@ -27,7 +27,7 @@ _CHUNK = re.compile(" +[^ ]*")
 class ChunkTable:
     """Distinct chunk -> (ids as int32 bytes, decoded text), bounded in entries and chunk length."""
 
-    def __init__(self, model_path: str, max_entries: int = 150_000, max_chunk: int = 48):
+    def __init__(self, model_path: str, max_entries: int = 60_000, max_chunk: int = 48):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
