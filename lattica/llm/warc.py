@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import new_path, written
 
 CHUNK = 1 << 20
+MAX_BROADCAST_DIGESTS = 500_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -78,7 +79,9 @@ def mark_revisits(pages: DataFrame, min_dedup: int = 1000) -> DataFrame:
         .where("_lt_n > 1 AND _lt_top IS NOT NULL")
         .drop("_lt_n")
     )
-    joined = base.join(copies, (F.col("payload_digest") == F.col("_lt_digest")) & (F.length("payload") >= min_dedup), "left")
+    copies = written(copies, "warc-copies")
+    few = copies.count() <= MAX_BROADCAST_DIGESTS  # else the payloads are shuffled
+    joined = base.join(F.broadcast(copies) if few else copies, (F.col("payload_digest") == F.col("_lt_digest")) & (F.length("payload") >= min_dedup), "left")
     again = F.col("_lt_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_lt_top"))
     return joined.select(
         "page_id",

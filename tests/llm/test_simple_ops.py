@@ -63,7 +63,9 @@ def test_warc_matches_sql(spark, sf, duck):
     assert plain(got.collect()) == plain(duck.execute(queries.SQL_OP10).fetchall())
 
 
-def test_warc_edges(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_warc_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_DIGESTS", most)
     big, small = "é" * 600, "a" * 999
     rows = [(1, "u", big), (5, "u\r\nX: y", big), (5, None, big), (None, "u", big), (2, "v", small), (3, "v", small), (4, None, None), (6, "w", "")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
