@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 RADIUS = 23
-#: Above these sizes a table is shuffled instead of broadcast.
+#: Above these sizes a table is shuffled instead of broadcast. A hit is about 24 bytes, so at most 24 MB.
 MAX_BROADCAST_SHINGLES = 500_000
-MAX_BROADCAST_HITS = 200_000
+MAX_BROADCAST_HITS = 1_000_000
 
 
 def shingles(df: DataFrame, text: str, width: int) -> DataFrame:
