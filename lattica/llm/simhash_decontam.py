@@ -3,7 +3,9 @@
 Texts and items become lists of hashed word shingles (lower-cased runs of letters and digits). A
 window of an item's size can be similar to the item only if it holds one of its shingles, and
 moving a window to the right until it starts with one never lowers their similarity; so every
-shingle a text shares with an item opens one item-sized window (moved left where the text ends).
+shingle a text shares with an item opens one item-sized window (moved left where the text ends),
+unless so few shared shingles follow within it that the threshold is out of reach: 80 of 100
+shingles in common need at least as many shared positions. Common phrases thus open no window.
 Each window gets a 64-bit SimHash, its shingles weighted by how often they occur. Windows and items are matched through a
 multi-index of ``RADIUS + 1`` blocks per fingerprint: two fingerprints within ``RADIUS`` bits agree in one
 block at least, so none within the radius is missed. Candidates are then verified by exact
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 RADIUS = 23
-#: Above these sizes a table is shuffled instead of broadcast. A hit is about 24 bytes, so at most 24 MB.
+#: Above these sizes a table is shuffled instead of broadcast. A hit that opens a window, or a text name, takes 40 bytes at most, so at most 40 MB.
 MAX_BROADCAST_SHINGLES = 500_000
 MAX_BROADCAST_HITS = 1_000_000
 
@@ -69,6 +71,17 @@ def _weighted(x: str, y: str) -> str:
     return f"if(size(array_distinct({x})) = size({x}) AND size(array_distinct({y})) = size({y}), {plain}, {counted})"
 
 
+def _starts(percent: int) -> str:
+    """Window starts of one text and item, from the sorted positions ``ps`` of what they share.
+
+    A window of ``m`` shingles that holds fewer than ``percent`` of ``m`` shared positions cannot reach the
+    threshold; whether the window at a position holds enough is told by the position that many further on.
+    """
+    enough = f"greatest(cast(ceil({percent} * m / 100) AS INT), 1)"
+    start = f"CASE WHEN p > n - m THEN greatest(n - m, 0) WHEN get(ps, j + {enough} - 1) < p + m THEN p END"
+    return f"array_distinct(filter(transform(ps, (p, j) -> {start}), s -> s IS NOT NULL))"
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per text and item that are similar: id, item id, n_common, n_union (weights), _lt_u, _lt_v (the text's name)."""
     blocks = RADIUS + 1
@@ -85,16 +98,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"),
     ).withColumn("u", F.xxhash64("id", "_lt_text")).withColumn("v", F.hash("id", "_lt_text"))
     grams = item.select("i", "m", F.explode("ih").alias("h")).distinct()
-    places = shingles(base, "_lt_text", width).select("u", "v", F.posexplode("hs").alias("p", "h"))
-    hits = written(places.join(hint(grams), "h").select("u", "v", "i", "m", "p").distinct(), "hits")
+    places = shingles(base, "_lt_text", width).select("u", "v", F.size("hs").alias("n"), F.posexplode("hs").alias("p", "h"))
+    hits = places.join(hint(grams), "h").select("u", "v", "i", "m", "n", "p").distinct()
+    hits = hits.groupBy("u", "v", "i", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    opened = written(hits.select("u", "v", "i", "m", F.expr(_starts(percent)).alias("starts")).where("size(starts) > 0"), "starts")
 
-    per_text = hits.groupBy("u", "v").agg(F.collect_list(F.struct("i", "m", "p")).alias("found"))
-    few = hits.count() <= MAX_BROADCAST_HITS
+    per_text = opened.groupBy("u", "v").agg(F.collect_list(F.struct("i", "m", "starts")).alias("found"))
+    few = opened.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] <= MAX_BROADCAST_HITS
     held = base.join(F.broadcast(per_text) if few else per_text, ["u", "v"])
-    starts = "array_distinct(transform(found, f -> struct(f.i AS i, f.m AS m, least(f.p, greatest(size(hs) - f.m, 0)) AS s)))"
+    flat = "flatten(transform(found, f -> transform(f.starts, s -> struct(f.i AS i, f.m AS m, s AS s))))"
     windows = (
         shingles(held, "_lt_text", width)
-        .select("id", "u", "v", "hs", F.explode(F.expr(starts)).alias("f"))
+        .select("id", "u", "v", "hs", F.explode(F.expr(flat)).alias("f"))
         .select("id", "u", "v", F.col("f.i").alias("i"), F.expr(let("w", "slice(hs, f.s + 1, f.m)", f"struct(w AS wh, {fingerprint('w')} AS fp)")).alias("w"))
     )
     windows = windows.select("id", "u", "v", "i", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
