@@ -8,8 +8,10 @@ patterns and instances in rounds:
     confidence(pattern, kind) = sum of its instances' scores / all it introduces, instance or not
     score(instance, kind)     = 1 for a seed, else 1 - product of (1 - confidence) of its patterns
 
-so a pattern such as "of the", which mostly introduces ordinary words, gets next to nothing. A token
-is an instance only if it has a digit or an at sign. Patterns over ``ACCEPT`` mark the unseen
+so a pattern such as "of the", which mostly introduces ordinary words, gets next to nothing. Where a base
+match begins at a token, the whole match is the instance, spaces included. Else a token is one if it has a
+digit or an at sign; a token written in digits takes the groups of digits after it along, up to 19 digits
+in all (as many as a card has) and up to the next base match. Patterns over ``ACCEPT`` mark the unseen
 identifiers they introduce, with the kind they were learnt from; those instances bring their other
 patterns into the next round. Base spans always stay.
 
@@ -42,6 +44,9 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: A word in digits, and a further group of digits after spaces.
+_DIGITS = re.compile(r"\+?[0-9](?:[().-]{0,2}[0-9])*+")
+_GROUP = re.compile(r"\)?\x20+\(?([0-9](?:[().-]{0,2}[0-9])*+)(?=[\"'()\[\]{}<>.,;:!?|*#$%&=]*(?:[\x20\t-\r]|\Z))")
 _EDGE = "\"'()[]{}<>.,;:!?|*#$%&="
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,6 +117,14 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _by_row(rows: np.ndarray, hits: np.ndarray):
+    """(row, its tokens) of the tokens ``hits``."""
+    of = np.searchsorted(rows, hits, side="right") - 1
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for part in np.split(hits, cuts) if len(hits) else ():
+        yield int(np.searchsorted(rows, part[0], side="right")) - 1, part
+
+
 def _tokens(text: bytes, start: np.ndarray, end: np.ndarray, which):
     """(index, token text, code-point start) of some tokens, in order."""
     at = chars = 0
@@ -121,6 +134,25 @@ def _tokens(text: bytes, start: np.ndarray, end: np.ndarray, which):
         yield i, text[at : end[i]].decode(), chars
 
 
+def _identifiers(text: str, token: str, at: int, base) -> list[tuple[int | None, int, int]]:
+    """(kind, start, end) of what the token at ``at`` introduces: the base matches that begin there, else
+    the identifier of no kind, else nothing."""
+    inner = token.strip(_EDGE)
+    s = at + len(token) - len(token.lstrip(_EDGE))
+    begun = [(k, x, y) for k, x, y in base if at <= x < at + len(token) and not text[at:x].strip(_EDGE)]
+    if begun:
+        return begun
+    if not any(c.isdigit() or c == "@" for c in inner):
+        return []
+    e = s + len(inner)
+    if _DIGITS.fullmatch(inner):
+        stop = min((x for _, x, _ in base if x >= e), default=len(text))
+        digits = sum(c.isdigit() for c in inner)
+        while (m := _GROUP.match(text, e)) and m.end(1) <= stop and (digits := digits + sum(c.isdigit() for c in m[1])) <= 19:
+            e = m.end(1)
+    return [(None, s, e)]
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text.alias("_lt_text")).select("id", F.xxhash64("id", "_lt_text").alias("u"), F.hash("id", "_lt_text").alias("v"), "_lt_text")
@@ -181,8 +213,8 @@ def _pattern_groups(patterns: DataFrame):
 
 
 def introduced(named: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(p, x, found): how often each pattern introduces an instance x, or (x null) an ordinary word."""
-    out = named.sparkSession.createDataFrame([], "p long, x long, found long")
+    """(p, x, found, total): how often each pattern introduces an instance x, or (x null) an ordinary word; the totals sum to its occurrences."""
+    out = named.sparkSession.createDataFrame([], "p long, x long, found long, total long")
     for known, _ in _pattern_groups(patterns.select("p", F.lit(0).alias("kind")).distinct()):
         held = named.sparkSession.sparkContext.broadcast(known)
 
@@ -191,22 +223,27 @@ def introduced(named: DataFrame, patterns: DataFrame) -> DataFrame:
             for batch in batches:
                 raw, offsets = utf8_buffer(batch.column(0))
                 for lo, hi in slabs(offsets, SLAB):
-                    _, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
+                    rows, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
                     at = np.minimum(np.searchsorted(known, pattern), len(known) - 1)
                     hits = np.flatnonzero(ok & (known[at] == pattern))
-                    data = raw[offsets[lo] : offsets[hi]]
-                    counts: dict[tuple, int] = {}
-                    for i in hits:
-                        token = data[start[i] : end[i]].tobytes().decode()
-                        word = _instance(token)
-                        x = _hash(word) if any(c.isdigit() or c == "@" for c in word) else None
-                        key = (int(pattern[i].view(np.int64)), x)
-                        counts[key] = counts.get(key, 0) + 1
+                    counts: dict[tuple, list[int]] = {}
+                    for row, mine in _by_row(rows, hits):
+                        a, b = offsets[lo + row], offsets[lo + row + 1]
+                        raw_text = raw[a:b].tobytes()
+                        text, shift = raw_text.decode(), a - offsets[lo]
+                        base = base_spans(text)
+                        for i, token, at in _tokens(raw_text, start - shift, end - shift, mine):
+                            names = {_hash(_instance(text[s:e])) for _, s, e in _identifiers(text, token, at, base)}
+                            for n, x in enumerate(names or (None,)):
+                                count = counts.setdefault((int(pattern[i].view(np.int64)), x), [0, 0])
+                                count[0] += 1
+                                count[1] += n == 0  # an occurrence counts once, whatever begins there
                     if counts:
-                        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["p", "x", "found"])
+                        columns = [[k[0] for k in counts], [k[1] for k in counts], [v[0] for v in counts.values()], [v[1] for v in counts.values()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["p", "x", "found", "total"])
 
-        out = out.unionAll(named.select("_lt_text").mapInArrow(work, "p long, x long, found long"))
-    return out.groupBy("p", "x").agg(F.sum("found").alias("found"))
+        out = out.unionAll(named.select("_lt_text").mapInArrow(work, "p long, x long, found long, total long"))
+    return out.groupBy("p", "x").agg(F.sum("found").alias("found"), F.sum("total").alias("total"))
 
 
 def bootstrap(named: DataFrame, table: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -220,7 +257,7 @@ def bootstrap(named: DataFrame, table: DataFrame, rounds: int = ROUNDS) -> DataF
         return accepted
     graph = written(introduced(named, patterns), "pii-graph")
     for _ in range(rounds):
-        total = graph.groupBy("p").agg(F.sum("found").alias("total"))
+        total = graph.groupBy("p").agg(F.sum("total").alias("total"))
         part = graph.join(scores, "x").groupBy("p", "kind").agg(F.sum(F.col("score") * F.col("found")).alias("s"))
         rated = part.join(total, "p").select("p", "kind", (F.col("s") / F.col("total")).alias("confidence")).where(F.col("confidence") >= ACCEPT)
         accepted = written(rated.groupBy("p").agg(F.max_by("kind", "confidence").alias("kind"), F.max("confidence").alias("confidence")), "pii-patterns")
@@ -247,20 +284,15 @@ def contextual_spans(named: DataFrame, accepted: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, pattern), len(known) - 1)
                     hits = np.flatnonzero(ok & (known[at] == pattern))
                     found = []
-                    for row in np.unique(np.searchsorted(rows, hits, side="right") - 1):
+                    for row, mine in _by_row(rows, hits):
                         a, b = offsets[lo + row], offsets[lo + row + 1]
-                        text = raw[a:b].tobytes()
-                        base = base_spans(text.decode())
-                        mine = hits[(hits >= rows[row]) & (hits < rows[row + 1])]
-                        shift = a - offsets[lo]
-                        for i, token, s in _tokens(text, start - shift, end - shift, mine):
-                            inner = token.strip(_EDGE)
-                            if not any(c.isdigit() or c == "@" for c in inner):
-                                continue
-                            s += len(token) - len(token.lstrip(_EDGE))
-                            e = s + len(inner)
-                            if all(e <= x or s >= y for _, x, y in base):
-                                found.append((batch.column(0)[int(lo + row)].as_py(), batch.column(1)[int(lo + row)].as_py(), int(kinds[at[i]]), s, e))
+                        raw_text = raw[a:b].tobytes()
+                        text, shift = raw_text.decode(), a - offsets[lo]
+                        base = base_spans(text)
+                        for i, token, start_at in _tokens(raw_text, start - shift, end - shift, mine):
+                            for k, s, e in _identifiers(text, token, start_at, base):
+                                if k is None and all(e <= x or s >= y for _, x, y in base):
+                                    found.append((batch.column(0)[int(lo + row)].as_py(), batch.column(1)[int(lo + row)].as_py(), int(kinds[at[i]]), s, e))
                     if found:
                         kinds_of = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds_of)], names=["u", "v", "kind", "start", "end"])

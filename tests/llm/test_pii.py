@@ -91,3 +91,23 @@ def test_edges(spark):
     docs = spark.createDataFrame([(None, "a@b.cd"), (1, ""), (1, None), (2, "x 1.2.3.4"), (2, "x 1.2.3.4")], "doc_id long, text string")
     assert sorted(len(r.spans) for r in pii.find_pii(docs).collect()) == [0, 0, 1, 1, 1]
     assert pii.redact(docs).count() == 5
+
+
+def spaced_rows():
+    def card(n):
+        body = f"4111 1111 1111 {n:03d}"
+        return next(body + str(d) for d in range(10) if luhn(f"{body}{d}".replace(" ", "")))
+
+    texts = [f"please ring phone desk: +1 (0{i}7) 555-77{i}3 today" for i in range(10, 16)]
+    texts += [f"paid with card number: {card(i)} today" for i in range(6)]
+    return texts + ["please ring phone desk: (017) 555 7713, or not", "paid with card number: 4999 12 345678 today", "please ring phone desk: 5551 +1 (017) 555-7713"]
+
+
+def test_spaced_instances_support_their_pattern(spark):
+    texts = spaced_rows()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.id: [(pii.KINDS[s.kind], texts[r.id][s.start : s.end]) for s in r.spans] for r in pii.find_pii(docs).collect()}
+    assert got[0] == [("phone", "+1 (0107) 555-77103")] and got[6] == [("card", texts[6][23:42])]
+    assert got[12] == [("phone", "017) 555 7713")]
+    assert got[13] == [("card", "4999 12 345678")]
+    assert got[14] == [("phone", "5551"), ("phone", "+1 (017) 555-7713")]
