@@ -1,9 +1,9 @@
 """Personal data by base patterns and bootstrapped contexts.
 
 Base kinds (email, ip, card, phone) are found by fixed patterns with their checks and seed the
-bootstrap. The words before a seed are its lexical pattern; a pattern that introduces at least
-``MIN_SEEDS`` different instances is looked up in the whole corpus, and Spark scores the graph of
-patterns and instances in rounds:
+bootstrap. The words before an instance are its lexical pattern. In every round a pattern that introduces
+at least ``MIN_SEEDS`` different instances scored ``ACCEPT`` or more, seeds or found ones, is counted in
+the whole corpus, and Spark scores the graph of patterns and instances:
 
     confidence(pattern, kind) = sum of its instances' scores / all it introduces, instance or not
     score(instance, kind)     = 1 for a seed, else 1 - product of (1 - confidence) of its patterns
@@ -13,7 +13,7 @@ match begins at a token, the whole match is the instance, spaces included. Else
 digit or an at sign; a token written in digits takes the groups of digits after it along, up to 19 digits
 in all (as many as a card has) and up to the next base match. Patterns over ``ACCEPT`` mark the unseen
 identifiers they introduce, with the kind they were learnt from; those instances bring their other
-patterns into the next round. Base spans always stay.
+patterns into the next round, until the accepted patterns and the scores settle. Base spans always stay.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty and has no
 span; base spans of one kind never overlap, spans of different kinds may; a found token that
@@ -34,7 +34,9 @@ from .anchors import SLAB, U64, Words, mix
 from .common import slabs, utf8_buffer, written
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, ACCEPT, ROUNDS, CONTEXT = 3, 0.5, 2, 2
+MIN_SEEDS, ACCEPT, CONTEXT = 3, 0.5, 2
+#: Rounds end when the accepted patterns stay and the scores, which only grow, have grown by less than this in sum.
+SETTLED = 1e-4
 #: Patterns are broadcast in groups of at most this many; each group is a pass of its own.
 MAX_PATTERNS = 200_000
 
@@ -47,6 +49,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A word in digits, and a further group of digits after spaces.
 _DIGITS = re.compile(r"\+?[0-9](?:[().-]{0,2}[0-9])*+")
 _GROUP = re.compile(r"\)?\x20+\(?([0-9](?:[().-]{0,2}[0-9])*+)(?=[\"'()\[\]{}<>.,;:!?|*#$%&=]*(?:[\x20\t-\r]|\Z))")
+_OTHER_DIGIT = re.compile("[%s]" % "".join(c for c in map(chr, range(128, 0x110000)) if c.isdigit()))
 _EDGE = "\"'()[]{}<>.,;:!?|*#$%&="
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -168,33 +171,38 @@ def _as_spans(found) -> list[dict]:
 
 
 def base_table(named: DataFrame, kind: str) -> DataFrame:
-    """id, u, v, base spans, and the seeds (pattern, kind, instance) of every text."""
+    """id, u, v, base spans, and the seeds (pattern, kind, instance) of every text; the kind is null where no base match begins."""
 
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(3))
             for lo, hi in slabs(offsets, SLAB):
-                rows = start = end = pattern = ok = None
-                spans, seeds = [], []
+                data = raw[offsets[lo] : offsets[hi]]
+                rows, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
+                marked = np.zeros(len(start), bool)
+                marks = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
+                marked[np.searchsorted(start, marks, side="right") - 1] = True
+                spans, cuts, patterns, kinds, names = [], [0], [], [], []
                 for i in range(lo, hi):
                     text = batch.column(3)[i].as_py()
-                    found = base_spans(text)
-                    spans.append(_as_spans(found))
-                    mine = []
-                    if found:
-                        if rows is None:
-                            rows, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
-                        base = int(offsets[i] - offsets[lo])
-                        first, last = rows[i - lo], rows[i - lo + 1]
-                        for k, s, e in found:
-                            byte = base + len(text[:s].encode())
-                            t = int(np.searchsorted(start[first:last], byte, side="right")) - 1 + first
-                            lead = raw[offsets[lo] + start[t] : offsets[lo] + byte].tobytes().decode()
-                            if ok[t] and not lead.strip(_EDGE):  # the token begins with the match
-                                mine.append({"p": int(pattern[t].view(np.int64)), "kind": k, "x": _hash(_instance(text[s:e]))})
-                    seeds.append(mine)
+                    base = base_spans(text)
+                    spans.append(_as_spans(base))
+                    first, last = rows[i - lo], rows[i - lo + 1]
+                    mine = marked[first:last]
+                    if not text.isascii() and _OTHER_DIGIT.search(text):
+                        mine = np.ones(last - first, bool)
+                    shift = offsets[i] - offsets[lo]
+                    which = first + np.flatnonzero(mine & ok[first:last])
+                    for t, token, at in _tokens(raw[offsets[i] : offsets[i + 1]].tobytes(), start - shift, end - shift, which) if len(which) else ():
+                        for k, s, e in _identifiers(text, token, at, base):
+                            patterns.append(int(pattern[t].view(np.int64)))
+                            kinds.append(k)
+                            names.append(_hash(_instance(text[s:e])))
+                    cuts.append(len(names))
+                fields = [pa.array(patterns, pa.int64()), pa.array(kinds, pa.int32()), pa.array(names, pa.int64())]
+                seeds = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_SEED_TYPE.value_type)))
                 arrays = [batch.column(c).slice(lo, hi - lo) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, _SPAN_TYPE), pa.array(seeds, _SEED_TYPE)], names=["id", "u", "v", "spans", "seeds"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, _SPAN_TYPE), seeds], names=["id", "u", "v", "spans", "seeds"])
 
     return named.mapInArrow(work, f"id {kind}, u long, v int, spans {_SPANS}, seeds array<struct<p:long,kind:int,x:long>>")
 
@@ -212,10 +220,10 @@ def _pattern_groups(patterns: DataFrame):
             yield p[order], kind[order]
 
 
-def introduced(named: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(p, x, found, total): how often each pattern introduces an instance x, or (x null) an ordinary word; the totals sum to its occurrences."""
-    out = named.sparkSession.createDataFrame([], "p long, x long, found long, total long")
-    for known, _ in _pattern_groups(patterns.select("p", F.lit(0).alias("kind")).distinct()):
+def occurrences(named: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(p, total): how many tokens each pattern introduces, ordinary words included."""
+    out = named.sparkSession.createDataFrame([], "p long, total long")
+    for known, _ in _pattern_groups(patterns.select("p", F.lit(0).alias("kind"))):
         held = named.sparkSession.sparkContext.broadcast(known)
 
         def work(batches, held=held):
@@ -223,49 +231,46 @@ def introduced(named: DataFrame, patterns: DataFrame) -> DataFrame:
             for batch in batches:
                 raw, offsets = utf8_buffer(batch.column(0))
                 for lo, hi in slabs(offsets, SLAB):
-                    rows, start, end, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
+                    _, _, _, pattern, ok = _contexts(raw, offsets[lo : hi + 1])
                     at = np.minimum(np.searchsorted(known, pattern), len(known) - 1)
-                    hits = np.flatnonzero(ok & (known[at] == pattern))
-                    counts: dict[tuple, list[int]] = {}
-                    for row, mine in _by_row(rows, hits):
-                        a, b = offsets[lo + row], offsets[lo + row + 1]
-                        raw_text = raw[a:b].tobytes()
-                        text, shift = raw_text.decode(), a - offsets[lo]
-                        base = base_spans(text)
-                        for i, token, at in _tokens(raw_text, start - shift, end - shift, mine):
-                            names = {_hash(_instance(text[s:e])) for _, s, e in _identifiers(text, token, at, base)}
-                            for n, x in enumerate(names or (None,)):
-                                count = counts.setdefault((int(pattern[i].view(np.int64)), x), [0, 0])
-                                count[0] += 1
-                                count[1] += n == 0  # an occurrence counts once, whatever begins there
-                    if counts:
-                        columns = [[k[0] for k in counts], [k[1] for k in counts], [v[0] for v in counts.values()], [v[1] for v in counts.values()]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["p", "x", "found", "total"])
+                    p, n = np.unique(pattern[ok & (known[at] == pattern)], return_counts=True)
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(n, pa.int64())], names=["p", "total"])
 
-        out = out.unionAll(named.select("_lt_text").mapInArrow(work, "p long, x long, found long, total long"))
-    return out.groupBy("p", "x").agg(F.sum("found").alias("found"), F.sum("total").alias("total"))
+        out = out.unionAll(named.select("_lt_text").mapInArrow(work, "p long, total long"))
+    return out.groupBy("p").agg(F.sum("total").alias("total"))
 
 
-def bootstrap(named: DataFrame, table: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(named: DataFrame, table: DataFrame) -> DataFrame:
     """Accepted patterns (p, kind, confidence)."""
-    seeds = table.select(F.explode("seeds").alias("s")).select("s.p", "s.kind", "s.x").distinct()
-    seeds = written(seeds, "pii-seeds")
-    scores = seeds.select("kind", "x").distinct().withColumn("score", F.lit(1.0))
-    patterns = seeds.groupBy("p").agg(F.countDistinct("x").alias("n")).where(F.col("n") >= MIN_SEEDS).select("p")
+    introduced = table.select(F.explode("seeds").alias("s")).select("s.p", "s.kind", "s.x")
+    scores = written(introduced.where("kind IS NOT NULL").select("kind", "x").distinct().withColumn("score", F.lit(1.0)), "pii-scores")
     accepted = named.sparkSession.createDataFrame([], "p long, kind int, confidence double")
-    if patterns.isEmpty():
+    if scores.isEmpty():
         return accepted
-    graph = written(introduced(named, patterns), "pii-graph")
-    for _ in range(rounds):
-        total = graph.groupBy("p").agg(F.sum("total").alias("total"))
+    graph = written(introduced.groupBy("p", "x").agg(F.count("*").alias("found")), "pii-graph")
+    totals = named.sparkSession.createDataFrame([], "p long, total long")
+    before = None
+    while True:
+        trusted = scores.where(F.col("score") >= ACCEPT).select("x").distinct()
+        patterns = graph.join(trusted, "x").groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("p")
+        new = written(patterns.join(totals, "p", "left_anti"), "pii-new")
+        if not new.isEmpty():
+            totals = written(totals.unionAll(occurrences(named, new)), "pii-totals")
         part = graph.join(scores, "x").groupBy("p", "kind").agg(F.sum(F.col("score") * F.col("found")).alias("s"))
-        rated = part.join(total, "p").select("p", "kind", (F.col("s") / F.col("total")).alias("confidence")).where(F.col("confidence") >= ACCEPT)
-        accepted = written(rated.groupBy("p").agg(F.max_by("kind", "confidence").alias("kind"), F.max("confidence").alias("confidence")), "pii-patterns")
+        rated = part.join(totals, "p").select("p", "kind", (F.col("s") / F.col("total")).alias("confidence")).where(F.col("confidence") >= ACCEPT)
+        best = F.max(F.struct("confidence", -F.col("kind"))).alias("b")  # of equals the first kind
+        best = rated.groupBy("p").agg(best).select("p", (-F.col("b")["col2"]).alias("kind"), "b.confidence")
+        accepted = written(best, "pii-patterns")
         if accepted.isEmpty():
             break
-        unseen = graph.where("x IS NOT NULL").join(accepted, "p").groupBy("kind", "x")
+        unseen = graph.join(accepted, "p").groupBy("kind", "x")
         unseen = unseen.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
         scores = written(scores.unionAll(unseen).groupBy("kind", "x").agg(F.max("score").alias("score")), "pii-scores")
+        now = accepted.agg(F.count("*"), F.bit_xor(F.xxhash64("p", "kind"))).first(), scores.where("score < 1").agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if before and now[0] == before[0] and now[1][0] == before[1][0] and abs(now[1][1] - before[1][1]) < SETTLED:
+            break
+        before = now
     return accepted
 
 

@@ -111,3 +111,13 @@ def test_spaced_instances_support_their_pattern(spark):
     assert got[12] == [("phone", "017) 555 7713")]
     assert got[13] == [("card", "4999 12 345678")]
     assert got[14] == [("phone", "5551"), ("phone", "+1 (017) 555-7713")]
+
+
+def test_chain_of_contexts(spark):
+    chain = [f"desk address: u{i}@mail.org" for i in range(150)]
+    for n, seen, here in ((36, "desk address:", "box name:"), (12, "box name:", "room label:"), (4, "room label:", "door plate:")):
+        chain += [f"{lead} id{n}x{i}" for lead in (seen, here) for i in range(n)]
+    chain += ["door plate: last77 é"]
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string").repartition(2)
+    got = {r.id: [(pii.KINDS[s.kind], chain[r.id][s.start : s.end]) for s in r.spans] for r in pii.find_pii(docs).collect()}
+    assert all(got[i] == [("email", chain[i].split(" ")[2])] for i in range(len(chain)))
