@@ -23,7 +23,7 @@ def t01(spark, sf):
 
 @query("t01_normalise_unicode")
 def t01u(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fn.normalised(F.substring("text", 1, 80), unicode_form=True).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", fn.normalised(F.col("text"), unicode_form=True).alias("name"))
 
 
 @query("t02_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS n, list_aggregate(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: length(t)), 'sum') AS chars FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')")

@@ -174,3 +174,17 @@ def test_entry_without_optional_parts():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unicode_names_of_whole_texts(spark, sf):
+    import re
+    import unicodedata
+
+    from lattica.plans import texts
+
+    def plain(text):
+        spaced = re.sub("[ \t\n\x0b\f\r]+", " ", re.sub("[-_/]+", " ", unicodedata.normalize("NFKC", text).lower()))
+        return spaced.strip(" .,;:")
+
+    want = {r.doc_id: r.text and plain(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.name for r in texts.t01u(spark, sf).collect()} == want
