@@ -187,3 +187,29 @@ def diversified(order: list, terms, cap: int) -> list[int]:
         else:
             later.append(i)
     return first + later
+
+
+def diversified_rows(rows: DataFrame, order: list[Column], cap: int) -> DataFrame:
+    """``rank`` of every row of a, b, c in the order ``diversified`` gives it.
+
+    The cap is sequential, so the sorted rows stream through one task, which holds a counter a term.
+    """
+    import pyarrow as pa
+
+    def work(batches):
+        used, n = {}, 0
+        for batch in batches:
+            later = []
+            for own in zip(*(c.to_pylist() for c in batch.columns)):
+                fits = all(used.get(t, 0) < cap for t in own)
+                for t in own if fits else ():
+                    used[t] = used.get(t, 0) + 1
+                later.append(not fits)
+            places = pa.array(range(n, n + len(later)), pa.int64())
+            n += len(later)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(later, pa.bool_()), places], names=[*TRIAD, "_later", "_n"])
+
+    one = rows.repartition(1).sortWithinPartitions(*order).select(*TRIAD)
+    kinds = ", ".join(f"{t} {rows.schema[t].dataType.simpleString()}" for t in TRIAD)
+    marked = one.mapInArrow(work, f"{kinds}, _later boolean, _n long")
+    return marked.select(F.row_number().over(Window.orderBy("_later", "_n")).alias("rank"), *TRIAD)

@@ -188,3 +188,14 @@ def test_unicode_names_of_whole_texts(spark, sf):
 
     want = {r.doc_id: r.text and plain(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.name for r in texts.t01u(spark, sf).collect()} == want
+
+
+def test_diversified_order_keeps_every_candidate(spark):
+    from lattica.plans import statistics as P
+
+    sf = "/root/testdata/sf0.01"
+    rows = P.Null(spark, sf).ranked().orderBy(*P.by_rank()).collect()
+    want = S.diversified(list(range(len(rows))), [(r.a, r.b, r.c) for r in rows], 20)
+    got = sorted(P.o06(spark, sf).collect(), key=lambda r: r.rank)
+    assert len(rows) > 500 and [r.rank for r in got] == list(range(1, len(rows) + 1))
+    assert [(r.a, r.b, r.c) for r in got] == [(rows[i].a, rows[i].b, rows[i].c) for i in want]
