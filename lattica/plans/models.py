@@ -108,7 +108,7 @@ def x29(spark, sf):
 
 @query("g19_pair_evidence")
 def g19(spark, sf):
-    s = M.sentences(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text")
+    s = M.sentences(table(spark, sf, "documents"), "doc_id", "text")
     wanted = F.array(*map(F.lit, ("the", "of", "with", "and", "from")))
     s = s.withColumn("terms", F.array_intersect(F.array_distinct(fn.tokens(F.col("sentence"))), wanted))
     return L.pair_evidence(s, "doc_id", 2, M.cue_pattern(["compared with", "versus"]))
@@ -157,7 +157,7 @@ def t17(spark, sf):
 
 @query("t19_example_sentences")
 def t19(spark, sf):
-    s = M.sentences(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text").where(F.col("sentence").rlike("(?i)\\bwith\\b"))
+    s = M.sentences(table(spark, sf, "documents"), "doc_id", "text").where(F.col("sentence").rlike("(?i)\\bwith\\b"))
     return s.withColumn("r", F.row_number().over(Window.orderBy(F.length("sentence"), "doc_id", "idx"))).where("r <= 5").select("doc_id", "idx", "sentence")
 
 

@@ -59,7 +59,7 @@ def t06(spark, sf):
 
 @query("t08_window_evidence")
 def t08(spark, sf):
-    s = M.sentences(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text")
+    s = M.sentences(table(spark, sf, "documents"), "doc_id", "text")
     s = s.withColumn("terms", F.array_distinct(fn.tokens(F.col("sentence"))))
     return M.window_evidence(s, "doc_id", ["the", "of", "with"], 2, M.cue_pattern(["compared with", "versus"]))
 

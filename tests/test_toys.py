@@ -199,3 +199,14 @@ def test_diversified_order_keeps_every_candidate(spark):
     got = sorted(P.o06(spark, sf).collect(), key=lambda r: r.rank)
     assert len(rows) > 500 and [r.rank for r in got] == list(range(1, len(rows) + 1))
     assert [(r.a, r.b, r.c) for r in got] == [(rows[i].a, rows[i].b, rows[i].c) for i in want]
+
+
+def test_evidence_reads_every_language(spark, tmp_path):
+    from lattica.plans import models, texts
+
+    rows = [(1, "The end of it with us and. More from", "fr"), (2, "The top of the hill. With Ann", "de"), (3, "We go with it", "es"), (4, "Nothing", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in texts.t08(spark, str(tmp_path)).collect()} == {1, 2}
+    pairs = {(r.x, r.y): (r.n_cooc, r.n_evidence) for r in models.g19(spark, str(tmp_path)).collect()}
+    assert pairs["of", "the"] == (2, 2) and pairs["from", "with"] == (1, 1)
+    assert [(r.doc_id, r.idx) for r in models.t19(spark, str(tmp_path)).collect()] == [(2, 1), (3, 0), (1, 0)]
