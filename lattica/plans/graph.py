@@ -193,6 +193,15 @@ def g18(spark, sf):
     return H.recall_at(ranked, Graph(spark, sf, window="label").closed, 1000, [10, 100, 1000])
 
 
+@query("g18_recall_of_new_triads")
+def g18n(spark, sf):
+    """All of survey item G18: the total is counted, all new triads of the label window, and the list reaches the largest budget."""
+    g, budgets = Graph(spark, sf), [10, 100, 1000]
+    new = Graph(spark, sf, window="label").closed.join(g.closed, H.TRIAD, "left_anti").where(~H.all_tasks())
+    ranked = H.top_completions(_completions(g), g.stable, max(budgets))
+    return H.recall_at(ranked, new, new.count() or float("nan"), budgets)
+
+
 @query("g20_context_overlap")
 def g20(spark, sf):
     g = Graph(spark, sf, support=13)

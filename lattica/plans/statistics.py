@@ -73,6 +73,23 @@ def x06(spark, sf):
     return H.triple_counts(g.label_edges).join(g.closed, H.TRIAD, "left_anti").where(~H.all_tasks()).withColumnRenamed("cnt", "n_papers")
 
 
+def significant_new_triads(g: Null, fdr: float = 0.05):
+    """New triads with p_value, q_value (over all new triads) of at most ``fdr`` and their label-window papers."""
+    triples = H.triples_of(g.label_edges)
+    papers = triples.join(g.closed, H.TRIAD, "left_anti").where(~H.all_tasks()).groupBy(*H.TRIAD).agg(F.array_sort(F.collect_list("paper_id")).alias("papers"))
+    docs = g.label.groupBy("term_id").agg(F.count("*").alias("docs"))
+    rows = S.null_model(papers.withColumn("observed", F.size("papers").cast("long")), docs, H.degree_distribution(g.label_edges))
+    rows = S.benjamini_hochberg(S.tail_probability(rows).select(*H.TRIAD, "observed", "p_value", "papers"))
+    return rows.where(F.col("q_value") <= fdr)
+
+
+@query("x06_significant_new_triads")
+def x06s(spark, sf):
+    """All of survey item X6; x06_new_triads only counts, as its SQL does."""
+    rows = significant_new_triads(Null(spark, sf))
+    return rows.select(*H.TRIAD, F.col("observed").alias("n_papers"), F.round("p_value", 9).alias("p_value"), F.round("q_value", 7).alias("q_value"), "papers")
+
+
 @query("x07_wilson", "WITH g AS (SELECT o_orderpriority AS stratum, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT *, 1.959963984540054::DOUBLE AS z, k / n AS p FROM g) SELECT stratum, k, n, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS lower, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS upper FROM c")
 def x07(spark, sf):
     g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))

@@ -210,3 +210,44 @@ def test_evidence_reads_every_language(spark, tmp_path):
     pairs = {(r.x, r.y): (r.n_cooc, r.n_evidence) for r in models.g19(spark, str(tmp_path)).collect()}
     assert pairs["of", "the"] == (2, 2) and pairs["from", "with"] == (1, 1)
     assert [(r.doc_id, r.idx) for r in models.t19(spark, str(tmp_path)).collect()] == [(2, 1), (3, 0), (1, 0)]
+
+
+def test_recall_counts_the_new_triads(spark):
+    from lattica.plans import graph as G
+    from lattica.plans import statistics as P
+
+    sf = "/root/testdata/sf0.01"
+    g = G.Graph(spark, sf)
+    total = P.x06(spark, sf).count()
+    listed = G._completions(g).count()
+    rows = {r.budget: r for r in G.g18n(spark, sf).collect()}
+    assert all(r.recall == r.hits / total for r in rows.values())
+    assert listed > 1000 and not rows[1000].capped and rows[1000].precision == rows[1000].hits / 1000
+
+
+def test_significant_new_triads(spark):
+    from types import SimpleNamespace
+
+    from lattica.plans import statistics as P
+
+    label = [*[["M:a", "M:b", "M:c"]] * 3, ["M:x", "M:y", "M:z"], *[["M:a", "M:b", "M:d"]] * 5, *[["M:e", "M:f"]] * 20, ["T:1", "T:2", "T:3"]]
+    edges = graph(spark, label)
+    g = SimpleNamespace(label=edges.select("paper_id", F.explode("terms").alias("term_id")), label_edges=edges, closed=spark.createDataFrame([("M:a", "M:b", "M:c")], "a string, b string, c string"))
+    degrees = H.degree_distribution(edges).collect()
+    docs = {t: sum(t in p for p in label) for p in label for t in p}
+    links = sum(r.degree * r.papers for r in degrees)
+    want = {}
+    for tri, o in ((("M:a", "M:b", "M:d"), 5), (("M:x", "M:y", "M:z"), 1)):
+        chances = [math.prod(min(1, r.degree * docs[t] / links) for t in tri) for r in degrees for _ in range(r.papers)]
+        p = [1.0]
+        for q in chances:
+            p = [(p[i] if i < len(p) else 0) * (1 - q) + (p[i - 1] * q if i else 0) for i in range(len(p) + 1)]
+        want[tri] = sum(p[o:])
+    rows = {(r.a, r.b, r.c): r for r in P.significant_new_triads(g, 1.0).collect()}
+    assert set(rows) == set(want)
+    assert all(abs(rows[t].p_value - p) < 1e-9 for t, p in want.items())
+    low, high = sorted(want.values())
+    assert sorted(r.q_value for r in rows.values()) == pytest.approx([min(2 * low, high), high])
+    assert rows["M:a", "M:b", "M:d"].papers == [4, 5, 6, 7, 8]
+    cut = (min(2 * low, high) + high) / 2
+    assert len(P.significant_new_triads(g, cut).collect()) == 1
