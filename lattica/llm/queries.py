@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from .common import table
 
 
@@ -87,7 +85,7 @@ def op9_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
-    return round_trip(table(spark, sf_dir, "pages"))
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL_OP4 = """
@@ -158,9 +156,8 @@ FROM m
 
 def queries():
     found = [op1_suffix_dedup, op2_pu_quality, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op6_simhash_decontamination, op7_debruijn_dedup, op8_hyperminhash, op9_bootstrap_pii, op10_warc]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return own | {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10}
+    return {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10}

@@ -34,6 +34,32 @@ def test_pieces_equal_library(spark, sf):
     assert encode_decode(docs.where("false"), MODEL, ["doc_id"]).count() == 0
 
 
+def test_pieces_query_against_library(spark, sf):
+    import hashlib
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op5_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = sp.encode(texts[r.doc_id], add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(sp.decode(ids)))
+
+
+def test_piece_table_generations():
+    from lattica.llm.sentencepieces import ChunkTable
+
+    small, whole = ChunkTable(MODEL, max_entries=6), ChunkTable(MODEL)
+    rng = random.Random(9)
+    for _ in range(200):
+        texts = [" ".join(rng.choice(["the", "of", "Haus", "x1", "été", "a" * 60, "q"]) for _ in range(rng.randint(0, 6))) for _ in range(3)]
+        assert small.run(texts, 2) == whole.run(texts, 2)
+        assert len(small.young[0]) + len(small.old[0]) <= 6 + 21
+
+
 def test_topk_matches_sql(spark, sf, duck):
     got = plain(queries.op4_exact_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
     assert got == plain(duck.execute(queries.SQL_OP4).fetchall())
@@ -50,6 +76,16 @@ def test_topk_edges(spark):
     assert few.count() == 5
 
 
+def test_topk_many_ties_and_overflow(spark):
+    rows = [(i, [1.0]) for i in range(400)] + [(1000, [2.0]), (1001, [0.5])]
+    v = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 64.0)
+    got = top_k(v, v.where("id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1000, 8192), (1, 4096), (2, 4096), (3, 4096), (4, 4096)]
+    huge = quantised(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 64.0)
+    with pytest.raises(Exception, match="too large"):
+        top_k(huge, huge.where("id = 0"), 5).collect()
+
+
 def test_topk_query_groups(spark, sf, monkeypatch):
     from lattica.llm import topk
 
@@ -59,7 +95,8 @@ def test_topk_query_groups(spark, sf, monkeypatch):
 
 
 def test_warc_matches_sql(spark, sf, duck):
-    got = queries.op10_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = queries.op10_warc(spark, sf)
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert plain(got.collect()) == plain(duck.execute(queries.SQL_OP10).fetchall())
 
 
