@@ -6,13 +6,14 @@ dense score arrays, one dimension after the other, a partition selection keeps t
 the block, and the lists of all blocks are merged by a window that Spark limits per task.
 
 Queries are dealt into groups of at most ``MAX_QUERIES`` rows (the only thing broadcast, and
-its size is checked); each group passes over all candidates, so neither side is capped.
+its size is checked). Each group passes over all candidates, so neither side is capped; where there are
+several, one after the other is broadcast, answered into the shared folder and released.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 a shorter vector counts as padded with zeros; an empty vector scores 0 with every other;
 rows that repeat an id are separate candidates, but none with the query's own id counts;
-rows that repeat a query id give one list; ties go to the smaller id. Components are
-expected within +-2**24, so that 64-bit sums are exact.
+rows that repeat a query id give one list; ties go to the smaller id. Scores beyond 64 bits, which
+no column could hold, raise an error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 MAX_QUERIES = 32_768
 MAX_QUERY_BYTES = 64 << 20
 
@@ -83,6 +86,10 @@ def _accumulate(postings, query: np.ndarray, out: np.ndarray) -> None:
                 out[q, rows] += query[q, t] * values
 
 
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
+
+
 def _scan(queries, k: int, block: int = 4096, q_block: int = 32):
     q_ids, q_vecs = queries
 
@@ -94,7 +101,9 @@ def _scan(queries, k: int, block: int = 4096, q_block: int = 32):
             for lo in range(0, whole.num_rows, block):
                 seen = True
                 ids, cols = _matrix(whole.slice(lo, block), q_vecs.shape[1])
-                bound = int(np.abs(cols).max(initial=0)) * int(np.abs(q_vecs).max(initial=0)) * max(1, cols.shape[0])
+                bound = _largest(cols) * _largest(q_vecs) * max(1, cols.shape[0])
+                if bound >= 2**63:
+                    raise OverflowError("components too large for 64-bit scores")
                 kind = np.int32 if bound < 2**31 - 1 else np.int64
                 cols, weights = cols.astype(kind), q_vecs.astype(kind)
                 postings = []
@@ -138,6 +147,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     per_group = max(1, min(MAX_QUERIES, MAX_QUERY_BYTES // (8 * max(1, sized.d))))
     # twice the needed groups, so that a hash-dealt group stays below the bound
     n_groups = 1 if sized.n <= per_group else -(-2 * sized.n // per_group)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+
+    def best(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
     parts = []
     for g in range(n_groups):
         mine = queries if n_groups == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n_groups)) == g)
@@ -153,13 +168,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def work(batches, held=held):
             return _scan(held.value, k)(batches)
 
-        parts.append(candidates.select("id", "v").mapInArrow(work, "query_id long, vec_id long, score long"))
+        part = best(candidates.select("id", "v").mapInArrow(work, "query_id long, vec_id long, score long"))
+        if n_groups > 1:
+            part = written(part, "topk")
+            held.destroy()
+        parts.append(part)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return (
-        reduce(DataFrame.unionAll, parts)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return reduce(DataFrame.unionAll, parts)
