@@ -3,8 +3,10 @@
 A piece of this vocabulary holds whitespace markers only at its start, so no merge
 crosses the point between a non-marker and a marker. A text therefore falls into chunks
 (a run of markers and the characters up to the next run) that the segmenter treats
-independently. Each Arrow batch collects its distinct chunks, hands only those it has not
-met to the library, and joins ids and decoded strings back by position.
+independently. Each slab of texts collects its distinct chunks, hands only those its task's table
+does not hold to the library, and joins ids and decoded strings back by position. The table has two
+generations: a chunk met again moves to the young one, and when that is full the old one goes. So words
+in use are segmented once per task, whatever the vocabulary; only rare ones may be again.
 
 Defined results: a null text counts as empty; the empty text encodes to the end id alone and
 decodes to the empty string; a literal U+2581 is the marker itself, as in the library;
@@ -14,6 +16,7 @@ repeated rows give repeated results; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,45 +25,72 @@ from pyspark.sql import functions as F
 
 MARKER = "▁"
 _CHUNK = re.compile(" +[^ ]*")
+#: One space, then printable ASCII and precomposed Latin letters, none of which the normaliser changes.
+_PLAIN = re.compile("\x20[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+LINE = 64
 
 
 class ChunkTable:
     """Distinct chunk -> (ids as int32 bytes, decoded text), bounded in entries and chunk length."""
 
-    def __init__(self, model_path: str, max_entries: int = 60_000, max_chunk: int = 48):
+    def __init__(self, model_path: str, max_entries: int = 80_000, max_chunk: int = 48):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.max_entries, self.max_chunk = max_entries, max_chunk
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
+        # ids and texts apart: plain values in plain dicts cost the garbage collector nothing
+        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
+        self.young: tuple[dict[str, bytes], dict[str, str]] = {}, {}
         crossing = [p for i in range(self.sp.get_piece_size()) if MARKER in (p := self.sp.id_to_piece(i)).lstrip(MARKER)]
         if crossing:
             raise ValueError(f"pieces cross whitespace markers, e.g. {crossing[:3]}: the chunk table would not be exact")
-        self.lone_marker = self.sp.piece_to_id(MARKER)
-
-    def learn(self, chunks: list[str]) -> None:
-        # the library puts one marker before its input, so a chunk goes in without its first one
-        encoded = self.sp.encode([c[1:] for c in chunks], num_threads=1)
-        encoded = [e if c != " " else [self.lone_marker] for c, e in zip(chunks, encoded)]
-        decoded = self.sp.decode(encoded) if encoded else []
-        for c, e, d in zip(chunks, encoded, decoded):
-            self.ids[c] = np.asarray(e, np.int32).tobytes()
-            self.text[c] = " " + d
+        self.unknown = self.sp.unk_id()
+        self.lone = self.sp.piece_to_id(MARKER)
+        self.begins = np.array([self.sp.id_to_piece(i).startswith(MARKER) for i in range(self.sp.get_piece_size())])
+
+    def segment(self, chunks: list[str]) -> None:
+        """Puts ids and decoded text of each chunk into the young generation.
+
+        Chunks of one space and characters that normalise to themselves go to the library side by side, in
+        lines of ``LINE``: such a chunk has one piece that begins with a marker, its first, so the ids fall apart there.
+        """
+        to_ids, to_text = self.young
+        plain = list(filter(_PLAIN.fullmatch, chunks))
+        odd = [c for c in chunks if not _PLAIN.fullmatch(c)]
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        # the library puts one marker before its input, so the first one is left out
+        for line, ids in zip(lines, self.sp.encode(["".join(x)[1:] for x in lines], num_threads=1) if lines else ()):
+            ids = np.array(ids, np.int32)
+            begins = np.flatnonzero(self.begins[ids])
+            if len(begins) != len(line) or (ids == self.unknown).any():
+                odd += line
+                continue
+            data, cuts = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            to_ids.update(zip(line, [data[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]))
+            to_text.update(zip(line, line))
+        encoded = self.sp.encode([c[1:] for c in odd], num_threads=1) if odd else []
+        encoded = [e if c != " " else [self.lone] for c, e in zip(odd, encoded)]
+        to_ids.update(zip(odd, [array("i", e).tobytes() for e in encoded]))
+        to_text.update(zip(odd, [" " + d for d in self.sp.decode(encoded)] if odd else ()))
 
     def run(self, texts: list[str], end_id: int):
         """For each text its ids (int32 bytes) and the decoded string."""
-        tail = np.asarray([end_id], np.int32).tobytes() if end_id >= 0 else b""
+        tail = array("i", [end_id]).tobytes() if end_id >= 0 else b""
         split = [_CHUNK.findall(" " + t.replace(MARKER, " ")) if t else [] for t in texts]
-        new = set().union(*split).difference(self.ids) if split else set()
-        if len(self.ids) + len(new) > self.max_entries:
-            self.ids.clear(), self.text.clear()
-            new = set().union(*split)
-        self.learn(sorted(new))
-        ids = [b"".join(map(self.ids.__getitem__, s)) + tail for s in split]
-        back = ["".join(map(self.text.__getitem__, s))[1:] for s in split]
-        for c in [c for c in new if len(c) > self.max_chunk]:
-            del self.ids[c], self.text[c]
+        to_ids, to_text = self.young
+        missing = set().union(*split).difference(to_ids)
+        again = missing.intersection(self.old[0])
+        fresh = list(missing.difference(again))
+        to_ids.update(zip(again, map(self.old[0].__getitem__, again)))
+        to_text.update(zip(again, map(self.old[1].__getitem__, again)))
+        self.segment(fresh)
+        ids = [b"".join(map(to_ids.__getitem__, s)) + tail for s in split]
+        back = ["".join(map(to_text.__getitem__, s))[1:] for s in split]
+        for c in fresh:
+            if len(c) > self.max_chunk:
+                del to_ids[c], to_text[c]
+        if len(to_ids) > self.max_entries // 2:
+            self.old, self.young = self.young, ({}, {})
         return ids, back
 
 
