@@ -4,14 +4,13 @@ Every window of ``length`` consecutive tokens is represented by its anchor: the
 string inside it with the smallest hash (leftmost on ties). Equal windows have equal anchors at
 equal offsets, and consecutive windows mostly share theirs, so a text becomes *runs* of windows
 (one row per about ``(length - gram) / 2`` tokens). A run whose anchor occurs nowhere else holds
-no repeated window and is dropped; of the others
+no repeated window and is dropped. Equal runs of the others are counted, so that copies enter the
+operator's own method as one run of a weight, however many there are; what the method decides for the
+distinct runs then goes to all occurrences.
 
-* runs with equal content are repeated in all their windows;
-* distinct runs that share an anchor go to one task per anchor, where a function given by the
-  operator compares their windows;
-* anchors with more distinct runs than ``gathered`` allows (a quarter of a task's mean share, within
-  ``HOT`` and ``MOST``) are not gathered: their windows are counted as hashed rows, summed before
-  they are shuffled.
+Distinct runs of one anchor meet in one task, unless there are more than ``gathered`` allows (a quarter of a
+task's mean share, within ``HOT`` and ``MOST``): windows of such anchors are rows of their own, which the
+operators count with sums before every shuffle.
 
 All windows are judged on the input. No run, window or text is dropped or capped.
 """
@@ -23,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, utf8_buffer, written
+from .common import drop, slabs, utf8_buffer, written
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
 _INDEX = U64((1 << 28) - 1)
 SLAB = 1 << 19
-HOT, MOST = 256, 4096
+HOT, MOST = 256, 2048
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -89,9 +91,11 @@ class Bytes:
         self.length, self.gram = length, gram
 
     def tokens(self, raw: np.ndarray, offsets: np.ndarray):
-        """(token values, token offsets of the rows, byte start and byte end of each token)."""
-        n = int(offsets[-1] - offsets[0])
-        return self._table[raw[offsets[0] : offsets[-1]]], offsets - offsets[0], None, None
+        """(tokens, token offsets of the rows, byte start and byte end of each token)."""
+        return raw[offsets[0] : offsets[-1]], offsets - offsets[0], None, None
+
+    def hashed(self, tokens: np.ndarray) -> np.ndarray:
+        return self._table[tokens]
 
     def cut(self, text: bytes, spans) -> bytes:
         kept, at = [], 0
@@ -114,22 +118,36 @@ class Words:
         self.length, self.gram = length, gram
 
     def tokens(self, raw: np.ndarray, offsets: np.ndarray):
-        lo, hi = int(offsets[0]), int(offsets[-1])
-        data = raw[lo:hi]
+        """As of ``Bytes``; a token is the hash of a word. More than a slab of bytes goes in stretches that end between words."""
+        found, at, hi = [], int(offsets[0]), int(offsets[-1])
+        while at < hi or not found:
+            end = at + SLAB
+            if end < hi:
+                row = int(offsets[np.searchsorted(offsets, end)])
+                while end < row and not _SPACE[raw[end : end + 4096]].any():
+                    end += 4096
+                end = min(row, end + int(np.argmax(_SPACE[raw[end : end + 4096]])) if end < row else row)
+            end = min(end, hi)
+            found.append(self._words(raw[at:end], offsets - at, at - int(offsets[0])))
+            at = end
+        values, start, stop = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
+        return values, np.searchsorted(start, offsets - offsets[0]), start, stop
+
+    def _words(self, data: np.ndarray, rows: np.ndarray, shift: int):
         n = len(data)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        begins = ~space
-        inner = ~space
+        inner = ~_SPACE[data]
         first = np.zeros(n + 1, bool)
-        first[offsets[:-1] - lo] = True  # rows begin new words
-        begins[1:] &= space[:-1] | first[1:n]
-        start = np.flatnonzero(begins)
-        ends = inner.copy()
-        ends[:-1] &= space[1:] | first[1:n]
-        end = np.flatnonzero(ends) + 1
+        first[rows[(rows >= 0) & (rows < n)]] = True  # rows begin new words
+        begins, ends = inner.copy(), inner.copy()
+        begins[1:] &= ~inner[:-1] | first[1:n]
+        ends[:-1] &= ~inner[1:] | first[1:n]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         sums = prefix(self._table[data], _BASE2)
         values = stretch(sums, start, end - start, _BASE2) if len(start) else np.zeros(0, U64)
-        return values, np.searchsorted(start, offsets - lo), start, end
+        return values, start + shift, end + shift
+
+    def hashed(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens
 
     def cut(self, text: bytes, spans) -> bytes:
         words = text.split()
@@ -143,12 +161,13 @@ class Words:
         return len(text.split())
 
 
-def find_runs(values: np.ndarray, rows: np.ndarray, length: int, gram: int):
+def find_runs(unit, values: np.ndarray, rows: np.ndarray):
     """Runs of windows with one anchor: (row, first window in row, windows, anchor offset, key, content).
 
     ``rows`` are the token offsets of the texts. A text longer than a slab is handled in
     overlapping stretches, so that no step holds more than a slab.
     """
+    length, gram = unit.length, unit.gram
     w = length - gram + 1
     lens = np.diff(rows)
     pieces = []
@@ -159,7 +178,7 @@ def find_runs(values: np.ndarray, rows: np.ndarray, length: int, gram: int):
         for a in range(first, last - length + 1, SLAB) if hi == lo + 1 else (first,):
             b = min(last, a + SLAB + length - 1) if hi == lo + 1 else last
             n = b - a
-            sums = prefix(values[a:b])
+            sums = prefix(unit.hashed(values[a:b]))
             grams = mix((sums[gram:] - sums[:-gram]) * powers(n)[1][: n - gram + 1])
             best = sliding_min((grams & ~_INDEX) | np.arange(len(grams), dtype=U64), w) & _INDEX
             best = best.astype(np.int64)
@@ -188,45 +207,21 @@ def merged(start: np.ndarray, end: np.ndarray):
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-_RUNS = "k long, c long, m int, u long, v int, s int, n int, o int"
-
-
 def runs_of(docs: DataFrame, unit) -> DataFrame:
-    """Rows of runs (k anchor, c content, m multiplicity here, u and v the text, s, n, o), and rows without k:
-    windows already known to be repeated because the same run stood in the batch before."""
+    """Rows of runs: k anchor, c content, u and v the text, s first window, n windows, o anchor offset."""
 
     def work(batches):
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(0))
             u, v = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for lo, hi in slabs(offsets, 8 * SLAB):
+            for lo, hi in slabs(offsets, SLAB):
                 values, rows, _, _ = unit.tokens(raw, offsets[lo : hi + 1])
-                row, s, n, o, k, c = find_runs(values, rows, unit.length, unit.gram)
-                if not len(row):
-                    continue
-                order = np.lexsort((c, k))
-                same = np.zeros(len(order), bool)
-                same[1:] = (k[order][1:] == k[order][:-1]) & (c[order][1:] == c[order][:-1])
-                group_has = np.zeros(len(order), bool)
-                group_has[:-1] = same[1:]
-                lead, dup = order[~same], order[same | group_has]
-                m = np.where(group_has[~same], 2, 1).astype(np.int32)
-                yield _run_batch(k[lead].view(np.int64), c[lead].view(np.int64), m, u[lo + row[lead]], v[lo + row[lead]], s[lead], n[lead], o[lead])
-                if len(dup):
-                    # intervals of each text, united; offset by row so that one sort serves all
-                    wide = np.int64(1) << np.int64(32)
-                    a, b = merged(row[dup] * wide + s[dup], row[dup] * wide + s[dup] + n[dup])
-                    at = lo + a // wide
-                    yield _run_batch(None, None, np.full(len(a), 2, np.int32), u[at], v[at], a % wide, b - a, np.zeros(len(a), np.int64))
-
-    return docs.select("_lt_text", "_lt_u", "_lt_v").mapInArrow(work, _RUNS)
-
-
-def _run_batch(k, c, m, u, v, s, n, o) -> pa.RecordBatch:
-    none = pa.nulls(len(m), pa.int64())
-    cols = [none if k is None else pa.array(k), none if c is None else pa.array(c), pa.array(m), pa.array(u), pa.array(v)]
-    cols += [pa.array(np.asarray(x, np.int32)) for x in (s, n, o)]
-    return pa.RecordBatch.from_arrays(cols, names=["k", "c", "m", "u", "v", "s", "n", "o"])
+                row, s, n, o, k, c = find_runs(unit, values, rows)
+                if len(row):
+                    cols = [k.view(np.int64), c.view(np.int64), u[lo + row], v[lo + row], *(x.astype(np.int32) for x in (s, n, o))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["k", "c", "u", "v", "s", "n", "o"])
+
+    return docs.select("_lt_text", "_lt_u", "_lt_v").mapInArrow(work, "k long, c long, u long, v int, s int, n int, o int")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -249,141 +244,100 @@ def gathered(contents: DataFrame) -> int:
     return min(max(HOT, MOST), max(HOT, contents.count() // (4 * tasks)))
 
 
-def repeated_windows(docs: DataFrame, unit, compare, tag: str) -> DataFrame:
-    """(u, v, s, n): stretches of window starts whose windows occur at least twice.
+def shared_runs(docs: DataFrame, unit, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, contents) of the runs whose anchor occurs more than once.
 
-    ``docs`` is the result of ``keyed``; ``compare`` decides within anchors.
+    Occurrences: k, c, u, v, s. Contents, one row per distinct run, copies counted before they are
+    shuffled: k, c, m occurrences, u, v, s, n, o of one of them, d distinct runs of the anchor.
     """
     runs = written(runs_of(docs, unit), f"{tag}-runs")
-    known = runs.where("k IS NULL").select("u", "v", "s", "n")
-    runs = runs.where("k IS NOT NULL")
-    repeated = runs.groupBy("k").agg(F.sum("m").alias("t")).where("t > 1").select("k")
-    shared = written(runs.join(repeated, "k"), f"{tag}-shared")
-    contents = shared.groupBy("k", "c").agg(
-        F.sum("m").alias("m"), *(F.first(x).alias(x) for x in ("u", "v", "s", "n", "o"))
-    )
-    contents = written(contents, f"{tag}-contents")
-    equal = shared.where("m = 1").join(contents.where("m > 1").select("k", "c"), ["k", "c"]).select("u", "v", "s", "n")
-    several = contents.groupBy("k").agg(F.count("*").alias("d")).where("d > 1")
-    unsure = contents.join(several, "k").withColumn("hot", F.col("d") > gathered(contents))
-    wanted = unsure.groupBy("u", "v").agg(F.collect_list(F.struct("k", "m", "s", "n", "o", "hot")).alias("w"))
-    held = docs.join(wanted, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v")))
-    pieces = held.mapInArrow(_cutter(unit), _PIECES)
-    pieces = written(pieces, f"{tag}-pieces")
-    cold = pieces.where("h IS NULL").repartition("k").sortWithinPartitions("k").mapInArrow(_comparer(unit, compare), "u long, v int, s int, n int")
-    hot = pieces.where("h IS NOT NULL").select("h", "g", "m", "u", "v", "s")
-    often = hot.groupBy("h", "g").agg(F.sum("m").alias("t")).where("t > 1").select("h", "g")
-    hot = hot.where("m = 1").join(often, ["h", "g"]).select("u", "v", "s", F.lit(1).alias("n"))
-    return known.unionAll(equal).unionAll(cold).unionAll(hot)
-
+    repeated = runs.groupBy("k").agg(F.count("*").alias("t")).where("t > 1").select("k")
+    shared = written(runs.join(repeated, "k", "left_semi"), f"{tag}-shared")
+    contents = shared.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("u", "v", "s", "n", "o")).alias("at"))
+    contents = contents.select("k", "c", F.least("m", F.lit(1 << 30)).cast("int").alias("m"), "at.*")
+    d = contents.groupBy("k").agg(F.count("*").alias("d"))
+    contents = written(contents.join(d, "k"), f"{tag}-contents")
+    drop(runs)
+    return shared.select("k", "c", "u", "v", "s"), contents
 
-_PIECES = "k long, m int, u long, v int, s int, n int, o int, t binary, h long, g long"
 
+def cut(docs: DataFrame, contents: DataFrame, work, schema: str) -> DataFrame:
+    """Rows that ``work(tokens, run)`` makes of the text of each content's run (k, c, m, n, o, hot)."""
+    wanted = contents.groupBy("u", "v").agg(F.collect_list(F.struct("k", "c", "m", "s", "n", "o", "hot")).alias("w"))
+    held = docs.join(wanted, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v"))).select("_lt_text", "w")
+    return held.mapInArrow(work, schema)
 
-def window_hashes(values: np.ndarray, start: np.ndarray, length: int):
-    """Two independent hashes of the windows at ``start``."""
-    return stretch(prefix(values), start, length), stretch(prefix(values, _BASE2), start, length, _BASE2)
 
-
-def _cutter(unit):
-    """Texts with their wanted runs -> the runs' text (cold) or one row per window, hashed (hot)."""
+def cutter(unit, names: list[str], kinds: list[pa.DataType], rows_of):
+    """Feeds the tokens of one run after the other to ``rows_of`` (tokens, run) and collects its columns in batches."""
 
     def work(batches):
         for batch in batches:
-            names = batch.schema.names
-            texts, wanted = batch.column(names.index("_lt_text")), batch.column(names.index("w"))
-            us, vs = batch.column(names.index("u")), batch.column(names.index("v"))
-            rows, size = [], 0
+            held, size = [], 0
             for i in range(batch.num_rows):
-                text = texts[i].as_py().encode()
-                raw = np.frombuffer(text, np.uint8)
-                values, _, starts, ends = unit.tokens(raw, np.asarray([0, len(raw)]))
-                u, v = us[i].as_py(), vs[i].as_py()
-                for r in wanted[i].as_py():
-                    k, m, s, n, o = r["k"], r["m"], r["s"], r["n"], r["o"]
-                    last = s + n + unit.length - 1
-                    if r["hot"]:
-                        h, g = window_hashes(values[s:last], np.arange(n), unit.length)
-                        many = len(h)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.nulls(many, pa.int64()), pa.array(np.full(many, min(m, 2), np.int32)), pa.array(np.full(many, u)), pa.array(np.full(many, v, np.int32)), pa.array(np.arange(s, s + n, dtype=np.int32)), pa.array(np.ones(many, np.int32)), pa.array(np.zeros(many, np.int32)), pa.nulls(many, pa.binary()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
-                            names=_NAMES,
-                        )
-                    else:
-                        piece = text[s:last] if starts is None else text[starts[s] : ends[last - 1]]
-                        rows.append((k, min(m, 2), u, v, s, n, o, piece, None, None))
-                        size += len(piece)
-                if size > 4 * SLAB:
-                    yield _rows_batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _rows_batch(rows)
+                raw, offsets = utf8_buffer(batch.column(0).slice(i, 1))
+                values, _, _, _ = unit.tokens(raw, offsets)
+                for run in batch.column(1)[i].as_py():
+                    held.append(rows_of(values[run["s"] : run["s"] + run["n"] + unit.length - 1], run))
+                    size += sum(x.nbytes for x in held[-1])
+                    if size > 2 * SLAB:
+                        yield _joined(held, names, kinds)
+                        held, size = [], 0
+            if held:
+                yield _joined(held, names, kinds)
 
     return work
 
 
-_NAMES = ["k", "m", "u", "v", "s", "n", "o", "t", "h", "g"]
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-
+def _joined(held, names, kinds) -> pa.RecordBatch:
+    cols = []
+    for i, kind in enumerate(kinds):
+        if kind == pa.binary():
+            cols.append(pa.array([x[i].tobytes() for x in held], kind))
+        else:
+            cols.append(pa.array(np.concatenate([x[i] for x in held])).cast(kind))
+    return pa.RecordBatch.from_arrays(cols, names=names)
 
-def _rows_batch(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-
-def _comparer(unit, compare):
-    """Feeds whole anchors, about a slab at a time, to ``compare`` and emits its stretches."""
+def by_anchor(pieces: DataFrame, decide, schema: str) -> DataFrame:
+    """Feeds whole anchors (k) of ``pieces``, about a slab of ``t`` at a time, to ``decide`` (a dict of columns, t as
+    raw bytes with offsets), which returns the columns of ``schema``."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
 
     def flush(held: list[pa.RecordBatch]):
         table = pa.Table.from_batches(held).combine_chunks()
-        if not table.num_rows:
-            return None
-        col = {x: np.asarray(table.column(x)) for x in ("k", "m", "u", "v", "s", "n", "o")}
-        raw, offsets = utf8_buffer(table.column("t"))
-        values, rows, _, _ = unit.tokens(raw, offsets)
-        window = np.repeat(np.arange(len(col["n"])), col["n"])
-        step = np.arange(len(window)) - np.repeat(np.cumsum(col["n"]) - col["n"], col["n"])
-        anchor = np.unique(col["k"], return_inverse=True)[1]
-        group = anchor[window] * np.int64(1 << 20) + (col["o"][window] - step)
-        twice = compare(values, rows[window] + step, group, col["m"][window], unit.length)
-        twice &= col["m"][window] == 1  # runs that occur twice are known already
-        begin = twice.copy()
-        begin[1:] &= ~(twice[:-1] & (window[1:] == window[:-1]))
-        end = twice.copy()
-        end[:-1] &= ~(twice[1:] & (window[1:] == window[:-1]))
-        a, b = np.flatnonzero(begin), np.flatnonzero(end)
-        w = window[a]
-        cols = [col["u"][w], col["v"][w].astype(np.int32), (col["s"][w] + step[a]).astype(np.int32), (b - a + 1).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v", "s", "n"])
+        cols = {x: np.asarray(table.column(x)) for x in table.column_names if x != "t"}
+        cols["t"] = utf8_buffer(table.column("t"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in decide(cols)], names=names)
 
     def work(batches):
-        held, windows = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, offsets = np.asarray(batch.column("k")), utf8_buffer(batch.column("t"))[1]
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
             at = 0
-            keys, counts = np.asarray(batch.column(0)), np.asarray(batch.column(5))
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            if held and len(keys) and held[-1].num_rows and held[-1].column(0)[-1].as_py() != keys[0]:
-                cuts = np.append(0, cuts)
-            totals = np.concatenate([[0], np.cumsum(counts)])
-            for cut in cuts:
-                if windows + totals[cut] - totals[at] >= SLAB:
-                    if cut > at:
-                        held.append(batch.slice(at, cut - at))
-                    if (out := flush(held)) is not None:
-                        yield out
-                    held, windows, at = [], 0, cut
-            if at < batch.num_rows:
-                held.append(batch.slice(at))
-                windows += totals[-1] - totals[at]
-        if held and (out := flush(held)) is not None:
-            yield out
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if keys[lo] != last and size >= SLAB:
+                    if lo > at:
+                        held.append(batch.slice(at, lo - at))
+                    yield flush(held)
+                    held, size, at = [], 0, lo
+                size += int(offsets[hi] - offsets[lo])
+                last = keys[lo]
+            held.append(batch.slice(at))
+        if held:
+            yield flush(held)
+
+    return pieces.repartition("k").sortWithinPartitions("k").mapInArrow(work, schema)
 
-    return work
 
+def remove_spans(docs: DataFrame, texts: DataFrame, found: DataFrame, unit, id_col: str) -> DataFrame:
+    """Per row of ``docs``: id, n_tokens, n_removed, spans (maximal removed token ranges), kept binary.
 
-def remove_windows(docs: DataFrame, unit, compare, id_col: str, text_col: str, tag: str) -> DataFrame:
-    """Per row of ``docs``: id, n_tokens, n_removed, spans (maximal removed token ranges), kept binary."""
-    texts = keyed(docs, id_col, text_col)
-    found = repeated_windows(texts, unit, compare, tag)
+    ``found``: u, v, s, n stretches of repeated windows.
+    """
     per_text = found.groupBy("u", "v").agg(F.collect_list(F.struct("s", "n")).alias("w"))
     joined = texts.join(per_text, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v")), "left").select("_lt_id", "_lt_text", "w")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -396,7 +350,7 @@ def remove_windows(docs: DataFrame, unit, compare, id_col: str, text_col: str, t
             at = 0
             while at < batch.num_rows:
                 held, size, begin = [], 0, at
-                while at < batch.num_rows and size < 8 * SLAB:
+                while at < batch.num_rows and size < 4 * SLAB:
                     text, spans = texts[at].as_py().encode(), []
                     size += len(text)
                     if lists[at].is_valid:

@@ -54,11 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system through Hadoop's own API."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table of ``written`` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/lattica-" in folder:
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_or_empty(name: str):
