@@ -1,15 +1,17 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-Texts and items become lists of hashed word shingles (lower-cased runs of letters and digits). A
-window of an item's size can be similar to the item only if it holds one of its shingles, and
-moving a window to the right until it starts with one never lowers their similarity; so every
-shingle a text shares with an item opens one item-sized window (moved left where the text ends),
-unless so few shared shingles follow within it that the threshold is out of reach: 80 of 100
+Texts and items become lists of hashed word shingles (lower-cased runs of letters and digits). Windows of
+the items' sizes get a 64-bit SimHash each, their shingles weighted by how often they occur, and so do the items.
+A multi-index finds the candidates: fingerprints are cut into ``RADIUS + 1`` blocks, windows and items of one
+size meet where a block agrees, and two fingerprints within ``RADIUS`` bits agree in one block at least,
+so none within the radius is missed, whichever item it belongs to. Candidates within the radius are verified by
+exact weighted-shingle similarity (sum of smaller over sum of larger weights).
+
+Not every window of a text is fingerprinted. One that is similar to an item holds some of its shingles, and
+moving it to the right until it starts with one never lowers their similarity. So windows of a size open at
+the shingles that the text shares with any item of that size (moved left where the text ends),
+unless so few such shingles follow within the window that the threshold is out of reach: 80 of 100
 shingles in common need at least as many shared positions. Common phrases thus open no window.
-Each window gets a 64-bit SimHash, its shingles weighted by how often they occur. Windows and items are matched through a
-multi-index of ``RADIUS + 1`` blocks per fingerprint: two fingerprints within ``RADIUS`` bits agree in one
-block at least, so none within the radius is missed. Candidates are then verified by exact
-weighted-shingle similarity (sum of smaller over sum of larger weights).
 
 At the default threshold of 0.8 the expected distance is 10 bits (deviation 3); the radius leaves
 over four deviations.
@@ -72,7 +74,7 @@ def _weighted(x: str, y: str) -> str:
 
 
 def _starts(percent: int) -> str:
-    """Window starts of one text and item, from the sorted positions ``ps`` of what they share.
+    """Window starts of one text and size ``m``, from the sorted positions ``ps`` of what it shares with items of that size.
 
     A window of ``m`` shingles that holds fewer than ``percent`` of ``m`` shared positions cannot reach the
     threshold; whether the window at a position holds enough is told by the position that many further on.
@@ -87,8 +89,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     blocks = RADIUS + 1
     item = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).distinct()
     item = shingles(item, "t", width).where("size(hs) > 0")
-    item = item.select("item", F.xxhash64("item", "t").alias("i"), F.col("hs").alias("ih"), F.expr(fingerprint("hs")).alias("ifp"), F.size("hs").alias("m"))
-    item = written(item, "items")
+    item = written(item.select("item", F.col("hs").alias("ih"), F.expr(fingerprint("hs")).alias("ifp"), F.size("hs").alias("m")), "items")
     n_shingles = item.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     small = n_shingles <= MAX_BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
@@ -97,37 +98,36 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"),
     ).withColumn("u", F.xxhash64("id", "_lt_text")).withColumn("v", F.hash("id", "_lt_text"))
-    grams = item.select("i", "m", F.explode("ih").alias("h")).distinct()
+    grams = item.select("m", F.explode("ih").alias("h")).distinct()
     places = shingles(base, "_lt_text", width).select("u", "v", F.size("hs").alias("n"), F.posexplode("hs").alias("p", "h"))
-    hits = places.join(hint(grams), "h").select("u", "v", "i", "m", "n", "p").distinct()
-    hits = hits.groupBy("u", "v", "i", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    opened = written(hits.select("u", "v", "i", "m", F.expr(_starts(percent)).alias("starts")).where("size(starts) > 0"), "starts")
+    hits = places.join(hint(grams), "h").select("u", "v", "m", "n", "p").distinct()
+    hits = hits.groupBy("u", "v", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    opened = written(hits.select("u", "v", "m", F.expr(_starts(percent)).alias("starts")).where("size(starts) > 0"), "starts")
 
-    per_text = opened.groupBy("u", "v").agg(F.collect_list(F.struct("i", "m", "starts")).alias("found"))
+    per_text = opened.groupBy("u", "v").agg(F.collect_list(F.struct("m", "starts")).alias("found"))
     few = opened.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] <= MAX_BROADCAST_HITS
     held = base.join(F.broadcast(per_text) if few else per_text, ["u", "v"])
-    flat = "flatten(transform(found, f -> transform(f.starts, s -> struct(f.i AS i, f.m AS m, s AS s))))"
+    flat = "flatten(transform(found, f -> transform(f.starts, s -> struct(f.m AS m, s AS s))))"
     windows = (
         shingles(held, "_lt_text", width)
         .select("id", "u", "v", "hs", F.explode(F.expr(flat)).alias("f"))
-        .select("id", "u", "v", F.col("f.i").alias("i"), F.expr(let("w", "slice(hs, f.s + 1, f.m)", f"struct(w AS wh, {fingerprint('w')} AS fp)")).alias("w"))
+        .select("id", "u", "v", F.col("f.m").alias("m"), F.expr(let("w", "slice(hs, f.s + 1, f.m)", f"struct(w AS wh, {fingerprint('w')} AS fp)")).alias("w"))
     )
-    windows = windows.select("id", "u", "v", "i", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    windows = windows.select("id", "u", "v", "i", "b", "w.wh", "w.fp")
-    windows = windows.withColumn("bits", F.expr(block("fp", "b", blocks)))
-    index = item.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("bits", F.expr(block("ifp", "b", blocks)))
-    index = index.select("i", "item", "ih", "ifp", "m", "b", "bits")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
+    windows = windows.select("id", "u", "v", "m", "w.wh", "w.fp", numbers).withColumn("bits", F.expr(block("fp", "b", blocks)))
+    index = item.select("item", "ih", "ifp", "m", numbers).withColumn("bits", F.expr(block("ifp", "b", blocks)))
     agree = f"array_min(filter(sequence(0, {blocks - 1}), x -> {block('fp', 'x', blocks)} = {block('ifp', 'x', blocks)}))"
     near = (
-        windows.join(hint(index), ["i", "b", "bits"])
+        windows.join(hint(index), ["m", "b", "bits"])
         .where(f"bit_count(fp ^ ifp) <= {RADIUS}")
         .where(F.expr(agree) == F.col("b"))  # a candidate found through several blocks stays once
         .withColumn("n_common", F.expr(_weighted("wh", "ih")).cast("long"))
         .withColumn("n_union", (F.size("wh") + F.col("m") - F.col("n_common")).cast("long"))
         .where(f"100 * n_common >= {percent} * n_union")
     )
-    best = near.groupBy("u", "v", "id", "item").agg(F.max("n_common").alias("n_common"), F.min("n_union").alias("n_union"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_common", "n_union", F.col("u").alias("_lt_u"), F.col("v").alias("_lt_v"))
+    ranked = F.struct((F.col("n_common") / F.col("n_union")).alias("r"), "n_common", "n_union")
+    best = near.groupBy("u", "v", "id", "item").agg(F.max(ranked).alias("x"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "x.n_common", "x.n_union", F.col("u").alias("_lt_u"), F.col("v").alias("_lt_v"))
 
 
 def pairs(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
