@@ -122,3 +122,37 @@ def test_decontamination_paths_and_empty(spark, sf, monkeypatch, duck):
     assert S.pairs(docs.where("false"), items).count() == 0
     assert S.pairs(docs, items.where("false")).count() == 0
     assert S.decontaminate(docs, items.where("false")).count() == docs.count()
+
+
+def risk_of(w, x, positive, plus, minus, ridge):
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))])
+    f = z @ w
+    good, bad = np.logaddexp(0, -f), np.logaddexp(0, f)
+    second = bad.mean() - minus * bad[positive].mean()
+    return plus * good[positive].mean() + max(0.0, second) + 0.5 * ridge * (w[:-1] ** 2).sum(), second
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_non_negative_risk_against_search(spark, monkeypatch, prior):
+    """With a prior far above the true share the second part goes below zero; the fit must come back to the clipped minimum."""
+    monkeypatch.setattr(quality, "FEATURES", ("one",))
+    rng = np.random.default_rng(1)
+    n = 600
+    truth = rng.random(n) < 0.4
+    x = (rng.normal(0, 1, n) + np.where(truth, 2.0, -1.0)).reshape(-1, 1)
+    positive = truth & (rng.random(n) < 0.5)
+    rows = spark.createDataFrame([([float(v[0])], bool(p)) for v, p in zip(x, positive)], "x array<float>, positive boolean")
+    known = quality.moments(rows)
+    w = quality.fit(rows, known, prior, prior)
+    grid = [(risk_of(np.array([a, b]), x, positive, prior, prior, quality.RIDGE), a, b) for a in np.linspace(-2, 12, 141) for b in np.linspace(-6, 14, 201)]
+    got, _ = risk_of(w, x, positive, prior, prior, quality.RIDGE)
+    assert got <= min(g[0][0] for g in grid) + 0.01
+    _, below, _ = quality.newton(rows, known, prior, prior, 1.0, np.zeros(2))
+    assert (below < 0) == (prior == 0.9)
+
+
+def test_prior_from_positives_and_unlabelled(spark):
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 6000), rng.normal(-2, 1, 4000)])
+    bins = np.linspace(-8, 8, 200)
+    assert quality.best_bin(np.histogram(p, bins)[0], np.histogram(u, bins)[0]) == pytest.approx(0.6, abs=0.04)
