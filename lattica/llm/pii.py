@@ -15,6 +15,9 @@ in all (as many as a card has) and up to the next base match. Patterns over ``AC
 identifiers they introduce, with the kind they were learnt from; those instances bring their other
 patterns into the next round, until the accepted patterns and the scores settle. Base spans always stay.
 
+A fifth kind, secret, has seeds but no base spans: words in the shape of keys and digests. Such a word alone is
+nobody's secret (it may name a commit or a file); it becomes a span where an accepted pattern introduces it.
+
 Positions are code points, ends exclusive. Defined results: a null text is empty and has no
 span; base spans of one kind never overlap, spans of different kinds may; a found token that
 overlaps a base span is not added again; rows that repeat an id or a text give equal
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from .anchors import SLAB, U64, Words, mix
 from .common import slabs, utf8_buffer, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+N_BASE, SECRET = 4, 4
 MIN_SEEDS, ACCEPT, CONTEXT = 3, 0.5, 2
 #: Rounds end when the accepted patterns stay and the scores, which only grow, have grown by less than this in sum.
 SETTLED = 1e-4
+MAX_BROADCAST_SPANS = 1_000_000
 #: Patterns are broadcast in groups of at most this many; each group is a pass of its own.
 MAX_PATTERNS = 200_000
 
@@ -50,6 +55,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"\+?[0-9](?:[().-]{0,2}[0-9])*+")
 _GROUP = re.compile(r"\)?\x20+\(?([0-9](?:[().-]{0,2}[0-9])*+)(?=[\"'()\[\]{}<>.,;:!?|*#$%&=]*(?:[\x20\t-\r]|\Z))")
 _OTHER_DIGIT = re.compile("[%s]" % "".join(c for c in map(chr, range(128, 0x110000)) if c.isdigit()))
+# Shapes of digests of 128 bits and more and of common access keys.
+_SECRET = re.compile(
+    r"(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+)
 _EDGE = "\"'()[]{}<>.,;:!?|*#$%&="
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -171,7 +181,7 @@ def _as_spans(found) -> list[dict]:
 
 
 def base_table(named: DataFrame, kind: str) -> DataFrame:
-    """id, u, v, base spans, and the seeds (pattern, kind, instance) of every text; the kind is null where no base match begins."""
+    """id, u, v, base spans, and the seeds (pattern, kind, instance) of every text; the kind is null where neither a base match nor a secret begins."""
 
     def work(batches):
         for batch in batches:
@@ -196,7 +206,7 @@ def base_table(named: DataFrame, kind: str) -> DataFrame:
                     for t, token, at in _tokens(raw[offsets[i] : offsets[i + 1]].tobytes(), start - shift, end - shift, which) if len(which) else ():
                         for k, s, e in _identifiers(text, token, at, base):
                             patterns.append(int(pattern[t].view(np.int64)))
-                            kinds.append(k)
+                            kinds.append(SECRET if k is None and _SECRET.fullmatch(text, s, e) else k)
                             names.append(_hash(_instance(text[s:e])))
                     cuts.append(len(names))
                 fields = [pa.array(patterns, pa.int64()), pa.array(kinds, pa.int32()), pa.array(names, pa.int64())]
@@ -207,27 +217,37 @@ def base_table(named: DataFrame, kind: str) -> DataFrame:
     return named.mapInArrow(work, f"id {kind}, u long, v int, spans {_SPANS}, seeds array<struct<p:long,kind:int,x:long>>")
 
 
-def _pattern_groups(patterns: DataFrame):
-    """Sorted pattern arrays (with kinds), each small enough to broadcast."""
-    n = patterns.count()
-    groups = max(1, -(-2 * n // MAX_PATTERNS)) if n > MAX_PATTERNS else 1
+def _by_group(patterns: DataFrame, make, schema: str, tag: str) -> DataFrame:
+    """Union of ``make(broadcast of (sorted patterns, kinds))`` over groups of ``patterns`` small enough to broadcast.
+
+    Where there are several, one after the other is written and its broadcast released.
+    """
+    spark, n = patterns.sparkSession, patterns.count()
+    groups = 1 if n <= MAX_PATTERNS else -(-2 * n // MAX_PATTERNS)
+    out = spark.createDataFrame([], schema)
     for g in range(groups if n else 0):
         part = patterns if groups == 1 else patterns.where(F.pmod(F.xxhash64("p"), F.lit(groups)) == g)
         table = part.select("p", "kind").toArrow()
         p, kind = np.asarray(table.column("p").to_numpy()).view(U64), np.asarray(table.column("kind").to_numpy())
+        if not len(p):
+            continue
         order = np.argsort(p)
-        if len(p):
-            yield p[order], kind[order]
+        held = spark.sparkContext.broadcast((p[order], kind[order]))
+        found = make(held)
+        if groups > 1:
+            found = written(found, tag)
+            held.destroy()
+        out = out.unionAll(found)
+    return out
 
 
 def occurrences(named: DataFrame, patterns: DataFrame) -> DataFrame:
     """(p, total): how many tokens each pattern introduces, ordinary words included."""
-    out = named.sparkSession.createDataFrame([], "p long, total long")
-    for known, _ in _pattern_groups(patterns.select("p", F.lit(0).alias("kind"))):
-        held = named.sparkSession.sparkContext.broadcast(known)
+    schema = "p long, total long"
 
-        def work(batches, held=held):
-            known = held.value
+    def make(held):
+        def work(batches):
+            known, _ = held.value
             for batch in batches:
                 raw, offsets = utf8_buffer(batch.column(0))
                 for lo, hi in slabs(offsets, SLAB):
@@ -237,8 +257,10 @@ def occurrences(named: DataFrame, patterns: DataFrame) -> DataFrame:
                     if len(p):
                         yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(n, pa.int64())], names=["p", "total"])
 
-        out = out.unionAll(named.select("_lt_text").mapInArrow(work, "p long, total long"))
-    return out.groupBy("p").agg(F.sum("total").alias("total"))
+        return named.select("_lt_text").mapInArrow(work, schema)
+
+    found = _by_group(patterns.select("p", F.lit(0).alias("kind")), make, schema, "pii-counts")
+    return found.groupBy("p").agg(F.sum("total").alias("total"))
 
 
 def bootstrap(named: DataFrame, table: DataFrame) -> DataFrame:
@@ -276,11 +298,10 @@ def bootstrap(named: DataFrame, table: DataFrame) -> DataFrame:
 
 def contextual_spans(named: DataFrame, accepted: DataFrame) -> DataFrame:
     """(u, v, kind, start, end) of the tokens accepted patterns introduce, without those that meet base spans."""
-    out = named.sparkSession.createDataFrame([], "u long, v int, kind int, start int, end int")
-    for known, kinds in _pattern_groups(accepted):
-        held = named.sparkSession.sparkContext.broadcast((known, kinds))
+    schema = "u long, v int, kind int, start int, end int"
 
-        def work(batches, held=held):
+    def make(held):
+        def work(batches):
             known, kinds = held.value
             for batch in batches:
                 raw, offsets = utf8_buffer(batch.column(2))
@@ -302,8 +323,9 @@ def contextual_spans(named: DataFrame, accepted: DataFrame) -> DataFrame:
                         kinds_of = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds_of)], names=["u", "v", "kind", "start", "end"])
 
-        out = out.unionAll(named.select("u", "v", "_lt_text").mapInArrow(work, "u long, v int, kind int, start int, end int"))
-    return out.distinct()
+        return named.select("u", "v", "_lt_text").mapInArrow(work, schema)
+
+    return _by_group(accepted, make, schema, "pii-contexts").distinct()
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,7 +352,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     match = (F.xxhash64(F.col(id_col), text) == F.col("_lt_u")) & (F.hash(F.col(id_col), text) == F.col("_lt_v"))
     found = found.select(F.col("u").alias("_lt_u"), F.col("v").alias("_lt_v"), F.col("spans").alias("_lt_spans"))
-    few = found.count() <= MAX_PATTERNS
+    few = found.agg(F.coalesce(F.sum(F.size("_lt_spans")), F.lit(0))).first()[0] <= MAX_BROADCAST_SPANS
     joined_docs = docs.join(F.broadcast(found) if few else found, match, "left").drop("_lt_u", "_lt_v")
     at = joined_docs.columns.index(text_col)
 

@@ -29,6 +29,13 @@ def brute(text: str):
     return out
 
 
+def secrets(texts):
+    """Per text the spans of hexadecimal words after "token =", if at least three different ones follow it."""
+    found = [[(4, m.start(1), m.end(1)) for m in re.finditer(r'\b[tT][oO][kK][eE][nN]\s+=\s+"([0-9A-Fa-f]{32,})"', t or "")] for t in texts]
+    words = {t[s:e].lower() for t, spans in zip(texts, found) for _, s, e in spans}
+    return found if len(words) >= 3 else [[] for _ in texts]
+
+
 def test_base_spans_equal_plain_patterns(spark, sf):
     rng = random.Random(2)
     odd = ["a@b.c@d.e", "@b.c@d.e", "x@y", "1.2.3.4.5.6.7.8", "256.1.1.1", "0255.00.0.0001", "4111 1111 1111 1111", "4111-1111  1111", "+1 (234) 555-6789)", "é1.2.3.4é", "٣.1.2.3.4", "+٣1234567", "a" * 3000 + "@b", "1" * 3000]
@@ -82,6 +89,9 @@ def test_query_digests(spark, sf):
         text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in found)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
+    for d, hidden in zip(docs, secrets([d.text for d in docs])):
+        want = sorted(brute(d.text or "") + hidden)
+        assert rows[d.doc_id].spans == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in want)
     assert queries.op9_bootstrap_pii(spark, sf).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
@@ -121,3 +131,15 @@ def test_chain_of_contexts(spark):
     docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string").repartition(2)
     got = {r.id: [(pii.KINDS[s.kind], chain[r.id][s.start : s.end]) for s in r.spans] for r in pii.find_pii(docs).collect()}
     assert all(got[i] == [("email", chain[i].split(" ")[2])] for i in range(len(chain)))
+
+
+def test_secrets_need_a_context(spark):
+    rng = random.Random(1)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    texts = [f'and then Token = "{key()}" ended' for _ in range(5)] + [f"a note on {w} {key()} there" for w in "abcdef"]
+    texts += ['so the token = "zq81-unseen_shape7", it said', "token = nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: [(pii.KINDS[s.kind], texts[r.id][s.start : s.end]) for s in r.spans] for r in pii.find_pii(docs).collect()}
+    assert all(got[i] == [("secret", texts[i].split('"')[1])] for i in range(5))
+    assert all(got[i] == [] for i in (*range(5, 11), 12))
+    assert got[11] == [("secret", "zq81-unseen_shape7")]
