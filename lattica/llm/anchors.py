@@ -207,8 +207,11 @@ def merged(start: np.ndarray, end: np.ndarray):
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
+_PLACES = pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int32()), ("s", pa.int32())]))
+
+
 def runs_of(docs: DataFrame, unit) -> DataFrame:
-    """Rows of runs: k anchor, c content, u and v the text, s first window, n windows, o anchor offset."""
+    """Rows of runs, equal ones of a slab in one: k anchor, c content, n windows, o anchor offset, at: text (u, v) and first window s of each."""
 
     def work(batches):
         for batch in batches:
@@ -217,11 +220,18 @@ def runs_of(docs: DataFrame, unit) -> DataFrame:
             for lo, hi in slabs(offsets, SLAB):
                 values, rows, _, _ = unit.tokens(raw, offsets[lo : hi + 1])
                 row, s, n, o, k, c = find_runs(unit, values, rows)
-                if len(row):
-                    cols = [k.view(np.int64), c.view(np.int64), u[lo + row], v[lo + row], *(x.astype(np.int32) for x in (s, n, o))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["k", "c", "u", "v", "s", "n", "o"])
+                if not len(row):
+                    continue
+                order = np.lexsort((c, k))
+                lead = np.ones(len(order), bool)
+                lead[1:] = (k[order][1:] != k[order][:-1]) | (c[order][1:] != c[order][:-1])
+                first, cuts = order[lead], np.append(np.flatnonzero(lead), len(order)).astype(np.int32)
+                places = [u[lo + row[order]], v[lo + row[order]], s[order].astype(np.int32)]
+                at = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(x) for x in places], fields=list(_PLACES.value_type)))
+                cols = [k[first].view(np.int64), c[first].view(np.int64), n[first].astype(np.int32), o[first].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), at], names=["k", "c", "n", "o", "at"])
 
-    return docs.select("_lt_text", "_lt_u", "_lt_v").mapInArrow(work, "k long, c long, u long, v int, s int, n int, o int")
+    return docs.select("_lt_text", "_lt_u", "_lt_v").mapInArrow(work, "k long, c long, n int, o int, at array<struct<u:long,v:int,s:int>>")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -247,18 +257,19 @@ def gathered(contents: DataFrame) -> int:
 def shared_runs(docs: DataFrame, unit, tag: str) -> tuple[DataFrame, DataFrame]:
     """(occurrences, contents) of the runs whose anchor occurs more than once.
 
-    Occurrences: k, c, u, v, s. Contents, one row per distinct run, copies counted before they are
+    Occurrences: k, c, at (places). Contents, one row per distinct run, copies counted before they are
     shuffled: k, c, m occurrences, u, v, s, n, o of one of them, d distinct runs of the anchor.
     """
     runs = written(runs_of(docs, unit), f"{tag}-runs")
-    repeated = runs.groupBy("k").agg(F.count("*").alias("t")).where("t > 1").select("k")
+    repeated = runs.groupBy("k").agg(F.sum(F.size("at")).alias("t")).where("t > 1").select("k")
     shared = written(runs.join(repeated, "k", "left_semi"), f"{tag}-shared")
-    contents = shared.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("u", "v", "s", "n", "o")).alias("at"))
-    contents = contents.select("k", "c", F.least("m", F.lit(1 << 30)).cast("int").alias("m"), "at.*")
+    drop(runs)
+    one = F.col("at")[0]
+    contents = shared.groupBy("k", "c").agg(F.sum(F.size("at")).alias("m"), F.min(F.struct(one["u"].alias("u"), one["v"].alias("v"), one["s"].alias("s"), "n", "o")).alias("x"))
+    contents = contents.select("k", "c", F.least("m", F.lit(1 << 30)).cast("int").alias("m"), "x.*")
     d = contents.groupBy("k").agg(F.count("*").alias("d"))
     contents = written(contents.join(d, "k"), f"{tag}-contents")
-    drop(runs)
-    return shared.select("k", "c", "u", "v", "s"), contents
+    return shared.select("k", "c", "at"), contents
 
 
 def cut(docs: DataFrame, contents: DataFrame, work, schema: str) -> DataFrame:

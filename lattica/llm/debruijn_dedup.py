@@ -14,7 +14,7 @@ and copies of a run of windows are one run of a weight. The graph is built and c
    repeated span; stretches of a path that is not found whole twice stand for themselves.
 
 Steps 1 and 2 run in one task per anchor; anchors with too many distinct runs for one task (see
-``anchors``) give a row per edge, counted by Spark, and each edge is a stretch.
+``anchors``) give a row per edge, which Spark counts and glues.
 
 Defined results: a null text has no words; a text of fewer than ``length`` words loses
 nothing; windows may overlap and repeat inside one text; rows that repeat an id or a text are texts of
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .anchors import _BASE2, U64, Words, by_anchor, cut, cutter, gathered, keyed, mix, prefix, remove_spans, shared_runs, stretch
 from .common import drop, written
@@ -104,8 +105,12 @@ def repeated_stretches(texts: DataFrame, contents: DataFrame, unit: Words, tag:
     rows = cut(texts, wanted.where("hot"), cutter(unit, ["k", "c", "m", "i", "h", "g", "x", "y"], [*kinds, *[pa.int64()] * 4], single), "k long, c long, m int, i int, h long, g long, x long, y long")
     rows = written(rows, f"{tag}-edges")
     often = rows.groupBy("h", "g").agg(F.least(F.sum("m"), F.lit(1 << 30)).cast("int").alias("t")).where("t > 1")
-    name = F.xxhash64("h", "g").alias("e")
-    return found.unionAll(rows.join(often, ["h", "g"]).select("k", "c", F.col("i").alias("a"), (F.col("i") + 1).cast("int").alias("b"), "m", "t", "x", "y", name))
+    island = F.col("i") - F.row_number().over(Window.partitionBy("k", "c", "t").orderBy("i"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("i", "h", "g"))), lambda w: F.struct(w["h"], w["g"]))
+    glued = rows.join(often, ["h", "g"]).withColumn("z", island).groupBy("k", "c", "t", "z").agg(
+        F.min("i").alias("a"), (F.max("i") + 1).cast("int").alias("b"), F.first("m").alias("m"), F.min_by("x", "i").alias("x"), F.max_by("y", "i").alias("y"), F.xxhash64(words).alias("e")
+    )
+    return found.unionAll(glued.select("k", "c", "a", "b", "m", "t", "x", "y", "e"))
 
 
 def nonbranching_paths(edges: DataFrame, tag: str) -> DataFrame:
@@ -143,11 +148,12 @@ def nonbranching_paths(edges: DataFrame, tag: str) -> DataFrame:
 
 
 def long_spans(occurrences: DataFrame, found: DataFrame, tag: str) -> DataFrame:
-    """Steps 3 and 4: (u, v, s, n) of the repeated spans, in windows, of occurrences (k, c, u, v, s)."""
+    """Steps 3 and 4: (u, v, s, n) of the repeated spans, in windows, of occurrences (k, c, at)."""
     edges = found.groupBy("e").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max("t").alias("t"), F.first(F.col("b") - F.col("a")).alias("n"))
     paths = nonbranching_paths(written(edges, f"{tag}-graph"), tag)
     placed = found.select("k", "c", "a", "b", "e").join(paths, "e").select("k", "c", "a", "b", "head", "off", "size")
-    parts = occurrences.join(placed, ["k", "c"]).select("u", "v", "head", "size", (F.col("s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"), "off")
+    parts = occurrences.join(placed, ["k", "c"]).select(F.explode("at").alias("p"), "a", "b", "head", "size", "off")
+    parts = parts.select("p.u", "p.v", "head", "size", (F.col("p.s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"), "off")
     # rows that repeat id and text share their name, so each stretch of a place counts once
     parts = parts.distinct().withColumn("start", F.col("s") - F.col("off"))
     whole = parts.groupBy("u", "v", "head", "size", "start").agg(F.sum("n").alias("covered"), F.collect_list(F.struct("s", "n")).alias("parts"))

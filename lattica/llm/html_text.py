@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Frequent function words of the corpus languages.
 STOP_WORDS = frozenset(
     "the of and a to in is it that for was with as on are be this by an or from at not which have had "
@@ -291,6 +293,7 @@ def extract(page: str | None) -> list[str]:
 
 def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """``keep`` columns plus ``text`` string: the blocks of the main text, joined by ``\\n\\n``."""
+    bounded_batches(pages.sparkSession)
     source = pages.select(*keep, F.col(html_col).alias("_lt_html"))
     schema = source.drop("_lt_html").withColumn("text", F.lit("")).schema
 

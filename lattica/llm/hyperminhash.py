@@ -13,7 +13,7 @@ steps, each confirmed on full sets:
    not yet joined to;
 2. what is left: bands of three or more classes that still lie in different components. Members
    outside the band's largest component are compared with all of the band, block by block (a
-   band of any size is cut into blocks of about ``BLOCK``), first by the collision-corrected
+   band of any size is cut into blocks of about ``BLOCK`` classes and ``BLOCK_BYTES`` of sets), first by the collision-corrected
    estimate from the registers, then exactly; pairs already joined are passed over;
 3. components of all links.
 
@@ -37,7 +37,7 @@ from .common import slabs, utf8_buffer, written
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 2 << 20
 MAX_BROADCAST_IDS = 1_000_000
 #: Estimates this far below the threshold (over five standard deviations of 128 registers) are passed over.
 SLACK = 0.2
@@ -151,12 +151,13 @@ def _sketch_rows(column) -> np.ndarray:
 def _bands(classes: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 keys = band_keys(_sketch_rows(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), keys.shape[1]))], names=["key", "c"])
+                ids, sizes = (np.repeat(np.asarray(part.column(i)), keys.shape[1]) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel().view(np.int64), ids, sizes)], names=["key", "c", "n"])
 
-    return classes.select("c", "sketch").mapInArrow(work, "key long, c long")
+    return classes.select("c", "sketch", "n").mapInArrow(work, "key long, c long, n long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes, f"{tag}-classes")
     bands = _bands(classes)
     groups = bands.groupBy("key").agg(F.min("c").alias("p"), F.count("*").alias("k")).where("k > 1")
-    members = written(bands.join(groups, "key").select("key", "c", "p", "k"), f"{tag}-members")
+    members = written(bands.join(groups, "key").select("key", "c", "n", "p", "k"), f"{tag}-members")
 
     wanted = members.select("c").distinct().join(classes, "c").select(F.col("id").alias("_lt_id")).distinct()
     wanted = written(wanted, f"{tag}-wanted")
@@ -280,11 +281,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comps = written(components(links, tag), f"{tag}-comps")
 
-    placed = _label(members.where("k > 2").select("key", "c", "p", "k"), comps, "c", "comp")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("k"), F.count("*").alias("parts"))
-    parts = parts.where("parts > 1").select("key", "most", F.ceil(F.col("k") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("k") - F.col("n_most")) / BLOCK).cast("int").alias("ni"))
-    open_rows = placed.drop("k", "p").join(parts, "key")
+    placed = _label(members.where("k > 2").select("key", "c", "n"), comps, "c", "comp")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    most = F.max_by(F.struct("comp", "rows", "size"), F.struct("rows", "comp"))
+    parts = parts.groupBy("key").agg(most.alias("most"), F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / BLOCK, 8 * size / BLOCK_BYTES)).cast("int")
+    rest = blocks(F.col("rows") - F.col("most.rows"), F.col("size") - F.col("most.size"))
+    parts = parts.select("key", F.col("most.comp").alias("most"), blocks(F.col("rows"), F.col("size")).alias("nj"), rest.alias("ni"))
+    open_rows = placed.drop("n").join(parts, "key")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     # members outside the largest component meet every block; every member meets their few blocks

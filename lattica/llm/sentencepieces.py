@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MARKER = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 #: One space, then printable ASCII and precomposed Latin letters, none of which the normaliser changes.
@@ -96,6 +98,7 @@ class ChunkTable:
 
 def encode_decode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text", slab_bytes: int = 1 << 20) -> DataFrame:
     """``keep`` columns plus ``ids`` array<int> (end id included, no start id) and ``decoded`` string."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"))
     schema = source.drop("_lt_text").withColumn("ids", F.lit(None).cast("array<int>")).withColumn("decoded", F.lit(None).cast("string")).schema
     whole = slab_bytes

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .anchors import U64, Bytes, by_anchor, cut, cutter, gathered, keyed, prefix, remove_spans, shared_runs, stretch
 from .common import written
@@ -105,7 +106,8 @@ def _sort_rows(suffixes: DataFrame, tag: str) -> DataFrame:
         key = ["k", "o", *(f"d{i}" for i in range(p + 1))]
         often = left.groupBy(*key).agg(F.sum("m").alias("t")).where("t > 1").select(*key)
         left = written(left.join(often, key, "left_semi"), f"{tag}-suffixes")
-    return left.select("k", "c", F.col("i").alias("a"), (F.col("i") + 1).cast("int").alias("b"))
+    island = F.col("i") - F.row_number().over(Window.partitionBy("k", "c").orderBy("i"))
+    return left.withColumn("g", island).groupBy("k", "c", "g").agg(F.min("i").alias("a"), (F.max("i") + 1).cast("int").alias("b")).drop("g")
 
 
 def repeated_stretches(texts: DataFrame, contents: DataFrame, unit: Bytes, tag: str) -> DataFrame:
@@ -146,5 +148,6 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = keyed(docs, id_col, text_col)
     occurrences, contents = shared_runs(texts, unit, tag)
     decided = repeated_stretches(texts, contents, unit, tag)
-    found = occurrences.join(decided, ["k", "c"]).select("u", "v", (F.col("s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"))
+    found = occurrences.join(decided, ["k", "c"]).select(F.explode("at").alias("p"), "a", "b")
+    found = found.select("p.u", "p.v", (F.col("p.s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"))
     return remove_spans(docs, texts, found, unit, id_col)
