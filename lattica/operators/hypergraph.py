@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import npmi, pair_threshold
+from .ranks import numbered, settled
 
 TRIAD = ["a", "b", "c"]
+BLOCK = 1024
 
 
 def hyperedges(incidence: DataFrame) -> DataFrame:
@@ -60,8 +61,14 @@ def triple_counts(edges: DataFrame) -> DataFrame:
     return triples_of(edges).groupBy("a", "b", "c").agg(F.count("*").alias("cnt"))
 
 
-def closed_triads(edges: DataFrame) -> DataFrame:
-    return triples_of(edges).select("a", "b", "c").distinct()
+def closed_triads(edges: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Triads some paper holds. With ``within`` (pairs a, b) only those whose pairs (a, b) and (a, c) are among
+    these: all that a triangle of these pairs can meet, without the triples of long papers."""
+    if within is None:
+        return triples_of(edges).select("a", "b", "c").distinct()
+    met = pairs_of(edges).join(within.select("a", "b"), ["a", "b"], "left_semi")
+    other = met.select("paper_id", "a", F.col("b").alias("c"))
+    return met.join(other, ["paper_id", "a"]).where("b < c").select("a", "b", "c").distinct()
 
 
 def term_counts(incidence: DataFrame) -> DataFrame:
@@ -98,11 +105,19 @@ def type_mix() -> Column:
 
 
 def triangles(stable: DataFrame) -> DataFrame:
-    """Triads whose three pairs are all edges, with the smallest of their counts."""
-    ab = stable.select("a", "b", F.col("cnt").alias("ab"))
-    bc = stable.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("cnt").alias("bc"))
-    ac = stable.select("a", F.col("b").alias("c"), F.col("cnt").alias("ac"))
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c", F.least("ab", "bc", "ac").alias("weakest_pair_count"))
+    """Triads whose three pairs are all edges, with the smallest of their counts.
+
+    Edges point from the end of lower degree to the other, so that a hub opens few pairs of neighbours.
+    """
+    edges = stable.select("a", "b", "cnt")
+    degree = degrees(edges)
+    one, two = (degree.select(F.col("term_id").alias(x), F.col("degree").alias(f"d_{x}")) for x in "ab")
+    low = F.least(F.struct("d_a", F.col("a").alias("t")), F.struct(F.col("d_b").alias("d_a"), F.col("b").alias("t")))["t"]
+    out = edges.join(one, "a").join(two, "b").select(low.alias("u"), F.when(low == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"), "cnt")
+    pairs = out.join(out.select("u", F.col("v").alias("w"), F.col("cnt").alias("cnt2")), "u").where("v < w")
+    closing = edges.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("cnt").alias("cnt3"))
+    found = pairs.join(closing, ["v", "w"])
+    return found.select(*canonical_triad(F.col("u"), F.col("v"), F.col("w")), F.least("cnt", "cnt2", "cnt3").alias("weakest_pair_count"))
 
 
 def open_triangles(stable: DataFrame, closed: DataFrame, keep_all_tasks: bool = False) -> DataFrame:
@@ -187,10 +202,13 @@ def completions(seeds: DataFrame, terms: DataFrame, scores: DataFrame, closed: D
 
     The score combines M[u, w] and M[v, w] (``default`` for pairs not in ``scores``: a, b, value) by mean,
     min or sum; a triad keeps the largest over its seeds. Closed and all-task triads are dropped.
-    ``terms`` is the vocabulary, small by nature; Spark broadcasts it while it is.
     """
     sym = scores.select(F.col("a").alias("p"), F.col("b").alias("w"), "value").unionAll(scores.select(F.col("b").alias("p"), F.col("a").alias("w"), "value"))
-    spaces = seeds.select(F.col("a").alias("u"), F.col("b").alias("v")).crossJoin(terms.select(F.col("term_id").alias("w"))).where("w <> u AND w <> v")
+    # seeds meet the vocabulary block by block: an equal join on the block's number
+    blocks = -(-terms.count() // BLOCK) or 1
+    vocabulary = terms.groupBy(F.pmod(F.xxhash64("term_id"), F.lit(blocks)).cast("int").alias("blk")).agg(F.collect_list("term_id").alias("ws"))
+    spread = seeds.select(F.col("a").alias("u"), F.col("b").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+    spaces = spread.join(vocabulary, "blk").select("u", "v", F.explode("ws").alias("w")).where("w <> u AND w <> v")
     one = sym.select(F.col("p").alias("u"), "w", F.col("value").alias("m1"))
     two = sym.select(F.col("p").alias("v"), "w", F.col("value").alias("m2"))
     rated = spaces.join(one, ["u", "w"], "left").join(two, ["v", "w"], "left").fillna(default, ["m1", "m2"])
@@ -202,7 +220,7 @@ def completions(seeds: DataFrame, terms: DataFrame, scores: DataFrame, closed: D
 def top_completions(found: DataFrame, stable: DataFrame, budget: int) -> DataFrame:
     """The best ``budget`` with gen_rank and kind; ties by ids."""
     best = found.orderBy(F.desc("score"), *TRIAD).limit(budget)
-    ranked = best.withColumn("gen_rank", F.row_number().over(Window.orderBy(F.desc("score"), *TRIAD)))
+    ranked = numbered(best, [-F.col("score"), *map(F.col, TRIAD)], "gen_rank").withColumn("gen_rank", F.col("gen_rank").cast("int"))
     for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
         edge = stable.select(F.col("a").alias(x), F.col("b").alias(y), F.lit(1).alias(f"s_{x}{y}"))
         ranked = ranked.join(edge, [x, y], "left")
@@ -307,18 +325,25 @@ def network(pairs: DataFrame, min_count: int, min_npmi: float) -> DataFrame:
 def connected_groups(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(term, head): components of links (a, b); the head is the smallest id. Lineage is cut by checkpoints."""
     nodes = links.select(F.col("a").alias("n")).union(links.select("b")).distinct()
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = nodes.select("n", F.col("n").alias("head")).checkpoint()
+    both = settled(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = settled(nodes.select("n", F.col("n").alias("head")))
     for _ in range(max_rounds):
         seen = both.join(label.select(F.col("n").alias("b"), "head"), "b").groupBy("a").agg(F.min("head").alias("low"))
         step = label.join(seen, label["n"] == seen["a"], "left").select("n", F.least("head", F.coalesce("low", "head")).alias("head"))
         # follow the head's own head: chains halve
         jump = step.select(F.col("n").alias("head"), F.col("head").alias("up"))
-        step = step.join(jump, "head").select("n", "up").withColumnRenamed("up", "head").checkpoint()
+        step = settled(step.join(jump, "head").select("n", "up").withColumnRenamed("up", "head"))
         if step.exceptAll(label).isEmpty():
-            break
+            return label.select(F.col("n").alias("term"), "head")
         label = step
-    return label.select(F.col("n").alias("term"), "head")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def named_groups(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(term, head): components of links (a, b); the head is the member with the smallest (name, id) of ``names`` (term, name)."""
+    groups = connected_groups(links).join(names, "term")
+    best = groups.groupBy("head").agg(F.min_by("term", F.struct("name", "term")).alias("best"))
+    return groups.join(best, "head").select("term", F.col("best").alias("head"))
 
 
 def greedy_cover(triads: DataFrame, limit: int) -> list[tuple[str, int]]:

@@ -2,83 +2,101 @@
 
 A dictionary has one row per surface: term_id, text, mode (``ci`` or ``cs``). A token sequence that two terms own is
 ambiguous and skipped. Matches are greedy from the left, longest first, without overlap, one pass
-per mode.
+per mode. Texts and surfaces go through the same normalisation (compatibility forms, and for ``ci`` lower case).
+
+The plan: every text is cut into the word n-grams of the lengths the dictionary has, these are joined to its
+surfaces, and a fold over the sorted hits of a text and mode chooses among them.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_TOKEN = re.compile("[A-Za-z0-9]+")
-MAX_DICTIONARY = 1_000_000
-
-
-class Dictionary:
-    """Token sequences per mode, by first token; built once per worker from plain rows."""
-
-    def __init__(self, rows: list[tuple[str, str, str]]):
-        owners: dict[str, dict[tuple, set]] = {"ci": {}, "cs": {}}
-        for term, text, mode in rows:
-            words = tuple(_TOKEN.findall(text.lower() if mode == "ci" else text))
-            if words:
-                owners[mode].setdefault(words, set()).add(term)
-        self.by_first: dict[str, dict[str, list]] = {}
-        for mode, table in owners.items():
-            starts: dict[str, list] = {}
-            for words, terms in table.items():
-                if len(terms) == 1:
-                    starts.setdefault(words[0], []).append((words, next(iter(terms))))
-            for options in starts.values():
-                options.sort(key=lambda o: -len(o[0]))
-            self.by_first[mode] = starts
-
-    def spans(self, text: str, mode: str) -> list[tuple[str, int, int]]:
-        """(term, first token, end token) of the matches of one pass."""
-        words = _TOKEN.findall(text.lower() if mode == "ci" else text)
-        out, i, starts = [], 0, self.by_first[mode]
-        while i < len(words):
-            hit = next(((w, t) for w, t in starts.get(words[i], ()) if tuple(words[i : i + len(w)]) == w), None)
-            if hit is None:
-                i += 1
-            else:
-                out.append((hit[1], i, i + len(hit[0])))
-                i += len(hit[0])
-        return out
+from ..functions.scalar import nfkc, normalised, tokens
 
+MODES = ("ci", "cs")
 
-def match(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, term_id, mode, first, last (tokens; end exclusive) of every match.
 
-    The dictionary is broadcast; its size is checked.
-    """
-    rows = [tuple(r) for r in dictionary.select("term_id", "text", "mode").limit(MAX_DICTIONARY + 1).collect()]
-    if len(rows) > MAX_DICTIONARY:
-        raise ValueError(f"dictionary of more than {MAX_DICTIONARY} surfaces: match it in parts")
-    held = texts.sparkSession.sparkContext.broadcast(rows)
-    kind = texts.schema[id_col].dataType.simpleString()
+def mode_tokens(text: Column, mode: str) -> Column:
+    """The tokens that ``mode`` compares."""
+    return tokens(normalised(text, unicode_form=True)) if mode == "ci" else tokens(nfkc(text), fold=False)
+
+
+def surfaces(dictionary: DataFrame) -> DataFrame:
+    """mode, gram (tokens joined by a space), size, terms (the sorted owners) of the distinct token sequences."""
+    words = F.when(F.col("mode") == "ci", mode_tokens(F.col("text"), "ci")).otherwise(mode_tokens(F.col("text"), "cs"))
+    rows = dictionary.select("mode", "term_id", words.alias("ws")).where(F.size("ws") > 0)
+    return rows.groupBy("mode", F.array_join("ws", " ").alias("gram"), F.size("ws").alias("size")).agg(F.array_sort(F.collect_set("term_id")).alias("terms"))
 
-    def work(batches):
-        table = Dictionary(held.value)
-        for pdf in batches:
-            out = [(i, t, m, a, b) for i, text in zip(pdf["i"], pdf["t"]) for m in ("ci", "cs") for t, a, b in table.spans(text or "", m)]
-            yield pd.DataFrame(out, columns=[id_col, "term_id", "mode", "first", "last"])
 
-    return texts.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(work, f"{id_col} {kind}, term_id string, mode string, first int, last int")
+def ambiguous(dictionary: DataFrame) -> DataFrame:
+    """mode, gram, terms of the sequences that several terms own."""
+    return surfaces(dictionary).where(F.size("terms") > 1).select("mode", "gram", "terms")
 
 
-def refine(spans: DataFrame, id_col: str, cs_only: DataFrame) -> DataFrame:
-    """Spans not nested in a strictly longer one of either pass; a ``cs`` match stays only with a ``ci``
-    match of its term in the same text, unless the term is in ``cs_only``."""
+def ngrams(words: str, n: int) -> Column:
+    """Structs (first, size, gram) of the ``n`` tokens from every place of the array ``words``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+    return F.transform(starts, lambda i: F.struct(i.alias("first"), F.lit(n).alias("size"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
+
+
+def hits(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``keys``, the columns of ``wanted`` (mode, gram, size, ...), first: every place where a gram of ``wanted`` stands."""
+    sizes = {m: sorted(r["size"] for r in wanted.where(F.col("mode") == m).select("size").distinct().collect()) for m in MODES}  # a few small numbers
+    out = None
+    for mode in MODES:
+        if not sizes[mode]:
+            continue
+        words = texts.select(*keys, mode_tokens(F.coalesce(F.col(text_col), F.lit("")), mode).alias("_ws"))
+        grams = F.flatten(F.array(*(ngrams("_ws", n) for n in sizes[mode])))
+        found = words.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.first", "g.size", "g.gram").join(wanted.where(F.col("mode") == mode), ["gram", "size"])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def match(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, term_id, mode, first, last (tokens; end exclusive) of every match; rows that repeat id and text count once."""
+    schema = f"{id_col} {texts.schema[id_col].dataType.simpleString()}, term_id string, mode string, first int, last int"
+    own = surfaces(dictionary).where(F.size("terms") == 1).select("mode", "gram", "size", F.col("terms")[0].alias("term_id"))
+    named = texts.select(id_col, F.xxhash64(F.col(text_col)).alias("_lt_name"), F.col(text_col).alias("_lt_text"))
+    found = hits(named, own, [id_col, "_lt_name"], "_lt_text")
+    if found is None:
+        return texts.sparkSession.createDataFrame([], schema)
+    # of the hits that begin at one token the longest; then from the left whatever starts where the last one ended or later
+    longest = found.groupBy(id_col, "_lt_name", "mode", "first").agg(F.max(F.struct("size", "term_id")).alias("h"))
+    rows = longest.groupBy(id_col, "_lt_name", "mode").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("h.size")).alias("last"), "h.term_id"))).alias("hs"))
+    none = F.expr("cast(array() as array<struct<first:int,last:int,term_id:string>>)")
+    end = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["last"], F.lit(0))
+    chosen = F.aggregate("hs", none, lambda kept, h: F.when(h["first"] >= end(kept), F.array_append(kept, h)).otherwise(kept))
+    return rows.select(id_col, "mode", F.explode(chosen).alias("m")).select(id_col, "m.term_id", "mode", "m.first", "m.last")
+
+
+def phrases(texts: DataFrame, excluded: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, term_id, first, last of every place where an excluded phrase (term_id, text) of a term stands, case ignored."""
+    rows = excluded.select("term_id", F.lit("ci").alias("mode"), mode_tokens(F.col("text"), "ci").alias("ws")).where(F.size("ws") > 0)
+    wanted = rows.select("term_id", "mode", F.array_join("ws", " ").alias("gram"), F.size("ws").alias("size")).distinct()
+    found = hits(texts, wanted, [id_col], text_col)
+    if found is None:
+        return texts.sparkSession.createDataFrame([], f"{id_col} {texts.schema[id_col].dataType.simpleString()}, term_id string, first int, last int")
+    return found.select(id_col, "term_id", "first", (F.col("first") + F.col("size")).alias("last")).distinct()
+
+
+def refine(spans: DataFrame, id_col: str, cs_only: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Spans not nested in a strictly longer one of either pass and, of a term with excluded ``phrases``, not covered by one;
+    a ``cs`` match stays only with a ``ci`` match of its term in the same text, unless the term is in ``cs_only``."""
     # containment within a text, through the tokens a span covers
     cover = spans.select(id_col, F.col("first").alias("x"), F.col("last").alias("y"), F.explode(F.sequence("first", F.col("last") - 1)).alias("first"))
     nested = spans.join(cover, [id_col, "first"]).where("x <= first AND y >= last AND (y - x) > (last - first)")
     nested = nested.select(id_col, "first", "last").distinct()
     flat = spans.join(nested, [id_col, "first", "last"], "left_anti")
+    if excluded is not None:
+        over = excluded.select(id_col, "term_id", F.col("last").alias("y"), F.explode(F.sequence("first", F.col("last") - 1)).alias("first"), F.col("first").alias("x"))
+        covered = flat.join(over, [id_col, "term_id", "first"]).where("y >= last").select(id_col, "term_id", "first", "last").distinct()
+        flat = flat.join(covered, [id_col, "term_id", "first", "last"], "left_anti")
     backed = flat.where("mode = 'ci'").select(id_col, "term_id").union(flat.select(id_col, "term_id").join(cs_only, "term_id", "left_semi").select(id_col, "term_id")).distinct()
     return flat.where("mode = 'ci'").unionByName(flat.where("mode = 'cs'").join(backed, [id_col, "term_id"], "left_semi").select(flat.columns))
 

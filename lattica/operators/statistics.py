@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import upper_tail
+from .ranks import average_ranks, equal_bins, numbered, running
 
 TRIAD = ["a", "b", "c"]
 
@@ -32,44 +33,37 @@ def null_model(triads: DataFrame, docs: DataFrame, degrees: DataFrame) -> DataFr
 
 def tail_probability(rows: DataFrame) -> DataFrame:
     """Adds p_value = P(X >= observed) from groups and observed."""
-    return rows.withColumn("p_value", upper_tail("groups", "observed"))
+    return rows.withColumn("p_value", upper_tail(F.col("groups"), F.col("observed")))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str = "p_value") -> DataFrame:
-    """Adds q_value: p * m / rank, made monotone from the largest p down, at most 1.
-
-    The rank is global, so the window runs over one ordered partition of (p, keys) rows by definition.
-    """
-    m = rows.agg(F.count("*").alias("m"))
-    up = Window.orderBy(p)
-    ranked = rows.withColumn("_r", F.row_number().over(up)).join(m).withColumn("_q", F.col(p) * F.col("m") / F.col("_r"))
-    back = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min("_q").over(back))).drop("_r", "_q", "m")
+    """Adds q_value: p * m / rank, made monotone from the largest p down, at most 1."""
+    keys = [c for c, kind in rows.dtypes if c != p and kind in ("string", "int", "bigint", "double")]
+    order = [F.col(p), *map(F.col, keys)]
+    ranked = numbered(rows.where(F.col(p).isNotNull()), order, "_r").join(rows.agg(F.count(p).alias("_m")))
+    raw = F.col(p) * F.col("_m") / F.col("_r")
+    return running(ranked, [-F.col("_r")], raw, "_q", how="min").withColumn("q_value", F.least(F.lit(1.0), F.col("_q"))).drop("_r", "_m", "_q")
 
 
 def generic_terms(incidence: DataFrame, degrees: DataFrame, q: float, scale: float = 1.0) -> DataFrame:
     """Terms in more than N / (w* scale) papers, w* the ``q`` quantile (upper neighbour) of the paper degrees."""
-    order = Window.orderBy("degree", "paper_id")
-    ranked = degrees.select("paper_id", "degree").withColumn("i", F.row_number().over(order) - 1).join(degrees.agg(F.count("*").alias("n"), F.sum("degree").alias("total")))
-    limit = ranked.where(F.col("i") == F.ceil(F.lit(q) * (F.col("n") - 1))).select((F.col("total") / F.col("degree") / scale).alias("limit"))
+    # papers are counted per degree: the quantile is the first degree that so many papers reach
+    sizes = running(degrees.groupBy("degree").agg(F.count("*").alias("n")), [F.col("degree")], F.col("n"), "upto")
+    sums = degrees.agg(F.count("*").alias("papers"), F.sum("degree").alias("total"))
+    limit = sizes.join(sums).where(F.col("upto") > F.ceil(F.lit(q) * (F.col("papers") - 1))).agg((F.max("total") / F.min("degree") / scale).alias("limit"))
     counts = incidence.groupBy("term_id").agg(F.count("*").alias("docs"))
     return counts.join(limit).where("docs > limit").select("term_id", "docs")
 
 
-def percentile_rank(column: str, partition: list[str] | None = None) -> Column:
-    """Average rank over the non-null values divided by their number; null stays null."""
-    keys = [F.lit(1)] if not partition else [F.col(c) for c in partition]
-    present = F.col(column).isNotNull()
-    by_value = Window.partitionBy(*keys, present).orderBy(column)
-    ties = Window.partitionBy(*keys, present, F.col(column))
-    total = Window.partitionBy(*keys, present)
-    return F.when(present, (F.rank().over(by_value) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(total))
+def percentile_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds ``name``: average rank over the non-null values divided by their number; null stays null."""
+    return average_ranks(rows, column, name)
 
 
 def weighted_precision(ranked: DataFrame, k: float, order: list[Column], y: str = "y", w: str = "w") -> DataFrame:
     """precision over the first ``k`` units of weight; the row that crosses counts in part."""
-    before = F.sum(w).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(w)
-    taken = ranked.withColumn("_take", F.greatest(F.lit(0.0), F.least(F.col(w).cast("double"), F.lit(float(k)) - before)))
+    upto = running(ranked, order, F.col(w).cast("double"), "_upto")
+    taken = upto.withColumn("_take", F.greatest(F.lit(0.0), F.least(F.col(w).cast("double"), F.lit(float(k)) - (F.col("_upto") - F.col(w)))))
     total = F.sum("_take")
     return taken.agg((F.sum(F.col("_take") * F.col(y)) / F.when(total > 0, total)).alias("precision"), (F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("base_rate")).withColumn("lift", F.col("precision") / F.when(F.col("base_rate") > 0, F.col("base_rate")))
 
@@ -77,8 +71,7 @@ def weighted_precision(ranked: DataFrame, k: float, order: list[Column], y: str
 def average_precision(scored: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     """Average precision with tied scores as one step, and ROC area with half credit for ties."""
     steps = scored.groupBy(score).agg(F.sum(y).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("n").over(down)).withColumn("fp", F.col("all") - F.col("tp"))
+    run = running(running(steps, [-F.col(score)], F.col("p"), "tp"), [-F.col(score)], F.col("n"), "all")
     neg = F.col("n") - F.col("p")
     sums = run.agg(F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"), F.sum("p").alias("pos"), F.sum(neg).alias("neg"), F.sum(neg * (F.col("tp") - F.col("p") / 2)).alias("area"))
     return sums.select((F.col("ap") / F.when(F.col("pos") > 0, F.col("pos"))).alias("average_precision"), (F.col("area") / F.when(F.col("pos") * F.col("neg") > 0, F.col("pos") * F.col("neg"))).alias("roc_auc"))
@@ -141,13 +134,13 @@ def kappa(rows: DataFrame, one: str, two: str) -> DataFrame:
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of the average ranks of complete rows."""
     full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = full.withColumn("_x", percentile_rank(x)).withColumn("_y", percentile_rank(y))
+    ranked = average_ranks(average_ranks(full, x, "_x"), y, "_y")
     return ranked.agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def reliability(rows: DataFrame, score: str, y: str, bins: int, keys: list[str]) -> DataFrame:
     """Equal-count bins by score: mean score, share of positives, size."""
-    binned = rows.withColumn("bin", F.ntile(bins).over(Window.orderBy(score, *keys)))
+    binned = equal_bins(rows, bins, [F.col(score), *map(F.col, keys)], "bin")
     return binned.groupBy("bin").agg(F.avg(score).alias("mean_score"), F.avg(y).alias("share"), F.count("*").alias("n"))
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import gmean, growth
 from ..operators import hypergraph as H
+from ..operators.ranks import numbered
 from .bindings import NOT_ALL_TASKS, incidence, precisions, sql_incidence, sql_open, sql_pairs, sql_pi, sql_triples, table, with_
 from .registry import query
 
@@ -26,17 +26,20 @@ NPMI = (
 
 
 class Graph:
-    """The pieces the queries of this module share."""
+    """The pieces the queries of this module share. ``support`` and ``seeds`` suit the tables the SQL is held against;
+    denser or sparser ones need others (see bench.py)."""
 
-    def __init__(self, spark, sf, term="supplier", window="build", support=SUPPORT):
+    support, seeds = SUPPORT, 14
+
+    def __init__(self, spark, sf, term="supplier", window="build", support=None):
         self.inc = incidence(spark, sf, term, window)
         self.edges = H.hyperedges(self.inc)
         self.pairs = H.pair_counts(self.edges)
         self.closed = H.closed_triads(self.edges)
-        self.stable = H.supported_pairs(self.pairs, support)
+        self.stable = H.supported_pairs(self.pairs, support or self.support)
 
     def open(self):
-        return H.open_triangles(self.stable, self.closed)
+        return H.open_triangles(self.stable, H.closed_triads(self.edges, self.stable))
 
     def npmi(self):
         n = self.edges.agg(F.count("*").alias("n")).first().n
@@ -90,7 +93,8 @@ def g08(spark, sf):
 @query("g08_open_triangles_by_precision", with_(*BASE, sql_pi(), "st AS (SELECT a, b, cnt FROM pc JOIN pi x ON x.term_id = a JOIN pi y ON y.term_id = b WHERE cnt >= ceil(-ln(1 - 0.95::DOUBLE) / (x.pi * y.pi)))", sql_triples(), sql_open()) + f"SELECT * FROM ot WHERE {NOT_ALL_TASKS}")
 def g08p(spark, sf):
     g = Graph(spark, sf)
-    return H.open_triangles(H.stable_pairs(g.pairs, precisions(g.inc)), g.closed)
+    stable = H.stable_pairs(g.pairs, precisions(g.inc))
+    return H.open_triangles(stable, H.closed_triads(g.edges, stable))
 
 
 TWO_HOP = (
@@ -159,7 +163,7 @@ COMPLETE = (
 
 
 def _completions(g):
-    seeds = g.stable.where("cnt >= 14")
+    seeds = g.stable.where(F.col("cnt") >= g.seeds)
     return H.completions(seeds, H.term_counts(g.inc), g.pairs.select("a", "b", F.col("cnt").cast("double").alias("value")), g.closed, "min")
 
 
@@ -296,4 +300,5 @@ def m05(spark, sf):
 
 @query("w01_ranking", with_(*GRAPH) + "SELECT a, b, c, weakest_pair_count, CAST(row_number() OVER (ORDER BY weakest_pair_count DESC, a, b, c) AS INTEGER) AS rank FROM ot")
 def w01(spark, sf):
-    return Graph(spark, sf).open().withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weakest_pair_count"), *H.TRIAD)))
+    rows = numbered(Graph(spark, sf).open(), [-F.col("weakest_pair_count"), *map(F.col, H.TRIAD)], "rank")
+    return rows.withColumn("rank", F.col("rank").cast("int"))

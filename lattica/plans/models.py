@@ -10,6 +10,7 @@ from ..operators import hypergraph as H
 from ..operators import matching as M
 from ..operators import models as L
 from ..operators import statistics as S
+from ..operators.ranks import numbered, running
 from .bindings import table, with_
 from .graph import GRAPH, Graph
 from .registry import query
@@ -51,7 +52,7 @@ def m06(spark, sf):
 
 @query("x13_lift_at_cutoffs", with_(*GRAPH) + "SELECT CAST(k AS INTEGER) AS k, round(avg(y) FILTER (r <= k) / avg(y), 8) AS lift FROM (SELECT row_number() OVER (ORDER BY weakest_pair_count DESC, a, b, c) AS r, (a[1] = 'M')::INT AS y FROM ot), (VALUES (10), (50), (200)) v(k) GROUP BY ALL")
 def x13(spark, sf):
-    rows = Graph(spark, sf).open().withColumn("r", F.row_number().over(Window.orderBy(F.desc("weakest_pair_count"), *H.TRIAD))).withColumn("y", F.col("a").startswith("M").cast("int"))
+    rows = numbered(Graph(spark, sf).open(), [-F.col("weakest_pair_count"), *map(F.col, H.TRIAD)], "r").withColumn("y", F.col("a").startswith("M").cast("int"))
     cuts = F.array(*map(F.lit, (10, 50, 200)))
     long = rows.withColumn("k", F.explode(cuts))
     return long.groupBy("k").agg(F.round(F.avg(F.when(F.col("r") <= F.col("k"), F.col("y"))) / F.avg("y"), 8).alias("lift"))
@@ -158,7 +159,7 @@ def t17(spark, sf):
 @query("t19_example_sentences")
 def t19(spark, sf):
     s = M.sentences(table(spark, sf, "documents"), "doc_id", "text").where(F.col("sentence").rlike("(?i)\\bwith\\b"))
-    return s.withColumn("r", F.row_number().over(Window.orderBy(F.length("sentence"), "doc_id", "idx"))).where("r <= 5").select("doc_id", "idx", "sentence")
+    return s.orderBy(F.length("sentence"), "doc_id", "idx").limit(5).select("doc_id", "idx", "sentence")
 
 
 @query("f07_drop_modes", "SELECT p_brand, count(*) AS kept FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_type NOT LIKE '%STEEL') GROUP BY ALL")
@@ -183,7 +184,11 @@ def f16(spark, sf):
 
 @query("o02_baseline_order", with_(*GRAPH) + "SELECT a, b, c, CAST(row_number() OVER (ORDER BY c DESC, a, b) AS INTEGER) AS place FROM ot")
 def o02(spark, sf):
-    return Graph(spark, sf).open().select(*H.TRIAD, F.row_number().over(Window.orderBy(F.desc("c"), "a", "b")).alias("place"))
+    rows = Graph(spark, sf).open().select(*H.TRIAD)
+    blocks = running(rows.groupBy("c").agg(F.count("*").alias("n")), [F.col("c")], F.col("n"), "upto").select("c", "upto")
+    placed = rows.join(blocks, "c").join(rows.agg(F.count("*").alias("n")))
+    own = F.row_number().over(Window.partitionBy("c").orderBy("a", "b"))
+    return placed.select(*H.TRIAD, (F.col("n") - F.col("upto") + own).cast("int").alias("place"))
 
 
 @query("r04_prospective_terms", "SELECT DISTINCT l_suppkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > TIMESTAMP '1999-12-31' AND o_orderdate <= TIMESTAMP '2000-12-31'")

@@ -46,4 +46,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     edges = H.hyperedges(incidence(spark, sf_dir, "part", window=None))
     stable = H.supported_pairs(H.pair_counts(edges), 2)
-    return H.open_triangles(stable, H.closed_triads(edges), keep_all_tasks=True)
+    return H.open_triangles(stable, H.closed_triads(edges, stable), keep_all_tasks=True)

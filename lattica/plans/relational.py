@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import relational as R
+from ..operators.ranks import equal_bins
 from .bindings import table
 from .registry import query
 
@@ -248,7 +249,7 @@ def w02(spark, sf):
 
 @query("w07_equal_bins", "SELECT p_partkey, CAST(ntile(8) OVER (ORDER BY p_retailprice, p_partkey) AS INTEGER) AS bin FROM part")
 def w07(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.ntile(8).over(Window.orderBy("p_retailprice", "p_partkey")).alias("bin"))
+    return equal_bins(table(spark, sf, "part").select("p_partkey", "p_retailprice"), 8, [F.col("p_retailprice"), F.col("p_partkey")], "bin").select("p_partkey", "bin")
 
 
 @query("o03_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")

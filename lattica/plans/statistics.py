@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import axis_score, minimum_documents, wilson
 from ..operators import hypergraph as H
 from ..operators import statistics as S
+from ..operators.ranks import numbered
 from .bindings import incidence, sql_incidence, table, with_
 from .graph import GRAPH, LABELS, Graph
 from .registry import query
@@ -37,6 +38,11 @@ class Null(Graph):
         return self.open().withColumnRenamed("weakest_pair_count", "score").join(seen, H.TRIAD, "left").fillna(0, ["y"])
 
 
+def ascending(score: str):
+    """The same order in ascending keys."""
+    return [-F.col(score), *map(F.col, H.TRIAD)]
+
+
 def by_rank():
     return [F.desc("score"), *map(F.asc, H.TRIAD)]
 
@@ -113,7 +119,7 @@ def x09(spark, sf):
 @query("x10_percentile_rank", "SELECT c_custkey, round((rank() OVER (ORDER BY floor(c_acctbal / 100)) + (count(*) OVER (PARTITION BY floor(c_acctbal / 100)) - 1) / 2) / count(*) OVER (), 8) AS pct FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_acctbal < 0")
 def x10(spark, sf):
     v = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100)).alias("v"))
-    return v.select("c_custkey", F.round(S.percentile_rank("v"), 8).alias("pct"))
+    return S.percentile_rank(v, "v", "p").select("c_custkey", F.round("p", 8).alias("pct"))
 
 
 @query("x11_quantiles", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.025), 6) AS lo, round(quantile_cont(l_quantity, 0.5), 6) AS mid, round(quantile_cont(l_extendedprice, 0.975), 6) AS hi FROM lineitem GROUP BY ALL")
@@ -124,8 +130,8 @@ def x11(spark, sf):
 
 @query("x12_weighted_precision", with_(*RANKED, "t AS (SELECT y, w, greatest(0, least(w, 100.0 - (sum(w) OVER (ORDER BY r) - w))) AS take FROM (SELECT *, 1.0::DOUBLE + r % 3 AS w FROM rk))") + "SELECT round(sum(take * y) / sum(take), 8) AS precision, round(sum(w * y) / sum(w), 8) AS base_rate, round((sum(take * y) / sum(take)) / (sum(w * y) / sum(w)), 6) AS lift FROM t")
 def x12(spark, sf):
-    r = Null(spark, sf).ranked().withColumn("r", F.row_number().over(Window.orderBy(*by_rank()))).withColumn("w", 1.0 + F.col("r") % 3)
-    out = S.weighted_precision(r, 100, [F.asc("r")])
+    r = numbered(Null(spark, sf).ranked(), ascending("score"), "r").withColumn("w", 1.0 + F.col("r") % 3)
+    out = S.weighted_precision(r, 100, [F.col("r")])
     return out.select(F.round("precision", 8).alias("precision"), F.round("base_rate", 8).alias("base_rate"), F.round("lift", 6).alias("lift"))
 
 
@@ -208,7 +214,9 @@ def x26(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     v = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_acctbal").agg(F.count("o_orderkey").alias("D"), F.max("o_totalprice").alias("F"))
     v = v.withColumn("V", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
-    p = v.select("c_custkey", *(S.percentile_rank(x).alias(f"p{x}") for x in "DFV"))
+    p = v
+    for x in "DFV":
+        p = S.percentile_rank(p, x, f"p{x}")
     s = p.select("*", *(F.when(F.col(f"p{x}").isNotNull(), axis_score(F.col(f"p{x}"))).alias(f"score_{x.lower()}") for x in "DFV"))
     missing = F.coalesce(*(F.when(F.col(f"p{x}").isNull(), x) for x in "DFV"))
     lowest = F.least(*(F.struct(F.col(f"score_{x.lower()}").alias("s"), F.col(f"p{x}").alias("p"), F.lit(i).alias("i"), F.lit(x).alias("axis")) for i, x in enumerate("DFV")))["axis"]
@@ -238,8 +246,9 @@ def x31(spark, sf):
 @query("x32_ranking_overlap", with_(*GRAPH, "r1 AS (SELECT a, b, c, row_number() OVER (ORDER BY weakest_pair_count DESC, a, b, c) AS r1 FROM ot QUALIFY r1 <= 200), r2 AS (SELECT a, b, c, row_number() OVER (ORDER BY weakest_pair_count DESC, c DESC, b DESC, a DESC) AS r2 FROM ot QUALIFY r2 <= 200)") + "SELECT a, b, c, CAST(r1 AS INTEGER) AS r1, CAST(r2 AS INTEGER) AS r2 FROM r1 JOIN r2 USING (a, b, c)")
 def x32(spark, sf):
     rows = Graph(spark, sf).open()
-    one = rows.withColumn("r1", F.row_number().over(Window.orderBy(F.desc("weakest_pair_count"), *H.TRIAD))).where("r1 <= 200")
-    two = rows.withColumn("r2", F.row_number().over(Window.orderBy(F.desc("weakest_pair_count"), F.desc("c"), F.desc("b"), F.desc("a")))).where("r2 <= 200")
+    top = lambda order, name: rows.orderBy(*order).limit(200).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    one = top([F.desc("weakest_pair_count"), *H.TRIAD], "r1")
+    two = top([F.desc("weakest_pair_count"), F.desc("c"), F.desc("b"), F.desc("a")], "r2")
     return one.select(*H.TRIAD, "r1").join(two.select(*H.TRIAD, "r2"), H.TRIAD)
 
 

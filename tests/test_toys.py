@@ -1,8 +1,11 @@
 """Small inputs with known results for operators, sources and the stream."""
 
 import gzip
+import itertools
 import math
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,112 +27,212 @@ def one(spark, **columns):
 
 
 def test_pair_threshold_and_growth(spark):
-    r = one(spark, a=fn.pair_threshold(F.lit(1.0), F.lit(1.0), 0.95), b=fn.pair_threshold(F.lit(0.75), F.lit(0.75), 0.95), g=fn.growth(F.lit(3), F.lit(4)))
-    assert (r.a, r.b) == (3, 6) and r.g == pytest.approx((3 / 2 + 1) / (1 / 3 + 1))
+    r = one(spark, a=fn.pair_threshold(F.lit(0.5), F.lit(0.8), 0.9), b=fn.pair_threshold(F.lit(1.0), F.lit(0.1), 0.99), g=fn.growth(F.lit(8), F.lit(10)))
+    # ln(10) / 0.4 = 5.76, ln(100) / 0.1 = 46.05
+    assert (r.a, r.b) == (6, 47) and r.g == pytest.approx(5 / (5 / 3))
 
 
 def test_npmi_and_gmean(spark):
-    r = one(spark, a=fn.npmi(F.lit(0), F.lit(5), F.lit(5), F.lit(100.0)), b=fn.npmi(F.lit(100), F.lit(100), F.lit(100), F.lit(100.0)), z=fn.gmean(F.lit(0), F.lit(0), F.lit(0)), g=fn.gmean(F.lit(3), F.lit(3), F.lit(3)))
-    assert (r.a, r.b, r.z) == (-1, 1, 0) and r.g == pytest.approx(3)
-
-
-def test_open_triangle_and_two_hop(spark):
-    e = graph(spark, 3 * [["M:a", "M:b"]] + 3 * [["M:b", "T:c"]] + 3 * [["M:a", "T:c"]] + 3 * [["M:a", "M:d"]])
-    pairs, closed = H.pair_counts(e), H.closed_triads(e)
-    stable = H.supported_pairs(pairs, 3)
-    assert [tuple(r) for r in H.open_triangles(stable, closed).collect()] == [("M:a", "M:b", "T:c", 3)]
-    hops = {tuple(r)[:3] for r in H.two_hop(stable, pairs, closed).collect()}
-    assert hops == {("M:a", "M:b", "M:d"), ("M:a", "M:d", "T:c")}
-    assert H.two_hop(stable, pairs, closed, limit=1).count() == 1
-    full = graph(spark, 3 * [["M:a", "M:b", "T:c"]])
-    assert H.open_triangles(H.supported_pairs(H.pair_counts(full), 3), H.closed_triads(full)).count() == 0
-
-
-def test_adamic_adar_star(spark):
-    stable = spark.createDataFrame([("M:0", "M:1", 3), ("M:0", "M:2", 3)], "a string, b string, cnt long")
-    assert [(r.a, r.b, round(r.aa, 9)) for r in H.adamic_adar(stable).collect()] == [("M:1", "M:2", round(1 / math.log(2), 9))]
+    r = one(spark, a=fn.npmi(F.lit(0), F.lit(7), F.lit(2), F.lit(40.0)), b=fn.npmi(F.lit(64), F.lit(64), F.lit(64), F.lit(64.0)), c=fn.npmi(F.lit(4), F.lit(8), F.lit(8), F.lit(64.0)), z=fn.gmean(F.lit(-2), F.lit(0), F.lit(0)), g=fn.gmean(F.lit(1), F.lit(3), F.lit(7)))
+    # p = 1/16 against 1/8 * 1/8: ln 4 / ln 16
+    assert (r.a, r.b, r.z) == (-1, 1, 0) and r.c == pytest.approx(0.5) and r.g == pytest.approx(3)
+
+
+def random_papers(seed, n=160, terms=14):
+    rng = random.Random(seed)
+    names = [f"{'MT'[i % 3 == 0]}:{i:02d}" for i in range(terms)]
+    weights = [1 / (i + 1) for i in range(terms)]
+    return [sorted(set(rng.choices(names, weights, k=rng.randint(1, 5)))) for _ in range(n)]
+
+
+def counted_pairs(papers):
+    return Counter(p for t in papers for p in itertools.combinations(t, 2))
+
+
+def test_triads_against_enumeration(spark):
+    papers, k = random_papers(3), 3
+    e = graph(spark, papers)
+    counts = counted_pairs(papers)
+    stable = {p: n for p, n in counts.items() if n >= k}
+    closed = {t for paper in papers for t in itertools.combinations(paper, 3)}
+    tasks = lambda t: all(x.startswith("T:") for x in t)
+    names = sorted({x for p in papers for x in p})
+    edge = lambda x, y: tuple(sorted((x, y))) in stable
+    want = {t: min(stable[p] for p in itertools.combinations(t, 2)) for t in itertools.combinations(names, 3) if all(p in stable for p in itertools.combinations(t, 2)) and t not in closed and not tasks(t)}
+    table = H.supported_pairs(H.pair_counts(e), k)
+    for known in (H.closed_triads(e), H.closed_triads(e, table)):
+        assert {(r.a, r.b, r.c): r.weakest_pair_count for r in H.open_triangles(table, known).collect()} == want
+    assert want and {tuple(r) for r in H.closed_triads(e).collect()} == closed
+    degree = Counter(x for p in stable for x in p)
+    aa = {(x, y): sum(1 / math.log(degree[z]) for z in names if edge(x, z) and edge(y, z) and degree[z] > 1) for x, y in itertools.combinations(names, 2)}
+    got = {(r.a, r.b): r.aa for r in H.adamic_adar(table).collect()}
+    assert got == pytest.approx({p: v for p, v in aa.items() if v})
+    hops = {t for t in itertools.combinations(names, 3) if sum(p in stable for p in itertools.combinations(t, 2)) == 2 and t not in closed and not tasks(t)}
+    assert {(r.a, r.b, r.c) for r in H.two_hop(table, H.pair_counts(e), H.closed_triads(e)).collect()} == hops
+    assert H.two_hop(table, H.pair_counts(e), H.closed_triads(e), limit=2).count() == min(2, len(hops))
+
+
+@pytest.mark.parametrize("how", ["mean", "min", "sum"])
+def test_completions_against_enumeration(spark, monkeypatch, how):
+    monkeypatch.setattr(H, "BLOCK", 4)
+    papers = random_papers(5, 60, 9)
+    e, counts = graph(spark, papers), counted_pairs(random_papers(5, 60, 9))
+    names = sorted({x for p in papers for x in p})
+    seeds = [p for p, n in counts.items() if n >= 6]
+    value = lambda x, y: counts[tuple(sorted((x, y)))]
+    join = {"mean": lambda x, y: (x + y) / 2, "min": min, "sum": lambda x, y: x + y}[how]
+    want = {}
+    for u, v in seeds:
+        for w in names:
+            t = tuple(sorted((u, v, w)))
+            if w not in (u, v) and not all(x.startswith("T:") for x in t) and not any(set(t) <= set(p) for p in papers):
+                want[t] = max(want.get(t, 0), join(value(u, w), value(v, w)))
+    pairs = H.pair_counts(e)
+    got = H.completions(pairs.where("cnt >= 6"), H.term_counts(H.incidence_of(e)), pairs.select("a", "b", F.col("cnt").cast("double").alias("value")), H.closed_triads(e), how)
+    assert {(r.a, r.b, r.c): r.score for r in got.collect()} == want and want
 
 
 def test_context_overlap(spark):
-    e = graph(spark, [["u", "v", "x"], ["v", "w", "x"], ["u", "w", "y"]])
-    t = spark.createDataFrame([("u", "v", "w"), ("u", "v", "y")], "a string, b string, c string")
-    got = {(r.a, r.b, r.c): (round(r.s_max, 6), round(r.s_mean, 6)) for r in H.context_overlap(t, e).collect()}
-    assert got["u", "v", "w"] == (1.0, round(1 / 3, 6)) and got["u", "v", "y"][0] == 0.0
+    # contexts of the pairs of (p, q, r): pq {s: 2, t: 1}, pr {s: 1}, qr {} as they never meet
+    e = graph(spark, [["p", "q", "s"], ["p", "q", "s", "t"], ["p", "r", "s"], ["q", "t"]])
+    rows = spark.createDataFrame([("p", "q", "r")], "a string, b string, c string")
+    r = H.context_overlap(rows, e).first()
+    assert (r.s_max, r.s_mean) == pytest.approx((2 / math.sqrt(5), 2 / math.sqrt(5) / 3))
 
 
 def test_components_and_cover(spark):
-    links = spark.createDataFrame([("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
-    assert {tuple(r) for r in H.connected_groups(links).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
-    t = spark.createDataFrame([("a", "b", "c"), ("a", "d", "e"), ("f", "g", "h")], "a string, b string, c string")
-    assert H.greedy_cover(t, 5) == [("a", 2), ("f", 1)]
+    links = spark.createDataFrame([(9, 4), (4, 6), (6, 8), (1, 3), (20, 21), (21, 20)], "a long, b long")
+    assert {r.term: r.head for r in H.connected_groups(links).collect()} == {9: 4, 4: 4, 6: 4, 8: 4, 1: 1, 3: 1, 20: 20, 21: 20}
+    names = spark.createDataFrame([(9, "ant"), (4, "bee"), (6, "ant"), (8, "cow"), (1, "x"), (3, "w"), (20, "z"), (21, "z")], "term long, name string")
+    assert {r.term: r.head for r in H.named_groups(links, names).collect()} == {9: 6, 4: 6, 6: 6, 8: 6, 1: 3, 3: 3, 20: 20, 21: 20}
+    rows = [("k", "l", "m"), ("k", "n", "o"), ("l", "n", "p"), ("q", "r", "s"), ("k", "x", "y")]
+    t = spark.createDataFrame(rows, "a string, b string, c string")
+    assert H.greedy_cover(t, 9) == [("k", 3), ("l", 1), ("q", 1)]
 
 
 def test_upper_tail_against_enumeration(spark):
-    groups = [(3, 0.1), (2, 0.35), (1, 0.8)]
-    mass = {0: 1.0}
-    for n, q in groups:
-        for _ in range(n):
-            new = {}
-            for k, p in mass.items():
-                new[k] = new.get(k, 0) + p * (1 - q)
-                new[k + 1] = new.get(k + 1, 0) + p * q
-            mass = new
-    rows = spark.createDataFrame([([{"n": n, "q": q} for n, q in groups], o) for o in range(8)] + [([{"n": 5, "q": 0.0}], 1), ([{"n": 5, "q": 1.0}], 5)], "groups array<struct<n:long,q:double>>, observed long")
-    got = [r.p_value for r in S.tail_probability(rows).collect()]
-    for o in range(8):
-        assert got[o] == pytest.approx(sum(p for k, p in mass.items() if k >= o), abs=1e-12)
-    assert got[8:] == [0.0, 1.0]
-
-
-def test_benjamini_hochberg(spark):
-    rows = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.2,)], "p_value double")
-    got = {r.p_value: r.q_value for r in S.benjamini_hochberg(rows).collect()}
-    assert got == pytest.approx({0.01: 0.04, 0.04: 0.16 / 3, 0.03: 0.16 / 3, 0.2: 0.2})
+    rng = random.Random(8)
+    cases = [[(rng.randint(0, 6), rng.choice([0.0, 1e-5, 0.02, 0.4, 0.5, 0.77, 1.0])) for _ in range(rng.randint(0, 4))] for _ in range(25)] + [[(300, 0.02), (40, 0.3)]]
+
+    def tail(groups, o):
+        mass = [1.0]
+        for q in (q for n, q in groups for _ in range(n)):
+            mass = [(mass[i] if i < len(mass) else 0) * (1 - q) + (mass[i - 1] if i else 0) * q for i in range(len(mass) + 1)]
+        return sum(mass[o:])
+
+    rows = [(i, [{"n": n, "q": q} for n, q in g], o) for i, g in enumerate(cases) for o in (0, 1, 2, 5, 13, 30)]
+    df = spark.createDataFrame(rows, "i int, groups array<struct<n:long,q:double>>, observed long")
+    for r in S.tail_probability(df).collect():
+        assert r.p_value == pytest.approx(tail(cases[r.i], r.observed), abs=1e-12), (cases[r.i], r.observed)
+
+
+def test_benjamini_hochberg_with_ties(spark):
+    rng = random.Random(4)
+    p = [rng.choice([0.001, 0.02, 0.02, 0.3, rng.random(), 1.0]) for _ in range(700)]
+    rows = spark.createDataFrame(list(enumerate(p)), "i int, p_value double")
+    order = sorted(range(len(p)), key=lambda i: p[i])
+    want, low = {}, 1.0
+    for rank in range(len(p), 0, -1):
+        low = min(low, p[order[rank - 1]] * len(p) / rank)
+        want[order[rank - 1]] = low
+    assert {r.i: r.q_value for r in S.benjamini_hochberg(rows).collect()} == pytest.approx(want)
+
+
+def test_running_totals_and_ranks(spark):
+    from lattica.operators import ranks
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 1, 2, 2, 7, rng.randint(0, 900)]), rng.choice("abc")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, v int, s string").repartition(5)
+    placed = ranks.numbered(df, [F.col("s"), -F.col("v"), F.col("i")], "place")
+    order = sorted(rows, key=lambda r: (r[2], r[1] is not None, -(r[1] or 0), r[0]))
+    assert {r.i: r.place for r in placed.collect()} == {r[0]: n for n, r in enumerate(order, 1)}
+    values = [r[1] for r in rows if r[1] is not None]
+    got = {r.i: r.p for r in ranks.average_ranks(df, "v", "p").collect()}
+    share = {v: (sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2) / len(values) for v in set(values)}
+    assert all(got[i] == (None if v is None else pytest.approx(share[v])) for i, v, _ in rows)
+    bins = Counter(r.bin for r in ranks.equal_bins(df, 8, [F.col("i")], "bin").collect())
+    assert bins == {b: 188 if b <= 4 else 187 for b in range(1, 9)}
+    assert ranks.numbered(df.where("false"), [F.col("i")], "place").count() == 0
 
 
 def test_wilson(spark):
-    lo, hi = fn.wilson(F.lit(90), F.lit(100))
+    lo, hi = fn.wilson(F.lit(3), F.lit(12))
     r = one(spark, lo=lo, hi=hi, none=fn.wilson(F.lit(0), F.lit(0))[0])
-    assert (round(r.lo, 3), round(r.hi, 3), r.none) == (0.826, 0.945, None)
+    # the ends are where (p - 1/4)^2 = z^2 p (1 - p) / 12
+    for end in (r.lo, r.hi):
+        assert (end - 0.25) ** 2 == pytest.approx(1.959963984540054**2 * end * (1 - end) / 12)
+    assert r.lo < 0.25 < r.hi and r.none is None
 
 
-@pytest.mark.parametrize(("w", "k", "want"), [((1, 1, 1), 2, 0.5), ((2, 1, 1), 2, 1.0), ((0, 0, 1), 1, 1.0)])
-def test_weighted_precision(spark, w, k, want):
-    rows = spark.createDataFrame([(i, y, float(x)) for i, (y, x) in enumerate(zip((1, 0, 1), w))], "i int, y int, w double")
-    assert S.weighted_precision(rows, k, [F.asc("i")]).first().precision == want
+def test_weighted_precision(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 1), rng.choice([0.0, 0.5, 1.0, 3.0])) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, y int, w double")
+    for k in (1, 4.5, 20, 500):
+        left, hit = k, 0.0
+        for _, y, w in rows:
+            take = min(w, left)
+            left, hit = left - take, hit + take * y
+        assert S.weighted_precision(df, k, [F.col("i")]).first().precision == pytest.approx(hit / (k - left))
 
 
 def test_diversified_order_and_sequence():
-    assert S.diversified([0, 1, 2, 3], [("hub",), ("hub",), ("hub",), ("x",)], 2) == [0, 1, 3, 2]
-    assert S.run_sequence([("a", True), ("b", False), ("c", True)]) == [("a", "pass"), ("b", "fail"), ("c", "not tested")]
+    terms = [("p", "q"), ("p", "r"), ("p", "s"), ("q", "r"), ("s", "t"), ("r", "t")]
+    # cap 1: pq first, then st; the others share a term with these
+    assert S.diversified([0, 1, 2, 3, 4, 5], terms, 1) == [0, 4, 1, 2, 3, 5]
+    # cap 2: after rt, st, qr and ps the term r is full, so pr waits for pq
+    assert S.diversified([5, 4, 3, 2, 1, 0], terms, 2) == [5, 4, 3, 2, 0, 1]
+    assert S.run_sequence([("one", True), ("two", True), ("three", False), ("four", True)]) == [("one", "pass"), ("two", "pass"), ("three", "fail"), ("four", "not tested")]
     assert S.power_of_test(S.sample_size(0.5, 0.7, 0.05, 0.8), 0.5, 0.7, 0.05) >= 0.8
 
 
 def test_recall_at_budgets(spark):
-    ranked = spark.createDataFrame([("a", "b", str(c), r) for r, c in enumerate((20, 30, 40, 10), 1)], "a string, b string, c string, gen_rank int")
-    hits = spark.createDataFrame([("a", "b", "30"), ("a", "b", "10")], "a string, b string, c string")
-    got = {r.budget: (r.hits, r.recall, r.precision, r.capped) for r in H.recall_at(ranked, hits, 4, [1, 2, 10]).collect()}
-    assert got == {1: (0, 0.0, 0.0, False), 2: (1, 0.25, 0.5, False), 10: (2, 0.5, 0.5, True)}
+    rng = random.Random(1)
+    listed = [("x", "y", f"z{i}") for i in range(30)]
+    real = set(rng.sample(listed, 9)) | {("x", "y", "far"), ("x", "y", "farther")}
+    ranked = spark.createDataFrame([(*t, r) for r, t in enumerate(listed, 1)], "a string, b string, c string, gen_rank int")
+    hits = spark.createDataFrame(sorted(real), "a string, b string, c string")
+    got = {r.budget: (r.hits, r.recall, r.precision, r.capped) for r in H.recall_at(ranked, hits, len(real), [3, 12, 30, 99]).collect()}
+    for b in (3, 12, 30, 99):
+        found = len(real & set(listed[:b]))
+        assert got[b] == (found, found / len(real), found / min(b, 30), b > 30)
+
+
+SURFACES = [("M:qp", "Q-Path", "cs"), ("M:p", "Path", "cs"), ("T:wf", "water flow", "ci"), ("T:w", "water", "ci"), ("M:one", "twin", "ci"), ("M:two", "Twin", "ci"), ("T:fl", "ﬂow rate", "ci")]
 
 
 def test_matcher_rules(spark):
-    rows = [("M:cnn", "CNN", "cs"), ("M:rcnn", "R-CNN", "cs"), ("T:ic", "image classification", "ci"), ("T:img", "image", "ci"), ("M:x", "same", "ci"), ("M:y", "same", "ci")]
-    d = M.Dictionary(rows)
-    assert d.spans("An R-CNN and a CNN, not cnn", "cs") == [("M:rcnn", 1, 3), ("M:cnn", 5, 6)]
-    assert d.spans("Image Classification of an image; same", "ci") == [("T:ic", 0, 2), ("T:img", 4, 5)]
-    texts = spark.createDataFrame([(1, "R-CNN"), (2, None)], "id long, text string")
-    spans = M.match(texts, spark.createDataFrame(rows, "term_id string, text string, mode string"), "id", "text")
-    assert [tuple(r) for r in spans.collect()] == [(1, "M:rcnn", "cs", 0, 2)]
-    only = spark.createDataFrame([("M:rcnn",)], "term_id string")
-    assert M.refine(spans, "id", only).count() == 1
-    assert M.refine(spans, "id", only.where("false")).count() == 0
+    texts = ["A Q-Path, one Path and no path", "WATER-Flow of water; twin", None, "Ｑ_Ｐａｔｈ water flow rate", "water", ""]
+    d = spark.createDataFrame(SURFACES, "term_id string, text string, mode string")
+    spans = M.match(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), d, "id", "text")
+    want = [(0, "M:qp", "cs", 1, 3), (0, "M:p", "cs", 4, 5), (1, "T:wf", "ci", 0, 2), (1, "T:w", "ci", 3, 4), (3, "M:qp", "cs", 0, 2), (3, "T:wf", "ci", 2, 4), (4, "T:w", "ci", 0, 1)]
+    assert sorted(tuple(r) for r in spans.collect()) == sorted(want)
+    assert [tuple(r) for r in M.ambiguous(d).collect()] == [("ci", "twin", ["M:one", "M:two"])]
+    assert M.match(spark.createDataFrame([(1, "x")], "id long, text string"), d.where("false"), "id", "text").count() == 0
+
+
+def test_refined_spans(spark):
+    texts = [(1, "Path of the water flow"), (2, "the water path, as Path goes"), (3, "Path"), (4, "hot water flow"), (5, "hot water and water")]
+    rows = [("M:p", "Path", "cs"), ("M:p", "water path", "ci"), ("T:w", "water", "ci"), ("T:wf", "water flow", "ci"), ("M:c", "Path", "cs2")][:4]
+    t, d = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(rows, "term_id string, text string, mode string")
+    spans = M.match(t, d, "id", "text")
+    none = spark.createDataFrame([], "term_id string")
+    plain = {(r.id, r.term_id, r.mode, r.first) for r in M.refine(spans, "id", none).collect()}
+    # a Path counts only beside the full name; "water" in "water path" is nested in nothing of its own pass
+    assert plain == {(1, "T:wf", "ci", 3), (2, "M:p", "ci", 1), (2, "M:p", "cs", 4), (4, "T:wf", "ci", 1), (5, "T:w", "ci", 1), (5, "T:w", "ci", 3)}
+    lone = {(r.id, r.term_id) for r in M.refine(spans, "id", spark.createDataFrame([("M:p",)], "term_id string")).collect()}
+    assert {(1, "M:p"), (3, "M:p")} <= lone
+    out = M.phrases(t, spark.createDataFrame([("T:w", "hot water"), ("T:x", "water")], "term_id string, text string"), "id", "text")
+    kept = {(r.id, r.term_id, r.first) for r in M.refine(spans, "id", none, out).collect()}
+    assert kept == {(i, term, f) for i, term, _, f in plain} - {(5, "T:w", 1)}
 
 
 def test_window_evidence(spark):
-    rows = spark.createDataFrame([(1, 0, "A and B.", ["A", "B"]), (1, 1, "Then C.", ["C"]), (1, 2, "D.", ["D"]), (2, 0, "A, B compared with.", ["A", "B"]), (2, 1, "C.", ["C"])], "id long, idx int, sentence string, terms array<string>")
-    cue = M.cue_pattern(["compared with"])
-    ids = lambda terms, size: {r.id for r in M.window_evidence(rows, "id", terms, size, cue).collect()}
-    assert ids(["A", "B", "C"], 2) == {1} and ids(["A", "B", "D"], 2) == set() and ids(["A", "B", "C"], 1) == set()
+    rows = [(7, 0, "P.", ["P"]), (7, 1, "Q and R.", ["Q", "R"]), (7, 2, "S.", ["S"]), (8, 0, "P Q, unlike others", ["P", "Q"]), (8, 1, "R.", ["R"]), (8, 2, "P Q.", ["P", "Q"]), (9, 0, "P Q R", ["P", "Q", "R"])]
+    df = spark.createDataFrame(rows, "id long, idx int, sentence string, terms array<string>")
+    ids = lambda terms, size: {r.id for r in M.window_evidence(df, "id", terms, size, M.cue_pattern(["unlike", "in contrast"])).collect()}
+    assert ids(["P", "Q", "R"], 1) == {9} and ids(["P", "Q", "R"], 2) == {7, 8, 9} and ids(["P", "S"], 2) == set() and ids(["P", "S"], 3) == {7}
 
 
 def test_unique_keys_are_asserted(spark):
