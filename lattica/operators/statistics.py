@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import upper_tail
-from .ranks import average_ranks, equal_bins, numbered, running
+from .ranks import average_ranks, equal_bins, numbered, running, settled
 
 TRIAD = ["a", "b", "c"]
 
@@ -88,25 +88,61 @@ def poisson_weight(seed: int, *keys: Column) -> Column:
     return sum((F.when(u > e, 1).otherwise(0) for e in edges[1:]), F.when(u > edges[0], 1).otherwise(0))
 
 
-def candidate_bootstrap(ranked: DataFrame, k: int, replicates: int, seed: int, order: list[Column], key: list[str]) -> DataFrame:
-    """Per replicate the lift at ``k`` when every candidate gets a Poisson(1) weight."""
-    reps = ranked.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    rows = ranked.crossJoin(F.broadcast(reps)).withColumn("w", poisson_weight(seed, F.col("rep"), *map(F.col, key)).cast("double"))
-    return _lift_per_rep(rows, k, order)
+def draws(spark, n: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, i, w): how often each of ``n`` places, from 0, comes up in ``n`` draws with replacement, per replicate; places never drawn are absent."""
+    cells = spark.range(n * replicates)
+    place = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n))
+    return cells.groupBy(F.floor(F.col("id") / n).alias("rep"), place.alias("i")).agg(F.count("*").cast("double").alias("w"))
+
+
+def candidate_bootstrap(ranked: DataFrame, k: int, replicates: int, seed: int, order: list[Column]) -> DataFrame:
+    """Per replicate the lift at ``k`` when as many candidates as there are get drawn with replacement."""
+    placed = settled(numbered(ranked, order, "r"))
+    weights = draws(ranked.sparkSession, placed.count(), replicates, seed)
+    return _lift_per_rep(placed.join(weights, F.col("r") - 1 == F.col("i")), k)
 
 
 def block_bootstrap(ranked: DataFrame, k: int, replicates: int, seed: int, order: list[Column]) -> DataFrame:
-    """The same with the product of its three terms' weights: candidates that share a term move together."""
-    reps = ranked.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    w = poisson_weight(seed, F.col("rep"), F.col("a")) * poisson_weight(seed, F.col("rep"), F.col("b")) * poisson_weight(seed, F.col("rep"), F.col("c"))
-    return _lift_per_rep(ranked.crossJoin(F.broadcast(reps)).withColumn("w", w.cast("double")), k, order)
+    """The same when terms are drawn; a candidate weighs the product of its three terms' counts, so those that share a term move together."""
+    placed = settled(numbered(ranked, order, "r"))
+    terms = settled(numbered(placed.select(F.explode(F.array(*TRIAD)).alias("term")).distinct(), [F.col("term")], "t"))
+    weights = draws(ranked.sparkSession, terms.count(), replicates, seed).join(terms, F.col("t") - 1 == F.col("i"))
+    out = placed
+    for t in TRIAD:
+        own = weights.select(*(["rep"] if t == "a" else [F.col("rep")]), F.col("term").alias(t), F.col("w").alias(f"w_{t}"))
+        out = out.join(own, [t] if t == "a" else ["rep", t])
+    return _lift_per_rep(out.withColumn("w", F.col("w_a") * F.col("w_b") * F.col("w_c")), k)
+
+
+def redrawn(ranked: DataFrame, seed: int) -> DataFrame:
+    """One pseudo replication: terms are drawn with replacement, a candidate comes up as often as the product of its terms' draws."""
+    placed = settled(numbered(ranked.select(F.explode(F.array(*TRIAD)).alias("term")).distinct(), [F.col("term")], "t"))
+    weights = draws(ranked.sparkSession, placed.count(), 1, seed).join(placed, F.col("t") - 1 == F.col("i"))
+    out = ranked
+    for t in TRIAD:
+        out = out.join(weights.select(F.col("term").alias(t), F.col("w").alias(f"w_{t}")), t)
+    times = (F.col("w_a") * F.col("w_b") * F.col("w_c")).cast("int")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*ranked.columns)
 
 
-def _lift_per_rep(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    run = Window.partitionBy("rep").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _lift_per_rep(rows: DataFrame, k: int) -> DataFrame:
+    run = Window.partitionBy("rep").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     take = F.greatest(F.lit(0.0), F.least(F.col("w"), F.lit(float(k)) - (F.sum("w").over(run) - F.col("w"))))
     sums = rows.withColumn("take", take).groupBy("rep").agg(F.sum(F.col("take") * F.col("y")).alias("hit"), F.sum("take").alias("t"), F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum("w").alias("all"))
-    return sums.select("rep", ((F.col("hit") / F.col("t")) / (F.col("pos") / F.col("all"))).alias("lift")).where("lift IS NOT NULL")
+    return sums.select("rep", ((F.col("hit") / F.col("t")) / F.nullif(F.col("pos") / F.col("all"), F.lit(0.0))).alias("lift")).where("lift IS NOT NULL")
+
+
+def paired_difference(ranked: DataFrame, k: int, replicates: int, seed: int, one: list[Column], two: list[Column]) -> DataFrame:
+    """Per replicate the difference of the precision at ``k`` of two orders of the same candidates, under the same draws."""
+    placed = settled(numbered(numbered(ranked, two, "r2"), one, "r"))
+    weights = draws(ranked.sparkSession, placed.count(), replicates, seed)
+    rows = placed.join(weights, F.col("r") - 1 == F.col("i"))
+    parts = []
+    for c in ("r", "r2"):
+        run = Window.partitionBy("rep").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        take = F.greatest(F.lit(0.0), F.least(F.col("w"), F.lit(float(k)) - (F.sum("w").over(run) - F.col("w"))))
+        parts.append(rows.withColumn("take", take).groupBy("rep").agg((F.sum(F.col("take") * F.col("y")) / F.sum("take")).alias(f"p_{c}")))
+    return parts[0].join(parts[1], "rep").select("rep", (F.col("p_r") - F.col("p_r2")).alias("difference"))
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -206,3 +242,43 @@ def diversified_rows(rows: DataFrame, order: list[Column], cap: int) -> DataFram
     kinds = ", ".join(f"{t} {rows.schema[t].dataType.simpleString()}" for t in TRIAD)
     marked = one.mapInArrow(work, f"{kinds}, _later boolean, _n long")
     return marked.select(F.row_number().over(Window.orderBy("_later", "_n")).alias("rank"), *TRIAD)
+
+
+def axis_value(*indicators: Column) -> Column:
+    """Mean of the percentiles that are there; null where none is."""
+    there = F.array_compact(F.array(*indicators))
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.size(there))
+
+
+def riskiest_axis(axes: dict[str, tuple[Column, Column]]) -> Column:
+    """The first axis, in the order given, whose score is missing; else the one with the smallest (score, value)."""
+    missing = F.coalesce(*(F.when(score.isNull(), F.lit(name)) for name, (score, _) in axes.items()))
+    lowest = F.least(*(F.struct(score.alias("s"), value.alias("v"), F.lit(i).alias("i"), F.lit(name).alias("axis")) for i, (name, (score, value)) in enumerate(axes.items())))
+    return F.coalesce(missing, lowest["axis"])
+
+
+def indicators(units: DataFrame, pairs: DataFrame, assignees: DataFrame, key: list[str]) -> DataFrame:
+    """Per candidate: stars (largest of a distinct repository) and their growth, fewest papers of its pairs, whether it is an
+    open triangle, terms with a repository, distinct company assignees and their share of the classified ones.
+
+    ``units``: key, term_id, repo, stars, recent, before; ``pairs``: key, cnt, stable; ``assignees``: key, name, class.
+    """
+    repos = units.where(F.col("repo").isNotNull()).groupBy(*key, "repo").agg(F.max("stars").alias("stars"), F.max("recent").alias("recent"), F.max("before").alias("before"))
+    d = repos.groupBy(*key).agg(F.sum("stars").alias("d_stars"), ((F.sum("recent") + 1) / (F.sum("before") + 1)).alias("d_growth"))
+    terms = units.where(F.col("repo").isNotNull()).groupBy(*key).agg(F.count_distinct("term_id").alias("f_implemented"))
+    f = pairs.groupBy(*key).agg(F.min("cnt").alias("f_pair_papers"), (F.count_if("stable") == 3).alias("f_open"))
+    named = assignees.select(*key, "name", "class").distinct().groupBy(*key).agg(F.count_if(F.col("class") == "company").alias("v_companies"), F.count_if(~F.col("class").isin("unknown", "individual")).alias("classified"))
+    v = named.select(*key, "v_companies", (F.col("v_companies") / F.when(F.col("classified") > 0, F.col("classified"))).alias("v_share"))
+    return f.join(d, key, "left").join(terms, key, "left").join(v, key, "left").fillna(0, ["f_implemented", "v_companies"])
+
+
+def realised_by_score(rows: DataFrame, axes: list[str], realised: str) -> DataFrame:
+    """(axis, score, n, realised): candidates by axis score, missing ones under "missing", and how many came true."""
+    each = F.array(*(F.struct(F.lit(a).alias("axis"), F.coalesce(F.col(a).cast("string"), F.lit("missing")).alias("score")) for a in axes))
+    return rows.select(F.explode(each).alias("x"), F.col(realised).cast("int").alias("y")).groupBy("x.axis", "x.score").agg(F.count("*").alias("n"), F.sum("y").alias("realised"))
+
+
+def adopted(rows: DataFrame, target: float) -> DataFrame:
+    """Adds rule: ``separated`` where the interval (lower, upper) of one side lies above the other's, ``target`` where its lower
+    end reaches the target, else null. ``rows``: lower, upper, other_lower, other_upper."""
+    return rows.withColumn("rule", F.when(F.col("lower") > F.col("other_upper"), "separated").when(F.col("lower") >= target, "target"))

@@ -14,7 +14,7 @@ from ..operators.ranks import numbered, running
 from .bindings import table, with_
 from .graph import GRAPH, Graph
 from .registry import query
-from .statistics import Null, by_rank
+from .statistics import Null, ascending
 
 WORDS = "w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark), tf AS (SELECT item_id, u AS word, count(*) AS tf FROM (SELECT item_id, unnest(ws) AS u FROM w) GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark), df AS (SELECT word, count(*) AS df FROM tf GROUP BY ALL), r AS (SELECT item_id, word, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (word), n WHERE df >= 2 AND df <= 0.5 * n)"
 
@@ -60,27 +60,20 @@ def x13(spark, sf):
 
 @query("x17_paired_difference")
 def x17(spark, sf):
-    """Interval of the difference in lift of two orders under the same weights."""
+    """Interval of the difference in precision of two orders under the same draws."""
     rows = Null(spark, sf).ranked()
-    one = S.block_bootstrap(rows, 100, 60, 7, by_rank()).withColumnRenamed("lift", "l1")
-    two = S.block_bootstrap(rows, 100, 60, 7, [F.asc("a"), F.asc("b"), F.asc("c")]).withColumnRenamed("lift", "l2")
-    return S.interval(one.join(two, "rep").select((F.col("l1") - F.col("l2")).alias("d")), "d")
+    return S.interval(S.paired_difference(rows, 100, 300, 7, ascending("score"), [F.col("a"), F.col("b"), F.col("c")]), "difference")
 
 
 @query("x19_nested_power")
 def x19(spark, sf):
-    """Share of pseudo replications (resampled terms) whose inner bootstrap bound clears lift 1."""
+    """Share of pseudo replications (terms drawn anew) whose inner bootstrap bound clears lift 1."""
     rows = Null(spark, sf).ranked()
-    outer = spark.range(8).withColumnRenamed("id", "outer")
-    inner = spark.range(20).withColumnRenamed("id", "inner")
-    both = rows.crossJoin(F.broadcast(outer)).crossJoin(F.broadcast(inner))
-    w = F.lit(1)
-    for t in H.TRIAD:
-        w = w * S.poisson_weight(11, F.col("outer"), F.col(t)) * S.poisson_weight(12, F.col("outer"), F.col("inner"), F.col(t))
-    both = both.withColumn("w", w.cast("double")).withColumn("rep", F.col("outer") * 100 + F.col("inner"))
-    lifts = S._lift_per_rep(both, 100, by_rank()).withColumn("outer", F.floor(F.col("rep") / 100))
-    bounds = lifts.groupBy("outer").agg(F.percentile("lift", F.lit(0.025)).alias("lower"))
-    return bounds.agg(F.avg((F.col("lower") > 1).cast("int")).alias("power"), F.count("*").alias("replications"))
+    clear = None
+    for outer in range(4):
+        bound = S.interval(S.block_bootstrap(S.redrawn(rows, 11 + outer), 100, 50, 12, ascending("score")), "lift").select((F.col("lower") > 1).cast("int").alias("clears"))
+        clear = bound if clear is None else clear.unionAll(bound)
+    return clear.agg(F.avg("clears").alias("power"), F.count("*").alias("replications"))
 
 
 @query("x27_indicators", """WITH c AS (SELECT n_nationkey AS cand, o_orderkey, o_custkey, o_orderdate, l_suppkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey)

@@ -144,13 +144,13 @@ def x14(spark, sf):
 @query("x15_candidate_bootstrap")
 def x15(spark, sf):
     g = Null(spark, sf)
-    return S.interval(S.candidate_bootstrap(g.ranked(), 100, 100, 7, by_rank(), H.TRIAD), "lift")
+    return S.interval(S.candidate_bootstrap(g.ranked(), 100, 300, 7, ascending("score")), "lift")
 
 
 @query("x16_block_bootstrap")
 def x16(spark, sf):
     g = Null(spark, sf)
-    return S.interval(S.block_bootstrap(g.ranked(), 100, 100, 7, by_rank()), "lift")
+    return S.interval(S.block_bootstrap(g.ranked(), 100, 300, 7, ascending("score")), "lift")
 
 
 @query("x18_verdict_sequence", "SELECT * FROM (VALUES ('S1', 'pass'), ('S2', 'fail'), ('S3', 'not tested')) v(step, verdict)")
