@@ -341,7 +341,9 @@ def by_anchor(pieces: DataFrame, decide, schema: str) -> DataFrame:
         if held:
             yield flush(held)
 
-    return pieces.repartition("k").sortWithinPartitions("k").mapInArrow(work, schema)
+    # a fixed number of tasks: their work lies in the pieces' tokens, not in the bytes that adaptive execution sees
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(work, schema)
 
 
 def remove_spans(docs: DataFrame, texts: DataFrame, found: DataFrame, unit, id_col: str) -> DataFrame:
