@@ -115,31 +115,6 @@ def g22(spark, sf):
     return L.merge_terms(surfaces, heads).select("term_id", F.size("surfaces").cast("long").alias("n"))
 
 
-@query("g26_redundant_pairs", "WITH t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'M:' ELSE 'T:' END || p_partkey AS id, string_split(p_name, ' ') AS w, p_partkey AS k FROM part WHERE p_partkey <= 300), p AS (SELECT x.id AS a, y.id AS b, x.w AS wa, y.w AS wb FROM t x JOIN t y ON x.id < y.id) SELECT a, b, CASE WHEN array_to_string(wa, '') = array_to_string(wb, '') THEN 'D1' WHEN (a[1] = 'M' AND b[1] = 'T' AND list_has_all(wb, wa)) OR (a[1] = 'T' AND b[1] = 'M' AND list_has_all(wa, wb)) THEN 'D2' END AS reason FROM p WHERE reason IS NOT NULL")
-def g26(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey <= 300")
-    names = part.select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "M:").otherwise("T:"), F.col("p_partkey").cast("string")).alias("term_id"), F.split("p_name", " ").alias("words"))
-    pairs = names.select(F.col("term_id").alias("a")).join(names.select(F.col("term_id").alias("b")), F.col("a") < F.col("b"))
-    none = spark.createDataFrame([], "a string, b string, cos double")
-    return L.redundant_pairs(pairs, names, none, 0.9)
-
-
-@query("t13_acronym_variants")
-def t13(spark, sf):
-    names = table(spark, sf, "part").select("p_type").distinct()
-    spark.udtf.register("initial_variants", L.InitialVariants)
-    names.createOrReplaceTempView("lattica_names")
-    return spark.sql("SELECT p_type, v.variant FROM lattica_names, LATERAL initial_variants(p_type) v")
-
-
-@query("t14_restored_acronyms")
-def t14(spark, sf):
-    types = table(spark, sf, "part").select("p_type").distinct()
-    parts = F.split("p_type", " ")
-    short = types.select(F.concat(F.substring(F.get(parts, 0), 1, 1), F.substring(F.get(parts, 1), 1, 1), F.lit(" "), F.get(parts, 2)).alias("text"))
-    return L.restore_acronyms(short, types.select(F.col("p_type").alias("text")), 2)
-
-
 @query("t17_common_words", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), c AS (SELECT u AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS u, doc_id FROM documents) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 50) SELECT w FROM w WHERE w IN (SELECT w FROM c) OR (w LIKE '%s' AND left(w, -1) IN (SELECT w FROM c)) OR (w LIKE '%ed' AND left(w, -2) IN (SELECT w FROM c))")
 def t17(spark, sf):
     words = lambda df: F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")

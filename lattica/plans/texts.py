@@ -87,9 +87,9 @@ def t12(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.regexp_extract("p_brand", "#([0-9]+)", 1).alias("code"), F.regexp_replace("p_brand", "[^A-Za-z]", "").alias("letters"))
 
 
-@query("t15_plural_merge", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents WHERE lang = 'en') SELECT p.w AS plural, coalesce(a.w, b.w) AS singular FROM w p LEFT JOIN w a ON p.w LIKE '%es' AND a.w = left(p.w, -2) LEFT JOIN w b ON p.w LIKE '%s' AND b.w = left(p.w, -1) WHERE coalesce(a.w, b.w) IS NOT NULL")
+@query("t15_plural_merge", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) SELECT p.w AS plural, coalesce(a.w, b.w) AS singular FROM w p LEFT JOIN w a ON p.w LIKE '%es' AND a.w = left(p.w, -2) LEFT JOIN w b ON p.w LIKE '%s' AND b.w = left(p.w, -1) WHERE coalesce(a.w, b.w) IS NOT NULL")
 def t15(spark, sf):
-    words = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("plural")).distinct()
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("plural")).distinct()
     stems = words.select(F.col("plural").alias("s"))
     cut = lambda n: F.expr(f"substring(plural, 1, length(plural) - {n})")
     es = words.where(F.col("plural").endswith("es")).withColumn("s", cut(2)).join(stems, "s").select("plural", F.col("s").alias("x"))
