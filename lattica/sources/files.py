@@ -57,6 +57,125 @@ def string_table(spark: SparkSession, path: str, columns: list[str], sep: str =
     return spark.read.schema(schema).option("sep", sep).option("header", True).csv(path).fillna("")
 
 
+def packed_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """Delimited table inside zip archives, every cell a string and the header row of each member its names.
+
+    All members must have one header; it is read from the first line of one of them.
+    """
+    lines = packed_lines(spark, path).where(F.length("line") > 0)
+    head = lines.first()
+    if head is None:
+        raise ValueError(f"no line in {path}")
+    names = head.line.split(sep)
+    cells = F.split("line", "\\Q" + sep + "\\E", -1)
+    rows = lines.where(F.col("line") != head.line)
+    return rows.select(*(F.coalesce(F.get(cells, i), F.lit("")).alias(n) for i, n in enumerate(names)))
+
+
+def json_table(spark: SparkSession, path: str, array: str, schema: str) -> DataFrame:
+    """Rows of the array under key ``array`` of JSON documents that span lines, in order of place."""
+    whole = spark.read.option("multiLine", True).schema(f"`{array}` array<struct<{schema}>>").json(path)
+    return whole.select(F.posexplode(array).alias("place", "_row")).select("place", "_row.*")
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct words of a list, one per line, in lower case."""
+    return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
+
+
+def write_rows(df: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
+    """Parquet files of at most ``rows_per_file`` rows."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def verified_links(links: DataFrame, ids: str, most: int) -> DataFrame:
+    """Links whose page names their id among at most ``most`` ids. ``links``: id, and the array ``ids``."""
+    return links.where(F.array_contains(ids, F.col("id")) & (F.size(F.array_distinct(ids)) <= most))
+
+
+def require_known(config: dict[str, str], known: dict[str, set[str]]) -> None:
+    """Fails where a configured rule is none of those there are."""
+    bad = {k: v for k, v in config.items() if v not in known.get(k, set())}
+    if bad:
+        raise ValueError(f"unknown rules: {bad}")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes the optimiser expects the plan to give, for a cap before it runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+class Report:
+    """Numbers of a report by (file, dotted path, style), each recorded as it is printed."""
+
+    STYLES = {"str": str, "int": lambda v: f"{int(v):,}", "d3": lambda v: f"{float(v):.3f}", "pct": lambda v: f"{100 * float(v):.1f}%"}
+
+    def __init__(self, folder: str):
+        self.folder, self.read, self.records = Path(folder), {}, []
+
+    def value(self, file: str, path: str):
+        if file not in self.read:
+            self.read[file] = json.loads((self.folder / f"{file}.json").read_text())
+        found = self.read[file]
+        for part in path.split("."):
+            found = found[int(part)] if isinstance(found, list) else found[part]
+        return found
+
+    def text(self, file: str, path: str, style: str = "str") -> str:
+        found = self.value(file, path)
+        shown = self.STYLES[style](found)
+        self.records.append((file, path, json.dumps(found), shown))
+        return shown
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The numbers printed so far: file, path, value, text."""
+        return spark.createDataFrame(self.records, "file string, path string, value string, text string")
+
+
+class Resumed:
+    """Answers of a slow source kept in a JSON-lines file, so that a broken run goes on where it stopped.
+
+    ``ask`` maps a key to a JSON value; a ``Later`` it raises is waited for, each time twice as long.
+    """
+
+    class Later(Exception):
+        pass
+
+    def __init__(self, path: str, ask, wait: float = 1.0, tries: int = 6, sleep=None):
+        import time
+
+        self.path, self.ask, self.wait, self.tries, self.sleep = Path(path), ask, wait, tries, sleep or time.sleep
+        self.known = {}
+        if self.path.exists():
+            for line in self.path.read_text().splitlines():
+                row = json.loads(line)
+                self.known[row["key"]] = row["value"]
+
+    def get(self, key: str):
+        if key not in self.known:
+            for n in range(self.tries):
+                try:
+                    value = self.ask(key)
+                    break
+                except Resumed.Later:
+                    if n == self.tries - 1:
+                        raise
+                    self.sleep(self.wait * 2**n)
+            with self.path.open("a") as out:
+                out.write(json.dumps({"key": key, "value": value}) + "\n")
+            self.known[key] = value
+        return self.known[key]
+
+    def table(self, spark: SparkSession, keys: list[str]) -> DataFrame:
+        """key, value (JSON text) of all ``keys``."""
+        return spark.createDataFrame([(k, json.dumps(self.get(k))) for k in keys], "key string, value string")
+
+
 def review_sheet(spark: SparkSession, path: str) -> DataFrame:
     """CSV sheet with a header, all strings; a byte-order mark before the first name is dropped."""
     df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path).fillna("")

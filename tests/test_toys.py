@@ -259,6 +259,48 @@ def test_sources(spark, tmp_path):
     assert files.check_inventory({"s.csv": ((tmp_path / "s.csv").stat().st_size, digest), "none": (1, "")}, str(tmp_path)) == ["none"]
 
 
+def test_more_sources_and_sinks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("a.tsv", "id\tname\n1\tx\n2\t\n")
+        z.writestr("b.tsv", "id\tname\n3\ty z\n")
+    rows = files.packed_table(spark, str(tmp_path / "t.zip"))
+    assert sorted((r.id, r.name) for r in rows.collect()) == [("1", "x"), ("2", ""), ("3", "y z")]
+    (tmp_path / "v.json").write_text('{"terms": [\n {"id": "M:a", "n": 1},\n {"id": "T:b"}], "other": 3}')
+    assert [tuple(r) for r in files.json_table(spark, str(tmp_path / "v.json"), "terms", "id string, n int").collect()] == [(0, "M:a", 1), (1, "T:b", None)]
+    (tmp_path / "w.txt").write_text("Apple\n\n apple \nPear\n")
+    assert {r.word for r in files.word_list(spark, str(tmp_path / "w.txt")).collect()} == {"apple", "pear"}
+    files.write_rows(spark.range(25, numPartitions=1), str(tmp_path / "rows"), 10)
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) == 3 and spark.read.parquet(str(tmp_path / "rows")).count() == 25
+    files.write_lines(rows, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 3
+    links = spark.createDataFrame([("p", ["p", "q"]), ("p", ["q"]), ("p", ["p", "q", "r"]), ("p", ["p", "p", "q"])], "id string, ids array<string>")
+    assert files.verified_links(links, "ids", 2).count() == 2
+    files.require_known({"rule": "a"}, {"rule": {"a", "b"}})
+    with pytest.raises(ValueError):
+        files.require_known({"rule": "c"}, {"rule": {"a", "b"}})
+    assert files.estimated_bytes(spark.range(1000)) >= 8000 > files.estimated_bytes(spark.range(10))
+
+
+def test_report_and_resumed_answers(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"a": {"share": 0.12345, "list": [3, 4000]}}')
+    report = files.Report(str(tmp_path))
+    assert (report.text("m", "a.share", "d3"), report.text("m", "a.share", "pct"), report.text("m", "a.list.1", "int")) == ("0.123", "12.3%", "4,000")
+    assert [tuple(r) for r in report.table(spark).collect()][2] == ("m", "a.list.1", "4000", "4,000")
+    asked, waits = [], []
+
+    def ask(key):
+        asked.append(key)
+        if key == "slow" and asked.count("slow") < 3:
+            raise files.Resumed.Later
+        return {"n": len(key)}
+
+    first = files.Resumed(str(tmp_path / "c.jsonl"), ask, 1.0, sleep=waits.append)
+    assert first.get("slow") == {"n": 4} and waits == [1.0, 2.0] and first.get("slow") == {"n": 4}
+    again = files.Resumed(str(tmp_path / "c.jsonl"), ask)
+    assert {r.key: r.value for r in again.table(spark, ["slow", "ab"]).collect()} == {"slow": '{"n": 4}', "ab": '{"n": 2}'}
+    assert asked == ["slow"] * 3 + ["ab"]
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     from lattica.streaming.halves import windowed_counts
 
