@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import gmean, growth
 from ..operators import hypergraph as H
-from ..operators.ranks import numbered
+from ..operators.ranks import numbered, settled
 from .bindings import NOT_ALL_TASKS, incidence, precisions, sql_incidence, sql_open, sql_pairs, sql_pi, sql_triples, table, with_
 from .registry import query
 
@@ -208,11 +208,11 @@ def g18n(spark, sf):
 
 @query("g20_context_overlap")
 def g20(spark, sf):
-    g = Graph(spark, sf, support=13)
+    g = Graph(spark, sf)
     return H.context_overlap(g.open(), g.edges).select(*H.TRIAD, F.round("s_max", 6).alias("s_max"), F.round("s_mean", 6).alias("s_mean"))
 
 
-@query("g21_merge_groups")
+@query("g21_merge_groups", "WITH RECURSIVE " + ", ".join((sql_incidence(), sql_pairs(), "l AS (SELECT a, b FROM pc WHERE cnt >= 15 UNION SELECT b, a FROM pc WHERE cnt >= 15)", "r AS (SELECT a AS term, a AS seen FROM l UNION SELECT r.term, l.b FROM r JOIN l ON l.a = r.seen)")) + " SELECT term, min(seen) AS head FROM r GROUP BY term")
 def g21(spark, sf):
     return H.connected_groups(Graph(spark, sf).pairs.where("cnt >= 15"))
 
@@ -231,7 +231,7 @@ def g24(spark, sf):
 
 @query("g25_greedy_cover")
 def g25(spark, sf):
-    rows = H.greedy_cover(Graph(spark, sf, support=14).open(), 5)
+    rows = H.greedy_cover(settled(Graph(spark, sf).open()), 5)
     return spark.createDataFrame(rows, "term string, covered long")
 
 

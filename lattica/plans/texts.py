@@ -52,7 +52,7 @@ def t05(spark, sf):
     return M.refine(spans, "doc_id", only).groupBy("term_id").agg(F.count("*").alias("n"))
 
 
-@query("t06_sentences")
+@query("t06_sentences", "SELECT doc_id, len(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\x0b\\f\\r]+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sentences FROM documents")
 def t06(spark, sf):
     return M.sentences(table(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("sentences"))
 
