@@ -58,7 +58,7 @@ def triad_features(candidates: DataFrame, inc: DataFrame, stable: DataFrame, vec
     freq = each.join(H.term_counts(inc), "term_id").groupBy(*H.TRIAD).agg(F.min(F.log("docs")).alias("P_logfreq_min"), F.avg(F.log("docs")).alias("P_logfreq_mean"))
     around = each.join(H.adjacency(stable).withColumnRenamed("src", "term_id"), "term_id").groupBy(*H.TRIAD, "dst").agg(F.count("*").alias("n")).where("n = 3")
     common = around.groupBy(*H.TRIAD).agg(F.count("*").alias("H_triad_cn"))
-    related = H.related_hyperedges(triads, inc.select("paper_id", "term_id"), H.hyperedges(inc))
+    related = H.related_hyperedges(triads, H.hyperedges(inc))
     related = related.select(*H.TRIAD, F.col("related_weight").alias("H_size_weighted_aa"), F.col("mean_size").alias("H_related_edge_size_mean"))
     kind = candidates.select(*H.TRIAD, (F.col("kind") == "open_triangle").cast("int").alias("H_open_triangle"))
     parts = [of_pairs, freq, common, related, vector_features(triads, vectors), kind]

@@ -266,10 +266,11 @@ def joint_papers(triads: DataFrame, incidence: DataFrame) -> DataFrame:
     return triads.select(*TRIAD).join(counted, TRIAD, "left").fillna(0, ["n_papers"])
 
 
-def related_hyperedges(triads: DataFrame, incidence: DataFrame, edges: DataFrame) -> DataFrame:
+def related_hyperedges(triads: DataFrame, edges: DataFrame) -> DataFrame:
     """Per triad over papers with at least two of its terms: their number, sum of 1/ln(size) and mean size."""
-    long = triads.select(*TRIAD, F.explode(F.array(*TRIAD)).alias("term_id")).join(incidence, "term_id")
-    near = long.groupBy(*TRIAD, "paper_id").agg(F.count("*").alias("n")).where("n >= 2")
+    # a paper with two of the terms holds one of the pairs: pairs have few papers, terms may have very many
+    met = pairs_of(edges).select("paper_id", F.col("a").alias("x"), F.col("b").alias("y"))
+    near = triad_pairs(triads.select(*TRIAD)).join(met, ["x", "y"]).select(*TRIAD, "paper_id").distinct()
     sized = near.join(edges.select("paper_id", F.size("terms").alias("size")), "paper_id")
     return sized.groupBy(*TRIAD).agg(
         F.count("*").alias("n_related"), F.sum(F.when(F.col("size") > 1, 1 / F.log("size")).otherwise(0.0)).alias("related_weight"), F.avg("size").alias("mean_size")

@@ -267,7 +267,7 @@ def m01(spark, sf):
 @query("m02_related_hyperedges", with_(*GRAPH, "sz AS (SELECT paper_id, count(*) AS size FROM inc GROUP BY ALL)", "rel AS (SELECT o.a, o.b, o.c, i.paper_id FROM ot o JOIN inc i ON i.term_id IN (o.a, o.b, o.c) GROUP BY ALL HAVING count(*) >= 2)") + "SELECT a, b, c, count(*) AS n_related, round(sum(CASE WHEN size > 1 THEN 1 / ln(size) ELSE 0 END), 6) AS related_weight, round(avg(size), 6) AS mean_size FROM rel JOIN sz USING (paper_id) GROUP BY ALL")
 def m02(spark, sf):
     g = Graph(spark, sf)
-    out = H.related_hyperedges(g.open(), g.inc.select("paper_id", "term_id"), g.edges)
+    out = H.related_hyperedges(g.open(), g.edges)
     return out.withColumns({c: F.round(c, 6) for c in ("related_weight", "mean_size")})
 
 
