@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
-def tfidf(texts: DataFrame, id_col: str, words: str, min_df: int, max_share: float) -> DataFrame:
+def tfidf(texts: DataFrame, id_col: str, words: str, min_df: int, max_share: float, stop: list[str] = ()) -> DataFrame:
     """id, word, weight: sublinear term frequency times smoothed inverse document frequency, rows of unit length.
 
-    ``words`` is an array column. Words in fewer than ``min_df`` texts or more than ``max_share`` of them are left out.
+    ``words`` is an array column. Words in fewer than ``min_df`` texts or more than ``max_share`` of them, and those of ``stop``, are left out.
     """
-    tf = texts.select(id_col, F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("tf"))
+    each = texts.select(id_col, F.explode(words).alias("word"))
+    each = each.where(~F.col("word").isin(*stop)) if stop else each
+    tf = each.groupBy(id_col, "word").agg(F.count("*").alias("tf"))
     n = texts.agg(F.count("*").alias("n"))
     df = tf.groupBy("word").agg(F.count("*").alias("df")).join(n).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
     idf = df.select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -70,6 +72,12 @@ def merge_terms(surfaces: DataFrame, heads: DataFrame) -> DataFrame:
     return ordered.select("term_id", F.transform("s", lambda s: s["text"]).alias("surfaces"))
 
 
+def remapped_phrases(excluded: DataFrame, heads: DataFrame) -> DataFrame:
+    """Excluded phrases (term_id, text) of merged terms under their heads."""
+    named = excluded.join(heads.select(F.col("term").alias("term_id"), "head"), "term_id", "left")
+    return named.select(F.coalesce("head", "term_id").alias("term_id"), "text").distinct()
+
+
 @udtf(returnType="variant: string")
 class InitialVariants:
     """Acronyms of a phrase: each word gives its first letter or its first two, in every combination."""

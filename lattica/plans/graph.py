@@ -111,9 +111,11 @@ def g09(spark, sf):
     return H.two_hop(g.stable, g.pairs, g.closed).withColumn("missing_pair_aa", F.round("missing_pair_aa", 6))
 
 
-@query("g10_candidate_types", with_(*GRAPH) + "SELECT 'open_triangle' AS kind, array_to_string(list_sort([a[1], b[1], c[1]]), '') AS mix, count(*) AS n FROM ot GROUP BY ALL")
+@query("g10_candidate_types", with_(*TWO_HOP, "al AS (SELECT 'open_triangle' AS kind, a, b, c FROM ot UNION ALL SELECT 'two_hop', a, b, c FROM th)") + "SELECT kind, array_to_string(list_sort([a[1], b[1], c[1]]), '') AS mix, count(*) AS n FROM al GROUP BY ALL")
 def g10(spark, sf):
-    return H.candidate_statistics(Graph(spark, sf).open().withColumn("kind", F.lit("open_triangle")))
+    g = Graph(spark, sf)
+    kinds = [g.open().select(*H.TRIAD, F.lit("open_triangle").alias("kind")), H.two_hop(g.stable, g.pairs, g.closed).select(*H.TRIAD, F.lit("two_hop").alias("kind"))]
+    return H.candidate_statistics(kinds[0].unionAll(kinds[1]))
 
 
 def _scale_sql(k: int) -> str:
@@ -190,14 +192,7 @@ def g17(spark, sf):
 LABELS = (sql_incidence("linc", window="label"), sql_triples("ltc", "linc"))
 
 
-@query("g18_recall_at_budgets", with_(*COMPLETE, TOP, *LABELS, "hit AS (SELECT gen_rank FROM top JOIN ltc USING (a, b, c))") + "SELECT CAST(b AS INTEGER) AS budget, h AS hits, h / 1000 AS recall, h / least(b, n) AS precision, b > n AS capped FROM (SELECT b, (SELECT count(*) FROM hit WHERE gen_rank <= b) AS h, (SELECT count(*) FROM top) AS n FROM (VALUES (10), (100), (1000)) v(b))")
-def g18(spark, sf):
-    g = Graph(spark, sf)
-    ranked = H.top_completions(_completions(g), g.stable, 500)
-    return H.recall_at(ranked, Graph(spark, sf, window="label").closed, 1000, [10, 100, 1000])
-
-
-@query("g18_recall_of_new_triads")
+@query("g18_recall_of_new_triads", with_(*COMPLETE, *LABELS, f"nw AS (SELECT a, b, c FROM ltc WHERE {NOT_ALL_TASKS} AND NOT EXISTS (SELECT 1 FROM tc WHERE tc.a = ltc.a AND tc.b = ltc.b AND tc.c = ltc.c))", "tp AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b, c) AS gen_rank FROM cp QUALIFY gen_rank <= 1000)", "hit AS (SELECT gen_rank FROM tp JOIN nw USING (a, b, c))") + "SELECT CAST(b AS INTEGER) AS budget, h AS hits, h / (SELECT count(*) FROM nw) AS recall, h / least(b, n) AS precision, b > n AS capped FROM (SELECT b, (SELECT count(*) FROM hit WHERE gen_rank <= b) AS h, (SELECT count(*) FROM tp) AS n FROM (VALUES (10), (100), (1000)) v(b))")
 def g18n(spark, sf):
     """All of survey item G18: the total is counted, all new triads of the label window, and the list reaches the largest budget."""
     g, budgets = Graph(spark, sf), [10, 100, 1000]

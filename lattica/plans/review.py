@@ -77,3 +77,16 @@ def r09(spark, sf):
 def r10(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) == (F.col("n_chars") > 600)).alias("agree"))
+
+
+@query("r10_agreement_table", "WITH j AS (SELECT lang, quality = 1 AS h, n_chars > 600 AS r FROM labels JOIN documents USING (doc_id)), g AS (SELECT lang, count(*) AS n, count(*) FILTER (h AND r) AS both_yes, count(*) FILTER (h AND NOT r) AS human_only, count(*) FILTER (NOT h AND r) AS rule_only, count(*) FILTER (NOT h AND NOT r) AS neither FROM j GROUP BY ALL), w AS (SELECT *, (both_yes + human_only) / n AS p, 1.959963984540054::DOUBLE AS z FROM g) SELECT lang, n, both_yes, human_only, rule_only, neither, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS lower, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) >= 0.8 AS passes FROM w")
+def r10t(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select("lang", (F.col("quality") == 1).alias("h"), (F.col("n_chars") > 600).alias("r"))
+    return V.agreement(rows, "h", "r", ["lang"], 0.8).select("lang", "n", "both_yes", "human_only", "rule_only", "neither", F.round("lower", 8).alias("lower"), "passes")
+
+
+@query("r05_classifier_inputs", "SELECT l_orderkey, any_value(o_orderpriority) AS priority, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS terms FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+def r05(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    out = V.records(lines, ["l_orderkey"], ["l_suppkey"], ["o_orderpriority"])
+    return out.select("l_orderkey", F.col("text.o_orderpriority").alias("priority"), F.array_join(F.transform("terms", lambda t: t["l_suppkey"].cast("string")), ",").alias("terms"))

@@ -259,6 +259,21 @@ def test_sources(spark, tmp_path):
     assert files.check_inventory({"s.csv": ((tmp_path / "s.csv").stat().st_size, digest), "none": (1, "")}, str(tmp_path)) == ["none"]
 
 
+def test_review_rules(spark):
+    from lattica.operators import models as L
+    from lattica.operators import review as V
+
+    sheet = spark.createDataFrame([(1, "yes", ""), (2, "no", ""), (3, "no", "why")], "id int, correct string, note string")
+    rules = {"no without a note": (F.col("correct") == "yes") | (F.col("note") != "")}
+    assert [tuple(r) for r in V.validate_sheet(sheet, sheet, "id", ["note"], {"correct": ["yes", "no"]}, rules).collect()] == [(2, "no without a note")]
+    texts = ['I say {"roles": ["used"], "sure": true}.', "nothing", None, "{broken", 'x {"other": 1}']
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(V.parsed_answer(F.col("t"), "roles array<string>, sure boolean").alias("p")).collect()
+    assert [r.p and tuple(r.p) for r in got] == [(["used"], True), None, None, None, None]
+    phrases = spark.createDataFrame([("M:a", "p"), ("M:b", "p"), ("M:c", "q")], "term_id string, text string")
+    heads = spark.createDataFrame([("M:a", "M:a"), ("M:b", "M:a")], "term string, head string")
+    assert {tuple(r) for r in L.remapped_phrases(phrases, heads).collect()} == {("M:a", "p"), ("M:c", "q")}
+
+
 def test_more_sources_and_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
         z.writestr("a.tsv", "id\tname\n1\tx\n2\t\n")
