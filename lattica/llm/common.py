@@ -1,4 +1,8 @@
-"""Helpers the training-data operators share."""
+"""Helpers the training-data operators share.
+
+Column names that begin with ``_lt_`` are theirs; tables they take need not have such columns, and where a
+function returns its input's columns it must not.
+"""
 
 from __future__ import annotations
 

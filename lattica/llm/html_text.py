@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh
 
 # Frequent function words of the corpus languages.
 STOP_WORDS = frozenset(
@@ -292,10 +292,11 @@ def extract(page: str | None) -> list[str]:
 
 
 def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """``keep`` columns plus ``text`` string: the blocks of the main text, joined by ``\\n\\n``."""
+    """``keep`` columns (but for one of that name) plus ``text`` string: the blocks of the main text, joined by ``\\n\\n``."""
     bounded_batches(pages.sparkSession)
-    source = pages.select(*keep, F.col(html_col).alias("_lt_html"))
-    schema = source.drop("_lt_html").withColumn("text", F.lit("")).schema
+    kept = pages.select(*(k for k in keep if k.lower() != "text"))
+    source = pages.select(*kept.columns, F.col(html_col).alias(fresh(kept, "_lt_html")))
+    schema = kept.withColumn("text", F.lit("")).schema
 
     def work(batches):
         for batch in batches:

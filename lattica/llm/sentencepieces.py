@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh
 
 MARKER = "▁"
 _CHUNK = re.compile(" +[^ ]*")
@@ -97,10 +97,11 @@ class ChunkTable:
 
 
 def encode_decode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text", slab_bytes: int = 1 << 20) -> DataFrame:
-    """``keep`` columns plus ``ids`` array<int> (end id included, no start id) and ``decoded`` string."""
+    """``keep`` columns (but for those of these names) plus ``ids`` array<int> (end id included, no start id) and ``decoded`` string."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_lt_text"))
-    schema = source.drop("_lt_text").withColumn("ids", F.lit(None).cast("array<int>")).withColumn("decoded", F.lit(None).cast("string")).schema
+    kept = docs.select(*(k for k in keep if k.lower() not in ("ids", "decoded")))
+    source = docs.select(*kept.columns, F.coalesce(F.col(text_col), F.lit("")).alias(fresh(kept, "_lt_text")))
+    schema = kept.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("decoded", F.lit(None).cast("string")).schema
     whole = slab_bytes
 
     def work(batches):
