@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slabs, utf8_buffer, written
+from .common import drop, slabs, split_join, utf8_buffer, written
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -258,15 +258,15 @@ def shared_runs(docs: DataFrame, unit, tag: str) -> tuple[DataFrame, DataFrame]:
     """(occurrences, contents) of the runs whose anchor occurs more than once.
 
     Occurrences: k, c, at (places). Contents, one row per distinct run, copies counted before they are
-    shuffled: k, c, m occurrences, u, v, s, n, o of one of them, d distinct runs of the anchor.
+    shuffled: k, c, m occurrences, rows of them, u, v, s, n, o of one, d distinct runs of the anchor.
     """
     runs = written(runs_of(docs, unit), f"{tag}-runs")
-    repeated = runs.groupBy("k").agg(F.sum(F.size("at")).alias("t")).where("t > 1").select("k")
-    shared = written(runs.join(repeated, "k", "left_semi"), f"{tag}-shared")
+    repeated = runs.groupBy("k").agg(F.sum(F.size("at")).alias("t"), F.count("*").alias("rows")).where("t > 1").select("k", "rows")
+    shared = written(split_join(runs, written(repeated, f"{tag}-repeated"), ["k"], "rows", "left_semi"), f"{tag}-shared")
     drop(runs)
     one = F.col("at")[0]
-    contents = shared.groupBy("k", "c").agg(F.sum(F.size("at")).alias("m"), F.min(F.struct(one["u"].alias("u"), one["v"].alias("v"), one["s"].alias("s"), "n", "o")).alias("x"))
-    contents = contents.select("k", "c", F.least("m", F.lit(1 << 30)).cast("int").alias("m"), "x.*")
+    contents = shared.groupBy("k", "c").agg(F.sum(F.size("at")).alias("m"), F.count("*").alias("rows"), F.min(F.struct(one["u"].alias("u"), one["v"].alias("v"), one["s"].alias("s"), "n", "o")).alias("x"))
+    contents = contents.select("k", "c", F.least("m", F.lit(1 << 30)).cast("int").alias("m"), "rows", "x.*")
     d = contents.groupBy("k").agg(F.count("*").alias("d"))
     contents = written(contents.join(d, "k"), f"{tag}-contents")
     return shared.select("k", "c", "at"), contents
@@ -310,6 +310,12 @@ def _joined(held, names, kinds) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
+def occurring(occurrences: DataFrame, contents: DataFrame, decided: DataFrame) -> DataFrame:
+    """``decided`` (k, c, ...) of distinct runs at the places (``at``) of all their occurrences."""
+    rows = contents.select("k", "c", "rows").join(decided, ["k", "c"])
+    return split_join(occurrences, written(rows, "decided"), ["k", "c"], "rows")
+
+
 def by_anchor(pieces: DataFrame, decide, schema: str) -> DataFrame:
     """Feeds whole anchors (k) of ``pieces``, about a slab of ``t`` at a time, to ``decide`` (a dict of columns, t as
     raw bytes with offsets), which returns the columns of ``schema``."""

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .anchors import _BASE2, U64, Words, by_anchor, cut, cutter, gathered, keyed, mix, prefix, remove_spans, shared_runs, stretch
-from .common import drop, written
+from .anchors import _BASE2, U64, Words, by_anchor, cut, cutter, gathered, keyed, mix, occurring, prefix, remove_spans, shared_runs, stretch
+from .common import drop, split_join, written
 
 _STRETCHES = "k long, c long, a int, b int, m int, t int, x long, y long, e long"
 
@@ -147,21 +147,22 @@ def nonbranching_paths(edges: DataFrame, tag: str) -> DataFrame:
     return placed.join(sizes, "head").select("e", "head", "off", "size")
 
 
-def long_spans(occurrences: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+def long_spans(occurrences: DataFrame, contents: DataFrame, found: DataFrame, tag: str) -> DataFrame:
     """Steps 3 and 4: (u, v, s, n) of the repeated spans, in windows, of occurrences (k, c, at)."""
     edges = found.groupBy("e").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max("t").alias("t"), F.first(F.col("b") - F.col("a")).alias("n"))
     paths = nonbranching_paths(written(edges, f"{tag}-graph"), tag)
     placed = found.select("k", "c", "a", "b", "e").join(paths, "e").select("k", "c", "a", "b", "head", "off", "size")
-    parts = occurrences.join(placed, ["k", "c"]).select(F.explode("at").alias("p"), "a", "b", "head", "size", "off")
+    parts = occurring(occurrences, contents, placed).select(F.explode("at").alias("p"), "a", "b", "head", "size", "off")
     parts = parts.select("p.u", "p.v", "head", "size", (F.col("p.s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"), "off")
     # rows that repeat id and text share their name, so each stretch of a place counts once
     parts = parts.distinct().withColumn("start", F.col("s") - F.col("off"))
     whole = parts.groupBy("u", "v", "head", "size", "start").agg(F.sum("n").alias("covered"), F.collect_list(F.struct("s", "n")).alias("parts"))
     whole = written(whole, f"{tag}-spans")
-    twice = whole.where("covered = size").groupBy("head").agg(F.count("*").alias("places")).where("places > 1").select("head", F.lit(True).alias("verified"))
-    judged = whole.join(twice, "head", "left")
+    places = F.count_if(F.col("covered") == F.col("size"))
+    heads = whole.groupBy("head").agg((places > 1).alias("verified"), F.count("*").alias("rows"))
+    judged = split_join(whole, written(heads, f"{tag}-heads"), ["head"], "rows")
     spans = judged.where("verified AND covered = size").select("u", "v", F.col("start").cast("int").alias("s"), F.col("size").cast("int").alias("n"))
-    rest = judged.where("verified IS NULL OR covered <> size").select("u", "v", F.explode("parts").alias("p")).select("u", "v", "p.s", "p.n")
+    rest = judged.where("NOT verified OR covered <> size").select("u", "v", F.explode("parts").alias("p")).select("u", "v", "p.s", "p.n")
     return spans.unionAll(rest)
 
 
@@ -175,4 +176,4 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = keyed(docs, id_col, text_col)
     occurrences, contents = shared_runs(texts, unit, tag)
     found = written(repeated_stretches(texts, contents, unit, tag), f"{tag}-found")
-    return remove_spans(docs, texts, long_spans(occurrences, found, tag), unit, id_col)
+    return remove_spans(docs, texts, long_spans(occurrences, contents, found, tag), unit, id_col)

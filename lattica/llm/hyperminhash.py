@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SLAB, U64, Words, mix
-from .common import slabs, utf8_buffer, written
+from .common import slabs, split_join, utf8_buffer, written
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes, f"{tag}-classes")
     bands = _bands(classes)
     groups = bands.groupBy("key").agg(F.min("c").alias("p"), F.count("*").alias("k")).where("k > 1")
-    members = written(bands.join(groups, "key").select("key", "c", "n", "p", "k"), f"{tag}-members")
+    groups = written(groups.withColumn("rows", F.col("k")), f"{tag}-groups")
+    members = written(split_join(bands, groups, ["key"], "rows").select("key", "c", "n", "p", "k"), f"{tag}-members")
 
     wanted = members.select("c").distinct().join(classes, "c").select(F.col("id").alias("_lt_id")).distinct()
     wanted = written(wanted, f"{tag}-wanted")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .anchors import U64, Bytes, by_anchor, cut, cutter, gathered, keyed, prefix, remove_spans, shared_runs, stretch
+from .anchors import U64, Bytes, by_anchor, cut, cutter, gathered, keyed, occurring, prefix, remove_spans, shared_runs, stretch
 from .common import written
 
 DIGIT, PASSES = 64, 4
@@ -148,6 +148,6 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = keyed(docs, id_col, text_col)
     occurrences, contents = shared_runs(texts, unit, tag)
     decided = repeated_stretches(texts, contents, unit, tag)
-    found = occurrences.join(decided, ["k", "c"]).select(F.explode("at").alias("p"), "a", "b")
+    found = occurring(occurrences, contents, decided).select(F.explode("at").alias("p"), "a", "b")
     found = found.select("p.u", "p.v", (F.col("p.s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"))
     return remove_spans(docs, texts, found, unit, id_col)

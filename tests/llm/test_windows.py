@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lattica.llm import anchors, queries
+from lattica.llm import anchors, common, queries
 from lattica.llm.debruijn_dedup import nonbranching_paths, remove_repeated_words, stretches
 from lattica.llm.suffix_dedup import digit_ranks, radix_groups, remove_repeated_bytes
 
@@ -70,6 +70,7 @@ as_bytes = (lambda t: [bytes([b]) for b in t.encode()], b"".join)
 @pytest.mark.parametrize(("seed", "length", "gram", "hot", "slab"), [(1, 12, 4, 256, 1 << 19), (2, 12, 4, 1, 1 << 19), (3, 20, 3, 4, 128), (4, 9, 9, 256, 64)])
 def test_bytes_against_brute_force(spark, monkeypatch, seed, length, gram, hot, slab):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(common, "SHARE", {1: 1, 2: 20, 5: 1, 6: 20}.get(seed, 1000))
     monkeypatch.setattr(anchors, "SLAB", slab)
     check(spark, corpus(seed, "bytes"), lambda d: remove_repeated_bytes(d, length=length, gram=gram), *as_bytes, length)
 
@@ -81,6 +82,7 @@ def ascii_words(text: str) -> list[bytes]:
 @pytest.mark.parametrize(("seed", "length", "gram", "hot", "slab"), [(1, 8, 3, 256, 1 << 19), (5, 6, 6, 1, 1 << 19), (6, 9, 2, 4, 64)])
 def test_words_against_brute_force(spark, monkeypatch, seed, length, gram, hot, slab):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(common, "SHARE", {1: 1, 2: 20, 5: 1, 6: 20}.get(seed, 1000))
     monkeypatch.setattr(anchors, "SLAB", slab)
     texts = [*corpus(seed, "words"), "a\u00a0b c\x1cd\u2003e " * 12, "\x0b\x0c\r\n\t "]
     check(spark, texts, lambda d: remove_repeated_words(d, length=length, gram=gram), ascii_words, b" ".join, length)
