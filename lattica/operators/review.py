@@ -73,3 +73,12 @@ def bundle(rows: DataFrame, key: list[str], source: str, order: list[Column], k:
     top = top_per_group(rows, key, order, k).withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     packed = F.array_sort(F.collect_list(F.struct("_i", *fields)))
     return top.groupBy(*key).agg(F.transform(packed, lambda s: F.struct(*(s[f].alias(f) for f in fields))).alias(source))
+
+
+def bundles(candidates: DataFrame, sources: list[DataFrame], key: list[str]) -> DataFrame:
+    """Every candidate with the arrays of its sources (see ``bundle``); empty where a source has nothing for it."""
+    out = candidates
+    for source in sources:
+        out = out.join(source, key, "left")
+    names = [c for s in sources for c in s.columns if c not in key]
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in names})

@@ -90,3 +90,17 @@ def r05(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     out = V.records(lines, ["l_orderkey"], ["l_suppkey"], ["o_orderpriority"])
     return out.select("l_orderkey", F.col("text.o_orderpriority").alias("priority"), F.array_join(F.transform("terms", lambda t: t["l_suppkey"].cast("string")), ",").alias("terms"))
+
+
+@query("r06_bundles_of_sources", "WITH t AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3), s AS (SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey) <= 2), a AS (SELECT o_custkey, count(*) AS n FROM t GROUP BY ALL), b AS (SELECT c_custkey, count(*) AS n, min(s_suppkey) AS low FROM s GROUP BY ALL) SELECT customer.c_custkey, coalesce(a.n, 0) AS orders, coalesce(b.n, 0) AS suppliers, low FROM customer LEFT JOIN a ON a.o_custkey = customer.c_custkey LEFT JOIN b ON b.c_custkey = customer.c_custkey")
+def r06s(spark, sf):
+    """Each customer with their largest orders and the richest suppliers of their nation."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    best = V.bundle(orders, ["c_custkey"], "orders", [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, ["o_orderkey"])
+    suppliers = table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "c_nationkey")
+    near = V.bundle(suppliers, ["c_nationkey"], "suppliers", [F.desc("s_acctbal"), F.asc("s_suppkey")], 2, ["s_suppkey"])
+    near = customers.join(near, "c_nationkey").select("c_custkey", "suppliers")
+    out = V.bundles(customers, [best, near], ["c_custkey"])
+    low = F.array_min(F.transform("suppliers", lambda s: s["s_suppkey"]))
+    return out.select("c_custkey", F.size("orders").cast("long").alias("orders"), F.size("suppliers").cast("long").alias("suppliers"), low.alias("low"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import datetime
 import hashlib
-import io
 import json
+import re
 import zipfile
 from pathlib import Path
 
@@ -16,12 +16,17 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def packed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, line of every line of every member of zip archives, read archive by archive."""
+    """path, member, line of every line of every member of zip archives. An archive is one task and is read as a stream,
+    so it may be larger than a row can be; only the names of the archives go through Spark."""
 
     def work(batches):
+        from pyarrow import fs
+
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+            for name in batch.column(0).to_pylist():
+                uri = re.sub("^file:/(?!//)", "file:///", name)
+                source, inner = fs.FileSystem.from_uri(uri)
+                with source.open_input_file(inner) as data, zipfile.ZipFile(data) as archive:
                     for member in archive.namelist():
                         with archive.open(member) as stream:
                             lines = []
@@ -33,7 +38,7 @@ def packed_lines(spark: SparkSession, path: str) -> DataFrame:
                             if lines:
                                 yield _lines(name, member, lines)
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").load(path).select("path")
     return found.mapInArrow(work, "path string, member string, line string")
 
 
