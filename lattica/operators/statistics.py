@@ -150,6 +150,35 @@ def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     return values.agg(F.percentile(column, F.lit(tail)).alias("lower"), F.percentile(column, F.lit(1 - tail)).alias("upper"), F.count("*").alias("replicates"))
 
 
+def unit_weights(units: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(unit, rep, w): a Poisson(1) weight of each distinct unit in each replicate, whatever candidate it stands in."""
+    each = units.select("unit").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return each.withColumn("w", poisson_weight(seed, F.col("rep"), F.col("unit")))
+
+
+def unit_bootstrap(units: DataFrame, key: list[str], axes: list[str], replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Per candidate and axis: interval (lower, upper) of the weighted mean over its units, the share of replicates in which no
+    unit of the axis is left (missing_share), and the share in which the axis is the riskiest: the first missing one in the
+    order of ``axes``, else the smallest mean.
+
+    ``units``: key, axis, unit, value. Weights are those of ``unit_weights``, so candidates that share units move together.
+    """
+    weighted = units.join(unit_weights(units, replicates, seed), "unit")
+    means = weighted.groupBy(*key, "axis", "rep").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    place = F.array_position(F.array(*map(F.lit, axes)), F.col("axis"))
+    every = units.select(*key).distinct().select(*key, F.explode(F.array(*map(F.lit, axes))).alias("axis"), F.lit(replicates).alias("n"))
+    grid = every.withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(means, [*key, "axis", "rep"], "left")
+    rank = F.struct(F.col("mean").isNotNull().alias("there"), F.when(F.col("mean").isNotNull(), F.col("mean")).otherwise(0.0).alias("m"), place.alias("i"))
+    worst = grid.groupBy(*key, "rep").agg(F.min_by("axis", rank).alias("worst"))
+    tail = (1 - level) / 2
+    return grid.join(worst, [*key, "rep"]).groupBy(*key, "axis").agg(
+        F.percentile("mean", F.lit(tail)).alias("lower"),
+        F.percentile("mean", F.lit(1 - tail)).alias("upper"),
+        F.avg(F.col("mean").isNull().cast("int")).alias("missing_share"),
+        F.avg((F.col("axis") == F.col("worst")).cast("int")).alias("riskiest_share"),
+    )
+
+
 def concentration(top: DataFrame) -> DataFrame:
     """Per term of the ranked triads the slots it holds and their share."""
     slots = top.select(F.explode(F.array(*TRIAD)).alias("term_id"))

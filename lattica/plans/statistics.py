@@ -225,11 +225,13 @@ def x26(spark, sf):
 
 @query("x28_unit_bootstrap")
 def x28(spark, sf):
-    """Interval of each segment's mean balance when customers get shared Poisson(1) weights."""
-    reps = spark.range(50).withColumnRenamed("id", "rep")
-    rows = table(spark, sf, "customer").crossJoin(F.broadcast(reps)).withColumn("w", S.poisson_weight(3, F.col("rep"), F.col("c_custkey")))
-    means = rows.groupBy("c_mktsegment", "rep").agg((F.sum(F.col("w") * F.col("c_acctbal")) / F.sum("w")).alias("m"))
-    return means.groupBy("c_mktsegment").agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
+    """Nations as candidates: customers (D by balance, F where it is below zero) and suppliers (V) as units."""
+    scaled = lambda c: (F.col(c) + 1000) / 11000
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.concat(F.lit("c"), F.col("c_custkey")).alias("unit"), "c_acctbal")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("V").alias("axis"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("unit"), scaled("s_acctbal").alias("value"))
+    d = c.select("nation", F.lit("D").alias("axis"), "unit", scaled("c_acctbal").alias("value"))
+    f = c.where("c_acctbal < 0").select("nation", F.lit("F").alias("axis"), "unit", scaled("c_acctbal").alias("value"))
+    return S.unit_bootstrap(d.unionAll(f).unionAll(s), ["nation"], ["D", "F", "V"], 200, 3)
 
 
 @query("x30_latest_attempt", "SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY ALL")

@@ -289,3 +289,25 @@ def test_symmetric_features(spark):
     n = spark.createDataFrame([("p", 1), ("q", 10)], "term_id string, docs long")
     r = X.symmetric_features(t, m, ["npmi"], n).first()
     assert (r.gen_score, r.npmi_min, r.npmi_mean, r.npmi_max, r.log_docs_min) == (2.5, 0.0, 4.0, 9.0, 0.0) and r.log_docs_mean == pytest.approx(math.log(10) / 3)
+
+
+def test_unit_bootstrap(spark):
+    rows = [(k, a, f"u{(k * 3 + i) % 9}", (k + 1) * 0.1 + i * 0.01) for k in range(3) for a in "DF" for i in range(3) if (k, a) != (2, "F")] + [(1, "V", "solo", 0.01)]
+    df = spark.createDataFrame(rows, "k int, axis string, unit string, value double")
+    weights = {(r.unit, r.rep): r.w for r in S.unit_weights(df, 30, 4).collect()}
+    assert 0.7 < np.mean(list(weights.values())) < 1.3
+    got = {(r.k, r.axis): r for r in S.unit_bootstrap(df, ["k"], ["D", "F", "V"], 30, 4).collect()}
+    assert len(got) == 9
+    for k in range(3):
+        table, worst = {a: [] for a in "DFV"}, Counter()
+        for rep in range(30):
+            for a in "DFV":
+                own = [(weights[u, rep], v) for kk, aa, u, v in rows if (kk, aa) == (k, a)]
+                total = sum(w for w, _ in own)
+                table[a].append(sum(w * v for w, v in own) / total if total else None)
+            missing = [a for a in "DFV" if table[a][-1] is None]
+            worst[missing[0] if missing else min("DFV", key=lambda a: table[a][-1])] += 1
+        for a in "DFV":
+            r, there = got[k, a], [x for x in table[a] if x is not None]
+            assert r.missing_share == pytest.approx(1 - len(there) / 30) and r.riskiest_share == pytest.approx(worst[a] / 30)
+            assert (r.lower, r.upper) == ((None, None) if not there else (pytest.approx(np.quantile(there, 0.025)), pytest.approx(np.quantile(there, 0.975))))
