@@ -37,13 +37,16 @@ def _names(spark, sf):
 TERMS = "t AS (SELECT 'M:' || min(p_partkey) AS id, p_name AS name, string_split(p_name, ' ') AS w, min(p_partkey) AS k FROM part GROUP BY p_name)"
 
 
-@query("j13_synonym_pairs", with_(TERMS, "c AS (SELECT DISTINCT t.id, lower(left(p_type, 1) || right(p_type, 1)) AS short FROM part JOIN t ON p_partkey = k)", "f AS (SELECT x.id AS a, y.id AS b, 'form' AS rule FROM t x JOIN t y ON replace(x.name, ' ', '') = replace(y.name, ' ', '') AND x.id < y.id UNION SELECT x.id, y.id, 'same_words' FROM t x JOIN t y ON list_sort(list_distinct(x.w)) = list_sort(list_distinct(y.w)) AND x.id < y.id UNION SELECT least(c.id, t.id), greatest(c.id, t.id), 'initials' FROM c JOIN t ON short = w[1][1] || w[2][1] AND c.id <> t.id)") + "SELECT a, b, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules FROM f GROUP BY ALL")
+@query("j13_synonym_pairs", with_(TERMS, "f AS (SELECT id AS a, 'T:' || k AS b, 'form' AS rule FROM t UNION SELECT id, 'T:' || k, 'same_words' FROM t UNION SELECT least(x.id, y.id), greatest(x.id, y.id), 'initials' FROM t x JOIN t y ON x.w[1][1] || x.w[2][1] = y.w[1][1] || y.w[2][1] AND x.id <> y.id)") + "SELECT a, b, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules FROM f GROUP BY ALL")
 def j13s(spark, sf):
+    """Names with their initials as acronym, and a task each with the words turned round and run together."""
     terms = _names(spark, sf)
-    codes = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.expr("left(p_type, 1)"), F.expr("right(p_type, 1)")).alias("text"))
-    cs = terms.join(codes, "k").select("term_id", "text", F.lit("cs").alias("mode"))
-    surfaces = terms.select("term_id", F.col("key").alias("text"), F.lit("ci").alias("mode")).unionAll(cs)
-    return V.synonym_pairs(terms, surfaces, [], 3, 4).withColumn("rules", F.array_join("rules", ","))
+    words = F.split("key", " ")
+    turned = terms.select(F.concat(F.lit("T:"), F.col("k").cast("string")).alias("term_id"), F.concat_ws(" ", F.get(words, 1), F.get(words, 0)).alias("key"), F.array_join(words, "").alias("text"))
+    initials = F.upper(F.concat(F.get(words, 0).substr(1, 1), F.get(words, 1).substr(1, 1)))
+    surfaces = terms.select("term_id", F.col("key").alias("text"), F.lit("ci").alias("mode")).unionAll(terms.select("term_id", initials, F.lit("cs"))).unionAll(turned.select("term_id", "text", F.lit("ci")))
+    named = terms.select("term_id", "key").unionAll(turned.select("term_id", "key"))
+    return V.synonym_pairs(named, surfaces, [], 3, 4).withColumn("rules", F.array_join("rules", ","))
 
 
 @query("j13_contained_names", with_(TERMS, "s AS (SELECT id, w FROM t UNION ALL SELECT DISTINCT 'W:' || u, [u] FROM (SELECT unnest(w) AS u FROM t))") + "SELECT x.id AS small, y.id AS large FROM s x JOIN s y ON list_has_all(y.w, x.w) AND len(list_distinct(x.w)) < len(list_distinct(y.w))")

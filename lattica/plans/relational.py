@@ -112,9 +112,10 @@ def j04(spark, sf):
     return table(spark, sf, "customer").join(big, "c_custkey", "left").select("c_custkey", F.coalesce("big", F.lit(False)).alias("big"))
 
 
-@query("j05_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j05_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '2000-01-01')")
 def j05(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    late = table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= ts("2000-01-01")))
+    return table(spark, sf, "customer").join(late.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("j10_bridge_hops", "SELECT r_name, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT o_custkey) AS customers FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
@@ -273,9 +274,9 @@ def u03(spark, sf):
     return o.where("o_orderstatus = 'F'").select("o_custkey").intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("u04_except", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("u04_except", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")
 def u04(spark, sf):
-    lines = table(spark, sf, "lineitem")
+    lines = table(spark, sf, "lineitem").where("l_quantity > 40")
     return lines.where("l_returnflag = 'R'").select("l_partkey").subtract(lines.where("l_returnflag = 'A'").select("l_partkey"))
 
 
