@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assignees as A
 from ..operators import boosting as G
+from ..operators import briefings as B
 from ..operators import features as X
 from ..operators import hypergraph as H
 from ..operators import models as L
@@ -175,3 +176,59 @@ def t14(spark, sf):
     first = lambda i: F.substring(F.get(F.split(F.upper("p_name"), " "), i), 1, 1)
     short = rows.select(F.concat(first(0), first(1), F.lit(" "), F.col("p_type")).alias("text")).distinct()
     return L.restore_acronyms(short, rows.select(F.concat_ws(" ", "p_name", "p_type").alias("text")), 2)
+
+
+PARTS_OF = "pl AS (SELECT DISTINCT l_orderkey, 'M:' || l_partkey AS term, l_partkey FROM lineitem), b AS (SELECT l_orderkey, list_sort(list(term))[1:3] AS triad, list(l_partkey ORDER BY term)[1:3] AS keys FROM pl GROUP BY ALL HAVING count(*) >= 3)"
+
+
+def _frames(spark, sf):
+    """Orders of three and more parts as bundles (parts are papers) with a frame each; some frames are at fault in ways their keys tell."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("p")).distinct()
+    ids = F.array_sort(F.collect_list("p"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    rows = lines.groupBy("l_orderkey").agg(ids.alias("ps")).where(F.size("ps") >= 3).join(orders, "l_orderkey")
+    k, paper = F.col("l_orderkey"), lambda x: F.concat(F.lit("paper:"), x)
+    first = F.array(paper(F.get("ps", 0)))
+    part = F.struct(F.lit("t").alias("text"), first.alias("evidence_ids"), F.lit(None).cast("string").alias("basis"))
+    role = lambda x: F.struct(F.concat(F.lit("M:"), x).alias("term_id"), F.when(x.cast("long") % 7 == 0, "").otherwise("r").alias("role"), F.array(paper(x)).alias("evidence_ids"))
+    frame = F.struct(
+        F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "insufficient_concept").otherwise("odd").alias("status"),
+        F.when(k % 2 == 0, "none").otherwise("other").alias("insufficient_reason"),
+        F.when(k % 3 == 0, "").otherwise("e").alias("insufficient_explanation"),
+        F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(first).alias("insufficient_evidence_ids"),
+        F.transform(F.slice("ps", 1, 3), role).alias("components"),
+        part.alias("target_task"), part.alias("limitation"), part.alias("combination"),
+    )
+    papers = F.transform("ps", lambda x: F.struct(paper(x).alias("id"), F.lit("1998-01-01").alias("first_date"), F.concat(F.lit("part "), x).alias("text")))
+    blocks = F.array().cast("array<struct<id:string,text:string,version:string>>")
+    patents = F.array().cast("array<struct<ids:array<string>,text:string>>")
+    dvf = F.struct(F.concat(F.lit("dvf:"), k.cast("string")).alias("id"), F.create_map(F.lit("D"), (k % 6).cast("double")).alias("scores"))
+    return rows.select("l_orderkey", F.transform(F.slice("ps", 1, 3), lambda x: F.concat(F.lit("M:"), x)).alias("triad"), papers.alias("papers"), blocks.alias("blocks"), patents.alias("patents"), dvf.alias("dvf"), frame.alias("frame"))
+
+
+@query("r07_frame_problems", with_(PARTS_OF) + "SELECT l_orderkey, CASE o_orderstatus WHEN 'F' THEN (l_orderkey % 2 <> 0)::INT + (l_orderkey % 5 <> 0)::INT + (len(list_filter(keys, lambda x: x % 7 = 0)) > 0)::INT WHEN 'O' THEN (l_orderkey % 2 = 0)::INT + (l_orderkey % 5 = 0)::INT + (l_orderkey % 3 = 0)::INT ELSE 1 END AS n FROM b JOIN orders ON o_orderkey = l_orderkey")
+def r07f(spark, sf):
+    found = B.frame_problems("frame", B.bundle_ids(False), F.col("triad"))
+    return _frames(spark, sf).select("l_orderkey", F.size(found).alias("n"))
+
+
+@query("r08_frame_items", with_(PARTS_OF) + "SELECT l_orderkey, field, count(*) AS n FROM (SELECT l_orderkey, unnest(CASE o_orderstatus WHEN 'F' THEN list_concat(list_transform(triad, lambda t: 'component ' || t), ['target_task', 'limitation', 'combination']) WHEN 'O' THEN ['explanation'] ELSE [] END) AS field FROM b JOIN orders ON o_orderkey = l_orderkey) GROUP BY ALL")
+def r08f(spark, sf):
+    part = "struct<text:string,evidence_ids:array<string>,basis:string>"
+    shape = f"struct<{', '.join(f'{n}:{part}' for n in ('summary', 'target_user', 'jtbd', 'value_prop', 'riskiest_assumption', 'mvp', 'success_metric'))}, kill_criteria:array<{part}>, open_source:array<struct<id:string,use:string,evidence_ids:array<string>>>, to_build:array<{part}>>"
+    rows = _frames(spark, sf).withColumns({"briefing": F.lit(None).cast(shape), "briefing_valid": F.lit(False)})
+    return B.items(rows, ["l_orderkey"]).groupBy("l_orderkey", "field").agg(F.count("*").alias("n"))
+
+
+@query("r09_number_flags", with_(PARTS_OF) + "SELECT l_orderkey, CAST(NULLIF((keys[1] % 3 = 0)::INT + (l_orderkey % 4 <> l_orderkey % 6)::INT, 0) AS BIGINT) AS n FROM b WHERE n IS NOT NULL")
+def r09n(spark, sf):
+    """Sentences that state a number their part does not have, or a score of an axis that is not its own."""
+    rows = _frames(spark, sf)
+    key = F.regexp_extract(F.get("triad", 0), "(\\d+)", 1)
+    said = F.when(key.cast("long") % 3 == 0, F.concat(F.lit("Part "), key, F.lit(" makes 0.5 here."))).otherwise(F.concat(F.lit("Part "), key, F.lit(" is here.")))
+    axis = F.concat(F.lit("Desirability is "), (F.col("l_orderkey") % 4).cast("string"), F.lit("."))
+    item = lambda field, text: F.struct(F.lit("evidential").alias("kind"), F.lit(field).alias("field"), text.alias("text"), F.array(F.concat(F.lit("paper:"), key)).alias("evidence_ids"))
+    items = rows.select("l_orderkey", F.explode(F.array(item("said", said), item("axis", axis))).alias("i")).select("l_orderkey", "i.*")
+    found = B.flags(items, rows, ["l_orderkey"], "2000-01-01", ["best of"], "threshold")
+    wanted = F.when(F.col("field") == "said", F.array_contains("flags", "number_not_in_cited_evidence")).otherwise(F.array_contains("flags", "dvf_number_mismatch"))
+    return found.where(wanted).groupBy("l_orderkey").agg(F.count("*").alias("n"))
