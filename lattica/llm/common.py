@@ -83,26 +83,6 @@ def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: A key that holds more than one row in so many is joined by broadcast; at most this many keys can.
-SHARE = 1000
-
-
-def split_join(rows: DataFrame, other: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner, left_semi or left) with ``other``, whose ``weight`` says how many of ``rows`` a key holds at least roughly.
-
-    Keys of more than a ``SHARE``-th of the weight meet their rows where these lie, so that no task gets all of a hot key;
-    their number is bounded by ``SHARE``. The rest is an ordinary join. ``other`` should be a written table, its keys unique (or nearly).
-    """
-    total = other.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    hot = other.where(F.col(weight) * SHARE > F.lit(total))
-    cold = other.drop(weight)
-    if hot.isEmpty():
-        return rows.join(cold, on, how)
-    keys = F.broadcast(hot.select(*on).distinct())
-    held = rows.join(F.broadcast(hot.drop(weight)), on, "left_semi" if how == "left_semi" else "inner")
-    return held.unionByName(rows.join(keys, on, "left_anti").join(cold, on, how))
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant that clashes with no column of ``df`` (case ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pytest
 
-from lattica.llm import common
 from lattica.llm import hyperminhash as H
 from lattica.llm.components import components
 
@@ -61,7 +60,6 @@ def corpus(seed: int):
 def test_groups_against_brute_force(spark, monkeypatch, seed, width, block, ids):
     monkeypatch.setattr(H, "BLOCK", block)
     monkeypatch.setattr(H, "MAX_BROADCAST_IDS", ids)
-    monkeypatch.setattr(common, "SHARE", 30 if seed == 2 else 1)
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "z", 5) for i, t in enumerate(texts)], "doc_id long, text string, c string, n int").repartition(3)
     got = {r.doc_id: r for r in H.near_duplicates(docs, width=width).collect()}
