@@ -99,9 +99,9 @@ def repeated_stretches(texts: DataFrame, contents: DataFrame, unit: Words, tag:
 
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     pieces = cut(texts, wanted.where("NOT hot"), cutter(unit, ["k", "c", "m", "n", "t"], [*kinds, pa.binary()], whole), "k long, c long, m int, n int, t binary")
-    found = written(by_anchor(pieces, _edges(unit.length), _STRETCHES), f"{tag}-stretches")
+    found = by_anchor(pieces, _edges(unit.length), _STRETCHES)
     if wanted.where("hot").isEmpty():
-        return found
+        return written(found, f"{tag}-found")
     rows = cut(texts, wanted.where("hot"), cutter(unit, ["k", "c", "m", "i", "h", "g", "x", "y"], [*kinds, *[pa.int64()] * 4], single), "k long, c long, m int, i int, h long, g long, x long, y long")
     rows = written(rows, f"{tag}-edges")
     often = rows.groupBy("h", "g").agg(F.least(F.sum("m"), F.lit(1 << 30)).cast("int").alias("t")).where("t > 1")
@@ -110,7 +110,9 @@ def repeated_stretches(texts: DataFrame, contents: DataFrame, unit: Words, tag:
     glued = rows.join(often, ["h", "g"]).withColumn("z", island).groupBy("k", "c", "t", "z").agg(
         F.min("i").alias("a"), (F.max("i") + 1).cast("int").alias("b"), F.first("m").alias("m"), F.min_by("x", "i").alias("x"), F.max_by("y", "i").alias("y"), F.xxhash64(words).alias("e")
     )
-    return found.unionAll(glued.select("k", "c", "a", "b", "m", "t", "x", "y", "e"))
+    found = written(found.unionAll(glued.select("k", "c", "a", "b", "m", "t", "x", "y", "e")), f"{tag}-found")
+    drop(rows)
+    return found
 
 
 def nonbranching_paths(edges: DataFrame, tag: str) -> DataFrame:
@@ -143,6 +145,7 @@ def nonbranching_paths(edges: DataFrame, tag: str) -> DataFrame:
         state = after
     placed = edges.join(state.where("done").select("e", "p", "off"), "e", "left")
     placed = written(placed.select("e", F.coalesce("p", "e").alias("head"), F.coalesce("off", F.lit(0).cast("long")).alias("off"), "n"), f"{tag}-placed")
+    drop(state)
     sizes = placed.groupBy("head").agg(F.max(F.col("off") + F.col("n")).alias("size"))
     return placed.join(sizes, "head").select("e", "head", "off", "size")
 
@@ -150,7 +153,8 @@ def nonbranching_paths(edges: DataFrame, tag: str) -> DataFrame:
 def long_spans(occurrences: DataFrame, found: DataFrame, tag: str) -> DataFrame:
     """Steps 3 and 4: (u, v, s, n) of the repeated spans, in windows, of occurrences (k, c, at)."""
     edges = found.groupBy("e").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max("t").alias("t"), F.first(F.col("b") - F.col("a")).alias("n"))
-    paths = nonbranching_paths(written(edges, f"{tag}-graph"), tag)
+    edges = written(edges, f"{tag}-graph")
+    paths = nonbranching_paths(edges, tag)
     placed = found.select("k", "c", "a", "b", "e").join(paths, "e").select("k", "c", "a", "b", "head", "off", "size")
     parts = occurrences.join(placed, ["k", "c"]).select(F.explode("at").alias("p"), "a", "b", "head", "size", "off")
     parts = parts.select("p.u", "p.v", "head", "size", (F.col("p.s") + F.col("a")).alias("s"), (F.col("b") - F.col("a")).alias("n"), "off")
@@ -158,6 +162,8 @@ def long_spans(occurrences: DataFrame, found: DataFrame, tag: str) -> DataFrame:
     parts = parts.distinct().withColumn("start", F.col("s") - F.col("off"))
     whole = parts.groupBy("u", "v", "head", "size", "start").agg(F.sum("n").alias("covered"), F.collect_list(F.struct("s", "n")).alias("parts"))
     whole = written(whole, f"{tag}-spans")
+    for spent in (occurrences, found, edges, paths):  # what follows reads the spans alone
+        drop(spent)
     twice = whole.where("covered = size").groupBy("head").agg(F.count("*").alias("places")).where("places > 1").select("head", F.lit(True).alias("verified"))
     judged = whole.join(twice, "head", "left")
     spans = judged.where("verified AND covered = size").select("u", "v", F.col("start").cast("int").alias("s"), F.col("size").cast("int").alias("n"))
@@ -174,5 +180,6 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     unit, tag = Words(length, gram), "debruijn"
     texts = keyed(docs, id_col, text_col)
     occurrences, contents = shared_runs(texts, unit, tag)
-    found = written(repeated_stretches(texts, contents, unit, tag), f"{tag}-found")
+    found = repeated_stretches(texts, contents, unit, tag)
+    drop(contents)
     return remove_spans(docs, texts, long_spans(occurrences, found, tag), unit, id_col)
