@@ -91,6 +91,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def attach(big: DataFrame, small: DataFrame, key: str, rows: int = 1 << 18, salts: int = 64) -> DataFrame:
+    """``big`` left-joined with ``small`` (unique ``key``; nulls equal) when a key may hold much of ``big``.
+
+    Up to ``rows`` keys (and 64 MB of them) are broadcast. More are written ``salts`` times, and each row of ``big``
+    meets one of the copies, so that no task gets more than that share of a key.
+    """
+    size = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("b")).first()
+    same, others = small.withColumnRenamed(key, "_lt_key"), [c for c in small.columns if c != key]
+    if size.n <= rows and size.b <= 64 << 20:
+        return big.join(F.broadcast(same), F.col(key).eqNullSafe(F.col("_lt_key")), "left").select(*big.columns, *others)
+    dealt = big.withColumn("_lt_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    copies = same.withColumn("_lt_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = F.col(key).eqNullSafe(F.col("_lt_key")) & (F.col("_lt_salt") == F.col("_lt_part"))
+    return dealt.join(copies, met, "left").select(*big.columns, *others)
+
+
 def utf8_buffer(column: pa.Array | pa.ChunkedArray):
     """(bytes as uint8 array, offsets as int64 array) of an Arrow string column; nulls are empty."""
     import numpy as np

@@ -88,6 +88,54 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from .common import attach
+    from .vector_codes import codebook_text, compress
+
+    out, books = compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    digest = hashlib.sha256(codebook_text(books).encode()).hexdigest()
+    sums = out.groupBy("grp").agg(F.sum("error").alias("label_error"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return attach(out, sums, "grp").select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .host_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from functools import partial
+
+    import public_tokenizers
+
+    from .alignment import ByteLevel, Pieces, align, group_texts, with_counts
+    from .common import written
+
+    left = partial(ByteLevel, public_tokenizers.path("byte_bpe_50k.json"))
+    right = partial(Pieces, public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = align(table(spark, sf_dir, "documents"), left, right, ["doc_id"])
+    groups = F.arrow_udf(group_texts, "string")("a_ids", "b_ids", "a_ends", "b_ends")
+    size = lambda c: F.size(c).cast("long")
+    slim = aligned.select(
+        "doc_id",
+        size("a_ids").alias("n_a"),
+        size("b_ids").alias("n_b"),
+        size("a_ends").alias("n_groups"),
+        F.when(F.size("a_ids") == 0, "").otherwise(F.sha2(groups, 256)).alias("groups_sha256"),
+        "pairs",
+        "times",
+    )
+    return with_counts(written(slim, "aligned")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 SQL_OP4 = """
 WITH c AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
@@ -154,10 +202,88 @@ FROM m
 """
 
 
+def _rounds(n: int) -> str:
+    """The assignments and codebooks of n Lloyd rounds and the last assignment, as common table expressions."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, j, part, min([list_inner_product(part, part) - 2 * list_inner_product(part, entry) + list_inner_product(entry, entry), CAST(k AS DOUBLE)]) AS best
+  FROM p JOIN c{r} USING (j) GROUP BY vec_id, j, part
+)""")
+        if r < n:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.j, c{r}.k, coalesce(m.entry, c{r}.entry) AS entry FROM c{r} LEFT JOIN (
+    SELECT j, k, list(x ORDER BY i) AS entry FROM (
+      SELECT j, CAST(best[2] AS BIGINT) AS k, i, floor(sum(part[i]) / count(*)) AS x FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(part)) + 1 FROM p))) AS i) GROUP BY ALL
+    ) GROUP BY ALL
+  ) AS m ON m.j = c{r}.j AND m.k = c{r}.k
+)""")
+    return ",\n".join(steps)
+
+
+SQL_OP11 = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, j, v[j * (len(v) // 8) + 1 : (j + 1) * (len(v) // 8)] AS part FROM v, (SELECT unnest(range(8)) AS j)
+), c0 AS (
+  SELECT j, k, part AS entry FROM (SELECT j, part, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS k FROM p) WHERE k < 16
+), {_rounds(6)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(best[2] AS BIGINT)), '' ORDER BY j) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a6 GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY j, k, i)) AS digest
+  FROM (SELECT j, k, unnest(entry) AS x, generate_subscripts(entry, 1) AS i FROM c6)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT digest FROM books) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)
+"""
+
+SQL_OP12 = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents
+), w AS MATERIALIZED (
+  SELECT r, doc_id, host, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (
+    SELECT r, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8
+  ), LATERAL (SELECT array_to_string(ws[i : i + 7], ' ') AS k)
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM g WHERE c > 1) GROUP BY r
+), f AS MATERIALIZED (
+  SELECT r, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r)
+), x AS (
+  SELECT r, host, unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines,
+                          word_chars < 3 * n_words OR word_chars > 12 * n_words]) AS bad, unnest(range(5)) AS rule FROM f WHERE host IS NOT NULL
+), h AS (
+  SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE bad) AS DOUBLE) AS k FROM x GROUP BY ALL
+), s AS (
+  SELECT rule, count(*) AS hs, sum(n) AS big, sum(n * n) AS sq, sum(k) AS ks, sum(k * k / n) AS q, sum(k) / sum(n) AS m FROM h GROUP BY rule
+), b AS (
+  SELECT rule, hs, big, m, (q - ks * ks / big - (hs - 1) * m * (1 - m)) / nullif(big - sq / big, 0) AS between_ FROM s
+), z AS (
+  SELECT rule, big, CASE WHEN hs < 2 THEN 0.5 ELSE m END AS m, CASE WHEN hs < 2 THEN 2.0 WHEN m * (1 - m) = 0 OR between_ <= 0 THEN NULL ELSE greatest(m * (1 - m) / between_ - 1, 0) END AS strength FROM b
+), y AS (
+  SELECT host, CASE WHEN strength IS NULL THEN m ELSE (k + strength * m) / (n + strength) END AS rate,
+         CASE WHEN strength IS NULL THEN big + 1 ELSE n + strength + 1 END AS weight FROM h JOIN z USING (rule)
+), bad AS (
+  SELECT DISTINCT host FROM y WHERE rate - 2.0 * sqrt(rate * (1 - rate) / weight) > 0.5
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.host IS NULL AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f) AS f LEFT JOIN bad ON bad.host = f.host
+"""
+
+
 def queries():
     found = [op1_suffix_dedup, op2_pu_quality, op3_html_extraction, op4_exact_topk, op5_sentencepiece, op6_simhash_decontamination, op7_debruijn_dedup, op8_hyperminhash, op9_bootstrap_pii, op10_warc]
+    found += [op11_vector_codes, op12_host_rules, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10}
+    return {"op4_exact_topk": SQL_OP4, "op6_simhash_decontamination": SQL_OP6, "op10_warc": SQL_OP10, "op11_vector_codes": SQL_OP11, "op12_host_rules": SQL_OP12}
