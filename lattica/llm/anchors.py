@@ -275,8 +275,10 @@ def shared_runs(docs: DataFrame, unit, tag: str) -> tuple[DataFrame, DataFrame]:
 def cut(docs: DataFrame, contents: DataFrame, work, schema: str) -> DataFrame:
     """Rows that ``work(tokens, run)`` makes of the text of each content's run (k, c, m, n, o, hot)."""
     wanted = contents.groupBy("u", "v").agg(F.collect_list(F.struct("k", "c", "m", "s", "n", "o", "hot")).alias("w"))
-    held = docs.join(wanted, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v"))).select("_lt_text", "w")
-    return held.mapInArrow(work, schema)
+    held = docs.join(wanted, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v")))
+    # rows that repeat id and text share their name; one of them stands for all
+    held = held.groupBy("u", "v").agg(F.first("_lt_text").alias("_lt_text"), F.first("w").alias("w"))
+    return held.select("_lt_text", "w").mapInArrow(work, schema)
 
 
 def cutter(unit, names: list[str], kinds: list[pa.DataType], rows_of):
@@ -351,7 +353,8 @@ def remove_spans(docs: DataFrame, texts: DataFrame, found: DataFrame, unit, id_c
 
     ``found``: u, v, s, n stretches of repeated windows.
     """
-    per_text = found.groupBy("u", "v").agg(F.collect_list(F.struct("s", "n")).alias("w"))
+    # a set: rows that repeat id and text share their name, and each gives the same stretches
+    per_text = found.groupBy("u", "v").agg(F.collect_set(F.struct("s", "n")).alias("w"))
     joined = texts.join(per_text, (F.col("_lt_u") == F.col("u")) & (F.col("_lt_v") == F.col("v")), "left").select("_lt_id", "_lt_text", "w")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"

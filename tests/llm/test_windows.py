@@ -188,3 +188,19 @@ def test_texts_over_a_slab(spark):
     got = {r.doc_id: (r.n_tokens, r.n_removed) for r in remove_repeated_bytes(docs).collect()}
     # the blanks at both ends of the stretch are equal too
     assert got == {0: (len(texts[0]), len(shared) + 2), 1: (len(texts[1]), len(shared) + 2 + 700_000), 2: (len(texts[2]), 0)}
+
+
+@pytest.mark.parametrize("remove", [remove_repeated_bytes, remove_repeated_words])
+def test_many_identical_rows(spark, remove):
+    """20,000 rows of one id and text, among others that share a passage with them."""
+    rng = random.Random(2)
+    words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (120, 120, 90, 40)]
+    same = f"{words[0]} {words[1]}"
+    others = [f"{words[2]} {words[0]}", words[3]]
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(same).alias("text"))
+    docs = docs.unionAll(spark.createDataFrame(list(enumerate(others)), "doc_id long, text string"))
+    got = remove(docs).groupBy("doc_id", "n_tokens", "n_removed").count().collect()
+    unit = (lambda t: len(t)) if remove is remove_repeated_bytes else (lambda t: len(t.split()))
+    removed = {7: unit(same), 0: unit(words[0]), 1: 0}
+    counts = {7: 20_000, 0: 1, 1: 1}
+    assert {r.doc_id: (r.n_tokens, r.n_removed, r["count"]) for r in got} == {i: (unit(t), removed[i], counts[i]) for i, t in ((7, same), (0, others[0]), (1, others[1]))}
