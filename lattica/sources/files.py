@@ -142,45 +142,6 @@ class Report:
         return spark.createDataFrame(self.records, "file string, path string, value string, text string")
 
 
-class Resumed:
-    """Answers of a slow source kept in a JSON-lines file, so that a broken run goes on where it stopped.
-
-    ``ask`` maps a key to a JSON value; a ``Later`` it raises is waited for, each time twice as long.
-    """
-
-    class Later(Exception):
-        pass
-
-    def __init__(self, path: str, ask, wait: float = 1.0, tries: int = 6, sleep=None):
-        import time
-
-        self.path, self.ask, self.wait, self.tries, self.sleep = Path(path), ask, wait, tries, sleep or time.sleep
-        self.known = {}
-        if self.path.exists():
-            for line in self.path.read_text().splitlines():
-                row = json.loads(line)
-                self.known[row["key"]] = row["value"]
-
-    def get(self, key: str):
-        if key not in self.known:
-            for n in range(self.tries):
-                try:
-                    value = self.ask(key)
-                    break
-                except Resumed.Later:
-                    if n == self.tries - 1:
-                        raise
-                    self.sleep(self.wait * 2**n)
-            with self.path.open("a") as out:
-                out.write(json.dumps({"key": key, "value": value}) + "\n")
-            self.known[key] = value
-        return self.known[key]
-
-    def table(self, spark: SparkSession, keys: list[str]) -> DataFrame:
-        """key, value (JSON text) of all ``keys``."""
-        return spark.createDataFrame([(k, json.dumps(self.get(k))) for k in keys], "key string, value string")
-
-
 def review_sheet(spark: SparkSession, path: str) -> DataFrame:
     """CSV sheet with a header, all strings; a byte-order mark before the first name is dropped."""
     df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path).fillna("")

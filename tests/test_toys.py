@@ -296,24 +296,11 @@ def test_more_sources_and_sinks(spark, tmp_path):
     assert files.estimated_bytes(spark.range(1000)) >= 8000 > files.estimated_bytes(spark.range(10))
 
 
-def test_report_and_resumed_answers(spark, tmp_path):
+def test_report_numbers(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a": {"share": 0.12345, "list": [3, 4000]}}')
     report = files.Report(str(tmp_path))
     assert (report.text("m", "a.share", "d3"), report.text("m", "a.share", "pct"), report.text("m", "a.list.1", "int")) == ("0.123", "12.3%", "4,000")
     assert [tuple(r) for r in report.table(spark).collect()][2] == ("m", "a.list.1", "4000", "4,000")
-    asked, waits = [], []
-
-    def ask(key):
-        asked.append(key)
-        if key == "slow" and asked.count("slow") < 3:
-            raise files.Resumed.Later
-        return {"n": len(key)}
-
-    first = files.Resumed(str(tmp_path / "c.jsonl"), ask, 1.0, sleep=waits.append)
-    assert first.get("slow") == {"n": 4} and waits == [1.0, 2.0] and first.get("slow") == {"n": 4}
-    again = files.Resumed(str(tmp_path / "c.jsonl"), ask)
-    assert {r.key: r.value for r in again.table(spark, ["slow", "ab"]).collect()} == {"slow": '{"n": 4}', "ab": '{"n": 2}'}
-    assert asked == ["slow"] * 3 + ["ab"]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
