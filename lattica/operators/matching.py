@@ -58,21 +58,21 @@ def hits(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str) ->
     return out
 
 
-def match(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, term_id, mode, first, last (tokens; end exclusive) of every match; rows that repeat id and text count once."""
-    schema = f"{id_col} {texts.schema[id_col].dataType.simpleString()}, term_id string, mode string, first int, last int"
+def match(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, grams: bool = False) -> DataFrame:
+    """id_col, term_id, mode, first, last (tokens; end exclusive) and, if wanted, gram of every match; rows that repeat id and text count once."""
+    schema = f"{id_col} {texts.schema[id_col].dataType.simpleString()}, term_id string, mode string, first int, last int" + ", gram string" * grams
     own = surfaces(dictionary).where(F.size("terms") == 1).select("mode", "gram", "size", F.col("terms")[0].alias("term_id"))
     named = texts.select(id_col, F.xxhash64(F.col(text_col)).alias("_lt_name"), F.col(text_col).alias("_lt_text"))
     found = hits(named, own, [id_col, "_lt_name"], "_lt_text")
     if found is None:
         return texts.sparkSession.createDataFrame([], schema)
     # of the hits that begin at one token the longest; then from the left whatever starts where the last one ended or later
-    longest = found.groupBy(id_col, "_lt_name", "mode", "first").agg(F.max(F.struct("size", "term_id")).alias("h"))
-    rows = longest.groupBy(id_col, "_lt_name", "mode").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("h.size")).alias("last"), "h.term_id"))).alias("hs"))
-    none = F.expr("cast(array() as array<struct<first:int,last:int,term_id:string>>)")
+    longest = found.groupBy(id_col, "_lt_name", "mode", "first").agg(F.max(F.struct("size", "term_id", "gram")).alias("h"))
+    rows = longest.groupBy(id_col, "_lt_name", "mode").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("h.size")).alias("last"), "h.term_id", "h.gram"))).alias("hs"))
+    none = F.expr("cast(array() as array<struct<first:int,last:int,term_id:string,gram:string>>)")
     end = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["last"], F.lit(0))
     chosen = F.aggregate("hs", none, lambda kept, h: F.when(h["first"] >= end(kept), F.array_append(kept, h)).otherwise(kept))
-    return rows.select(id_col, "mode", F.explode(chosen).alias("m")).select(id_col, "m.term_id", "mode", "m.first", "m.last")
+    return rows.select(id_col, "mode", F.explode(chosen).alias("m")).select(id_col, "m.term_id", "mode", "m.first", "m.last", *["m.gram"] * grams)
 
 
 def phrases(texts: DataFrame, excluded: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,9 +101,34 @@ def refine(spans: DataFrame, id_col: str, cs_only: DataFrame, excluded: DataFram
     return flat.where("mode = 'ci'").unionByName(flat.where("mode = 'cs'").join(backed, [id_col, "term_id"], "left_semi").select(flat.columns))
 
 
-def sentences(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, idx, sentence: split at white space after . ! ? before a capital or digit."""
-    return texts.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "(?<=[.!?])\\s+(?=[A-Z0-9])")).alias("idx", "sentence"))
+def sentence_ends(abbreviations: list[str] | None = None, openers: str = "A-Z0-9") -> str:
+    """Pattern of the white space between two sentences: after . ! ? and before one of ``openers``, but neither behind an
+    abbreviation nor inside one."""
+    names = sorted(abbreviations or [], key=lambda a: (-len(a), a))
+    behind = f"(?<!{'|'.join(map(re.escape, names))})" if names else ""
+    inner = [(a[: m.end()], a[m.end() :].lstrip()) for a in names for m in re.finditer(r"[.!?](?=\s)", a)]
+    inside = "".join(f"(?!(?<={re.escape(left)})\\s+{re.escape(right)})" for left, right in inner)
+    return f"(?<=[.!?]){behind}{inside}\\s+(?=[{openers}])"
+
+
+def sentences(texts: DataFrame, id_col: str, text_col: str, abbreviations: list[str] | None = None, openers: str = "A-Z0-9") -> DataFrame:
+    """id_col, idx, sentence: split at ``sentence_ends``."""
+    return texts.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), sentence_ends(abbreviations, openers))).alias("idx", "sentence"))
+
+
+def example_sentences(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, per: int, seed: int, abbreviations: list[str] | None = None) -> DataFrame:
+    """(term_id, mode, gram, n, id_col, idx, sentence): of every surface of ``dictionary`` that the matcher finds, ``per`` of its ``n``
+    sentences, drawn by a seeded hash.
+
+    The draw is a bottom-k per surface: tasks hand on no more than ``per`` rows of a surface, so one that stands everywhere is no hot key.
+    """
+    cut = sentences(texts, id_col, text_col, abbreviations).withColumn("sid", F.struct(F.col(id_col).alias("id"), "idx"))
+    found = match(cut, dictionary, "sid", "sentence", grams=True).select("term_id", "mode", "gram", "sid").distinct()
+    drawn = Window.partitionBy("term_id", "mode", "gram").orderBy(F.xxhash64(F.lit(seed), "gram", "sid"), "sid")
+    picked = found.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= per).drop("_r")
+    counts = found.groupBy("term_id", "mode", "gram").agg(F.count("*").alias("n"))
+    shown = picked.join(counts, ["term_id", "mode", "gram"]).join(cut.select("sid", "sentence").distinct(), "sid")
+    return shown.select("term_id", "mode", "gram", "n", F.col("sid.id").alias(id_col), F.col("sid.idx").alias("idx"), "sentence")
 
 
 def cue_pattern(cues: list[str]) -> str:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import product
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 
 def tfidf(texts: DataFrame, id_col: str, words: str, min_df: int, max_share: float, stop: list[str] = ()) -> DataFrame:
@@ -78,15 +75,12 @@ def remapped_phrases(excluded: DataFrame, heads: DataFrame) -> DataFrame:
     return named.select(F.coalesce("head", "term_id").alias("term_id"), "text").distinct()
 
 
-@udtf(returnType="variant: string")
-class InitialVariants:
-    """Acronyms of a phrase: each word gives its first letter or its first two, in every combination."""
-
-    def eval(self, phrase: str):
-        words = [w for w in (phrase or "").replace("-", " ").split() if w]
-        if 2 <= len(words) <= 6:
-            for parts in sorted(set(product(*([w[0].upper(), w[:2].upper()] for w in words)))):
-                yield ("".join(parts),)
+def letter_variants(phrase: Column, most: int = 2) -> Column:
+    """Sorted acronyms of a phrase of two words or more when each word gives its first letter, or up to its first ``most``."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(phrase, F.lit("")), "-", " "), "\\s+"), lambda w: w != "")
+    first = lambda w: F.array_distinct(F.array(*(F.upper(w.substr(1, n)) for n in range(1, most + 1))))
+    longer = lambda made, w: F.flatten(F.transform(made, lambda m: F.transform(first(w), lambda o: F.concat(m, o))))
+    return F.when(F.size(words) >= 2, F.array_sort(F.array_distinct(F.aggregate(words, F.array(F.lit("")), longer)))).otherwise(F.array().cast("array<string>"))
 
 
 def restore_acronyms(composites: DataFrame, expansions: DataFrame, minimum: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hypergraph import connected_groups
+from .hypergraph import connected_groups, hyperedges, pair_counts, pair_npmi, term_counts
 from .matching import mode_tokens
 
 # Signs of advertising in names.
@@ -104,6 +104,20 @@ def contained_names(terms: DataFrame, suffixes: list[str], least: int) -> DataFr
     return met.where((F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0)).select("small", "large")
 
 
+def candidate_pairs(terms: DataFrame, surfaces: DataFrame, inc: DataFrame, suffixes: list[str], least: int, longest_acronym: int, meetings: int, npmi_min: float) -> DataFrame:
+    """(a, b, rules, meetings, npmi): ``synonym_pairs`` and pairs that meet in at least ``meetings`` papers at ``npmi_min`` or more,
+    without those of which one name holds all words of the other. ``inc``: paper_id, term_id; pairs that never meet have 0 and null.
+    """
+    edges = hyperedges(inc)
+    counts = pair_counts(edges).join(edges.agg(F.count("*").cast("double").alias("_n")))
+    met = pair_npmi(counts, term_counts(inc), F.col("_n")).select("a", "b", F.col("cnt").alias("meetings"), "npmi")
+    often = met.where((F.col("meetings") >= meetings) & (F.col("npmi") >= npmi_min)).select("a", "b", F.array(F.lit("cooccurrence")).alias("rules"))
+    found = synonym_pairs(terms, surfaces, suffixes, least, longest_acronym).unionByName(often)
+    found = found.groupBy("a", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
+    held = contained_names(terms, suffixes, least).select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"))
+    return found.join(held, ["a", "b"], "left_anti").join(met, ["a", "b"], "left").fillna(0, ["meetings"])
+
+
 # Endings that turn a word into its base, with what replaces them.
 INFLECTIONS = (("ies", "y"), ("es", ""), ("s", ""), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("er", ""), ("est", ""))
 

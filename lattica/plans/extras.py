@@ -164,9 +164,8 @@ def g26(spark, sf):
 
 @query("t13_acronym_variants", "WITH n AS (SELECT DISTINCT p_name, string_split(upper(p_name), ' ') AS w FROM part) SELECT DISTINCT p_name, left(w[1], i) || left(w[2], j) AS variant FROM n, (VALUES (1), (2)) a(i), (VALUES (1), (2)) b(j)")
 def t13(spark, sf):
-    spark.udtf.register("initial_variants", L.InitialVariants)
-    table(spark, sf, "part").select("p_name").distinct().createOrReplaceTempView("lattica_names")
-    return spark.sql("SELECT p_name, v.variant FROM lattica_names, LATERAL initial_variants(p_name) v")
+    names = table(spark, sf, "part").select("p_name").distinct()
+    return names.select("p_name", F.explode(L.letter_variants(F.col("p_name"))).alias("variant"))
 
 
 @query("t14_restored_acronyms", "WITH n AS (SELECT DISTINCT p_name, p_type, upper(left(string_split(p_name, ' ')[1], 1) || left(string_split(p_name, ' ')[2], 1)) AS acronym FROM part), g AS (SELECT acronym, p_name AS expansion, count(DISTINCT p_type) AS support FROM n GROUP BY ALL) SELECT * FROM g WHERE support >= 2 QUALIFY row_number() OVER (PARTITION BY acronym ORDER BY support DESC, expansion) = 1")
