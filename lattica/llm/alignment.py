@@ -19,6 +19,7 @@ their numbers, so a long run of repeated tokens costs no product of its length.
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -27,14 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh, slabs, utf8_buffer, written
-from .sentencepieces import MARKER, ChunkTable
+from .sentencepieces import MARKER
 
 MOST = 1 << 20
 WIDE = 4096
+# Fixed value: the pattern by which byte-level BPE of this kind parts a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose class no library disputes.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u024f]*")
 
 
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library; encodes a space and the text, special strings as plain text."""
+    """A byte-level BPE file of the tokenizers library; encodes a space and the text, special strings as plain text.
+
+    Texts of ``_PLAIN`` characters alone go to the tiktoken library, which merges the pair whose joint entry has the lowest id
+    and is several times as fast. That is the same encoding if entries are numbered in the order of their merges and each entry's own bytes encode to it
+    alone: a pair that joins to an entry can then stand side by side only as that entry's own merge, since the merges inside its
+    bytes run as they do when it stands alone. Both are checked when the file is loaded; where one fails, or for other
+    characters, on whose classes the libraries' patterns might differ, the tokenizers library encodes itself.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,21 +62,46 @@ class ByteLevel:
         self.table = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.table[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+        self.fast = self._ranked(path)
+
+    def _ranked(self, path: str):
+        """The same vocabulary in tiktoken, or None where the two might encode differently."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, before = told["model"], told["pre_tokenizer"] or {}
+        vocab, special = model["vocab"], {t["content"] for t in told["added_tokens"]}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
+        own = {e: i for e, i in vocab.items() if e not in special}
+        ordered = [own.get(m, -1) for m in merges]
+        usual = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told["normalizer"]
+        if not usual or ordered != sorted(set(ordered)) or len(own) != 256 + len(merges) or max(own[e] for e in own.keys() - set(merges)) >= ordered[0]:
+            return None
+        if any([t.id for t in self.library.model.tokenize(e)] != [i] for e, i in own.items()):
+            return None
+        return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks={self.table[i]: i for i in own.values()}, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.fast is not None and _PLAIN.fullmatch(t) is not None for t in texts]
+        others = [" " + t for t, p in zip(texts, plain) if not p]
+        rest = iter(self.library.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        return [self.fast.encode_to_numpy(" " + t, disallowed_special=()) if p else np.array(next(rest).ids, np.int64) for t, p in zip(texts, plain)]
 
 
 class Pieces:
-    """A SentencePiece model, which puts the space before the text itself; words are segmented through the chunk table."""
+    """A SentencePiece model, which puts the space before the text itself."""
 
     def __init__(self, path: str):
-        self.chunks = ChunkTable(path)
-        sp = self.chunks.sp
+        import sentencepiece
+
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.table = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARKER, " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size())))]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, np.int32) for b in self.chunks.run(texts, -1)[0]]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.sp.encode(texts, num_threads=1)
 
 
 class _Spelling:
@@ -89,7 +126,7 @@ def _flat(encoded) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and the tokens of each text."""
     counts = np.array([len(e) for e in encoded], np.int64)
     if encoded and isinstance(encoded[0], np.ndarray):
-        return np.concatenate(encoded).astype(np.int64), counts
+        return np.concatenate(encoded, dtype=np.int64, casting="unsafe"), counts
     return np.fromiter(chain.from_iterable(encoded), np.int64, int(counts.sum())), counts
 
 
@@ -191,15 +228,15 @@ def _align(texts: list[str], raw: np.ndarray, ends: np.ndarray, left, right, spe
     ]
 
 
-OUTPUTS = "a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, pairs array<bigint>, times array<bigint>"
-NAMES = ["a_ids", "b_ids", "a_ends", "b_ends", "pairs", "times"]
+OUTPUTS = "a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, pairs array<bigint>, times array<bigint>, groups string"
+NAMES = ["a_ids", "b_ids", "a_ends", "b_ends", "pairs", "times", "groups"]
 
 
-def align(docs: DataFrame, left, right, keep: list[str], text: str = "text", span: int = 1 << 17, slab: int = 1 << 20) -> DataFrame:
+def align(docs: DataFrame, left, right, keep: list[str], text: str = "text", span: int = 1 << 17, slab: int = 1 << 18) -> DataFrame:
     """``keep`` columns, token ids of both sides, and per group how many tokens of either side end with it (running).
 
     ``left`` and ``right`` make an encoder each, called once a task. ``pairs`` are the distinct linked ids of the
-    document as a * span + b, ``times`` their numbers of links. ``span`` must exceed every id.
+    document as a * span + b, ``times`` their numbers of links, ``groups`` all groups as ``a1,a2|b1;a3|b2,b3``. ``span`` must exceed every id.
     """
     bounded_batches(docs.sparkSession)
     kept = docs.select(*(k for k in keep if k.lower() not in NAMES))
@@ -218,12 +255,12 @@ def align(docs: DataFrame, left, right, keep: list[str], text: str = "text", spa
             for lo, hi in slabs(ends, slab):
                 piece = batch.slice(lo, hi - lo)
                 found = _align(column.slice(lo, hi - lo).to_pylist(), raw, ends[lo : hi + 1], a, b, spell_a, spell_b, span)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *found], names=names)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *found, group_texts(*found[:4])], names=names)
 
     return source.mapInArrow(work, ", ".join([*fields, OUTPUTS]))
 
 
-def group_texts(a_ids: pa.Array, b_ids: pa.Array, a_ends: pa.Array, b_ends: pa.Array) -> pa.Array:
+def group_texts(a_ids, b_ids, a_ends, b_ends) -> pa.Array:
     """Each row's groups as ``a1,a2|b1;a3|b2,b3``."""
     flat = lambda c: np.asarray(c.flatten()).astype(np.int64)
     sizes = lambda c: np.asarray(c.value_lengths()).astype(np.int64)
@@ -237,16 +274,22 @@ def group_texts(a_ids: pa.Array, b_ids: pa.Array, a_ends: pa.Array, b_ends: pa.A
     ids[np.arange(len(b)) + a_end[g_b]] = b
     ends[a_end + b_end - np.diff(b_end, prepend=0) - 1] = ord("|")
     ends[a_end + b_end - 1] = ord(";")
-    digits = len(str(int(ids.max(initial=0))))
-    power = 10 ** np.arange(digits - 1, -1, -1)
-    cells = np.empty((len(ids), digits + 1), np.uint8)
-    cells[:, :-1] = ids[:, None] // power % 10 + 48
-    cells[:, -1] = ends
-    used = np.ones(cells.shape, bool)
-    used[:, : digits - 1] = ids[:, None] >= power[:-1]
-    used[_offsets(count_a + count_b)[1:][count_a > 0] - 1, -1] = False  # no separator after a row's last group
-    size = _offsets(_offsets(used.sum(1))[_offsets(count_a + count_b)][1:] - _offsets(used.sum(1))[_offsets(count_a + count_b)][:-1])
-    return pa.LargeStringArray.from_buffers(len(groups), pa.py_buffer(size), pa.py_buffer(cells[used])).cast(pa.string())
+    rows = _offsets(count_a + count_b)
+    ids = ids.astype(np.int32)
+    digits = np.ones(len(ids), np.int64)
+    for d in range(1, len(str(int(ids.max(initial=0))))):
+        digits += ids >= 10**d
+    width = digits + 1
+    width[rows[1:][count_a > 0] - 1] -= 1  # no separator after a row's last group
+    after = np.cumsum(width)
+    text = np.empty(int(after[-1]) if len(after) else 0, np.uint8)
+    text[(after - 1)[width > digits]] = ends[width > digits]
+    last = after - 1 - (width - digits)
+    for d in range(int(digits.max(initial=0))):
+        text[last - d] = ids % 10 + 48
+        more = digits > d + 1
+        ids, last, digits = ids[more] // 10, last[more], digits[more]
+    return pa.LargeStringArray.from_buffers(len(groups), pa.py_buffer(_offsets(width)[rows]), pa.py_buffer(text)).cast(pa.string())
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

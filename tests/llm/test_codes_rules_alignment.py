@@ -213,11 +213,10 @@ def brute_alignment(texts, left, right):
 
 
 def aligned_rows(spark, docs, left, right, slab=1 << 20, most=1 << 20, keep=("i",)):
-    from lattica.llm.alignment import align, group_texts, with_counts
+    from lattica.llm.alignment import align, with_counts
 
     found = align(docs, left, right, list(keep), slab=slab)
-    text = F.arrow_udf(group_texts, "string")("a_ids", "b_ids", "a_ends", "b_ends")
-    slim = found.select(keep[0], F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("a_ends").alias("n_groups"), text.alias("g"), "pairs", "times")
+    slim = found.select(keep[0], F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("a_ends").alias("n_groups"), F.col("groups").alias("g"), "pairs", "times")
     rows = with_counts(written(slim, "t"), most=most).collect()
     return {r[keep[0]]: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.g) for r in rows}
 
@@ -277,3 +276,26 @@ def test_alignment_query_against_libraries(spark, sf):
     assert [got[i] for i in range(len(odd))] == brute_alignment(odd, left, Right())
     raw = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode("<|endoftext|>", add_special_tokens=False)
     assert raw.ids == [50256] and left.encode(["<|endoftext|>"])[0][-1] != 50256
+
+
+def test_byte_level_equals_the_library():
+    """Both ways of encoding against the library, for every character of the plain alphabet beside others, and for invented words."""
+    import tokenizers
+
+    from lattica.llm import alignment
+
+    side = alignment.ByteLevel(P.path("byte_bpe_50k.json"))
+    library = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    assert side.fast is not None
+    rng = random.Random(12)
+    plain = [chr(c) for c in range(0x300) if alignment._PLAIN.fullmatch(chr(c))]
+    texts = [t for c in plain for t in (c, f"a {c}b{c} {c}{c} \n {c}", f"1{c}2 .{c}.{c}a", c * 7)]
+    texts += ["", " ", "<|endoftext|> x <|endoftext|>", "it's  we'll\t\t don't", "\x85", "a\u3000 b", "中文 \U0001f642\xa0x"]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "b1", "'s", "é", rng.choice(plain)]) for _ in range(rng.randint(1, 50))) for _ in range(3000)]
+    texts += ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", weights=range(26, 0, -1), k=rng.randint(1, 14))) for _ in range(20_000)]
+    assert sum(alignment._PLAIN.fullmatch(t) is None for t in texts) == 3
+    want = [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in side.encode(texts)] == want
+    side.fast = None
+    assert [x.tolist() for x in side.encode(texts[:500])] == want[:500]
