@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("graph", "statistics", "relational", "texts", "review", "models", "extras", "recovery", "vocabulary")
+MODULES = ("graph", "statistics", "relational", "texts", "review", "models", "extras", "recovery", "vocabulary", "replicates")
 
 
 def query(name: str, sql: str | None = None):
