@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import numbered, settled
-from .statistics import average_precision
+from .ranks import numbered, running, settled
 
 
 def pooled(frames: list[DataFrame], allowed: list[str], names: list[str]) -> DataFrame:
@@ -57,15 +56,36 @@ def _margins(model, rows: DataFrame, columns: list[str], keep: list[str]) -> Dat
     return out.select(*keep, F.array(*steps).alias("ms"))
 
 
+def round_precisions(staged: DataFrame, label: str = "label") -> DataFrame:
+    """(fold, round, average_precision): ``staged`` has fold, label and ``ms``, the running margin after each round (from 0).
+
+    All folds and rounds share one global order, (fold, round, falling score), whose running totals less those before the round's
+    first score are the round's own; so no fold or round is one task. Tied scores are one step. Null for a round without positives.
+    """
+    each = staged.select("fold", F.col(label).cast("double").alias("y"), F.posexplode("ms").alias("round", "score"))
+    steps = each.groupBy("fold", "round", "score").agg(F.sum("y").alias("p"), F.count("*").cast("double").alias("n"))
+    order = [F.col("fold"), F.col("round"), -F.col("score")]
+    run = settled(running(running(steps, order, F.col("p"), "_tp"), order, F.col("n"), "_all"))
+    start = run.groupBy("fold", "round").agg(F.min("_tp").alias("_tp0"), F.min_by("p", "_all").alias("_p0"), F.min("_all").alias("_all0"), F.min_by("n", "_all").alias("_n0"))
+    met = run.join(F.broadcast(start), ["fold", "round"])  # one row per fold and round
+    tp, seen = F.col("_tp") - F.col("_tp0") + F.col("_p0"), F.col("_all") - F.col("_all0") + F.col("_n0")
+    return met.groupBy("fold", "round").agg((F.sum(F.col("p") * tp / seen) / F.nullif(F.sum("p"), F.lit(0.0))).alias("average_precision"))
+
+
 def choose_rounds(rows: DataFrame, columns: list[str], key: list[str], folds: int = 5, most: int = 50, patience: int = 10, seed: int = 1, label: str = "label") -> tuple[int, list[float]]:
-    """(rounds, mean average precision after each round): the first round that none of the next ``patience`` beats."""
+    """(rounds, mean average precision after each round): the first round that none of the next ``patience`` beats.
+
+    Beside the training, the whole choice is one pass over the held-out rows of all folds.
+    """
     dealt = settled(stratified_folds(rows, key, label, folds, seed))
-    curves = []
+    staged = []
     for fold in range(folds):
         model = train(dealt.where(F.col("fold") != fold), columns, most, seed, label=label)
-        held = settled(_margins(model, dealt.where(F.col("fold") == fold), columns, [label]))
-        curves.append([average_precision(held.select(F.col("ms")[i].alias("score"), F.col(label).alias("y"))).first().average_precision or 0.0 for i in range(most)])
-    mean = [sum(c[i] for c in curves) / folds for i in range(most)]
+        staged.append(_margins(model, dealt.where(F.col("fold") == fold), columns, ["fold", label]))
+    found = round_precisions(reduce(DataFrame.unionAll, staged), label)
+    means = found.groupBy("round").agg((F.sum(F.coalesce("average_precision", F.lit(0.0))) / folds).alias("m"))
+    curve = {r["round"]: r.m for r in means.collect()}  # one row a round
+    mean = [curve.get(i, 0.0) for i in range(most)]
     best = 0
     for i in range(1, most):
         if mean[i] > mean[best]:

@@ -192,6 +192,45 @@ def scale_study(pairs: DataFrame, closed: DataFrame, supports: list[int]) -> Dat
     return out
 
 
+def triangle_counts(stable: DataFrame, closed: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row (triangles, open_triangles, open_with_task, counted) without a row per triangle.
+
+    Edges point to the end of higher degree, and each node has the sorted array of those it points to: the triangles over an edge are
+    the common part of two arrays, of which only sizes are kept. ``closed`` triads that are triangles are taken off. Where the
+    triangles exceed ``limit``, all counts are null and ``counted`` is false; sizes alone decide that, before anything is looked at twice.
+    """
+    edges = stable.select("a", "b")
+    degree = degrees(edges)
+    one, two = (degree.select(F.col("term_id").alias(x), F.col("degree").alias(f"d_{x}")) for x in "ab")
+    low = F.least(F.struct("d_a", F.col("a").alias("t")), F.struct(F.col("d_b").alias("d_a"), F.col("b").alias("t")))["t"]
+    out = edges.join(one, "a").join(two, "b").select(low.alias("u"), F.when(low == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
+    # an oriented node points to at most the root of twice the number of edges
+    near = out.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.array_sort(F.collect_list(F.when(F.col("v").startswith("T:"), F.col("v")))).alias("ts"))
+    met = out.join(near, "u").join(near.select(F.col("u").alias("v"), F.col("vs").alias("ws"), F.col("ts").alias("us")), "v")
+    common = F.size(F.array_intersect("vs", "ws"))
+    sums = met.agg(F.coalesce(F.sum(common), F.lit(0)).alias("triangles"), F.coalesce(F.sum(F.when(~F.col("u").startswith("T:") & ~F.col("v").startswith("T:"), common - F.size(F.array_intersect("ts", "us"))).otherwise(0)), F.lit(0)).alias("none_task"))
+    # a closed triad is a triangle if its three pairs are edges; each is met by semi joins, not listed with others
+    inside = closed
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        inside = inside.join(edges.select(F.col("a").alias(x), F.col("b").alias(y)), [x, y], "left_semi")
+    with_task = F.col("a").startswith("T:") | F.col("b").startswith("T:") | F.col("c").startswith("T:")
+    shut = inside.agg(F.count("*").alias("closed"), F.count_if(with_task).alias("closed_task"))
+    counted = F.lit(True) if limit is None else F.col("triangles") <= limit
+    numbers = {"triangles": F.col("triangles"), "open_triangles": F.col("triangles") - F.col("closed"), "open_with_task": F.col("triangles") - F.col("none_task") - F.col("closed_task")}
+    return sums.join(shut).select(*(F.when(counted, c.cast("long")).alias(n) for n, c in numbers.items()), counted.alias("counted"))
+
+
+def counted_scale_study(pairs: DataFrame, closed: DataFrame, rules: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Per rule (name -> its stable pairs): nodes, edges, wedges and ``triangle_counts``. ``pairs`` are all pairs, which rules choose from."""
+    out = None
+    for name, stable in rules.items():
+        deg = degrees(stable).agg(F.count("*").alias("nodes"), F.coalesce(F.sum(F.col("degree") * (F.col("degree") - 1) / 2), F.lit(0)).cast("long").alias("wedges"))
+        row = deg.join(stable.agg(F.count("*").alias("edges"))).join(triangle_counts(stable, closed, limit)).join(pairs.agg(F.count("*").alias("pairs")))
+        row = row.select(F.lit(name).alias("rule"), "pairs", "nodes", "edges", "wedges", "triangles", "open_triangles", "open_with_task", "counted")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 def pair_npmi(pairs: DataFrame, terms: DataFrame, n_papers: Column) -> DataFrame:
     one, two = (terms.select(F.col("term_id").alias(x), F.col("docs").alias(f"n_{x}")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").withColumn("npmi", npmi(F.col("cnt"), F.col("n_a"), F.col("n_b"), n_papers))

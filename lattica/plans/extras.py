@@ -231,3 +231,17 @@ def r09n(spark, sf):
     found = B.flags(items, rows, ["l_orderkey"], "2000-01-01", ["best of"], "threshold")
     wanted = F.when(F.col("field") == "said", F.array_contains("flags", "number_not_in_cited_evidence")).otherwise(F.array_contains("flags", "dvf_number_mismatch"))
     return found.where(wanted).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("m09_round_curve")
+def m09(spark, sf):
+    """Mean average precision of labelled documents after each of eight rounds, by five stratified folds, with the chosen round and each column's share of the gain."""
+    t = F.col("text")
+    share = lambda p: F.length(F.regexp_replace(t, f"[^{p}]", "")) / F.greatest(F.length(t), F.lit(1))
+    columns = ["n", "upper", "marks", "digits"]
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    data = rows.select("doc_id", F.col("quality").alias("label"), F.length(t).cast("double").alias("n"), share("A-Z").alias("upper"), share("!#$%&*|").alias("marks"), share("0-9").alias("digits"))
+    rounds, curve = G.choose_rounds(data, columns, ["doc_id"], folds=5, most=8, patience=3)
+    gains = G.importances(G.train_seeds(data, columns, rounds, [1, 2]), columns)
+    made = [("precision", str(i + 1), v, i + 1 == rounds) for i, v in enumerate(curve)] + [("gain", c, v, False) for c, v in gains.items()]
+    return spark.createDataFrame(made, "kind string, name string, value double, chosen boolean")

@@ -134,6 +134,25 @@ def g11(spark, sf):
     return H.scale_study(g.pairs, g.closed, [8, 10, 12])
 
 
+def _counted_sql(name: str, edges: str, limit: int) -> str:
+    shown = lambda c: f"CASE WHEN t <= {limit} THEN {c} END"
+    return (
+        f"SELECT '{name}' AS rule, (SELECT count(*) FROM pc) AS pairs, (SELECT count(*) FROM (SELECT a FROM {edges} UNION SELECT b FROM {edges})) AS nodes, (SELECT count(*) FROM {edges}) AS edges, "
+        f"CAST((SELECT coalesce(sum(d * (d - 1) / 2), 0) FROM (SELECT v, count(*) AS d FROM (SELECT a AS v FROM {edges} UNION ALL SELECT b FROM {edges}) GROUP BY ALL)) AS BIGINT) AS wedges, "
+        f"{shown('t')} AS triangles, {shown('o')} AS open_triangles, {shown('w')} AS open_with_task, t <= {limit} AS counted "
+        "FROM (SELECT count(*) AS t, count(*) FILTER (c2 IS NULL) AS o, count(*) FILTER (c2 IS NULL AND (a LIKE 'T:%' OR b LIKE 'T:%' OR c LIKE 'T:%')) AS w "
+        f"FROM (SELECT e.a, e.b, f.b AS c, t.c AS c2 FROM {edges} e JOIN {edges} f ON f.a = e.b JOIN {edges} g ON g.a = e.a AND g.b = f.b LEFT JOIN tc t ON t.a = e.a AND t.b = e.b AND t.c = f.b))"
+    )
+
+
+@query("g11_counted_scale", with_(*BASE, STABLE, sql_triples(), "p8 AS (SELECT a, b FROM pc WHERE cnt >= 8)", "p1 AS (SELECT a, b FROM pc)") + " UNION ALL ".join((_counted_sql("stability", "st", 100_000), _counted_sql("support 8", "p8", 100_000), _counted_sql("support 1", "p1", 100_000))))
+def g11c(spark, sf):
+    """Sizes by support and by the stability rule; beyond 100,000 triangles they are not counted."""
+    g = Graph(spark, sf)
+    rules = {"stability": g.stable.select("a", "b"), "support 8": H.supported_pairs(g.pairs, 8), "support 1": H.supported_pairs(g.pairs, 1)}
+    return H.counted_scale_study(g.pairs, g.closed, rules, 100_000)
+
+
 @query("g12_adamic_adar", with_(*BASE, STABLE, ADJ, DEG, AA) + "SELECT a, b, round(aa, 6) AS aa, common FROM aa")
 def g12(spark, sf):
     return H.adamic_adar(Graph(spark, sf).stable).withColumn("aa", F.round("aa", 6))

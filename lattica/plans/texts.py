@@ -87,7 +87,7 @@ def t12(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.regexp_extract("p_brand", "#([0-9]+)", 1).alias("code"), F.regexp_replace("p_brand", "[^A-Za-z]", "").alias("letters"))
 
 
-@query("t15_plural_merge", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) SELECT p.w AS plural, coalesce(a.w, b.w) AS singular FROM w p LEFT JOIN w a ON p.w LIKE '%es' AND a.w = left(p.w, -2) LEFT JOIN w b ON p.w LIKE '%s' AND b.w = left(p.w, -1) WHERE coalesce(a.w, b.w) IS NOT NULL")
+@query("t15_plural_merge", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), e AS (SELECT w, left(w, -2) AS k FROM w WHERE w LIKE '%es'), s AS (SELECT w, left(w, -1) AS k FROM w WHERE w LIKE '%s'), m AS (SELECT e.w AS plural, e.k AS singular, 1 AS rank FROM e JOIN w ON w.w = e.k UNION ALL SELECT s.w, s.k, 2 FROM s JOIN w ON w.w = s.k) SELECT plural, arg_min(singular, rank) AS singular FROM m GROUP BY plural")
 def t15(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("plural")).distinct()
     stems = words.select(F.col("plural").alias("s"))
