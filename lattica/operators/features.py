@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import growth
+from ..sources.folders import kept
 from . import hypergraph as H
 
+# The feature columns by their published names.
 #: Columns by set: P pairs, H hypergraph, T text, R recency.
 SETS = {
     "P": ["P_aa_min", "P_aa_mean", "P_aa_gmean", "P_cn_min", "P_cn_mean", "P_cn_gmean", "P_npmi_min", "P_npmi_mean", "P_npmi_max", "P_logfreq_min", "P_logfreq_mean"],
@@ -82,53 +84,93 @@ def vector_features(triads: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.select(*H.TRIAD, ((ab + ac + bc) / 3).alias("T_cos_mean"), F.least(ab, ac, bc).alias("T_cos_min"), F.greatest(volume, F.lit(0.0)).alias("T_volume"))
 
 
+def _weighted(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, q): the sum over ``rows`` of w times the vector q."""
+    return rows.groupBy(key).agg(F.array(*(F.sum(F.col("q")[c] * F.col("w")) for c in range(width))).alias("q"))
+
+
+def _matrix(column):
+    import numpy as np
+
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _gram(vectors: DataFrame, width: int):
+    """The width x width matrix of products of the columns of ``vectors`` (q), summed on the executors."""
+    import numpy as np
+    import pyarrow as pa
+
+    def partial(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            q = _matrix(batch.column(0))
+            if len(q):
+                total += q.T @ q
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "q"])
+
+    parts = vectors.select("q").mapInArrow(partial, "i long, q array<double>").withColumn("w", F.lit(1.0))
+    out = np.zeros((width, width))
+    for r in _weighted(parts, "i", width).collect():
+        out[r.i] = r.q
+    return out
+
+
+def _turned(vectors: DataFrame, key: str, turn) -> DataFrame:
+    """(key, q): every q times the small matrix ``turn``."""
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            q = _matrix(batch.column(1)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x @ turn) for x in q], pa.list_(pa.float64()))], names=[key, "q"])
+
+    return vectors.select(key, "q").mapInArrow(work, f"{key} {vectors.schema[key].dataType.simpleString()}, q array<double>")
+
+
+def singular_basis(cells: DataFrame, dims: int, rounds: int = 40, more: int = 8, seed: int = 7) -> tuple[DataFrame, list[float]]:
+    """(word, q) with the ``dims`` leading right singular vectors of the sparse matrix ``cells`` (term_id, word, w), and the singular values.
+
+    A subspace iteration with ``more`` spare columns. The basis is a table by word: a round joins it to the cells, sums by term,
+    joins that and sums by word. The driver sees only the Gram matrix of the columns, whose eigenvectors make them orthonormal and put them in
+    order; columns without weight become zero.
+    """
+    import numpy as np
+
+    words = cells.select("word").distinct()
+    width = min(dims + more, words.count())
+    if not width:
+        return words.select("word", F.array().cast("array<double>").alias("q")), []
+    spread = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "word"), F.lit(1 << 20)) / float(1 << 19) - 1.0
+    basis, before = words.select("word", F.array(*map(spread, range(width))).alias("q")), None
+    for _ in range(rounds):
+        by_term = _weighted(cells.join(basis, "word"), "term_id", width)
+        image = kept(_weighted(cells.join(by_term, "term_id"), "word", width), "svd")
+        values, vectors = np.linalg.eigh(_gram(image, width))
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        good = values > values[0] * 1e-24 if values[0] > 0 else np.zeros(width, bool)
+        basis = _turned(image, "word", np.where(good, vectors / np.sqrt(np.where(good, values, 1)), 0))
+        lead = np.sqrt(np.sqrt(values[:dims]))
+        if before is not None and np.abs(lead - before).max() <= 1e-12 * max(1e-300, lead[0]):
+            break
+        before = lead
+    short = F.slice("q", 1, dims)
+    return kept(basis.select("word", short.alias("q")), "svd-basis"), [float(x) for x in lead]
+
+
 def term_vectors(weights: DataFrame, links: DataFrame, dims: int, most_words: int = 20_000) -> DataFrame:
     """(term_id, v): mean of the papers' word weights, reduced to ``dims`` by singular values, of unit length (or zero).
 
     ``weights``: paper_id, word, weight (see ``models.tfidf``); ``links``: paper_id, term_id. The ``most_words`` words
-    of the largest total count are kept. The words' Gram matrix is summed on the executors; its
-    leading vectors come from a subspace iteration whose only driver state is words x dims numbers.
+    of the largest total count are kept.
     """
-    import numpy as np
-
-    spark = weights.sparkSession
-    top = weights.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most_words).select("word").collect()
-    index = spark.createDataFrame([(r.word, i) for i, r in enumerate(sorted(top))], "word string, j int")
-    n_words = len(top)
+    top = weights.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most_words).select("word")
     size = links.groupBy("term_id").agg(F.count_distinct("paper_id").alias("n"))
-    sums = links.join(weights.join(F.broadcast(index), "word"), "paper_id").groupBy("term_id", "j").agg(F.sum("weight").alias("w"))
-    means = sums.join(size, "term_id").select("term_id", "j", (F.col("w") / F.col("n")).alias("w"))
-    rows = means.groupBy("term_id").agg(F.collect_list("j").alias("js"), F.collect_list("w").alias("ws"))
-    rows = rows.cache()
-    k = min(dims, n_words)
-    basis = np.linalg.qr(np.random.default_rng(7).normal(size=(n_words, k)))[0] if n_words else np.zeros((0, 0))
-
-    def project(batches, basis):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame({"term_id": pdf["term_id"], "v": [list(np.asarray(w) @ basis[np.asarray(j)]) for j, w in zip(pdf["js"], pdf["ws"])]})
-
-    for _ in range(12 if k else 0):
-        held = spark.sparkContext.broadcast(basis)
-
-        def partial(batches, held=held):
-            import pandas as pd
-
-            total = np.zeros(held.value.shape)
-            for pdf in batches:
-                for j, w in zip(pdf["js"], pdf["ws"]):
-                    j, w = np.asarray(j), np.asarray(w)
-                    total[j] += np.outer(w, w @ held.value[j])
-            yield pd.DataFrame({"j": np.arange(len(total)), "row": list(total)})
-
-        got = rows.select("js", "ws").mapInPandas(partial, "j int, row array<double>")
-        got = got.groupBy("j").agg(F.array(*(F.sum(F.col("row")[i]) for i in range(k))).alias("row")).orderBy("j").collect()
-        before, basis = basis, np.linalg.qr(np.array([r.row for r in got]))[0]
-        held.destroy()
-        if np.abs(np.abs(np.einsum("ij,ij->j", before, basis)) - 1).max() < 1e-9:
-            break
-    out = rows.mapInPandas(lambda b: project(b, basis), "term_id string, v array<double>") if k else rows.select("term_id", F.array().cast("array<double>").alias("v"))
+    sums = links.join(weights.join(top, "word"), "paper_id").groupBy("term_id", "word").agg(F.sum("weight").alias("w"))
+    cells = kept(sums.join(size, "term_id").select("term_id", "word", (F.col("w") / F.col("n")).alias("w")), "svd-cells")
+    basis, values = singular_basis(cells, dims)
+    if not values:
+        return cells.select("term_id", F.array().cast("array<double>").alias("v"))
+    out = _weighted(cells.join(basis, "word"), "term_id", len(values)).withColumnRenamed("q", "v")
     length = F.sqrt(dot(F.col("v"), F.col("v")))
     return out.select("term_id", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v"))
 

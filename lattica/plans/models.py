@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as fn
+from ..operators import features as X
 from ..operators import hypergraph as H
 from ..operators import matching as M
 from ..operators import models as L
@@ -32,6 +33,23 @@ def m04v(spark, sf):
     return L.mean_vectors(L.tfidf(items, "item_id", "ws", 2, 0.5), b.select("item_id", (F.col("item_id") % 7).alias("g")), "item_id", "g").withColumn("weight", F.round("weight", 6))
 
 
+def document_vectors(spark, sf):
+    """(weights, links): word weights of all documents, and each document's source and language as its terms."""
+    d = table(spark, sf, "documents")
+    words = d.select(F.col("doc_id").alias("paper_id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1)).alias("ws"))
+    links = d.select(F.col("doc_id").alias("paper_id"), F.explode(F.array("source", F.concat(F.lit("lang "), "lang"))).alias("term_id"))
+    return L.tfidf(words, "paper_id", "ws", 5, 0.5, ["the", "and", "que", "les"]), links
+
+
+@query("m04_svd_similarity")
+def m04s(spark, sf):
+    """Cosines of every source and language with the languages (the query set) by their mean document, reduced to eight dimensions."""
+    v = X.term_vectors(*document_vectors(spark, sf), 8, 2_000)
+    asked = v.where(F.col("term_id").startswith("lang ")).agg(F.collect_list(F.struct("term_id", "v")).alias("qs"))
+    rows = v.join(F.broadcast(asked)).select(F.col("term_id").alias("a"), "v", F.explode("qs").alias("x"))
+    return rows.select("a", F.col("x.term_id").alias("b"), F.round(X.dot(F.col("v"), F.col("x.v")), 5).alias("cos"))
+
+
 @query("m10_out_of_fold")
 def m10(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")

@@ -111,5 +111,37 @@ def test_tails_of_the_null_model(spark):
 
 
 def test_every_query_has_sql_or_a_test():
-    tested = "t03_matcher t05_refined_spans t10_numbers_in_text t25_shards n01_seeded_sample n02_stratified_sample n03_blind_shuffle g20_context_overlap g25_greedy_cover x02_upper_tail x05_labels t01_normalise_unicode o06_diversified_order t08_window_evidence t19_example_sentences t19_surface_examples g19_pair_evidence x06_significant_new_triads g18_recall_of_new_triads x15_candidate_bootstrap x16_block_bootstrap x17_paired_difference x19_nested_power x17_all_intervals x19_nested_choice x20_sample_size x28_unit_bootstrap m10_out_of_fold m01_triad_features m12_engine_ranks m09_round_curve s13_fingerprint".split()
+    tested = "t03_matcher t05_refined_spans t10_numbers_in_text t25_shards n01_seeded_sample n02_stratified_sample n03_blind_shuffle g20_context_overlap g25_greedy_cover x02_upper_tail x05_labels t01_normalise_unicode o06_diversified_order t08_window_evidence t19_example_sentences t19_surface_examples g19_pair_evidence x06_significant_new_triads g18_recall_of_new_triads x15_candidate_bootstrap x16_block_bootstrap x17_paired_difference x19_nested_power x17_all_intervals x19_nested_choice x20_sample_size x28_unit_bootstrap m10_out_of_fold m01_triad_features m12_engine_ranks m09_round_curve m04_svd_similarity s13_fingerprint".split()
     assert set(registry.queries()) - set(registry.oracle_sql()) <= set(tested)
+
+
+def test_similarity_by_singular_values(spark):
+    """The query against a plain decomposition of the whole matrix of terms and words."""
+    import numpy as np
+
+    from lattica.plans import models
+
+    weights, links = models.document_vectors(spark, SF)
+    counts, rows = Counter(), {}
+    for r in weights.collect():
+        counts[r.word] += 1
+        rows.setdefault(r.paper_id, {})[r.word] = r.weight
+    words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2_000]]
+    place = {w: j for j, w in enumerate(words)}
+    of = {}
+    for r in links.collect():
+        of.setdefault(r.term_id, set()).add(r.paper_id)
+    names = sorted(of)
+    means = np.zeros((len(names), len(words)))
+    for i, t in enumerate(names):
+        for p in of[t]:
+            for w, x in rows.get(p, {}).items():
+                if w in place:
+                    means[i, place[w]] += x / len(of[t])
+    u, s, vt = np.linalg.svd(means, full_matrices=False)
+    low = means @ vt[:8].T
+    low /= np.linalg.norm(low, axis=1, keepdims=True)
+    got = {(r.a, r.b): r.cos for r in models.m04s(spark, SF).collect()}
+    languages = [(j, b) for j, b in enumerate(names) if b.startswith("lang ")]
+    assert len(languages) >= 4 and len(got) == len(names) * len(languages)
+    assert all(got[a, b] == pytest.approx(float(low[i] @ low[j]), abs=2e-5) for i, a in enumerate(names) for j, b in languages)
