@@ -8,6 +8,10 @@ neighbour. Of two equally near ones with different labels a long block follows t
 other. Inside an ``article`` or ``main`` element the element itself is the neighbour at either end, and boilerplate
 elements in it are no neighbours.
 
+An ``article`` or ``main`` decides about what stands outside it only if the rules find no more text there than it holds itself; else it
+is a teaser, and all blocks go through the rules alike. On a page with hardly any of the known stop words (another language) length
+and link density decide alone; characters of scripts that write a word in one or two count threefold.
+
 Broken markup: a quote opens a value only after an equals sign; a value whose quote is never closed ends at white space or
 ``>``; a tag or comment without an end takes the rest of the page; a ``select``, ``button`` or other skipped element that
 is never closed skips nothing, and one that is still open where an article, heading, paragraph or section starts ends there.
@@ -61,7 +65,8 @@ GOOD_WORDS = frozenset("article post entry content body main text story".split()
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 
 SHORT, LONG = 70, 200
-LOW_STOPS, HIGH_STOPS, MAX_LINKS = 0.15, 0.25, 0.33
+LOW_STOPS, HIGH_STOPS, MAX_LINKS, KNOWN_STOPS = 0.15, 0.25, 0.33, 0.05
+_DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff\uff66-\uff9f]")
 
 # possessive, so that no character is tried twice
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
@@ -230,17 +235,23 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(b: Block) -> str:
-    """good, bad, near (long enough but without a clear density) or short."""
+def weight(text: str) -> int:
+    """Length of a text, in which a character from the ideographs on counts threefold."""
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    """good, bad, near (long enough but without a clear density) or short. Without a ``known`` language stop words have no say."""
     if b.bad or not b.scope and "©" in b.text:
         return "bad"
     if b.linked > MAX_LINKS * len(b.text):
         return "short" if b.scope else "bad"
-    if len(b.text) < SHORT:
+    size = weight(b.text)
+    if size < SHORT:
         return "short"
-    density = stop_density(b.text)
+    density = stop_density(b.text) if known else HIGH_STOPS
     if density >= HIGH_STOPS:
-        return "good" if len(b.text) > LONG or b.scope else "near"
+        return "good" if size > LONG or b.scope else "near"
     if density >= LOW_STOPS or b.scope:
         return "near"
     return "bad"
@@ -284,10 +295,17 @@ def extract(page: str | None) -> list[str]:
     if 2 * in_form <= open_text or any(b.scope for b in found):  # else the form is the page
         for b in found:
             b.bad = b.bad or b.form
-    if any(b.scope for b in found):  # the page names its article: what stands outside is decided
+    told = [b for b in found if not b.bad]
+    known = stop_density(" ".join(b.text for b in told)) >= KNOWN_STOPS
+    if any(b.scope for b in told):
+        inside = sum(len(b.text) for b in told if b.scope)
+        outside = sum(len(b.text) for b in told if not b.scope and first_pass(b, known) == "good")
         for b in found:
-            b.bad = b.bad or not b.scope
-    keep = second_pass(found, [first_pass(b) for b in found])
+            if outside > inside:  # a teaser: the main text stands elsewhere
+                b.scope = 0
+            elif not b.scope:  # the page names its article: what stands outside is decided
+                b.bad = True
+    keep = second_pass(found, [first_pass(b, known) for b in found])
     return [b.text for b, k in zip(found, keep) if k]
 
 

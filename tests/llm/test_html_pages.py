@@ -49,6 +49,18 @@ PAGES = {
 }
 
 
+RUSSIAN = ["Ночью река поднялась, и к утру вода стояла над дорогой, которая ведёт к мельнице, так что никто из нас не мог попасть на работу. " * 2, "Мы ждали на холме вместе с другими и смотрели, как вода уносит заборы и сено, оставленное в полях до самой осени этого года. " * 2]
+CHINESE = ["夜里河水上涨，到了早晨已经漫过通往磨坊的道路，我们谁也没有办法去上班，只好在山坡上等待消息。" * 2, "我们和其他人一起站在山上，看着大水冲走了篱笆和留在田里的干草，直到傍晚雨才慢慢停了下来。" * 2]
+RUSSIAN = [t.strip() for t in RUSSIAN]
+PAGES |= {
+    "another language, no article": (f"<body>{MENU}<div>{RUSSIAN[0]}</div><div>{RUSSIAN[1]}</div><div><a href=/x>Читать дальше обо всём этом</a></div></body>", RUSSIAN),
+    "ideographs, no article": (f"<body>{MENU}<div>{CHINESE[0]}</div><div>{CHINESE[1]}</div></body>", CHINESE),
+    "another language in an article": (f"<nav>{MENU}</nav><article><h1>水</h1><p>{CHINESE[0]}</p></article><div>{CHINESE[1]}</div>", ["水", CHINESE[0]]),
+    "teaser article beside the main text": (f"<body>{MENU}<div>{A}</div><div>{B}</div><article>Read next</article></body>", [A, B]),
+    "article longer than the text beside it": (f"<body><div>{B}</div><article><p>{A}</p><p>{B} {A}</p></article></body>", [A, f"{B} {A}"]),
+}
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_page(name):
     page, want = PAGES[name]
