@@ -1,11 +1,11 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
 Texts and items become lists of hashed word shingles (lower-cased runs of letters and digits). Windows of
-the items' sizes get a 64-bit SimHash each, their shingles weighted by how often they occur, and so do the items.
-A multi-index finds the candidates: fingerprints are cut into ``RADIUS + 1`` blocks, windows and items of one
-size meet where a block agrees, and two fingerprints within ``RADIUS`` bits agree in one block at least,
-so none within the radius is missed, whichever item it belongs to. Candidates within the radius are verified by
-exact weighted-shingle similarity (sum of smaller over sum of larger weights).
+the items' sizes get ``PRINTS`` independent 64-bit SimHashes each, their shingles weighted by how often they occur, and so do the items.
+A multi-index finds the candidates: a fingerprint is cut into ``BLOCKS`` blocks, and an item stands in the index under every value
+within ``NEAR`` bits of each of its blocks. Of two fingerprints within ``RADIUS`` bits one block differs in ``NEAR`` bits at most, so
+none within the radius is missed, whichever item it belongs to; two random ones meet in about 4 of 100 cases a fingerprint. Candidates within the radius
+under either fingerprint are verified by exact weighted-shingle similarity (sum of smaller over sum of larger weights).
 
 Not every window of a text is fingerprinted. One that is similar to an item holds some of its shingles, and
 moving it to the right until it starts with one never lowers their similarity. So windows of a size open at
@@ -13,8 +13,8 @@ the shingles that the text shares with any item of that size (moved left where t
 unless so few such shingles follow within the window that the threshold is out of reach: 80 of 100
 shingles in common need at least as many shared positions. Common phrases thus open no window.
 
-At the default threshold of 0.8 the expected distance is 10 bits (deviation 3); the radius leaves
-over four deviations.
+At a similarity of 0.8 the expected distance is 10 bits (deviation 3): one fingerprint misses about 1 window in 100 there, both
+about 1 in 10,000, and a similar text mostly has several such windows.
 
 Defined results: null or blank texts and items match nothing; an item of fewer words than a
 shingle is one shingle, as is such a text, so they match only as a whole; a text shorter than an item is one
@@ -29,7 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RADIUS = 23
+PRINTS, BLOCKS, RADIUS = 2, 4, 15
+NEAR = RADIUS // BLOCKS
+WIDTH = 64 // BLOCKS
+#: All changes of a block in up to ``NEAR`` bits.
+CHANGES = [x for x in range(1 << WIDTH) if x.bit_count() <= NEAR]
+#: Rows of the index up to which it is broadcast; a row takes some 50 bytes.
+MAX_INDEX_ROWS = 2_000_000
 #: Above these sizes a table is shuffled instead of broadcast. A hit that opens a window, or a text name, takes 40 bytes at most, so at most 40 MB.
 MAX_BROADCAST_SHINGLES = 500_000
 MAX_BROADCAST_HITS = 1_000_000
@@ -60,10 +66,20 @@ def fingerprint(hashes: str) -> str:
     return let("n", f"size({hashes})", bits)
 
 
-def block(fp: str, b: str, blocks: int) -> str:
-    """Bits of block ``b`` of ``blocks``."""
-    lo, hi = f"cast(floor(64 * ({b}) / {blocks}) AS INT)", f"cast(floor(64 * (({b}) + 1) / {blocks}) AS INT)"
-    return f"(shiftrightunsigned({fp}, {lo}) & (shiftleft(1L, {hi} - {lo}) - 1L))"
+def fingerprints(hashes: str) -> str:
+    """Array of ``PRINTS`` SimHashes; all but the first from hashes of the hashes."""
+    return "array(" + ", ".join([fingerprint(hashes), *(fingerprint(f"transform({hashes}, h -> xxhash64(h, {i}))") for i in range(1, PRINTS))]) + ")"
+
+
+def blocks(fps: str) -> str:
+    """Array of the blocks of all fingerprints of an array, in order."""
+    one = f"transform(sequence(0, {BLOCKS - 1}), b -> shiftrightunsigned(f, b * {WIDTH}) & {(1 << WIDTH) - 1}L)"
+    return f"flatten(transform({fps}, f -> {one}))"
+
+
+def key(size: str, place: str, value: str) -> str:
+    """One number of a window's or item's size, the place of a block among all and its value."""
+    return f"(({size}) * {PRINTS * BLOCKS}L + ({place})) * {1 << WIDTH}L + ({value})"
 
 
 def _weighted(x: str, y: str) -> str:
@@ -86,11 +102,11 @@ def _starts(percent: int) -> str:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per text and item that are similar: id, item id, n_common, n_union (weights), _lt_u, _lt_v (the text's name)."""
-    blocks = RADIUS + 1
     item = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).distinct()
     item = shingles(item, "t", width).where("size(hs) > 0")
-    item = written(item.select("item", F.col("hs").alias("ih"), F.expr(fingerprint("hs")).alias("ifp"), F.size("hs").alias("m")), "items")
-    n_shingles = item.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    item = item.select(F.monotonically_increasing_id().alias("row"), "item", F.col("hs").alias("ih"), F.expr(fingerprints("hs")).alias("ifp"), F.size("hs").alias("m"))
+    item = written(item, "items")
+    n_items, n_shingles = item.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
     small = n_shingles <= MAX_BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
 
@@ -111,16 +127,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     windows = (
         shingles(held, "_lt_text", width)
         .select("id", "u", "v", "hs", F.explode(F.expr(flat)).alias("f"))
-        .select("id", "u", "v", F.col("f.m").alias("m"), F.expr(let("w", "slice(hs, f.s + 1, f.m)", f"struct(w AS wh, {fingerprint('w')} AS fp)")).alias("w"))
+        .select("id", "u", "v", F.col("f.m").alias("m"), F.expr(let("w", "slice(hs, f.s + 1, f.m)", f"struct(w AS wh, {fingerprints('w')} AS fp)")).alias("w"))
     )
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    windows = windows.select("id", "u", "v", "m", "w.wh", "w.fp", numbers).withColumn("bits", F.expr(block("fp", "b", blocks)))
-    index = item.select("item", "ih", "ifp", "m", numbers).withColumn("bits", F.expr(block("ifp", "b", blocks)))
-    agree = f"array_min(filter(sequence(0, {blocks - 1}), x -> {block('fp', 'x', blocks)} = {block('ifp', 'x', blocks)}))"
+    windows = windows.select("id", "u", "v", "m", "w.wh", "w.fp", F.posexplode(F.expr(blocks("w.fp"))).alias("b", "value"))
+    windows = windows.withColumn("key", F.expr(key("m", "b", "value"))).drop("value")
+    changed = F.explode(F.array(*map(F.lit, CHANGES))).alias("change")
+    index = item.select("row", "ifp", "m", F.posexplode(F.expr(blocks("ifp"))).alias("b", "value")).select("row", "ifp", "m", "b", "value", changed)
+    index = index.select("row", "ifp", F.expr(key("m", "b", "value ^ change")).alias("key"))
+    light = n_items * PRINTS * BLOCKS * len(CHANGES) <= MAX_INDEX_ROWS
+    met = windows.join(F.broadcast(index) if light else index, "key")
+    apart = f"transform(zip_with({blocks('fp')}, {blocks('ifp')}, (x, y) -> bit_count(x ^ y)), (d, i) -> if(d <= {NEAR} AND bit_count(get(fp, cast(i div {BLOCKS} AS INT)) ^ get(ifp, cast(i div {BLOCKS} AS INT))) <= {RADIUS}, i, NULL))"
     near = (
-        windows.join(hint(index), ["m", "b", "bits"])
-        .where(f"bit_count(fp ^ ifp) <= {RADIUS}")
-        .where(F.expr(agree) == F.col("b"))  # a candidate found through several blocks stays once
+        # within the radius, and of the blocks that bring two together the first, so that a candidate stays once
+        met.where(F.expr(f"array_min({apart})") == F.col("b"))
+        .drop("m", "key", "b", "fp", "ifp")
+        .join(hint(item.select("row", "item", "ih", "m")), "row")
         .withColumn("n_common", F.expr(_weighted("wh", "ih")).cast("long"))
         .withColumn("n_union", (F.size("wh") + F.col("m") - F.col("n_common")).cast("long"))
         .where(f"100 * n_common >= {percent} * n_union")

@@ -118,12 +118,32 @@ def test_decontamination_paths_and_empty(spark, sf, monkeypatch, duck):
     assert want == sorted(duck.execute(queries.SQL_OP6).fetchall()) and want
     monkeypatch.setattr(S, "MAX_BROADCAST_SHINGLES", 0)
     monkeypatch.setattr(S, "MAX_BROADCAST_HITS", 0)
+    monkeypatch.setattr(S, "MAX_INDEX_ROWS", 0)
     assert sorted(tuple(r) for r in S.pairs(docs, items).collect()) == want
     assert S.pairs(docs.where("false"), items).count() == 0
     assert S.pairs(docs, items.where("false")).count() == 0
     assert S.decontaminate(docs, items.where("false")).count() == docs.count()
 
 
+def test_index_finds_all_within_the_radius_and_few_others(spark):
+    """The blocks of random fingerprints against all pairs: none within the radius is missed, and few random pairs meet."""
+    rng = random.Random(8)
+    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    flipped = []
+    for p in prints:
+        for bit in rng.sample(range(64), rng.randint(0, 20)):
+            p ^= 1 << bit if bit < 63 else -(1 << 63)
+        flipped.append(p)
+    rows = spark.createDataFrame(list(zip(prints, flipped)), "x long, y long")
+    a, b = (rows.select(F.col(c).alias(c), F.posexplode(F.expr(S.blocks(f"array({c})"))).alias("i", "value")) for c in "xy")
+    b = b.select("y", "i", F.col("value"), F.explode(F.array(*map(F.lit, S.CHANGES))).alias("change")).select("y", "i", F.expr("value ^ change").alias("value"))
+    met = {(r.x, r.y) for r in a.join(b, ["i", "value"]).select("x", "y").distinct().collect()}
+    apart = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    close = {(x, y) for x, y in zip(prints, flipped) if apart(x, y) <= S.RADIUS}
+    assert len(close) > 150 and close <= met
+    assert len(met) / len(prints) ** 2 < 0.06
+
+
 def risk_of(w, x, positive, plus, minus, ridge):
     z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))])
     f = z @ w
