@@ -1,7 +1,7 @@
 """Helpers the training-data operators share.
 
-Column names that begin with ``_lt_`` are theirs; tables they take need not have such columns, and where a
-function returns its input's columns it must not.
+Names that begin with ``_lt_`` are given to columns in between; a table may have columns of these names, and where a
+function returns its input's columns they keep their values.
 """
 
 from __future__ import annotations

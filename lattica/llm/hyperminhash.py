@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SLAB, U64, Words, mix
-from .common import slabs, utf8_buffer, written
+from .common import fresh, slabs, utf8_buffer, written
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -325,10 +325,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **names)
     alone = found.where("kept AND (component_id IS NULL OR n_shingles = 0)").select("u", "v")
     chosen = found.where("kept AND component_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("u", "v")).alias("x"))
-    stay = written(alone.unionAll(chosen.select("x.u", "x.v")).distinct().select(F.col("u").alias("_lt_u"), F.col("v").alias("_lt_v")), "stay")
+    u, v = fresh(docs, "_lt_u"), fresh(docs, "_lt_v")
+    stay = written(alone.unionAll(chosen.select("x.u", "x.v")).distinct().select(F.col("u").alias(u), F.col("v").alias(v)), "stay")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.withColumns({"_lt_u": F.xxhash64(id_col, text), "_lt_v": F.hash(id_col, text)})
-    return named.join(stay, ["_lt_u", "_lt_v"]).dropDuplicates(["_lt_u", "_lt_v"]).select(*docs.columns)
+    named = docs.withColumns({u: F.xxhash64(id_col, text), v: F.hash(id_col, text)})
+    return named.join(stay, [u, v]).dropDuplicates([u, v]).select(*docs.columns)
 
 
 def _label(rows: DataFrame, comps: DataFrame, on: str, name: str) -> DataFrame:

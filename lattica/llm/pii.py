@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SLAB, U64, Words, mix
-from .common import slabs, utf8_buffer, written
+from .common import fresh, slabs, utf8_buffer, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 N_BASE, SECRET = 4, 4
@@ -350,10 +350,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with every found span replaced by ``[KIND]`` (of overlapping spans the first's)."""
     found = written(find_pii(docs, id_col, text_col).where(F.size("spans") > 0).select("u", "v", "spans").dropDuplicates(["u", "v"]), "pii-found")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    match = (F.xxhash64(F.col(id_col), text) == F.col("_lt_u")) & (F.hash(F.col(id_col), text) == F.col("_lt_v"))
-    found = found.select(F.col("u").alias("_lt_u"), F.col("v").alias("_lt_v"), F.col("spans").alias("_lt_spans"))
-    few = found.agg(F.coalesce(F.sum(F.size("_lt_spans")), F.lit(0))).first()[0] <= MAX_BROADCAST_SPANS
-    joined_docs = docs.join(F.broadcast(found) if few else found, match, "left").drop("_lt_u", "_lt_v")
+    u, v, all_spans = (fresh(docs, n) for n in ("_lt_u", "_lt_v", "_lt_spans"))
+    match = (F.xxhash64(F.col(id_col), text) == F.col(u)) & (F.hash(F.col(id_col), text) == F.col(v))
+    found = found.select(F.col("u").alias(u), F.col("v").alias(v), F.col("spans").alias(all_spans))
+    few = found.agg(F.coalesce(F.sum(F.size(all_spans)), F.lit(0))).first()[0] <= MAX_BROADCAST_SPANS
+    joined_docs = docs.join(F.broadcast(found) if few else found, match, "left").drop(u, v)
     at = joined_docs.columns.index(text_col)
 
     def work(batches):

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 PRINTS, BLOCKS, RADIUS = 2, 4, 15
 NEAR = RADIUS // BLOCKS
@@ -161,8 +161,10 @@ def pairs(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    dirty = written(contaminated(docs, items, id_col=id_col, text_col=text_col, **names).select("_lt_u", "_lt_v").distinct(), "dirty")
+    u, v = fresh(docs, "_lt_u"), fresh(docs, "_lt_v")
+    found = contaminated(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, id_col="id", text_col="text", **names)
+    dirty = written(found.select(F.col("_lt_u").alias(u), F.col("_lt_v").alias(v)).distinct(), "dirty")
     few = dirty.count() <= MAX_BROADCAST_HITS
     text = F.coalesce(F.col(text_col), F.lit(""))
-    match = (F.xxhash64(F.col(id_col), text) == F.col("_lt_u")) & (F.hash(F.col(id_col), text) == F.col("_lt_v"))
+    match = (F.xxhash64(F.col(id_col), text) == F.col(u)) & (F.hash(F.col(id_col), text) == F.col(v))
     return docs.join(F.broadcast(dirty) if few else dirty, match, "left_anti")

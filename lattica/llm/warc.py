@@ -131,18 +131,20 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = 64 << 20) -
 
 def inflate(stream):
     """Chunks of the inflated data of a gzip stream of one or more members."""
-    engine = zlib.decompressobj(wbits=31)
+    engine, begun = zlib.decompressobj(wbits=31), False
     while data := stream.read(CHUNK):
         while data:
+            begun = True
             yield engine.decompress(data, CHUNK)
             while engine.unconsumed_tail:
                 yield engine.decompress(engine.unconsumed_tail, CHUNK)
             data = b""
             if engine.eof:
                 data = engine.unused_data
-                engine = zlib.decompressobj(wbits=31)
-    if rest := engine.flush():
-        yield rest
+                engine, begun = zlib.decompressobj(wbits=31), False
+    if begun:  # the last member never ended, even if all that came of it is whole records
+        if rest := engine.flush():
+            yield rest
         raise ValueError("truncated gzip stream")
 
 

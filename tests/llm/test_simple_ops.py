@@ -161,3 +161,37 @@ def test_html_query(spark, sf):
     pages = spark.createDataFrame([(1, None, None), (1, "u", "<article>a</article>")], "page_id long, url string, html string")
     assert sorted(r.text for r in html_text.extract_pages(pages, ["page_id", "url"]).collect()) == ["", "a"]
     assert html_text.extract_pages(pages.where(F.lit(False)), ["page_id"]).count() == 0
+
+
+def test_archive_cut_off_anywhere_is_an_error():
+    import gzip
+    import io
+
+    body = b"WARC/1.0\r\n" * 5000
+    whole = gzip.compress(body) + gzip.compress(b"second")
+    assert b"".join(warc.inflate(io.BytesIO(whole))) == body + b"second"
+    first = len(gzip.compress(body))
+    assert b"".join(warc.inflate(io.BytesIO(whole[:first]))) == body  # a member's end is an end
+    for size in (first - 1, first - 8, first // 2, 5, first + 12, len(whole) - 3):
+        with pytest.raises(ValueError, match="truncated"):
+            b"".join(warc.inflate(io.BytesIO(whole[:size])))
+    assert b"".join(warc.inflate(io.BytesIO(b""))) == b""
+
+
+def test_columns_with_names_of_the_operators_keep_their_values(spark):
+    from lattica.llm.hyperminhash import keep_one
+    from lattica.llm.pii import redact
+    from lattica.llm.simhash_decontam import decontaminate
+
+    text = "please write to someone at a.b@example.com or wait here for the next train home today"
+    names = ["_lt_u", "_LT_V", "_lt_spans", "u", "v", "_lt_text", "id", "item", "key", "row", "b"]
+    rows = [(1, text, *range(len(names))), (2, text, *range(1, len(names) + 1)), (3, "nothing of the kind stands in this text of some more words", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = {r.doc_id: tuple(r)[2:] for r in keep_one(docs, width=5, percent=80, tag="names").collect()}
+    assert kept == {1: tuple(range(len(names))), 3: tuple(range(len(names)))}
+    redacted = redact(docs)
+    assert redacted.columns == docs.columns
+    assert {r.doc_id: tuple(r)[2:] for r in redacted.collect()} == {r[0]: r[2:] for r in rows}
+    assert "[EMAIL]" in redacted.where("doc_id = 1").first().text
+    clean = decontaminate(docs, spark.createDataFrame([(9, text)], "item_id long, text string"))
+    assert clean.columns == docs.columns and [tuple(r) for r in clean.collect()] == [rows[2]]
