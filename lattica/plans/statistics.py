@@ -21,9 +21,9 @@ ORDER = [F.desc, F.asc]
 
 
 class Null(Graph):
-    def __init__(self, spark, sf):
-        super().__init__(spark, sf)
-        self.label = incidence(spark, sf, window="label").select("paper_id", "term_id")
+    def __init__(self, spark, sf, term="supplier"):
+        super().__init__(spark, sf, term)
+        self.label = incidence(spark, sf, term, "label").select("paper_id", "term_id")
         self.label_edges = H.hyperedges(self.label)
 
     def rows(self):
@@ -96,6 +96,13 @@ def x06s(spark, sf):
     return rows.select(*H.TRIAD, F.col("observed").alias("n_papers"), F.round("p_value", 9).alias("p_value"), F.round("q_value", 7).alias("q_value"), "papers")
 
 
+@query("x06_significant_part_triads")
+def x06p(spark, sf):
+    """Survey item X6 on the graph of parts, whose new triads are so rare that a false discovery rate of 1e-4 parts them."""
+    rows = significant_new_triads(Null(spark, sf, "part"), 1e-4)
+    return rows.select(*H.TRIAD, F.col("observed").alias("n_papers"), F.round("p_value", 9).alias("p_value"), F.round("q_value", 7).alias("q_value"), "papers")
+
+
 @query("x07_wilson", "WITH g AS (SELECT o_orderpriority AS stratum, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT *, 1.959963984540054::DOUBLE AS z, k / n AS p FROM g) SELECT stratum, k, n, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS lower, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 8) AS upper FROM c")
 def x07(spark, sf):
     g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))

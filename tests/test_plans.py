@@ -1,6 +1,7 @@
 """Registered queries without SQL against plain Python over whole tables."""
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -111,7 +112,7 @@ def test_tails_of_the_null_model(spark):
 
 
 def test_every_query_has_sql_or_a_test():
-    tested = "t03_matcher t05_refined_spans t10_numbers_in_text t25_shards n01_seeded_sample n02_stratified_sample n03_blind_shuffle g20_context_overlap g25_greedy_cover x02_upper_tail x05_labels t01_normalise_unicode o06_diversified_order t08_window_evidence t19_example_sentences t19_surface_examples g19_pair_evidence x06_significant_new_triads g18_recall_of_new_triads x15_candidate_bootstrap x16_block_bootstrap x17_paired_difference x19_nested_power x17_all_intervals x19_nested_choice x20_sample_size x28_unit_bootstrap m10_out_of_fold m01_triad_features m12_engine_ranks m09_round_curve m04_svd_similarity s13_fingerprint".split()
+    tested = "t03_matcher t05_refined_spans t10_numbers_in_text t25_shards n01_seeded_sample n02_stratified_sample n03_blind_shuffle g20_context_overlap g25_greedy_cover x02_upper_tail x05_labels t01_normalise_unicode o06_diversified_order t08_window_evidence t19_example_sentences t19_surface_examples g19_pair_evidence x06_significant_new_triads g18_recall_of_new_triads x15_candidate_bootstrap x16_block_bootstrap x17_paired_difference x19_nested_power x17_all_intervals x19_nested_choice x20_sample_size x28_unit_bootstrap m10_out_of_fold m01_triad_features m12_engine_ranks m09_round_curve m04_svd_similarity x06_significant_part_triads s13_fingerprint".split()
     assert set(registry.queries()) - set(registry.oracle_sql()) <= set(tested)
 
 
@@ -145,3 +146,38 @@ def test_similarity_by_singular_values(spark):
     languages = [(j, b) for j, b in enumerate(names) if b.startswith("lang ")]
     assert len(languages) >= 4 and len(got) == len(names) * len(languages)
     assert all(got[a, b] == pytest.approx(float(low[i] @ low[j]), abs=2e-5) for i, a in enumerate(names) for j, b in languages)
+
+
+def test_significant_triads_of_parts(spark):
+    """All new triads of label papers with their exact tails and adjusted values, in plain Python."""
+    g = statistics.Null(spark, SF, "part")
+    built = [set(r.terms) for r in g.edges.collect()]
+    seen = {t for p in built for t in itertools.combinations(sorted(p), 3)}
+    papers = {r.paper_id: sorted(r.terms) for r in g.label_edges.collect()}
+    docs, found = Counter(), {}
+    for p, terms in papers.items():
+        docs.update(terms)
+        for t in itertools.combinations(terms, 3):
+            if t not in seen and not all(x.startswith("T:") for x in t):
+                found.setdefault(t, []).append(p)
+    sizes = Counter(len(t) for t in papers.values())
+    links = sum(d * n for d, n in sizes.items())
+    tails = {}
+    for t, ps in found.items():
+        mass = [1.0] + [0.0] * (len(ps) - 1)  # below the observed number
+        for d, n in sizes.items():
+            q = 1.0
+            for x in t:
+                q *= min(1.0, d * docs[x] / links)
+            for k in range(len(mass) - 1, -1, -1):  # n binomial trials at once, as few papers are below
+                mass[k] = sum(mass[k - i] * math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(min(k, n) + 1))
+        tails[t] = 1 - sum(mass)
+    order, low, want = sorted(found, key=lambda t: tails[t]), 1.0, {}
+    for rank in range(len(order), 0, -1):
+        t = order[rank - 1]
+        low = min(low, tails[t] * len(order) / rank)
+        want[t] = low
+    got = {(r.a, r.b, r.c): r for r in statistics.x06p(spark, SF).collect()}
+    assert got and len(got) < len(found)
+    assert all(r.papers == sorted(found[t]) and r.n_papers == len(found[t]) and r.p_value == pytest.approx(tails[t], abs=2e-9) and r.q_value == pytest.approx(want[t], abs=3e-7) for t, r in got.items())
+    assert {t for t, q in want.items() if q <= 0.999e-4} <= got.keys() <= {t for t, q in want.items() if q <= 1.001e-4}
