@@ -1,20 +1,21 @@
 """Running totals over a global order without one task that holds all rows.
 
-Rows are dealt into ranges of the order by marks taken from a sample of their keys. A total within the range plus the
-totals of all ranges before it is the running total; only the ranges' totals, one row each, meet in one task.
-The rows are checkpointed first, so that sample, totals and result see the same ones.
+The rows are dealt by Spark's range partitioning into as many ranges of the order as their number asks for
+(``PER_RANGE`` rows each). A total within the range plus the totals of all ranges before it is the running total; only the
+ranges' totals, one row each, meet in one task. Rows and ranges are checkpointed, so that all steps see the same ones.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES, SAMPLE = 64, 20_000
+PER_RANGE, MOST_RANGES = 50_000, 100_000
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -29,32 +30,22 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def _marks(rows: DataFrame, key: Column, ranges: int) -> list:
-    """Up to ``ranges`` - 1 keys that cut the order into ranges of like size, from a bounded sample spread over all rows."""
+def _ranged(rows: DataFrame, order: list[Column], per_range: int) -> DataFrame:
+    """Adds ``_b``: the number of the row's range of the order. Rows equal in the order share a range."""
     n = rows.count()
-    if n <= 4 * ranges:
-        return []
-    part = max(1, -(-n // (SAMPLE // 2)))
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(part)) == 0
-    picked = sorted((tuple(r[0]) for r in rows.where(spread).select(key.alias("k")).limit(SAMPLE).collect()), key=lambda k: tuple((x is not None, x) for x in k))
-    return sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}, key=lambda k: tuple((x is not None, x) for x in k)) if picked else []
+    if n <= per_range:
+        return rows.withColumn("_b", F.lit(0))
+    ranges = min(MOST_RANGES, -(-n // per_range))
+    return settled(rows.repartitionByRange(ranges, *order).withColumn("_b", F.spark_partition_id()))
 
 
-def running(rows: DataFrame, order: list[Column], value: Column, name: str, how: str = "sum", ranges: int = RANGES) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], value: Column, name: str, how: str = "sum", per_range: int | None = None) -> DataFrame:
     """Adds ``name``: the sum (or ``min``) of ``value`` over all rows up to this one in ascending ``order``.
 
     The order must be total; negate a number for a descending one.
     """
-    rows = settled(rows)
-    key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
-    kind = rows.select(key.alias("k")).schema["k"].dataType
-    marks = _marks(rows, key, ranges)
-    bucket = F.lit(0)
-    if marks:
-        literal = F.array(*(F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(m, kind))) for m in marks))
-        bucket = F.size(F.filter(literal, lambda m: m <= key))
     total = {"sum": F.sum, "min": F.min}[how]
-    placed = rows.withColumns({"_b": bucket, "_v": value})
+    placed = _ranged(settled(rows), order, per_range or PER_RANGE).withColumn("_v", value)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_b").agg(total("_v").alias("_t")).select("_b", total("_t").over(before).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,7 +68,31 @@ def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     ranked = running(counts, [F.col("_value")], F.col("_n"), "_upto")
     all_ = rows.agg(F.count(column).alias("_all"))
     ranked = ranked.join(all_).select("_value", ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all")).alias(name))
-    return rows.join(ranked, rows[column] == ranked["_value"], "left").drop("_value")
+    # nulls stay out of the join, where they would be one key
+    there = rows.where(F.col(column).isNotNull())
+    found = there.join(ranked, there[column] == ranked["_value"]).drop("_value")
+    return found.unionByName(rows.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
+
+
+def quantiles(rows: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
+    """(by, share, value): quantiles between neighbouring ranks of the non-null values of each group, exact.
+
+    Equal values are counted first; the order (group, value) of the counts is walked by ranges, so no group's values are one task or map.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    key = [*(F.col(b) for b in by), F.col("_value")]
+    run = settled(running(counts, key, F.col("_n"), "_upto"))
+    groups = run.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_all"))
+    each = groups.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_at", F.col("share") * (F.col("_all") - 1))
+    wanted = each.select(*by, "share", "_start", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank"))
+    same = reduce(lambda x, y: x & y, (F.col(f"r.{b}").eqNullSafe(F.col(f"w.{b}")) for b in by), F.lit(True))
+    place = F.col("w._start") + F.col("w._rank")
+    # each wanted rank lies in the count of one value; a group has two rows per share on this side
+    side = F.broadcast(wanted) if wanted.count() <= 100_000 else wanted
+    met = run.alias("r").join(side.alias("w"), same & (place >= F.col("r._upto") - F.col("r._n")) & (place < F.col("r._upto")))
+    sides = met.select(*(F.col(f"w.{b}").alias(b) for b in by), "w.share", "w._at", F.col("w._rank").alias("_rank"), F.col("r._value").alias("_value"))
+    low, high = F.min("_value"), F.max("_value")
+    return sides.groupBy(*by, "share", "_at").agg((low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("value")).select(*by, "share", "value")
 
 
 def equal_bins(rows: DataFrame, bins: int, order: list[Column], name: str) -> DataFrame:

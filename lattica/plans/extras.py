@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import wilson
 from ..operators import assignees as A
 from ..operators import boosting as G
 from ..operators import briefings as B
@@ -233,6 +234,56 @@ def r09n(spark, sf):
     return found.where(wanted).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
+@query("t11_name_spam", "WITH n AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN p_name || '?' WHEN 1 THEN 'How ' || p_name WHEN 2 THEN p_name || ' ' || (100000 + p_partkey) WHEN 3 THEN p_name || ' ' || chr(9731) WHEN 4 THEN 'the ' || p_name || ' promo' ELSE p_name END AS name FROM part) SELECT p_partkey, p_partkey % 9 <= 3 AS structural, p_partkey % 9 <= 3 OR regexp_matches(name, '(?i)\\b(promo|hot)\\b') AS spam FROM n")
+def t11(spark, sf):
+    """Part names with signs of advertising put in: question marks, questions, long numbers, symbols, keywords."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    made = F.when(key % 9 == 0, F.concat(name, F.lit("?"))).when(key % 9 == 1, F.concat(F.lit("How "), name)).when(key % 9 == 2, F.concat(name, F.lit(" "), (key + 100000).cast("string")))
+    made = made.when(key % 9 == 3, F.concat(name, F.lit(" \u2603"))).when(key % 9 == 4, F.concat(F.lit("the "), name, F.lit(" promo"))).otherwise(name)
+    rows = table(spark, sf, "part").select("p_partkey", made.alias("name"))
+    return rows.select("p_partkey", V.is_spam(F.col("name")).alias("structural"), V.is_spam(F.col("name"), ["promo", "hot"]).alias("spam"))
+
+
+@query("t12_split_names", "WITH n AS (SELECT p_partkey, p_name, upper(left(p_name, 1) || left(string_split(p_name, ' ')[2], 1)) AS short FROM part) SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN p_name || ' (' || short || ') x' ELSE p_name END AS base, CASE p_partkey % 3 WHEN 0 THEN short WHEN 1 THEN 'the ' || lower(short) END AS inner_name, CASE p_partkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS acronym FROM n")
+def t12(spark, sf):
+    """Names with something in parentheses: an acronym, words, or not at the end."""
+    key, words = F.col("p_partkey"), F.split("p_name", " ")
+    short = F.upper(F.concat(F.substring("p_name", 1, 1), F.substring(F.get(words, 1), 1, 1)))
+    inside = F.when(key % 3 == 0, F.concat(short, F.lit(")  "))).when(key % 3 == 1, F.concat(F.lit(" the "), F.lower(short), F.lit(" )"))).otherwise(F.concat(short, F.lit(") x")))
+    rows = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" ("), inside).alias("name"))
+    base, inner = V.split_parenthesis(F.col("name"))
+    return rows.select("p_partkey", base.alias("base"), inner.alias("inner_name"), V.is_acronym(inner).alias("acronym"))
+
+
+@query("x29_adopted_axes", """WITH g AS (SELECT o_orderpriority AS s, o_orderstatus = 'F' AS f, count(*) FILTER (o_totalprice > 100000) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL),
+w AS (SELECT s, f, k / n AS p, n, 1.959963984540054::DOUBLE AS z FROM g), i AS (SELECT s, f, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) AS lo, (p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n) AS hi FROM w)
+SELECT x.s AS stratum, round(x.lo, 8) AS lower, CASE WHEN x.lo > y.hi THEN 'separated' WHEN x.lo >= 0.6 THEN 'target' END AS rule FROM i x JOIN i y ON y.s = x.s AND x.f AND NOT y.f""")
+def x29a(spark, sf):
+    """Share of large orders among finished and other ones, by priority, under the adoption rule."""
+    g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stratum"), (F.col("o_orderstatus") == "F").alias("f")).agg(F.count_if(F.col("o_totalprice") > 100000).alias("k"), F.count("*").alias("n"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    sides = g.select("stratum", "f", low.alias("lower"), high.alias("upper"))
+    other = sides.where("NOT f").select("stratum", F.col("lower").alias("other_lower"), F.col("upper").alias("other_upper"))
+    return S.adopted(sides.where("f").join(other, "stratum"), 0.6).select("stratum", F.round("lower", 8).alias("lower"), "rule")
+
+
+@query("x27_triad_indicators", """WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), u AS (SELECT l_orderkey AS k, l_suppkey, CASE WHEN l_suppkey % 4 <> 0 THEN l_suppkey % 10 END AS repo, l_suppkey % 17 AS stars, l_suppkey % 5 AS recent, l_suppkey % 3 AS before FROM l),
+r AS (SELECT k, repo, max(stars) AS stars, max(recent) AS recent, max(before) AS before FROM u WHERE repo IS NOT NULL GROUP BY ALL), d AS (SELECT k, CAST(sum(stars) AS BIGINT) AS d_stars, (sum(recent) + 1) / (sum(before) + 1) AS d_growth FROM r GROUP BY ALL), t AS (SELECT k, count(DISTINCT l_suppkey) AS f_implemented FROM u WHERE repo IS NOT NULL GROUP BY ALL),
+f AS (SELECT l_orderkey AS k, min(l_linenumber) AS f_pair_papers, count(*) FILTER (l_quantity > 10) = 3 AS f_open FROM lineitem GROUP BY ALL),
+n AS (SELECT DISTINCT l_orderkey AS k, l_suppkey, CASE l_suppkey % 4 WHEN 0 THEN 'company' WHEN 1 THEN 'unknown' WHEN 2 THEN 'academic' ELSE 'individual' END AS class FROM l), v AS (SELECT k, count(*) FILTER (class = 'company') AS v_companies, count(*) FILTER (class NOT IN ('unknown', 'individual')) AS c FROM n GROUP BY ALL)
+SELECT f.k AS l_orderkey, f_pair_papers, f_open, d_stars, round(d_growth, 8) AS d_growth, coalesce(f_implemented, 0) AS f_implemented, coalesce(v_companies, 0) AS v_companies, round(v_companies / nullif(c, 0), 8) AS v_share FROM f LEFT JOIN d USING (k) LEFT JOIN t USING (k) LEFT JOIN v USING (k)""")
+def x27t(spark, sf):
+    """Orders as candidates: their suppliers as terms with repositories and as assignees, their lines as pairs."""
+    lines = table(spark, sf, "lineitem")
+    own = lines.select("l_orderkey", "l_suppkey").distinct()
+    s = F.col("l_suppkey")
+    units = own.select("l_orderkey", s.alias("term_id"), F.when(s % 4 != 0, s % 10).alias("repo"), (s % 17).alias("stars"), (s % 5).alias("recent"), (s % 3).alias("before"))
+    pairs = lines.select("l_orderkey", F.col("l_linenumber").alias("cnt"), (F.col("l_quantity") > 10).alias("stable"))
+    kind = F.when(s % 4 == 0, "company").when(s % 4 == 1, "unknown").when(s % 4 == 2, "academic").otherwise("individual")
+    out = S.indicators(units, pairs, own.select("l_orderkey", s.alias("name"), kind.alias("class")), ["l_orderkey"])
+    return out.select("l_orderkey", "f_pair_papers", "f_open", "d_stars", F.round("d_growth", 8).alias("d_growth"), "f_implemented", "v_companies", F.round("v_share", 8).alias("v_share"))
+
+
 @query("m09_round_curve")
 def m09(spark, sf):
     """Mean average precision of labelled documents after each of eight rounds, by five stratified folds, with the chosen round and each column's share of the gain."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import relational as R
-from ..operators.ranks import equal_bins
+from ..operators.ranks import equal_bins, quantiles
 from .bindings import table
 from .registry import query
 
@@ -190,8 +190,10 @@ def a09(spark, sf):
 @query("a10_describe", "SELECT count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS low, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS high FROM lineitem")
 def a10(spark, sf):
     c = "l_quantity"
-    q = [F.percentile(c, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
-    return table(spark, sf, "lineitem").agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("low"), *q, F.max(c).alias("high"))
+    lines = table(spark, sf, "lineitem")
+    q = quantiles(lines, [], c, [0.25, 0.5, 0.75]).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))))
+    rest = lines.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
+    return rest.join(q)
 
 
 @query("a11_share_by_year", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, round(avg((o_orderstatus = 'F')::INT), 8) AS share FROM orders GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import axis_score, minimum_documents, wilson
 from ..operators import hypergraph as H
 from ..operators import statistics as S
-from ..operators.ranks import numbered
+from ..operators.ranks import numbered, quantiles
 from .bindings import incidence, sql_incidence, table, with_
 from .graph import GRAPH, LABELS, Graph
 from .registry import query
@@ -131,8 +131,10 @@ def x10(spark, sf):
 
 @query("x11_quantiles", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.025), 6) AS lo, round(quantile_cont(l_quantity, 0.5), 6) AS mid, round(quantile_cont(l_extendedprice, 0.975), 6) AS hi FROM lineitem GROUP BY ALL")
 def x11(spark, sf):
-    p = lambda c, q, n: F.round(F.percentile(c, F.lit(q)), 6).alias(n)
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(p("l_quantity", 0.025, "lo"), p("l_quantity", 0.5, "mid"), p("l_extendedprice", 0.975, "hi"))
+    lines, group = table(spark, sf, "lineitem"), ["l_returnflag"]
+    pick = lambda share, name: F.round(F.max(F.when(F.col("share") == share, F.col("value"))), 6).alias(name)
+    quantity = quantiles(lines, group, "l_quantity", [0.025, 0.5]).groupBy(*group).agg(pick(0.025, "lo"), pick(0.5, "mid"))
+    return quantity.join(quantiles(lines, group, "l_extendedprice", [0.975]).groupBy(*group).agg(pick(0.975, "hi")), group)
 
 
 @query("x12_weighted_precision", with_(*RANKED, "t AS (SELECT y, w, greatest(0, least(w, 100.0 - (sum(w) OVER (ORDER BY r) - w))) AS take FROM (SELECT *, 1.0::DOUBLE + r % 3 AS w FROM rk))") + "SELECT round(sum(take * y) / sum(take), 8) AS precision, round(sum(w * y) / sum(w), 8) AS base_rate, round((sum(take * y) / sum(take)) / (sum(w * y) / sum(w)), 6) AS lift FROM t")
@@ -225,9 +227,8 @@ def x26(spark, sf):
     for x in "DFV":
         p = S.percentile_rank(p, x, f"p{x}")
     s = p.select("*", *(F.when(F.col(f"p{x}").isNotNull(), axis_score(F.col(f"p{x}"))).alias(f"score_{x.lower()}") for x in "DFV"))
-    missing = F.coalesce(*(F.when(F.col(f"p{x}").isNull(), x) for x in "DFV"))
-    lowest = F.least(*(F.struct(F.col(f"score_{x.lower()}").alias("s"), F.col(f"p{x}").alias("p"), F.lit(i).alias("i"), F.lit(x).alias("axis")) for i, x in enumerate("DFV")))["axis"]
-    return s.select("c_custkey", "score_d", "score_f", "score_v", F.coalesce(missing, lowest).alias("riskiest"))
+    risky = S.riskiest_axis({x: (F.col(f"score_{x.lower()}"), F.col(f"p{x}")) for x in "DFV"})
+    return s.select("c_custkey", "score_d", "score_f", "score_v", risky.alias("riskiest"))
 
 
 @query("x28_unit_bootstrap")

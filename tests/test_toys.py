@@ -7,6 +7,7 @@ import random
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,9 +139,12 @@ def test_benjamini_hochberg_with_ties(spark):
     assert {r.i: r.q_value for r in S.benjamini_hochberg(rows).collect()} == pytest.approx(want)
 
 
-def test_running_totals_and_ranks(spark):
+@pytest.mark.parametrize("per_range", [50_000, 100])
+def test_running_totals_and_ranks(spark, monkeypatch, per_range):
     from lattica.operators import ranks
 
+    monkeypatch.setattr(ranks, "PER_RANGE", per_range)
+
     rng = random.Random(6)
     rows = [(i, rng.choice([None, 1, 2, 2, 7, rng.randint(0, 900)]), rng.choice("abc")) for i in range(1500)]
     df = spark.createDataFrame(rows, "i int, v int, s string").repartition(5)
@@ -154,6 +158,12 @@ def test_running_totals_and_ranks(spark):
     bins = Counter(r.bin for r in ranks.equal_bins(df, 8, [F.col("i")], "bin").collect())
     assert bins == {b: 188 if b <= 4 else 187 for b in range(1, 9)}
     assert ranks.numbered(df.where("false"), [F.col("i")], "place").count() == 0
+    shares = [0.0, 0.025, 0.5, 0.9, 1.0]
+    for by in ([], ["s"]):
+        got = {(*(r[b] for b in by), r.share): r.value for r in ranks.quantiles(df, by, "v", shares).collect()}
+        groups = {(): values} if not by else {(s,): [r[1] for r in rows if r[2] == s and r[1] is not None] for s in "abc"}
+        assert got == pytest.approx({(*g, q): float(np.percentile(v, 100 * q)) for g, v in groups.items() for q in shares})
+    assert ranks.quantiles(df.where("false"), ["s"], "v", shares).count() == 0
 
 
 def test_wilson(spark):
