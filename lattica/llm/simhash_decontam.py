@@ -34,7 +34,7 @@ NEAR = RADIUS // BLOCKS
 WIDTH = 64 // BLOCKS
 #: All changes of a block in up to ``NEAR`` bits.
 CHANGES = [x for x in range(1 << WIDTH) if x.bit_count() <= NEAR]
-#: Rows of the index up to which it is broadcast; a row takes some 50 bytes.
+#: Rows of the index (two numbers each) up to which it is broadcast.
 MAX_INDEX_ROWS = 2_000_000
 #: Above these sizes a table is shuffled instead of broadcast. A hit that opens a window, or a text name, takes 40 bytes at most, so at most 40 MB.
 MAX_BROADCAST_SHINGLES = 500_000
@@ -132,16 +132,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     windows = windows.select("id", "u", "v", "m", "w.wh", "w.fp", F.posexplode(F.expr(blocks("w.fp"))).alias("b", "value"))
     windows = windows.withColumn("key", F.expr(key("m", "b", "value"))).drop("value")
     changed = F.explode(F.array(*map(F.lit, CHANGES))).alias("change")
-    index = item.select("row", "ifp", "m", F.posexplode(F.expr(blocks("ifp"))).alias("b", "value")).select("row", "ifp", "m", "b", "value", changed)
-    index = index.select("row", "ifp", F.expr(key("m", "b", "value ^ change")).alias("key"))
+    index = item.select("row", "m", F.posexplode(F.expr(blocks("ifp"))).alias("b", "value")).select("row", "m", "b", "value", changed)
+    index = index.select("row", F.expr(key("m", "b", "value ^ change")).alias("key"))
     light = n_items * PRINTS * BLOCKS * len(CHANGES) <= MAX_INDEX_ROWS
     met = windows.join(F.broadcast(index) if light else index, "key")
     apart = f"transform(zip_with({blocks('fp')}, {blocks('ifp')}, (x, y) -> bit_count(x ^ y)), (d, i) -> if(d <= {NEAR} AND bit_count(get(fp, cast(i div {BLOCKS} AS INT)) ^ get(ifp, cast(i div {BLOCKS} AS INT))) <= {RADIUS}, i, NULL))"
     near = (
+        met.drop("m", "key")
+        .join(hint(item), "row")
         # within the radius, and of the blocks that bring two together the first, so that a candidate stays once
-        met.where(F.expr(f"array_min({apart})") == F.col("b"))
-        .drop("m", "key", "b", "fp", "ifp")
-        .join(hint(item.select("row", "item", "ih", "m")), "row")
+        .where(F.expr(f"array_min({apart})") == F.col("b"))
+        .drop("b", "fp", "ifp")
         .withColumn("n_common", F.expr(_weighted("wh", "ih")).cast("long"))
         .withColumn("n_union", (F.size("wh") + F.col("m") - F.col("n_common")).cast("long"))
         .where(f"100 * n_common >= {percent} * n_union")
