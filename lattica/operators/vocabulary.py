@@ -18,6 +18,11 @@ STRUCTURE = (
 )
 
 
+# A name with something in parentheses at its end, and an acronym.
+PARENTHESIS = "^(.+?)\\s*\\(([^()]*)\\)\\s*$"
+ACRONYM = "^[A-Z][A-Z0-9\\-.]*$"
+
+
 def is_spam(text: Column, keywords: list[str] | None = None) -> Column:
     """Structural signs, a symbol of the Unicode class So, or (for names that may be overwritten) a keyword as a word."""
     bad = text.rlike(STRUCTURE) | text.rlike("\\p{So}")
@@ -26,13 +31,12 @@ def is_spam(text: Column, keywords: list[str] | None = None) -> Column:
 
 def split_parenthesis(text: Column) -> tuple[Column, Column]:
     """(name before a closing parenthesis, what it holds); the text itself and null where there is none."""
-    pattern = "^(.+?)\\s*\\(([^()]*)\\)\\s*$"
-    inside = F.trim(text).rlike(pattern)
-    return F.when(inside, F.regexp_extract(F.trim(text), pattern, 1)).otherwise(text), F.when(inside, F.trim(F.regexp_extract(F.trim(text), pattern, 2)))
+    inside = F.trim(text).rlike(PARENTHESIS)
+    return F.when(inside, F.regexp_extract(F.trim(text), PARENTHESIS, 1)).otherwise(text), F.when(inside, F.trim(F.regexp_extract(F.trim(text), PARENTHESIS, 2)))
 
 
 def is_acronym(text: Column) -> Column:
-    return text.rlike("^[A-Z][A-Z0-9\\-.]*$")
+    return text.rlike(ACRONYM)
 
 
 def letters(text: Column) -> Column:
