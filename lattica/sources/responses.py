@@ -103,12 +103,12 @@ def responses(connect, name: str = "lattica_responses") -> type[DataSource]:
         def __init__(self, options):
             self.keys, self.store = options["keys"], options["store"]
             self.tries, self.wait, self.every = int(options.get("tries", 6)), float(options.get("wait", 1.0)), int(options.get("every", 100))
-            self.rate, self.slots = float(options.get("rate", 0)), int(options.get("slots", 0))
+            # what is set here reaches the tasks; what partitions() might set would not
+            self.parts = [int(n.split("=")[1]) for n in names_in(self.keys, r"part=\d+")]
+            self.rate, self.slots = float(options.get("rate", 0)), int(options.get("slots", 0)) or len(self.parts)
 
         def partitions(self):
-            found = [_Part(int(n.split("=")[1])) for n in names_in(self.keys, r"part=\d+")]
-            self.slots = self.slots or len(found)
-            return found or [_Part(-1)]
+            return [_Part(part) for part in self.parts] or [_Part(-1)]
 
         def read(self, partition):
             part = partition.part
