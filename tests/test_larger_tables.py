@@ -31,3 +31,10 @@ def test_triads_are_not_read_where_triangles_are_not_counted(spark):
     pairs = list(itertools.combinations([f"M:{i}" for i in range(6)], 2))
     never = spark.range(1).select(*(F.raise_error(F.lit("read")).cast("string").alias(t) for t in H.TRIAD))
     assert tuple(H.triangle_counts(spark.createDataFrame(pairs, "a string, b string"), never, 19).first()) == (None, None, None, False)
+
+
+def test_recall_of_an_empty_list(spark):
+    ranked = spark.createDataFrame([], "a string, b string, c string, gen_rank int")
+    hits = spark.createDataFrame([("M:1", "M:2", "M:3")], "a string, b string, c string")
+    rows = H.recall_at(ranked, hits, 1, [10, 100]).collect()
+    assert {(r.budget, r.hits, r.recall, str(r.precision), r.capped) for r in rows} == {(10, 0, 0.0, "nan", True), (100, 0, 0.0, "nan", True)}
