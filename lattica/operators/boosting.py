@@ -38,6 +38,9 @@ def stratified_folds(rows: DataFrame, key: list[str], label: str, folds: int, se
 
 
 def train(rows: DataFrame, columns: list[str], rounds: int, seed: int, depth: int = 3, step: float = 0.1, label: str = "label"):
+    """The fitted trees; None without rows."""
+    if rows.isEmpty():
+        return None
     from pyspark.ml.classification import GBTClassifier
 
     trees = GBTClassifier(labelCol=label, featuresCol="_x", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8)
@@ -75,13 +78,17 @@ def round_precisions(staged: DataFrame, label: str = "label") -> DataFrame:
 def choose_rounds(rows: DataFrame, columns: list[str], key: list[str], folds: int = 5, most: int = 50, patience: int = 10, seed: int = 1, label: str = "label") -> tuple[int, list[float]]:
     """(rounds, mean average precision after each round): the first round that none of the next ``patience`` beats.
 
-    Beside the training, the whole choice is one pass over the held-out rows of all folds.
+    Beside the training, the whole choice is one pass over the held-out rows of all folds. A fold without training rows has no curve.
     """
     dealt = settled(stratified_folds(rows, key, label, folds, seed))
     staged = []
     for fold in range(folds):
         model = train(dealt.where(F.col("fold") != fold), columns, most, seed, label=label)
+        if model is None:
+            continue
         staged.append(_margins(model, dealt.where(F.col("fold") == fold), columns, ["fold", label]))
+    if not staged:
+        return 1, [0.0] * most
     found = round_precisions(reduce(DataFrame.unionAll, staged), label)
     means = found.groupBy("round").agg((F.sum(F.coalesce("average_precision", F.lit(0.0))) / folds).alias("m"))
     curve = {r["round"]: r.m for r in means.collect()}  # one row a round
@@ -96,17 +103,20 @@ def choose_rounds(rows: DataFrame, columns: list[str], key: list[str], folds: in
 
 
 def train_seeds(rows: DataFrame, columns: list[str], rounds: int, seeds: list[int], label: str = "label") -> list:
-    return [train(rows, columns, rounds, s, label=label) for s in seeds]
+    models = [train(rows, columns, rounds, s, label=label) for s in seeds]
+    return [m for m in models if m is not None]
 
 
 def importances(models: list, columns: list[str]) -> dict[str, float]:
     """Mean gain share of each column over the models, largest first."""
-    total = [sum(float(m.featureImportances[i]) for m in models) / len(models) for i in range(len(columns))]
+    total = [sum(float(m.featureImportances[i]) for m in models) / max(1, len(models)) for i in range(len(columns))]
     return dict(sorted(zip(columns, total), key=lambda x: (-x[1], x[0])))
 
 
 def seed_scores(models: list, rows: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """Key, a probability per model (score_0, ...) and their mean ``score``."""
+    """Key, a probability per model (score_0, ...) and their mean ``score``; null without models."""
+    if not models:
+        return rows.select(*key, F.lit(None).cast("double").alias("score"))
     out = rows
     for i, m in enumerate(models):
         margin = _margins(m, rows, columns, key).select(*key, (1 / (1 + F.exp(-2 * F.element_at("ms", -1)))).alias(f"score_{i}"))

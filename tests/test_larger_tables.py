@@ -38,3 +38,12 @@ def test_recall_of_an_empty_list(spark):
     hits = spark.createDataFrame([("M:1", "M:2", "M:3")], "a string, b string, c string")
     rows = H.recall_at(ranked, hits, 1, [10, 100]).collect()
     assert {(r.budget, r.hits, r.recall, str(r.precision), r.capped) for r in rows} == {(10, 0, 0.0, "nan", True), (100, 0, 0.0, "nan", True)}
+
+
+def test_boosting_without_rows(spark):
+    rows = spark.createDataFrame([], "key long, x double, label int")
+    assert G.choose_rounds(rows, ["x"], ["key"], folds=2, most=4) == (1, [0.0] * 4)
+    models = G.train_seeds(rows, ["x"], 1, [1, 2])
+    scored = G.seed_scores(models, rows, ["x"], ["key"]).withColumn("redundant", F.lit(""))
+    ranked = G.prescription_ranks(scored, ["key"])
+    assert models == [] and ranked.collect() == [] and {"score", "rank_engine", "rank_prescription"} <= set(ranked.columns)
