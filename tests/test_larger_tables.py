@@ -47,3 +47,11 @@ def test_boosting_without_rows(spark):
     scored = G.seed_scores(models, rows, ["x"], ["key"]).withColumn("redundant", F.lit(""))
     ranked = G.prescription_ranks(scored, ["key"])
     assert models == [] and ranked.collect() == [] and {"score", "rank_engine", "rank_prescription"} <= set(ranked.columns)
+
+
+def test_unit_weights_are_made_at_the_row(spark):
+    units = spark.createDataFrame([(n, axis, f"u{i}", float(i)) for n in (1, 2) for axis in "DF" for i in range(9)], "nation int, axis string, unit string, value double")
+    drawn = S.reweighted(units, 20, 3)
+    assert "Join" not in plan(drawn)
+    want = {(r.unit, r.rep): r.w for r in S.unit_weights(units, 20, 3).collect()}
+    assert drawn.count() == 36 * 20 and all(want[r.unit, r.rep] == r.w for r in drawn.collect())
