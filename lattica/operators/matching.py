@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import nfkc, normalised, tokens
+from .ranks import settled
 
 MODES = ("ci", "cs")
+#: A dictionary of at most so many sequences goes to the tasks; a larger one meets the n-grams in a shuffle.
+SMALL_DICTIONARY = 100_000
 
 
 def mode_tokens(text: Column, mode: str) -> Column:
@@ -47,13 +50,14 @@ def ngrams(words: str, n: int) -> Column:
 def hits(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys``, the columns of ``wanted`` (mode, gram, size, ...), first: every place where a gram of ``wanted`` stands."""
     sizes = {m: sorted(r["size"] for r in wanted.where(F.col("mode") == m).select("size").distinct().collect()) for m in MODES}  # a few small numbers
+    small = F.broadcast if wanted.count() <= SMALL_DICTIONARY else lambda w: w
     out = None
     for mode in MODES:
         if not sizes[mode]:
             continue
         words = texts.select(*keys, mode_tokens(F.coalesce(F.col(text_col), F.lit("")), mode).alias("_ws"))
         grams = F.flatten(F.array(*(ngrams("_ws", n) for n in sizes[mode])))
-        found = words.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.first", "g.size", "g.gram").join(wanted.where(F.col("mode") == mode), ["gram", "size"])
+        found = words.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.first", "g.size", "g.gram").join(small(wanted.where(F.col("mode") == mode)), ["gram", "size"])
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -88,6 +92,8 @@ def phrases(texts: DataFrame, excluded: DataFrame, id_col: str, text_col: str) -
 def refine(spans: DataFrame, id_col: str, cs_only: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Spans not nested in a strictly longer one of either pass and, of a term with excluded ``phrases``, not covered by one;
     a ``cs`` match stays only with a ``ci`` match of its term in the same text, unless the term is in ``cs_only``."""
+    # the spans are read several times, the texts only once
+    spans = settled(spans)
     # containment within a text, through the tokens a span covers
     cover = spans.select(id_col, F.col("first").alias("x"), F.col("last").alias("y"), F.explode(F.sequence("first", F.col("last") - 1)).alias("first"))
     nested = spans.join(cover, [id_col, "first"]).where("x <= first AND y >= last AND (y - x) > (last - first)")
@@ -97,6 +103,7 @@ def refine(spans: DataFrame, id_col: str, cs_only: DataFrame, excluded: DataFram
         over = excluded.select(id_col, "term_id", F.col("last").alias("y"), F.explode(F.sequence("first", F.col("last") - 1)).alias("first"), F.col("first").alias("x"))
         covered = flat.join(over, [id_col, "term_id", "first"]).where("y >= last").select(id_col, "term_id", "first", "last").distinct()
         flat = flat.join(covered, [id_col, "term_id", "first", "last"], "left_anti")
+    flat = settled(flat)
     backed = flat.where("mode = 'ci'").select(id_col, "term_id").union(flat.select(id_col, "term_id").join(cs_only, "term_id", "left_semi").select(id_col, "term_id")).distinct()
     return flat.where("mode = 'ci'").unionByName(flat.where("mode = 'cs'").join(backed, [id_col, "term_id"], "left_semi").select(flat.columns))
 

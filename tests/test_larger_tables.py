@@ -55,3 +55,11 @@ def test_unit_weights_are_made_at_the_row(spark):
     assert "Join" not in plan(drawn)
     want = {(r.unit, r.rep): r.w for r in S.unit_weights(units, 20, 3).collect()}
     assert drawn.count() == 36 * 20 and all(want[r.unit, r.rep] == r.w for r in drawn.collect())
+
+
+def test_word_sequences_of_texts_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "of the GNU General Public License"), (2, "La la"), (3, None)], "doc_id long, text string")
+    words = spark.createDataFrame([("M:ofthe", "of the", "ci"), ("T:the", "the", "ci"), ("M:gnu", "GNU General Public License", "cs")], "term_id string, text string, mode string")
+    wanted = M.surfaces(words).select("mode", "gram", "size")
+    found = M.hits(texts, wanted, ["doc_id"], "text")
+    assert "SortMergeJoin" not in plan(found) and {(r.doc_id, r.gram) for r in found.collect()} == {(1, "of the"), (1, "the"), (1, "GNU General Public License")}
