@@ -63,3 +63,10 @@ def test_word_sequences_of_texts_are_not_shuffled(spark):
     wanted = M.surfaces(words).select("mode", "gram", "size")
     found = M.hits(texts, wanted, ["doc_id"], "text")
     assert "SortMergeJoin" not in plan(found) and {(r.doc_id, r.gram) for r in found.collect()} == {(1, "of the"), (1, "the"), (1, "GNU General Public License")}
+
+
+def test_tail_of_one_paper_keeps_its_small_digits(spark):
+    groups = [(2, 1e-9), (1000, 1e-12)]
+    rows = spark.createDataFrame([(1, groups), (2, groups)], "observed long, groups array<struct<n: long, q: double>>")
+    p = {r.observed: r.p_value for r in S.tail_probability(rows).collect()}
+    assert p[1] == pytest.approx(3e-9, rel=1e-8) and p[2] == pytest.approx(0, abs=1e-12)
