@@ -10,6 +10,7 @@ from lattica.operators import boosting as G
 from lattica.operators import hypergraph as H
 from lattica.operators import matching as M
 from lattica.operators import statistics as S
+from lattica.plans import bindings
 
 
 def plan(df):
@@ -70,3 +71,10 @@ def test_tail_of_one_paper_keeps_its_small_digits(spark):
     rows = spark.createDataFrame([(1, groups), (2, groups)], "observed long, groups array<struct<n: long, q: double>>")
     p = {r.observed: r.p_value for r in S.tail_probability(rows).collect()}
     assert p[1] == pytest.approx(3e-9, rel=1e-8) and p[2] == pytest.approx(0, abs=1e-12)
+
+
+def test_many_lines_are_dealt_by_number(spark, sf, monkeypatch):
+    whole = bindings.incidence(spark, sf)
+    monkeypatch.setattr(bindings, "LINES_PER_TASK", 100)
+    dealt = bindings.incidence(spark, sf)
+    assert "REPARTITION_BY_NUM" in plan(dealt) and dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
