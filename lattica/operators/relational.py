@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,3 +85,22 @@ def until_first_hit(df: DataFrame, group: list[str], order: list[Column], hit: C
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive content fingerprint: rows and the sum of row hashes."""
     return df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("fingerprint"))
+
+
+def pairs_within(rows: DataFrame, keys: list[str], value: str, block: int = 1024, per_task: int = 4_000_000) -> DataFrame:
+    """(one, two): the pairs one < two of ``value`` among rows equal in ``keys``; null keys and values match nothing.
+
+    A group is cut into blocks of about ``block`` rows by a hash of the value, and pairs come from two blocks at a time, so that no task
+    holds a group; the pairs of blocks are dealt to as many tasks as the pairs ask for.
+    """
+    rows = rows.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*keys, value))))
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    n = groups.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("n")).first().n or 0
+    count = F.ceil(F.col("_n") / block).cast("int")
+    placed = rows.join(groups.select(*keys, count.alias("_m")), keys).withColumn("_i", F.pmod(F.xxhash64(value), F.col("_m")).cast("int"))
+    blocks = placed.groupBy(*keys, "_m", "_i").agg(F.array_sort(F.collect_list(value)).alias("_x"))
+    met = blocks.withColumn("_j", F.explode(F.sequence("_i", F.col("_m") - 1))).join(blocks.select(*keys, F.col("_i").alias("_j"), F.col("_x").alias("_y")), [*keys, "_j"])
+    met = met.repartition(max(1, -int(-n // per_task)), *keys, "_i", "_j")
+    each = met.select(F.posexplode("_x").alias("_at", "x"), "_y", (F.col("_i") == F.col("_j")).alias("_same"))
+    pairs = each.select("x", F.explode(F.when(F.col("_same"), F.slice("_y", F.col("_at") + 2, F.size("_y"))).otherwise(F.col("_y"))).alias("y")).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two"))

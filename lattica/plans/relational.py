@@ -139,8 +139,7 @@ def j11(spark, sf):
 @query("j13_derived_key", "SELECT x.p_partkey AS one, y.p_partkey AS two FROM part x JOIN part y ON array_to_string(list_sort(string_split(lower(x.p_name), ' ')), ' ') = array_to_string(list_sort(string_split(lower(y.p_name), ' ')), ' ') AND x.p_partkey < y.p_partkey WHERE x.p_size = y.p_size")
 def j13(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_size", F.array_join(F.array_sort(F.split(F.lower("p_name"), " ")), " ").alias("key"))
-    one, two = part.withColumnRenamed("p_partkey", "one"), part.withColumnRenamed("p_partkey", "two")
-    return one.join(two, ["key", "p_size"]).where("one < two").select("one", "two")
+    return R.pairs_within(part, ["key", "p_size"], "p_partkey")
 
 
 @query("j14_smallest_match", "SELECT l_orderkey, min(l_partkey) AS part FROM lineitem GROUP BY ALL")

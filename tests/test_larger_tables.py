@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lattica.operators import boosting as G
 from lattica.operators import hypergraph as H
 from lattica.operators import matching as M
+from lattica.operators import relational as R
 from lattica.operators import statistics as S
 from lattica.plans import bindings
 
@@ -78,3 +79,14 @@ def test_many_lines_are_dealt_by_number(spark, sf, monkeypatch):
     monkeypatch.setattr(bindings, "LINES_PER_TASK", 100)
     dealt = bindings.incidence(spark, sf)
     assert "REPARTITION_BY_NUM" in plan(dealt) and dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
+
+
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_pairs_of_a_group_come_from_blocks(spark, block):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([*range(40), None])) for _ in range(60)]
+    rows = spark.createDataFrame(data, "k string, s int, v long")
+    want = sorted((x[2], y[2]) for x in data for y in data if None not in x + y and x[:2] == y[:2] and x[2] < y[2])
+    found = R.pairs_within(rows, ["k", "s"], "v", block, per_task=20)
+    assert sorted(map(tuple, found.collect())) == want and "REPARTITION_BY_NUM" in plan(found)
+    assert R.pairs_within(rows.where("v > 99"), ["k", "s"], "v").collect() == []
