@@ -11,7 +11,7 @@ from lattica.operators import hypergraph as H
 from lattica.operators import matching as M
 from lattica.operators import relational as R
 from lattica.operators import statistics as S
-from lattica.plans import bindings
+from lattica.plans import bindings, recovery
 
 
 def plan(df):
@@ -90,3 +90,12 @@ def test_pairs_of_a_group_come_from_blocks(spark, block):
     found = R.pairs_within(rows, ["k", "s"], "v", block, per_task=20)
     assert sorted(map(tuple, found.collect())) == want and "REPARTITION_BY_NUM" in plan(found)
     assert R.pairs_within(rows.where("v > 99"), ["k", "s"], "v").collect() == []
+
+
+def test_suppliers_of_an_order_are_counted_before_the_shuffle(spark, sf, monkeypatch):
+    whole = recovery._stage(spark, sf)
+    monkeypatch.setattr(bindings, "LINES_PER_TASK", 100)
+    dealt = recovery._stage(spark, sf)
+    shuffled = [line for line in plan(dealt).splitlines() if "hashpartitioning" in line]
+    assert "REPARTITION_BY_NUM" in plan(dealt) and not any("l_suppkey" in line and "o_orderkey" in line for line in (x.split("hashpartitioning(")[1].split(")")[0] for x in shuffled))
+    assert dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
