@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import acronyms as R
 from ..operators import matching as M
 from ..operators import vocabulary as V
-from .bindings import table, with_
+from .bindings import dealt, table, with_
 from .registry import query
 
 #: Part records: full names with a hyphen, a small word or a plural, names whose tokens end in some of their initials.
@@ -51,6 +51,20 @@ def t14(spark, sf):
     return R.restored(_records(spark, sf), surfaces, 2, 3).drop("tokens")
 
 
+def part_terms(spark, sf):
+    """(names, words, inc): part names and their words as terms, and the orders that hold them."""
+    part = table(spark, sf, "part")
+    names = part.groupBy(F.col("p_name").alias("key")).agg(F.concat(F.lit("M:"), F.min("p_partkey").cast("string")).alias("term_id")).select("term_id", "key")
+    words = names.select(F.explode(F.split("key", " ")).alias("key")).distinct().select(F.concat(F.lit("W:"), "key").alias("term_id"), "key")
+    # a part gets its two terms before it meets its lines: names are few and common, so lines are not dealt by them
+    of_part = part.select("p_partkey", F.col("p_name").alias("key")).join(names, "key").select("p_partkey", F.array("term_id", F.concat(F.lit("W:"), F.get(F.split("key", " "), 0))).alias("ts"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("p_partkey")).join(of_part, "p_partkey").select("paper_id", "ts")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderdate").alias("first_date"))
+    lines, orders = dealt(lines, orders, "paper_id")
+    inc = lines.join(orders, "paper_id").select("paper_id", "first_date", F.explode("ts").alias("term_id")).distinct()
+    return names, words, inc
+
+
 _TERMS = "nm AS (SELECT 'M:' || min(p_partkey) AS id, p_name AS key, string_split(p_name, ' ') AS w FROM part GROUP BY p_name), wd AS (SELECT DISTINCT 'W:' || u AS id, u AS key, [u] AS w FROM (SELECT unnest(w) AS u FROM nm)), tm AS (SELECT * FROM nm UNION ALL SELECT * FROM wd)"
 
 
@@ -61,16 +75,9 @@ _TERMS = "nm AS (SELECT 'M:' || min(p_partkey) AS id, p_name AS key, string_spli
 )
 def j13(spark, sf):
     """Part names and their words as terms that meet in orders; a name and a word of it meet often, but are no candidates."""
-    part = table(spark, sf, "part")
-    names = part.groupBy(F.col("p_name").alias("key")).agg(F.concat(F.lit("M:"), F.min("p_partkey").cast("string")).alias("term_id")).select("term_id", "key")
-    words = names.select(F.explode(F.split("key", " ")).alias("key")).distinct().select(F.concat(F.lit("W:"), "key").alias("term_id"), "key")
+    names, words, inc = part_terms(spark, sf)
     initials = F.upper(F.concat(F.substring("key", 1, 1), F.substring(F.get(F.split("key", " "), 1), 1, 1)))
     surfaces = names.select("term_id", F.col("key").alias("text"), F.lit("ci").alias("mode")).unionAll(names.select("term_id", initials, F.lit("cs"))).unionAll(words.select("term_id", "key", F.lit("ci")))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", F.col("p_name").alias("key")), "p_partkey")
-    of_names = lines.join(names, "key").select("paper_id", "term_id")
-    of_words = lines.select("paper_id", F.concat(F.lit("W:"), F.get(F.split("key", " "), 0)).alias("term_id"))
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderdate").alias("first_date"))
-    inc = of_names.unionAll(of_words).distinct().join(orders, "paper_id")
     found = V.candidate_pairs(names.unionAll(words), surfaces, inc, [], 3, 1, 10, 0.02)
     return found.select("a", "b", F.array_join("rules", ",").alias("rules"), "meetings", F.round("npmi", 8).alias("npmi"))
 

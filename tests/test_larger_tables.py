@@ -11,7 +11,7 @@ from lattica.operators import hypergraph as H
 from lattica.operators import matching as M
 from lattica.operators import relational as R
 from lattica.operators import statistics as S
-from lattica.plans import bindings, recovery
+from lattica.plans import bindings, recovery, vocabulary
 
 
 def plan(df):
@@ -99,3 +99,10 @@ def test_suppliers_of_an_order_are_counted_before_the_shuffle(spark, sf, monkeyp
     shuffled = [line for line in plan(dealt).splitlines() if "hashpartitioning" in line]
     assert "REPARTITION_BY_NUM" in plan(dealt) and not any("l_suppkey" in line and "o_orderkey" in line for line in (x.split("hashpartitioning(")[1].split(")")[0] for x in shuffled))
     assert dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
+
+
+def test_terms_of_parts_are_dealt_by_lines(spark, sf, monkeypatch):
+    whole = vocabulary.part_terms(spark, sf)[2]
+    monkeypatch.setattr(bindings, "LINES_PER_TASK", 100)
+    dealt = vocabulary.part_terms(spark, sf)[2]
+    assert "REPARTITION_BY_NUM" in plan(dealt) and dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
