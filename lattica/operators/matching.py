@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import nfkc, normalised, tokens
+from ..functions.scalar import compatible, normalised, tokens
+from ..sources.folders import kept
 from .ranks import settled
 
 MODES = ("ci", "cs")
@@ -26,7 +27,7 @@ SMALL_DICTIONARY = 100_000
 
 def mode_tokens(text: Column, mode: str) -> Column:
     """The tokens that ``mode`` compares."""
-    return tokens(normalised(text, unicode_form=True)) if mode == "ci" else tokens(nfkc(text), fold=False)
+    return tokens(normalised(text, unicode_form=True)) if mode == "ci" else tokens(compatible(text), fold=False)
 
 
 def surfaces(dictionary: DataFrame) -> DataFrame:
