@@ -131,11 +131,15 @@ def example_sentences(texts: DataFrame, dictionary: DataFrame, id_col: str, text
     The draw is a bottom-k per surface: tasks hand on no more than ``per`` rows of a surface, so one that stands everywhere is no hot key.
     """
     cut = sentences(texts, id_col, text_col, abbreviations).withColumn("sid", F.struct(F.col(id_col).alias("id"), "idx"))
-    found = match(cut, dictionary, "sid", "sentence", grams=True).select("term_id", "mode", "gram", "sid").distinct()
+    # counts and draw read the matches from one table, and only texts of drawn sentences are cut again
+    found = kept(match(cut, dictionary, "sid", "sentence", grams=True).select("term_id", "mode", "gram", "sid").distinct(), "matches")
     drawn = Window.partitionBy("term_id", "mode", "gram").orderBy(F.xxhash64(F.lit(seed), "gram", "sid"), "sid")
-    picked = found.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= per).drop("_r")
+    picked = kept(found.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= per).drop("_r"), "drawn")
+    small = F.broadcast if picked.count() <= SMALL_DICTIONARY else lambda p: p
+    again = sentences(texts.join(small(picked.select(F.col("sid.id").alias(id_col)).distinct()), id_col, "left_semi"), id_col, text_col, abbreviations)
+    again = again.select(F.struct(F.col(id_col).alias("id"), "idx").alias("sid"), "sentence").join(small(picked.select("sid").distinct()), "sid", "left_semi").distinct()
     counts = found.groupBy("term_id", "mode", "gram").agg(F.count("*").alias("n"))
-    shown = picked.join(counts, ["term_id", "mode", "gram"]).join(cut.select("sid", "sentence").distinct(), "sid")
+    shown = picked.join(counts, ["term_id", "mode", "gram"]).join(again, "sid")
     return shown.select("term_id", "mode", "gram", "n", F.col("sid.id").alias(id_col), F.col("sid.idx").alias("idx"), "sentence")
 
 
