@@ -165,6 +165,7 @@ def term_vectors(weights: DataFrame, links: DataFrame, dims: int, most_words: in
     """
     top = weights.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most_words).select("word")
     size = links.groupBy("term_id").agg(F.count_distinct("paper_id").alias("n"))
+    weights = kept(weights, "weights")
     sums = links.join(weights.join(top, "word"), "paper_id").groupBy("term_id", "word").agg(F.sum("weight").alias("w"))
     cells = kept(sums.join(size, "term_id").select("term_id", "word", (F.col("w") / F.col("n")).alias("w")), "svd-cells")
     basis, values = singular_basis(cells, dims)

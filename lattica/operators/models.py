@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.folders import kept
+
+#: Weights of at most so many words go to the tasks; more meet the counts in a shuffle.
+SMALL_VOCABULARY = 500_000
 
 
 def tfidf(texts: DataFrame, id_col: str, words: str, min_df: int, max_share: float, stop: list[str] = ()) -> DataFrame:
@@ -13,13 +19,15 @@ def tfidf(texts: DataFrame, id_col: str, words: str, min_df: int, max_share: flo
     """
     each = texts.select(id_col, F.explode(words).alias("word"))
     each = each.where(~F.col("word").isin(*stop)) if stop else each
-    tf = each.groupBy(id_col, "word").agg(F.count("*").alias("tf"))
+    # counts are read for the document frequencies and for the weights, the texts once
+    tf = kept(each.groupBy(id_col, "word").agg(F.count("*").alias("tf")), "word-counts")
     n = texts.agg(F.count("*").alias("n"))
     df = tf.groupBy("word").agg(F.count("*").alias("df")).join(n).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
-    idf = df.select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "word").select(id_col, "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "word", (F.col("w") / F.col("norm")).alias("weight"))
+    idf = kept(df.select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "word-weights")
+    small = F.broadcast if idf.count() <= SMALL_VOCABULARY else lambda w: w
+    raw = tf.join(small(idf), "word").select(id_col, "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.where(F.col(id_col).isNotNull()).select(id_col, "word", (F.col("w") / norm).alias("weight"))
 
 
 def mean_vectors(rows: DataFrame, members: DataFrame, id_col: str, group: str) -> DataFrame:
