@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import growth
 from ..sources.folders import kept
 from . import hypergraph as H
+from .ranks import settled
 
 # The feature columns by their published names.
 #: Columns by set: P pairs, H hypergraph, T text, R recency.
@@ -47,6 +48,7 @@ def pair_measures(inc: DataFrame, stable: DataFrame, recent_start: str) -> DataF
 
 def triad_features(candidates: DataFrame, inc: DataFrame, stable: DataFrame, vectors: DataFrame, recent_start: str) -> DataFrame:
     """All columns of ``SETS`` for candidates (a, b, c, kind); ``vectors`` are (term_id, v), of unit length or zero."""
+    candidates = settled(candidates)  # every group of columns reads them
     triads = candidates.select(*H.TRIAD)
     sides = H.triad_pairs(triads).join(pair_measures(inc, stable, recent_start), ["x", "y"], "left")
     sides = sides.fillna(0, ["cnt", "cn"]).fillna(0.0, ["aa"]).fillna(-1.0, ["npmi"]).fillna(1.0, ["growth"])
@@ -163,9 +165,9 @@ def term_vectors(weights: DataFrame, links: DataFrame, dims: int, most_words: in
     ``weights``: paper_id, word, weight (see ``models.tfidf``); ``links``: paper_id, term_id. The ``most_words`` words
     of the largest total count are kept.
     """
+    weights = kept(weights, "weights")
     top = weights.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most_words).select("word")
     size = links.groupBy("term_id").agg(F.count_distinct("paper_id").alias("n"))
-    weights = kept(weights, "weights")
     sums = links.join(weights.join(top, "word"), "paper_id").groupBy("term_id", "word").agg(F.sum("weight").alias("w"))
     cells = kept(sums.join(size, "term_id").select("term_id", "word", (F.col("w") / F.col("n")).alias("w")), "svd-cells")
     basis, values = singular_basis(cells, dims)
