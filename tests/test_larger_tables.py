@@ -6,12 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions import scalar as fn
 from lattica.operators import boosting as G
 from lattica.operators import hypergraph as H
 from lattica.operators import matching as M
+from lattica.operators import models as L
 from lattica.operators import relational as R
 from lattica.operators import statistics as S
-from lattica.plans import bindings, recovery, vocabulary
+from lattica.plans import bindings, extras, graph, models, recovery, statistics, vocabulary
 
 
 def plan(df):
@@ -106,3 +108,68 @@ def test_terms_of_parts_are_dealt_by_lines(spark, sf, monkeypatch):
     monkeypatch.setattr(bindings, "LINES_PER_TASK", 100)
     dealt = vocabulary.part_terms(spark, sf)[2]
     assert "REPARTITION_BY_NUM" in plan(dealt) and dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
+
+
+def test_only_texts_beyond_ascii_reach_python(spark):
+    texts = ["plain", "\ufb01n \uff21", "e\u0301", "", None]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fn.compatible(F.col("t")).alias("t"))
+    assert "RLIKE" in plan(made) and {r.i: r.t for r in made.collect()} == {0: "plain", 1: "fin A", 2: "\u00e9", 3: "", 4: None}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None
+
+
+def test_example_sentences_are_matched_once(spark):
+    texts = spark.createDataFrame([(1, "The cat. A dog. The end."), (1, "The cat. A dog. The end."), (2, "No cat here. The cat."), (3, None)], "doc_id long, text string")
+    words = spark.createDataFrame([("T:the", "the", "ci"), ("T:cat", "cat", "ci")], "term_id string, text string, mode string")
+    found = M.example_sentences(texts, words, "doc_id", "text", 5, 1)
+    assert "ArrowEvalPython" not in plan(found)
+    want = {("the", 3, 1, 0, "The cat."), ("the", 3, 1, 2, "The end."), ("the", 3, 2, 1, "The cat."), ("cat", 3, 1, 0, "The cat."), ("cat", 3, 2, 0, "No cat here."), ("cat", 3, 2, 1, "The cat.")}
+    rows = [(r.gram, r.n, r.doc_id, r.idx, r.sentence) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_word_weights_shuffle_the_counts_once(spark, monkeypatch, small):
+    monkeypatch.setattr(L, "SMALL_VOCABULARY", small)
+    texts = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["a", "c"]), (3, ["b", "c", "c"]), (3, ["b"]), (4, ["d"])], "id long, ws array<string>")
+    found = L.tfidf(texts, "id", "ws", 2, 0.9)
+    shape = plan(found)
+    rows = {(r.id, r.word): r.weight for r in found.collect()}
+    assert set(rows) == {(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "b"), (3, "c")}
+    assert all(sum(w * w for (i, _), w in rows.items() if i == n) == pytest.approx(1) for n in (1, 2, 3))
+    assert not small or ("SortMergeJoin" not in shape and shape.count("hashpartitioning") == 1)
+
+
+def reads_files(df):
+    return "FileScan" in plan(df)
+
+
+def test_trainings_do_not_read_texts_again(spark, monkeypatch):
+    seen = []
+
+    def capture(*args, **kw):
+        seen.append(args[0])
+        raise StopIteration
+
+    monkeypatch.setattr(G, "choose_rounds", capture)
+    monkeypatch.setattr(L, "out_of_fold", capture)
+    for asked in (extras.m09, models.m10):
+        with pytest.raises(StopIteration):
+            asked(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not any(map(reads_files, seen))
+
+
+def test_replications_do_not_build_the_graph_again(spark, sf, monkeypatch):
+    seen = []
+    drawn = S.redrawn
+    monkeypatch.setattr(S, "redrawn", lambda rows, seed: seen.append(rows) or drawn(rows, seed))
+    models.x19(spark, sf)
+    assert len(seen) == 4 and not any(map(reads_files, seen))
+
+
+def test_stable_pairs_and_open_triangles_are_made_once(spark, sf):
+    g = graph.Graph(spark, sf)
+    assert not reads_files(g.stable) and g.stable is g.stable and not reads_files(statistics.x32(spark, sf))
+
+
+def test_degrees_of_papers_are_counted_without_lists(spark, sf):
+    assert "collect_set" not in plan(statistics.x09(spark, sf))
