@@ -11,10 +11,11 @@ steps, each confirmed on full sets:
 
 1. every class with the smallest pivot it meets in a band, then with the other pivots it is
    not yet joined to;
-2. what is left: bands of three or more classes that still lie in different components. Members
+2. what is left: bands of three or more classes that lie in different components of the first links. Members
    outside the band's largest component are compared with all of the band, block by block (a
    band of any size is cut into blocks of about ``BLOCK`` classes and ``BLOCK_BYTES`` of sets), first by the collision-corrected
-   estimate from the registers, then exactly; pairs already joined are passed over;
+   estimate from the registers, then exactly; pairs already joined are passed over, and a pair of several
+   common bands is compared in the first of them only;
 3. components of all links.
 
 So every two classes that share a band end in one component or are compared; no band is capped.
@@ -209,8 +210,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(work, "a long, b long")
 
 
-def block_links(ids, comps, sizes, sketches, sets, left, right, percent: int):
-    """Confirmed links between the rows ``left`` and ``right`` that lie in different components."""
+def similar_ones(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``many`` sets, none of them empty, are similar enough to ``one``."""
+    sizes = np.array([len(x) for x in many])
+    values = np.concatenate(many)
+    at = np.searchsorted(one, values)
+    at[at == len(one)] = 0
+    both = np.add.reduceat((one[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+def block_links(ids, comps, sizes, sketches, sets, left, right, percent: int, band: int | None = None, twice=None):
+    """Confirmed links between the rows ``left`` and ``right`` that lie in different components.
+
+    With ``band``, pairs that share an earlier band are left to it. ``twice`` marks rows that stand in ``left``
+    as well, of this or another block: a pair of these is compared once, from its smaller id.
+    """
     root = {c: c for c in comps}
 
     def find(x):
@@ -222,26 +237,39 @@ def block_links(ids, comps, sizes, sketches, sets, left, right, percent: int):
     out = []
     for i in left:
         ratio = 100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i])
-        other = right[ratio & (comps[right] != comps[i])]
+        ratio &= comps[right] != comps[i]
+        if twice is not None:
+            ratio &= ~twice[right] | (ids[right] > ids[i])
+        other = right[ratio]
+        if len(other) and band is not None:
+            shared = (sketches[other, : BAND * (band + 1)] == sketches[i, : BAND * (band + 1)]).reshape(len(other), -1, BAND).all(axis=2)
+            other = other[shared.argmax(axis=1) == band]
         if len(other):
             other = other[estimate(sketches[i], sketches[other]) >= percent / 100 - SLACK]
-        for j in other:
+        other = [j for j in other if find(comps[j]) != find(comps[i])]
+        if not other:
+            continue
+        for j in np.asarray(other)[similar_ones(sets[i], [sets[j] for j in other], percent)]:
             a, b = find(comps[i]), find(comps[j])
-            if a != b and similar(sets[i], sets[j], percent):
+            if a != b:
                 root[a] = b
                 out.append((ids[i], ids[j]))
     return out
 
 
 def _residual(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: key, bi, bj, side, c, comp, n, sketch, hashes -> confirmed links (a, b)."""
+    """rows: key, bi, bj, side, c, comp, n, sketch, hashes -> confirmed links (a, b).
+
+    Side 0 is compared with the others: 1 lies in the band's largest component, 2 outside (and stands on side 0 too).
+    """
 
     def group(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, comps, sizes, side = (np.asarray(table.column(x)) for x in ("c", "comp", "n", "side"))
         sketches = _sketch_rows(table.column("sketch"))
         sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("hashes")]
-        found = block_links(ids, comps, sizes, sketches, sets, np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent)
+        band = int(np.argmax(band_keys(sketches[:1])[0].view(np.int64) == table.column("key")[0].as_py()))
+        found = block_links(ids, comps, sizes, sketches, sets, np.flatnonzero(side == 0), np.flatnonzero(side > 0), percent, band, side == 2)
         return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "bi", "bj").applyInArrow(group, "a long, b long")
@@ -277,9 +305,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = pairs.distinct().join(first, ["a", "b"], "left_anti")
     left = _label(_label(left, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
     more = written(_confirm(left, sets, percent), f"{tag}-links")
-    links = links.unionAll(more)
-    if not more.isEmpty():
-        comps = written(components(links, tag), f"{tag}-comps")
 
     placed = _label(members.where("k > 2").select("key", "c", "n"), comps, "c", "comp")
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
@@ -293,12 +318,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     # members outside the largest component meet every block; every member meets their few blocks
     fewer = open_rows.where("comp <> most").select("key", "c", "comp", block("ni").alias("bi"), each("nj").alias("bj"), F.lit(0).alias("side"))
-    every = open_rows.select("key", "c", "comp", each("ni").alias("bi"), block("nj").alias("bj"), F.lit(1).alias("side"))
+    side = F.when(F.col("comp") == F.col("most"), 1).otherwise(2).alias("side")
+    every = open_rows.select("key", "c", "comp", each("ni").alias("bi"), block("nj").alias("bj"), side)
     open_rows = fewer.unionAll(every)
     full = open_rows.join(classes.select("c", "n", "sketch"), "c").join(sets, "c")
     rest = written(_residual(full, percent), f"{tag}-links")
-    if not rest.isEmpty():
-        comps = written(components(links.unionAll(rest), tag), f"{tag}-comps")
+    later = more.unionAll(rest)
+    if not later.isEmpty():
+        known = comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        comps = written(components(known.unionAll(later), tag), f"{tag}-comps")
 
     named = _label(classes.select("c", "e2", "id"), comps, "c", "comp")
     lowest = named.groupBy("comp").agg(F.min("id").alias("component"))

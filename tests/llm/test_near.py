@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from lattica.llm import components as H_components
 from lattica.llm import hyperminhash as H
 from lattica.llm.components import components
 
@@ -116,3 +117,50 @@ def test_query_against_all_pairs_of_documents(spark):
     want = brute([t for _, t in rows], 2)
     assert got == {d: (d, n, rows[root][0], rows[root][0] == d) for (d, _), (n, root) in zip(rows, want)}
     assert sum(d != c for d, _, c, _ in got.values()) > 50
+
+
+def test_settled_links_need_no_round(spark, monkeypatch):
+    """Links within one batch are contracted before any shuffle; a star is its own answer."""
+    from lattica.llm import components as C
+
+    names = []
+    monkeypatch.setattr(C, "written", lambda df, name, real=C.written: names.append(name) or real(df, name))
+    rows = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(50, 41), (60, 50)], "a long, b long").coalesce(1)
+    got = {r.node: r.root for r in C.components(rows, "t").collect()}
+    assert got == {**{i: 0 for i in range(41)}, 41: 41, 50: 41, 60: 41}
+    assert names == ["t-edges"]
+
+
+def test_forest_keeps_components():
+    rng = random.Random(5)
+    for n, m in ((2, 1), (30, 20), (200, 150), (200, 600)):
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(n // 3)]
+        root = {x: x for pair in links for x in pair}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        a, b = (np.array(x) for x in zip(*links))
+        assert dict(zip(*(x.tolist() for x in H_components.forest(a, b)))) == {k: v for k, v in root.items() if k != v}
+
+
+def test_pairs_of_several_bands_are_compared_once(monkeypatch):
+    """In all common bands together every pair meets the exact comparison once, and all links are found."""
+    rng = np.random.default_rng(3)
+    pool = np.sort(rng.integers(0, 2**63, 900, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, 780, replace=False)) for _ in range(30)]
+    at = np.cumsum([0] + [len(s) for s in sets])
+    sketches, ids = H.registers(np.concatenate(sets), at), np.arange(30)
+    seen = []
+    exact = H.similar_ones
+    monkeypatch.setattr(H, "similar_ones", lambda one, many, percent: seen.extend((one.tobytes(), x.tobytes()) for x in many) or exact(one, many, percent))
+    keys = H.band_keys(sketches)
+    for band in range(keys.shape[1]):
+        for key in np.unique(keys[:, band]):
+            rows = np.flatnonzero(keys[:, band] == key)
+            if len(rows) > 1:
+                take = [x[rows] for x in (ids, ids, np.diff(at), sketches)]
+                inside = np.arange(len(rows))
+                H.block_links(*take, [sets[i] for i in rows], inside, inside, 80, band, np.ones(len(rows), bool))
+    pairs = {frozenset(p) for p in seen}
+    shared = {frozenset((sets[i].tobytes(), sets[j].tobytes())) for i in range(30) for j in range(i) if (keys[i] == keys[j]).any()}
+    assert shared and len(seen) == len(pairs) and pairs <= shared and len(pairs) > 0.9 * len(shared)
