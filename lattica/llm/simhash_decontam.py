@@ -4,8 +4,8 @@ Texts and items become lists of hashed word shingles (lower-cased runs of letter
 the items' sizes get ``PRINTS`` independent 64-bit SimHashes each, their shingles weighted by how often they occur, and so do the items.
 A multi-index finds the candidates: a fingerprint is cut into ``BLOCKS`` blocks, and an item stands in the index under every value
 within ``NEAR`` bits of each of its blocks. Of two fingerprints within ``RADIUS`` bits one block differs in ``NEAR`` bits at most, so
-none within the radius is missed, whichever item it belongs to; two random ones meet in about 4 of 100 cases a fingerprint. Candidates within the radius
-under either fingerprint are verified by exact weighted-shingle similarity (sum of smaller over sum of larger weights).
+none within the radius is missed, whichever item it belongs to; two random ones meet in about 4 of 100 cases a fingerprint. Distinct
+fingerprints meet the index without their windows; candidates within the radius under either fingerprint go back to the windows and are verified by exact weighted-shingle similarity (sum of smaller over sum of larger weights).
 
 Not every window of a text is fingerprinted. One that is similar to an item holds some of its shingles, and
 moving it to the right until it starts with one never lowers their similarity. So windows of a size open at
@@ -34,8 +34,8 @@ NEAR = RADIUS // BLOCKS
 WIDTH = 64 // BLOCKS
 #: All changes of a block in up to ``NEAR`` bits.
 CHANGES = [x for x in range(1 << WIDTH) if x.bit_count() <= NEAR]
-#: Rows of the index (two numbers each) up to which it is broadcast.
-MAX_INDEX_ROWS = 2_000_000
+#: Rows of the index (two numbers each, some 120 bytes in the driver) up to which it is broadcast: 30 MB.
+MAX_INDEX_ROWS = 250_000
 #: Above these sizes a table is shuffled instead of broadcast. A hit that opens a window, or a text name, takes 40 bytes at most, so at most 40 MB.
 MAX_BROADCAST_SHINGLES = 500_000
 MAX_BROADCAST_HITS = 1_000_000
@@ -129,22 +129,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         .select("id", "u", "v", "hs", F.explode(F.expr(flat)).alias("f"))
         .select("id", "u", "v", F.col("f.m").alias("m"), F.expr(let("w", "slice(hs, f.s + 1, f.m)", f"struct(w AS wh, {fingerprints('w')} AS fp)")).alias("w"))
     )
-    windows = windows.select("id", "u", "v", "m", "w.wh", "w.fp", F.posexplode(F.expr(blocks("w.fp"))).alias("b", "value"))
-    windows = windows.withColumn("key", F.expr(key("m", "b", "value"))).drop("value")
+    windows = written(windows.select("id", "u", "v", "m", "w.wh", "w.fp"), "windows")
     changed = F.explode(F.array(*map(F.lit, CHANGES))).alias("change")
     index = item.select("row", "m", F.posexplode(F.expr(blocks("ifp"))).alias("b", "value")).select("row", "m", "b", "value", changed)
     index = index.select("row", F.expr(key("m", "b", "value ^ change")).alias("key"))
     light = n_items * PRINTS * BLOCKS * len(CHANGES) <= MAX_INDEX_ROWS
-    met = windows.join(F.broadcast(index) if light else index, "key")
+    prints = windows.select("m", "fp").distinct().select("m", "fp", F.posexplode(F.expr(blocks("fp"))).alias("b", "value"))
+    prints = prints.select("m", "fp", "b", F.expr(key("m", "b", "value")).alias("key"))
+    # sizes are estimated without the rows that explode adds: only a hint keeps a large index out of the driver
+    met = prints.join(F.broadcast(index) if light else index.hint("merge"), "key")
     apart = f"transform(zip_with({blocks('fp')}, {blocks('ifp')}, (x, y) -> bit_count(x ^ y)), (d, i) -> if(d <= {NEAR} AND bit_count(get(fp, cast(i div {BLOCKS} AS INT)) ^ get(ifp, cast(i div {BLOCKS} AS INT))) <= {RADIUS}, i, NULL))"
+    # within the radius, and of the blocks that bring two together the first, so that a candidate stays once
+    close = met.join(hint(item.select("row", "ifp")), "row").where(F.expr(f"array_min({apart})") == F.col("b"))
+    close = written(close.select("m", "fp", "row"), "close")
     near = (
-        met.drop("m", "key")
-        .join(hint(item), "row")
-        # within the radius, and of the blocks that bring two together the first, so that a candidate stays once
-        .where(F.expr(f"array_min({apart})") == F.col("b"))
-        .drop("b", "fp", "ifp")
+        windows.join(close, ["m", "fp"])
+        .join(hint(item.select("row", "item", "ih")), "row")
         .withColumn("n_common", F.expr(_weighted("wh", "ih")).cast("long"))
-        .withColumn("n_union", (F.size("wh") + F.col("m") - F.col("n_common")).cast("long"))
+        .withColumn("n_union", (F.size("wh") + F.size("ih") - F.col("n_common")).cast("long"))
         .where(f"100 * n_common >= {percent} * n_union")
     )
     ranked = F.struct((F.col("n_common") / F.col("n_union")).alias("r"), "n_common", "n_union")

@@ -125,6 +125,21 @@ def test_decontamination_paths_and_empty(spark, sf, monkeypatch, duck):
     assert S.decontaminate(docs, items.where("false")).count() == docs.count()
 
 
+def test_large_index_is_not_broadcast(spark, sf, monkeypatch):
+    """An index of 200 items (1.1 million rows) took 134 MB of the driver; it meets the fingerprints in a shuffle, with the same rows."""
+    assert 200 * S.PRINTS * S.BLOCKS * len(S.CHANGES) > S.MAX_INDEX_ROWS
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    more = items.crossJoin(spark.range(50).withColumnRenamed("id", "copy"))
+    more = more.select((F.col("item_id") + 1_000_000 * F.col("copy")).alias("item_id"), "text")
+    assert items.count() * 50 * S.PRINTS * S.BLOCKS * len(S.CHANGES) > S.MAX_INDEX_ROWS
+    want = {(d, i + 1_000_000 * c, *n) for d, i, *n in (tuple(r) for r in S.pairs(docs, items).collect()) for c in range(50)}
+    joins = []
+    real = S.written
+    monkeypatch.setattr(S, "written", lambda df, name: joins.append((name, df._jdf.queryExecution().sparkPlan().toString())) or real(df, name))
+    assert want and {tuple(r) for r in S.pairs(docs, more).collect()} == want
+    assert "SortMergeJoin [key" in dict(joins)["close"]
+
+
 def test_index_finds_all_within_the_radius_and_few_others(spark):
     """The blocks of random fingerprints against all pairs: none within the radius is missed, and few random pairs meet."""
     rng = random.Random(8)
