@@ -38,7 +38,7 @@ from .common import fresh, slabs, utf8_buffer, written
 from .components import components
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
-BLOCK, BLOCK_BYTES = 512, 2 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 MAX_BROADCAST_IDS = 1_000_000
 #: Estimates this far below the threshold (over five standard deviations of 128 registers) are passed over.
 SLACK = 0.2
@@ -260,7 +260,8 @@ def block_links(ids, comps, sizes, sketches, sets, left, right, percent: int, ba
 def _residual(rows: DataFrame, percent: int) -> DataFrame:
     """rows: key, bi, bj, side, c, comp, n, sketch, hashes -> confirmed links (a, b).
 
-    Side 0 is compared with the others: 1 lies in the band's largest component, 2 outside (and stands on side 0 too).
+    Side 0 is compared with the others: 1 lies in the band's largest component, 2 outside (and stands on side 0 too),
+    3 outside in a band of one block (and stands for side 0 itself).
     """
 
     def group(table: pa.Table) -> pa.Table:
@@ -269,7 +270,7 @@ def _residual(rows: DataFrame, percent: int) -> DataFrame:
         sketches = _sketch_rows(table.column("sketch"))
         sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("hashes")]
         band = int(np.argmax(band_keys(sketches[:1])[0].view(np.int64) == table.column("key")[0].as_py()))
-        found = block_links(ids, comps, sizes, sketches, sets, np.flatnonzero(side == 0), np.flatnonzero(side > 0), percent, band, side == 2)
+        found = block_links(ids, comps, sizes, sketches, sets, np.flatnonzero((side == 0) | (side == 3)), np.flatnonzero(side > 0), percent, band, side >= 2)
         return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
     return rows.groupBy("key", "bi", "bj").applyInArrow(group, "a long, b long")
@@ -317,8 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     # members outside the largest component meet every block; every member meets their few blocks
-    fewer = open_rows.where("comp <> most").select("key", "c", "comp", block("ni").alias("bi"), each("nj").alias("bj"), F.lit(0).alias("side"))
-    side = F.when(F.col("comp") == F.col("most"), 1).otherwise(2).alias("side")
+    fewer = open_rows.where("comp <> most AND (ni > 1 OR nj > 1)").select("key", "c", "comp", block("ni").alias("bi"), each("nj").alias("bj"), F.lit(0).alias("side"))
+    side = F.when(F.col("comp") == F.col("most"), 1).when((F.col("ni") > 1) | (F.col("nj") > 1), 2).otherwise(3).alias("side")
     every = open_rows.select("key", "c", "comp", each("ni").alias("bi"), block("nj").alias("bj"), side)
     open_rows = fewer.unionAll(every)
     full = open_rows.join(classes.select("c", "n", "sketch"), "c").join(sets, "c")

@@ -119,6 +119,16 @@ def test_query_against_all_pairs_of_documents(spark):
     assert sum(d != c for d, _, c, _ in got.values()) > 50
 
 
+def test_rows_of_one_block_travel_once(spark, monkeypatch):
+    """A band of one block sends each member to the comparison once, whichever component it lies in."""
+    sent = []
+    real = H._residual
+    monkeypatch.setattr(H, "_residual", lambda rows, percent: sent.append(rows.groupBy("key", "c").count().where("count > 1").count()) or real(rows, percent))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(1))], "doc_id long, text string")
+    assert H.near_duplicates(docs).count() == docs.count()
+    assert sent == [0]
+
+
 def test_settled_links_need_no_round(spark, monkeypatch):
     """Links within one batch are contracted before any shuffle; a star is its own answer."""
     from lattica.llm import components as C
