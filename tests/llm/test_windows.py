@@ -204,3 +204,21 @@ def test_many_identical_rows(spark, remove):
     removed = {7: unit(same), 0: unit(words[0]), 1: 0}
     counts = {7: 20_000, 0: 1, 1: 1}
     assert {r.doc_id: (r.n_tokens, r.n_removed, r["count"]) for r in got} == {i: (unit(t), removed[i], counts[i]) for i, t in ((7, same), (0, others[0]), (1, others[1]))}
+
+
+def test_planted_passages_of_over_50_words(spark, tmp_path):
+    """Passages of 51 to 200 words, each in three texts: those of 400 bytes go from all three, shorter ones and clean texts stay; n_bytes knows of neither."""
+    rng = random.Random(8)
+    words = lambda n, letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+    planted = [words(n, letters) for letters in ("abcdefgh", "abcdéßñh") for n in (51, 55, 60, 80, 120, 200)]
+    rows = [f"{words(rng.randint(1, 300), 'rstuvwxy')}\n{p}\n{words(rng.randint(1, 300), 'rstuvwxy')}" for p in planted for _ in range(3)]
+    held = [len(p.encode()) + 2 for p in planted for _ in range(3)]  # the line ends around it are equal too
+    rows += [words(400, "rstuvwéy") for _ in range(30)]
+    held += [0] * 30
+    assert min(x for x in held if x) < 400 < max(held)
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, (text, n) in enumerate(zip(rows, held)):
+        assert got[i].n_bytes == len(text.encode())
+        assert (got[i].n_spans, got[i].n_removed >= n) == (1, True) if n >= 400 else (got[i].n_spans, got[i].n_removed) == (0, 0), (i, n)
+        assert got[i].n_removed <= n + 4  # equal letters by chance at the edges
