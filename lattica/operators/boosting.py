@@ -5,14 +5,20 @@ Rows have the feature columns, ``label`` 0 or 1 and a key; trees are Spark's own
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranks import numbered, running, settled
 
+#: Rounds of the first training of a fold, and rounds whose precisions are taken at once.
+FIRST_ROUNDS, ROUNDS_AT_ONCE = 200, 100
+
 
 def pooled(frames: list[DataFrame], allowed: list[str], names: list[str]) -> DataFrame:
     """The rows of the timepoints ``names``, whose label windows must all have ended (be in ``allowed``)."""
@@ -47,16 +53,45 @@ def train(rows: DataFrame, columns: list[str], rounds: int, seed: int, depth: in
     return trees.fit(_assembled(rows, columns))
 
 
-def _margins(model, rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` and ``ms``: the running margin after each tree."""
-    out = _assembled(rows, columns)
-    for i, tree in enumerate(model.trees):
-        out = tree.setFeaturesCol("_x").setPredictionCol(f"_t{i}").transform(out)
-    steps, total = [], F.lit(0.0)
-    for i, w in enumerate(model.treeWeights):
-        total = total + F.col(f"_t{i}") * float(w)
-        steps.append(total)
-    return out.select(*keep, F.array(*steps).alias("ms"))
+def _together(rows: DataFrame, work, items: list) -> list:
+    """``work`` of every item, as Spark jobs side by side: a tree is many short jobs."""
+    if not items:
+        return []
+    with ThreadPool(len(items)) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(work), items)
+
+
+def _leaf_values(model):
+    """A row per tree: the values of its leaves from left to right, times the tree's weight."""
+    import numpy as np
+
+    trees = re.split(r"\n\s*Tree \d+ \(weight [^)]*\):", model.toDebugString)[1:]
+    values = [[float(v) for v in re.findall(r"Predict: (\S+)", t)] for t in trees]
+    table = np.zeros((len(values), max(map(len, values))))
+    for i, (v, w) in enumerate(zip(values, model.treeWeights, strict=True)):
+        table[i, : len(v)] = np.array(v) * w
+    return table
+
+
+def _margins(model, rows: DataFrame, columns: list[str], keep: list[str], after: int = 0) -> DataFrame:
+    """``keep`` and ``ms``: the running margin after each tree, without the first ``after`` ones."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
+
+    values = _leaf_values(model)
+
+    def work(batches):
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            leaves = np.asarray(batch.column(len(keep)).flatten()).reshape(batch.num_rows, len(values))
+            steps = np.cumsum(values[np.arange(len(values)), leaves], axis=1)[:, after:]
+            ends = pa.array(np.arange(batch.num_rows + 1) * steps.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(steps.ravel()))], names=[*keep, "ms"])
+
+    only = {model.leafCol: "_leaf", model.predictionCol: "", model.rawPredictionCol: "", model.probabilityCol: ""}
+    out = model.transform(_assembled(rows, columns), only).select(*keep, vector_to_array("_leaf").cast("array<smallint>").alias("_leaf"))
+    return out.mapInArrow(work, StructType([*out.select(*keep).schema.fields]).add("ms", ArrayType(DoubleType())))
 
 
 def round_precisions(staged: DataFrame, label: str = "label") -> DataFrame:
@@ -75,35 +110,51 @@ def round_precisions(staged: DataFrame, label: str = "label") -> DataFrame:
     return met.groupBy("fold", "round").agg((F.sum(F.col("p") * tp / seen) / F.nullif(F.sum("p"), F.lit(0.0))).alias("average_precision"))
 
 
-def choose_rounds(rows: DataFrame, columns: list[str], key: list[str], folds: int = 5, most: int = 50, patience: int = 10, seed: int = 1, label: str = "label") -> tuple[int, list[float]]:
-    """(rounds, mean average precision after each round): the first round that none of the next ``patience`` beats.
-
-    Beside the training, the whole choice is one pass over the held-out rows of all folds. A fold without training rows has no curve.
-    """
-    dealt = settled(stratified_folds(rows, key, label, folds, seed))
-    staged = []
-    for fold in range(folds):
-        model = train(dealt.where(F.col("fold") != fold), columns, most, seed, label=label)
-        if model is None:
-            continue
-        staged.append(_margins(model, dealt.where(F.col("fold") == fold), columns, ["fold", label]))
-    if not staged:
-        return 1, [0.0] * most
-    found = round_precisions(reduce(DataFrame.unionAll, staged), label)
-    means = found.groupBy("round").agg((F.sum(F.coalesce("average_precision", F.lit(0.0))) / folds).alias("m"))
-    curve = {r["round"]: r.m for r in means.collect()}  # one row a round
-    mean = [curve.get(i, 0.0) for i in range(most)]
+def _best(mean: list[float], patience: int) -> tuple[int, bool]:
+    """(place of the first value that none of the next ``patience`` beats, whether so many follow it)."""
     best = 0
-    for i in range(1, most):
+    for i in range(1, len(mean)):
         if mean[i] > mean[best]:
             best = i
         elif i - best >= patience:
-            break
-    return best + 1, mean
+            return best, True
+    return best, False
+
+
+def choose_rounds(rows: DataFrame, columns: list[str], key: list[str], folds: int = 5, most: int = 2000, patience: int = 100, seed: int = 1, label: str = "label") -> tuple[int, list[float]]:
+    """(rounds, mean average precision after each round): the first round that none of the next ``patience`` beats.
+
+    Folds train side by side, first ``FIRST_ROUNDS`` rounds, then twice as many and so on up to ``most`` until the choice is made; the
+    same seed grows the same first trees, so the choice is that of ``most`` rounds. The means end where it is made. Beside the training it is
+    one pass over the held-out rows of all folds for every ``ROUNDS_AT_ONCE`` rounds. A fold without training rows has no curve.
+    """
+    dealt = settled(stratified_folds(rows, key, label, folds, seed))
+    mean, upto = [], min(most, max(FIRST_ROUNDS, patience + 1))
+    while True:
+        done = len(mean)
+
+        def held_out(fold: int, done: int = done, upto: int = upto) -> DataFrame | None:
+            model = train(dealt.where(F.col("fold") != fold), columns, upto, seed, label=label)
+            return None if model is None else _margins(model, dealt.where(F.col("fold") == fold), columns, ["fold", label], done)
+
+        staged = [x for x in _together(rows, held_out, list(range(folds))) if x is not None]
+        if not staged:
+            return 1, [0.0] * most
+        margins = settled(reduce(DataFrame.unionAll, staged))
+        for start in range(done, upto, ROUNDS_AT_ONCE):
+            size = min(ROUNDS_AT_ONCE, upto - start)
+            found = round_precisions(margins.withColumn("ms", F.slice("ms", start - done + 1, size)), label)
+            means = found.groupBy("round").agg((F.sum(F.coalesce("average_precision", F.lit(0.0))) / folds).alias("m"))
+            curve = {r["round"]: r.m for r in means.collect()}  # one row a round
+            mean += [curve.get(i, 0.0) for i in range(size)]
+            best, made = _best(mean, patience)
+            if made or len(mean) == most:
+                return best + 1, mean
+        upto = min(most, 2 * upto)
 
 
 def train_seeds(rows: DataFrame, columns: list[str], rounds: int, seeds: list[int], label: str = "label") -> list:
-    models = [train(rows, columns, rounds, s, label=label) for s in seeds]
+    models = _together(rows, lambda s: train(rows, columns, rounds, s, label=label), seeds)
     return [m for m in models if m is not None]
 
 
@@ -119,7 +170,7 @@ def seed_scores(models: list, rows: DataFrame, columns: list[str], key: list[str
         return rows.select(*key, F.lit(None).cast("double").alias("score"))
     out = rows
     for i, m in enumerate(models):
-        margin = _margins(m, rows, columns, key).select(*key, (1 / (1 + F.exp(-2 * F.element_at("ms", -1)))).alias(f"score_{i}"))
+        margin = _margins(m, rows, columns, key, len(m.treeWeights) - 1).select(*key, (1 / (1 + F.exp(-2 * F.element_at("ms", -1)))).alias(f"score_{i}"))
         out = margin if i == 0 else out.join(margin, key)
     return out.withColumn("score", sum((F.col(f"score_{i}") for i in range(len(models))), F.lit(0.0)) / len(models))
 
